@@ -159,8 +159,9 @@ def item_by_name(df: DataFrame, names) -> DataFrame:
 def _first_per(df: DataFrame, key: str) -> DataFrame:
     """One row per key: the smallest row under the frame's order (profit desc, then all columns)."""
     others = [c for c in df.columns if c != key]
-    order = F.struct(F.negative(F.col("profit")).alias("_p"), *[F.col(c) for c in sorted(others)]) \
-        if "profit" in df.columns else F.struct(*[F.col(c) for c in sorted(others)])
+    ties = ROW_KEY if all(c in df.columns for c in ROW_KEY) else sorted(others)
+    lead = [F.negative(F.col("profit")).alias("_p")] if "profit" in df.columns else []
+    order = F.struct(*lead, *[F.col(c) for c in ties])
     best = df.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in others]), order).alias("_r"))
     return best.select(key, "_r.*").select(*df.columns)
 
