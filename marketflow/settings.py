@@ -59,12 +59,15 @@ OPPORTUNITY_WEIGHTS = (
 OPPORTUNITY_CORE = ("profit", "capital_efficiency", "profit_per_slot", "liquidity_score")
 OPPORTUNITY_INVERTED = ("price_position", "market_saturation")
 RISK_TOLERANCE = {"low": 40, "medium": 70, "high": 100}
-ANOMALY_FEATURES_CORE = ("profit", "capital_efficiency", "profit_margin")
-ANOMALY_FEATURES_EXTRA = ("price_spread_pct", "momentum", "flea_premium", "liquidity_score")
-CLUSTER_FEATURES = ("profit", "capital_efficiency", "profit_per_slot", "profit_margin",
-                    "liquidity_score", "momentum", "trader_level_required", "slots")
+ANOMALY_FEATURES_CORE = ("profit", "capital_efficiency", "profit_per_slot")
+ANOMALY_FEATURES_EXTRA = ("log_offers", "volume_adjusted_profit", "flea_premium", "price_position")
+CLUSTER_FEATURES_CORE = ("profit", "capital_efficiency", "profit_per_slot")
+CLUSTER_FEATURES_EXTRA = ("liquidity_score", "log_offers", "volume_adjusted_profit", "momentum",
+                          "price_spread_pct")
 SIMILARITY_FEATURES = ("profit", "capital_efficiency", "profit_per_slot", "slots", "weight")
-CLUSTER_LABELS = {1: "Elite Opportunities", 2: "High Value", 3: "Solid Picks"}
+CLUSTER_LABELS = {1: "🥇 Elite Opportunities", 2: "🥈 High Value", 3: "🥉 Solid Picks"}
+CLUSTER_LABEL_NEGATIVE = "⚠️ Avoid (Negative)"
+CLUSTER_LABEL_DEFAULT = "📊 Standard"
 
 # Level rules over the test-data vocabulary (kind, pattern, level), in priority order.
 DEFAULT_LEVEL_RULES = (
