@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequence import sequence_index
+
 
 def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
                  buckets: int = 64) -> DataFrame:
@@ -21,7 +23,9 @@ def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
     vals = (df.filter(v.isNotNull()).groupBy(value)
             .agg(F.count(F.lit(1)).alias("_cnt")))
     qs = [i / buckets for i in range(1, buckets)]
-    bounds = vals.select(F.percentile_approx(value, qs, 10000)).scalar()
+    # A fixed-size sketch result (buckets - 1 numbers): the only thing brought to the driver.
+    cuts = vals.select(F.percentile_approx(value, qs, 10000)).first()[0] or []
+    bounds = F.array(*[F.lit(b) for b in sorted(set(cuts))]) if cuts else F.array().cast(f"array<{dict(df.dtypes)[value]}>")
     if descending:
         bucket = F.size(F.filter(bounds, lambda x: x > v))
         order = v.desc()
@@ -46,28 +50,36 @@ def percent_rank_avg(df: DataFrame, rank_desc: str, out: str) -> DataFrame:
     return df.withColumn(out, (n + 1 - F.col(rank_desc)) / n * 100)
 
 
-def rolling_means(history: DataFrame, ts: str = "ts", value: str = "profit") -> DataFrame:
-    """#64: 3- and 6-row trailing means per item (min_periods=1)."""
-    w = Window.partitionBy("item_id").orderBy(ts)
-    return history.withColumns({
-        "sma_short": F.avg(value).over(w.rowsBetween(-2, 0)),
-        "sma_long": F.avg(value).over(w.rowsBetween(-5, 0)),
-    })
+def rolling_means(history: DataFrame, ts: str = "ts", value: str = "profit",
+                  short: int = 3, long: int = 6, tiebreak=()) -> DataFrame:
+    """#64: trailing means over the last ``short`` / ``long`` rows per item (min_periods=1).
+
+    Each row is copied forward to the ``long`` positions whose window it falls
+    in and the copies are summed per (item, position): keys are unique, so a hot
+    item is spread over every task instead of one window partition.
+    """
+    idx = sequence_index(history, "item_id", ts, tiebreak, out="_x")
+    k = F.explode(F.sequence(F.lit(0), F.lit(long - 1))).alias("_k")
+    fan = idx.select("item_id", "_x", F.col(value).alias("_v"), k)
+    near = F.col("_k") < short
+    sums = (fan.groupBy("item_id", (F.col("_x") + F.col("_k")).alias("_x"))
+            .agg(F.avg(F.when(near, F.col("_v"))).alias("sma_short"),
+                 F.avg("_v").alias("sma_long")))
+    return idx.join(sums, ["item_id", "_x"]).drop("_x")
 
 
-def recent_direction(history: DataFrame, ts: str = "ts", value: str = "profit", n: int = 5) -> DataFrame:
+def recent_direction(history: DataFrame, ts: str = "ts", value: str = "profit", n: int = 5,
+                     tiebreak=()) -> DataFrame:
     """#65: mean of successive differences over the last ``n`` points, and their mean.
 
     The mean of the diffs telescopes to (last - first) / (k - 1).  The last
-    ``n`` rows per item are picked with a per-item window (partitioned by item,
-    so no global ordering is needed).
+    ``n`` rows are those whose position is >= count - n (skew-safe index).
     """
-    ties = [F.col(c).desc() for c in ("l_orderkey", "l_linenumber", "l_suppkey") if c in history.columns]
-    w = Window.partitionBy("item_id").orderBy(F.col(ts).desc(), *ties)
-    last = history.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+    idx = sequence_index(history, "item_id", ts, tiebreak, out="_x", with_count="_n")
+    last = idx.filter(F.col("_x") >= F.col("_n") - n)
     agg = last.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("_k"),
-        F.max_by(value, "_rn").alias("_first"), F.min_by(value, "_rn").alias("_last"),
+        F.min_by(value, "_x").alias("_first"), F.max_by(value, "_x").alias("_last"),
         F.avg(value).alias("recent_avg"))
     diff = F.when(F.col("_k") > 1, (F.col("_last") - F.col("_first")) / (F.col("_k") - 1)).otherwise(F.lit(0.0))
     return agg.select("item_id", diff.alias("recent_trend"),

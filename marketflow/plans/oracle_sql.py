@@ -96,3 +96,101 @@ metrics AS (
 
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n" + body
+
+
+def metrics_cte(src: str, name: str) -> str:
+    """#30 over an arbitrary source CTE."""
+    return METRICS.replace("metrics AS (", f"{name} AS (", 1).replace("FROM latest", f"FROM {src}")
+
+
+PMETRICS = metrics_cte("prices", "pmetrics")
+
+# #32-34 features over a metrics-shaped source.
+_O = "COALESCE(last_offer_count, 0)"
+
+
+def features_cte(src: str, name: str = "features") -> str:
+    return f"""
+{name}_a AS (
+  SELECT * REPLACE (
+      width * height AS slots,
+      CASE WHEN width * height > 0 THEN profit / (width * height) ELSE 0.0 END AS profit_per_slot,
+      COALESCE(base_price, 0) AS base_price,
+      COALESCE(trader_level_required, 1) AS trader_level_required,
+      {_O} AS last_offer_count,
+      CASE WHEN {_O} < 5 THEN CAST({_O} * 2 AS DOUBLE) ELSE LEAST({_O} / 50 * 100, 100.0) END AS liquidity_score),
+    CASE WHEN trader_price > 0 THEN profit / trader_price * 100 ELSE 0.0 END AS profit_margin,
+    CASE WHEN flea_price > 0 THEN profit / flea_price ELSE 0.0 END AS capital_efficiency,
+    CASE WHEN width * height > 0 THEN weight / (width * height) ELSE 0.0 END AS density,
+    CASE WHEN width * height * weight > 0 THEN profit / (width * height * GREATEST(weight, 0.1))
+         WHEN width * height > 0 THEN profit / (width * height) ELSE 0.0 END AS profit_density,
+    high_24h_price - low_24h_price AS price_spread,
+    CASE WHEN avg_24h_price > 0 THEN (high_24h_price - low_24h_price) / avg_24h_price * 100 ELSE 0.0 END AS price_spread_pct,
+    CASE WHEN high_24h_price - low_24h_price > 0
+         THEN (flea_price - low_24h_price) / (high_24h_price - low_24h_price) ELSE 0.5 END AS price_position,
+    COALESCE(change_last_48h, 0.0) AS momentum,
+    abs(COALESCE(change_last_48h, 0.0)) AS momentum_abs,
+    CAST(COALESCE(change_last_48h, 0.0) < -5 AS INTEGER) AS is_declining,
+    CAST(COALESCE(change_last_48h, 0.0) > 5 AS INTEGER) AS is_rising,
+    CASE WHEN COALESCE(base_price, 0) > 0 THEN (flea_price - base_price) / base_price * 100 ELSE 0.0 END AS flea_premium,
+    CASE WHEN COALESCE(base_price, 0) > 0 THEN (trader_price - base_price) / base_price * 100 ELSE 0.0 END AS trader_premium,
+    5 - COALESCE(trader_level_required, 1) AS trader_accessibility,
+    ln(1 + {_O}) AS log_offers,
+    CASE WHEN {_O} <= 5 THEN 'Unreliable' WHEN {_O} <= 10 THEN 'Very Low' WHEN {_O} <= 50 THEN 'Low'
+         WHEN {_O} <= 100 THEN 'Medium' WHEN {_O} <= 200 THEN 'High' ELSE 'Very High' END AS volume_tier,
+    {_O} >= 5 AS volume_reliable,
+    CASE WHEN {_O} > 100 THEN 1.0 ELSE {_O} / 100 END AS market_saturation,
+    profit * CASE WHEN {_O} < 5 THEN 0.1 ELSE LEAST(GREATEST({_O} / 50, 0.2), 2.0) END AS volume_adjusted_profit,
+    CASE WHEN {_O} > 0 THEN profit / ln(1 + {_O}) ELSE CAST(profit AS DOUBLE) END AS profit_per_offer
+  FROM {src}
+),
+{name} AS (
+  SELECT *,
+    CASE WHEN last_offer_count < 5 THEN 10.0
+         ELSE liquidity_score * 0.6 + (1 - price_position) * 100 * 0.4 END AS buy_feasibility,
+    CASE WHEN category IS NULL THEN 0.0 ELSE AVG(profit) OVER (PARTITION BY category) END AS category_avg_profit
+  FROM {name}_a
+)"""
+
+
+# #62 feature list and base weights (all optional features are present in testdata).
+ML_FEATURES = (("profit", .20), ("capital_efficiency", .15), ("profit_per_slot", .10),
+               ("profit_density", .08), ("liquidity_score", .15), ("volume_adjusted_profit", .10),
+               ("profit_per_offer", .05), ("buy_feasibility", .05), ("price_position", .04),
+               ("momentum", .03), ("trader_accessibility", .03), ("market_saturation", .02))
+INVERTED = ("price_position", "market_saturation")
+
+
+def ml_score_cte(src: str, name: str = "scored") -> str:
+    """#62 + #63 average ranks."""
+    stats = ", ".join(
+        f"MIN(CAST({f} AS DOUBLE)) AS mn_{f}, MAX(CAST({f} AS DOUBLE)) AS mx_{f}, "
+        f"STDDEV_SAMP(CAST({f} AS DOUBLE)) AS sd_{f}" for f, _ in ML_FEATURES)
+    raw = ", ".join(
+        f"{w} / (CASE WHEN sd_{f} IS NULL OR sd_{f} = 0 OR isnan(sd_{f}) THEN 0.01 ELSE sd_{f} END + 0.01) AS w_{f}"
+        for f, w in ML_FEATURES)
+    wsum = " + ".join(f"w_{f}" for f, _ in ML_FEATURES)
+    terms = []
+    for f, _ in ML_FEATURES:
+        x = f"COALESCE(CAST(s.{f} AS DOUBLE), 0.0)"
+        sc = f"CASE WHEN mx_{f} > mn_{f} THEN ({x} - mn_{f}) / (mx_{f} - mn_{f}) ELSE 0.0 END"
+        if f in INVERTED:
+            sc = f"(1 - {sc})"
+        terms.append(f"{sc} * (w_{f} / wsum)")
+    score = " + ".join(terms)
+    return f"""
+{name}_st AS (SELECT COUNT(*) AS n_rows, {stats} FROM {src}),
+{name}_w AS (SELECT *, {raw} FROM {name}_st),
+{name}_ws AS (SELECT *, {wsum} AS wsum FROM {name}_w),
+{name}_a AS (
+  SELECT s.*, CASE WHEN n_rows >= 10 THEN LEAST(GREATEST(({score}) * 100, 0.0), 100.0) END AS ml_opportunity_score
+  FROM {src} s, {name}_ws
+),
+{name} AS (
+  SELECT *,
+    CAST(rank() OVER (ORDER BY ml_opportunity_score DESC NULLS LAST) AS DOUBLE)
+      + (COUNT(*) OVER (PARTITION BY ml_opportunity_score) - 1) / 2.0 AS opportunity_rank,
+    (rank() OVER (ORDER BY ml_opportunity_score ASC) + (COUNT(*) OVER (PARTITION BY ml_opportunity_score) - 1) / 2.0)
+      / COUNT(ml_opportunity_score) OVER () * 100 AS opportunity_percentile
+  FROM {name}_a
+)"""

@@ -400,3 +400,4 @@ UNION ALL SELECT 'top_items', row_number() OVER (ORDER BY profit DESC, {ROW_ORDE
   FROM (SELECT * FROM metrics ORDER BY profit DESC, {ROW_ORDER} LIMIT 10)"""), doubles=("value",))
 def q_market_summary(spark, d):
     return SM.market_summary(snapshot(spark, d))
+from . import queries_scoring  # noqa: E402,F401

@@ -36,7 +36,17 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     q = REGISTRY[name]
     df = q.fn(spark, sf_dir)
     dbl = [c for c, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({c: F.round(F.col(c), DIGITS) for c in dbl}) if dbl else df
+    return df.withColumns({c: round_binary(F.col(c), DIGITS) for c in dbl}) if dbl else df
+
+
+def round_binary(c, digits: int):
+    """Round the way the oracle engine rounds doubles: scale, round half away, unscale.
+
+    ``F.round`` rounds the shortest decimal text of the double, which differs on
+    values such as 2.0578125 whose scaled binary value is just below the tie.
+    """
+    scale = float(10 ** digits)
+    return F.round(c * scale, 0) / scale
 
 
 def oracle(name: str) -> str | None:
