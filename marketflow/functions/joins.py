@@ -1,0 +1,21 @@
+"""Join helpers: broadcast only what is proven small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Row bound for explicitly broadcast lookup tables (per-category / per-trader
+# aggregates, rule tables).  Beyond it the join stays a shuffle join and AQE
+# decides at run time.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(small)`` when it has at most ``max_rows`` rows, else ``small`` unchanged.
+
+    The check runs a ``limit(max_rows + 1)`` count, which stops as soon as the
+    bound is exceeded, so it costs at most one pass over an aggregated table.
+    """
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small

@@ -10,6 +10,7 @@ on the value.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +18,21 @@ from .sequence import sequence_index
 
 
 def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
-                 buckets: int = 64) -> DataFrame:
-    """pandas ``rank(method='average')`` as a column (nulls get a null rank)."""
+                 buckets: int = 64, pct_out: str | None = None) -> DataFrame:
+    """pandas ``rank(method='average')`` as a column (nulls get a null rank).
+
+    ``pct_out`` also adds ``rank(pct=True) * 100`` in the opposite direction
+    (ascending when ``descending``), i.e. ``(n + 1 - rank) / n * 100``.
+    """
     v = F.col(value)
     vals = (df.filter(v.isNotNull()).groupBy(value)
-            .agg(F.count(F.lit(1)).alias("_cnt")))
+            .agg(F.count(F.lit(1)).alias("_cnt"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     qs = [i / buckets for i in range(1, buckets)]
     # A fixed-size sketch result (buckets - 1 numbers): the only thing brought to the driver.
     cuts = vals.select(F.percentile_approx(value, qs, 10000)).first()[0] or []
-    bounds = F.array(*[F.lit(b) for b in sorted(set(cuts))]) if cuts else F.array().cast(f"array<{dict(df.dtypes)[value]}>")
+    bounds = (F.array(*[F.lit(b) for b in sorted(set(cuts))]) if cuts
+              else F.array().cast(f"array<{dict(df.dtypes)[value]}>"))
     if descending:
         bucket = F.size(F.filter(bounds, lambda x: x > v))
         order = v.desc()
@@ -34,22 +41,22 @@ def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
         order = v.asc()
     vals = vals.withColumn("_b", bucket)
     totals = vals.groupBy("_b").agg(F.sum("_cnt").alias("_bn"))
-    offs = totals.select("_b", F.coalesce(F.sum("_bn").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    offs = totals.select(
+        "_b",
+        F.coalesce(F.sum("_bn").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_bn").over(Window.partitionBy(F.lit(1))).alias("_total"))
     within = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     vals = vals.withColumn("_before", F.coalesce(F.sum("_cnt").over(within), F.lit(0)))
-    ranks = (vals.join(F.broadcast(offs), "_b")
-             .select(F.col(value).alias("_rv"),
-                     (F.col("_off") + F.col("_before") + (F.col("_cnt") + 1) / 2).cast("double").alias(out)))
+    rank = (F.col("_off") + F.col("_before") + (F.col("_cnt") + 1) / 2).cast("double")
+    cols = [F.col(value).alias("_rv"), rank.alias(out)]
+    if pct_out:
+        cols.append(((F.col("_total") + 1 - rank) / F.col("_total") * 100).alias(pct_out))
+    # offs has one row per bucket (<= buckets rows): a bounded broadcast.
+    ranks = vals.join(F.broadcast(offs), "_b").select(*cols)
     return df.join(ranks, v == F.col("_rv"), "left").drop("_rv")
 
 
-def percent_rank_avg(df: DataFrame, rank_desc: str, out: str) -> DataFrame:
-    """pandas ``rank(pct=True) * 100`` (ascending, average ties) from a descending average rank."""
-    n = df.select(F.count(F.col(rank_desc))).scalar()
-    return df.withColumn(out, (n + 1 - F.col(rank_desc)) / n * 100)
-
-
 def rolling_means(history: DataFrame, ts: str = "ts", value: str = "profit",
                   short: int = 3, long: int = 6, tiebreak=()) -> DataFrame:
     """#64: trailing means over the last ``short`` / ``long`` rows per item (min_periods=1).

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.columns import clip, finite_or, interval_label, trend_direction
-from .ranking import average_rank, percent_rank_avg
+from ..functions.columns import clip, finite_or, interval_label, learned_trend_icon, trend_direction
+from .ranking import average_rank
 
 VOLUME_OPTIONAL = ("liquidity_score", "volume_adjusted_profit", "profit_per_offer", "buy_feasibility")
 OTHER_OPTIONAL = ("price_position", "momentum", "trader_accessibility", "market_saturation")
@@ -54,8 +54,8 @@ def opportunity_ml(df: DataFrame, rank: bool = True) -> DataFrame:
                        F.when(F.col("_n") >= S.MIN_ITEMS_FOR_ANALYSIS, clip(score * 100, 0, 100)))
     out = out.drop(*[c for c in stats.columns])
     if rank:
-        out = average_rank(out, "ml_opportunity_score", "opportunity_rank")
-        out = percent_rank_avg(out, "opportunity_rank", "opportunity_percentile")
+        out = average_rank(out, "ml_opportunity_score", "opportunity_rank",
+                           pct_out="opportunity_percentile")
     return out
 
 
@@ -189,4 +189,6 @@ def enrich_learned(df: DataFrame, items: DataFrame | None, categories: DataFrame
         "profit_vs_learned": F.when(has & (F.abs(lp) > 1), (F.col("profit") - lp) / F.abs(lp))
                               .otherwise(F.lit(0.0)),
     })
+    out = out.withColumn("learned_trend_icon",
+                         learned_trend_icon("learned_score_adjustment", "learned_data_points"))
     return out.drop("_lp", "_lc", "_ln", "_ck", "_tk", "_cw", "_tr")

@@ -401,3 +401,4 @@ UNION ALL SELECT 'top_items', row_number() OVER (ORDER BY profit DESC, {ROW_ORDE
 def q_market_summary(spark, d):
     return SM.market_summary(snapshot(spark, d))
 from . import queries_scoring  # noqa: E402,F401
+from . import queries_learned  # noqa: E402,F401

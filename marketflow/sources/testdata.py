@@ -34,6 +34,10 @@ def prices(spark: SparkSession, sf_dir: str, with_levels: bool = True) -> DataFr
         "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
     pt = read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
+    if with_levels:
+        # The level depends on the item's name and category only: derive it on the
+        # item catalogue (the small, broadcast side), not once per price row.
+        pt = pt.withColumn("_lvl", level_requirement_expr("p_name", "p_type"))
     j = li.join(pt, li.l_partkey == pt.p_partkey)
 
     flea = F.floor(F.col("p_retailprice") * 2).cast("bigint")
@@ -71,11 +75,9 @@ def prices(spark: SparkSession, sf_dir: str, with_levels: bool = True) -> DataFr
         F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 7), 1).otherwise(0)
          .cast("int").alias("marked_only"),
         "l_orderkey", "l_linenumber", "l_suppkey",
+        *([F.col("_lvl").alias("flea_level_required")] if with_levels else []),
     )
-    out = derive_quote(out)
-    if with_levels:
-        out = out.withColumn("flea_level_required", level_requirement_expr("name", "category"))
-    return out
+    return derive_quote(out)
 
 
 def derive_quote(df: DataFrame) -> DataFrame:
