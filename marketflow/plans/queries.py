@@ -402,3 +402,4 @@ def q_market_summary(spark, d):
     return SM.market_summary(snapshot(spark, d))
 from . import queries_scoring  # noqa: E402,F401
 from . import queries_learned  # noqa: E402,F401
+from . import queries_ml  # noqa: E402,F401
