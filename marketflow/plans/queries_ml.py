@@ -111,3 +111,21 @@ def q_cluster_items(spark, d):
 @register("cluster_summary")
 def q_cluster_summary(spark, d):
     return CL.cluster_summary(SC.risk_score(CL.cluster_items(snapshot_features(spark, d))))
+
+
+REC_COLS = ("item_id", "ts", "l_orderkey", "l_linenumber", "l_suppkey", "name", "category", "profit",
+            "flea_price", "trend_enhanced_score", "risk_score", "risk_level", "is_anomaly", "anomaly_type",
+            "cluster", "cluster_label", "cluster_confidence", "max_units", "potential_profit", "rec_score",
+            "rec_tier", "trend_indicator", "has_learned_data")
+
+
+@register("recommendations")
+def q_recommendations(spark, d):
+    """Flagship: latest snapshot ⟶ learned ⟶ trend score ⟶ anomalies ⟶ risk ⟶ clusters ⟶ filters."""
+    from ..operators import learned as L
+    from ..operators import recommend as RC
+    p = prices(spark, d)
+    snap = M.trade_metrics(A.latest_prices(p))
+    learned = (L.item_statistics(p), L.category_performance(p), L.trader_reliability(p))
+    recs = RC.recommendations(snap, A.item_trend_data(p, hours=24), learned, row_key=ROW_KEY)
+    return recs.select(*REC_COLS)
