@@ -404,3 +404,4 @@ from . import queries_scoring  # noqa: E402,F401
 from . import queries_learned  # noqa: E402,F401
 from . import queries_ml  # noqa: E402,F401
 from . import queries_alerts  # noqa: E402,F401
+from . import queries_ingest  # noqa: E402,F401
