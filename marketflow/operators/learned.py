@@ -21,9 +21,10 @@ from ..functions.columns import clip, finite_or
 SEQ = ("l_orderkey", "l_linenumber", "l_suppkey")
 
 
-def _order_key(df: DataFrame, ts: str) -> Column:
+def _order_key(df: DataFrame, ts: str, seq=SEQ) -> Column:
     """Processing order of a row: poll time, then position inside the poll."""
-    return F.struct(F.col(ts), *[F.col(c) for c in SEQ if c in df.columns])
+    return F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"s{i}")
+                                           for i, c in enumerate(c for c in seq if c in df.columns)])
 
 
 def _clean_text(c: str, default: str) -> Column:
@@ -31,7 +32,7 @@ def _clean_text(c: str, default: str) -> Column:
     return F.when(t.isNull() | (t == ""), F.lit(default)).otherwise(t)
 
 
-def item_statistics(prices: DataFrame, ts: str = "ts") -> DataFrame:
+def item_statistics(prices: DataFrame, ts: str = "ts", seq=SEQ, keep_key: bool = False) -> DataFrame:
     """#94 (+#95): one state row per item.
 
     Blank ids are skipped; NaN/inf numbers count as 0; blank category/trader
@@ -43,7 +44,7 @@ def item_statistics(prices: DataFrame, ts: str = "ts") -> DataFrame:
     p = finite_or("profit")
     roi = finite_or(F.when(F.col("flea_price") > 0, F.col("profit") / F.col("flea_price") * 100)
                     .otherwise(F.lit(0.0)))
-    key = _order_key(df, ts)
+    key = _order_key(df, ts, seq)
     name = F.when(F.trim(F.col("name")) != "", F.trim(F.col("name")))
     st = df.groupBy(F.col("_id").alias("item_id")).agg(
         F.count(F.lit(1)).alias("count"),
@@ -58,8 +59,10 @@ def item_statistics(prices: DataFrame, ts: str = "ts") -> DataFrame:
         F.max_by(_clean_text("category", "Unknown"), key).alias("category"),
         F.max_by(_clean_text("trader_name", "Unknown"), key).alias("trader"),
         F.coalesce(F.max_by(name, F.when(name.isNotNull(), key)), F.lit("")).alias("item_name"),
-        F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
-    return with_consistency(st)
+        F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"),
+        F.max(key).alias("last_key"), F.max(F.when(name.isNotNull(), key)).alias("name_key"))
+    st = with_consistency(st)
+    return st if keep_key else st.drop("last_key", "name_key")
 
 
 def with_consistency(st: DataFrame) -> DataFrame:
@@ -75,9 +78,10 @@ def with_consistency(st: DataFrame) -> DataFrame:
 def merge_item_statistics(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Fold a batch's item statistics into a stored state (Chan et al. pairwise merge).
 
-    Both inputs have the ``item_statistics`` schema; the result equals
-    ``item_statistics`` over the union of the underlying rows.  A full outer
-    join by item (both sides one row per item, so no key is hot).
+    Both inputs are ``item_statistics(..., keep_key=True)`` states; the result
+    equals the statistics over the union of the underlying rows whatever the
+    order the batches arrive in (the "latest" fields compare order keys).  A
+    full outer join by item (both sides one row per item, so no key is hot).
     """
     a = state.alias("a")
     b = batch.alias("b")
@@ -98,13 +102,16 @@ def merge_item_statistics(state: DataFrame, batch: DataFrame) -> DataFrame:
     m2a, m2b = side("profit_m2")
     m2 = (F.coalesce(m2a, F.lit(0.0)) + F.coalesce(m2b, F.lit(0.0))
           + delta * delta * na * nb / n)
-    newer = F.col("b.item_id").isNotNull()
+    ka, kb = side("last_key")
+    newer = kb.isNotNull() & (ka.isNull() | (kb > ka))
 
     def latest(c):
         x, y = side(c)
         return F.when(newer, y).otherwise(x)
 
     na_, nb_ = side("item_name")
+    nka, nkb = side("name_key")
+    name_newer = nkb.isNotNull() & (nka.isNull() | (nkb > nka))
     out = j.select(
         F.coalesce(F.col("a.item_id"), F.col("b.item_id")).alias("item_id"),
         n.alias("count"),
@@ -120,9 +127,10 @@ def merge_item_statistics(state: DataFrame, batch: DataFrame) -> DataFrame:
          + F.coalesce(F.col("b.profitable_count"), F.lit(0))).alias("profitable_count"),
         latest("category").alias("category"),
         latest("trader").alias("trader"),
-        F.when(F.coalesce(nb_, F.lit("")) != "", nb_).otherwise(F.coalesce(na_, F.lit(""))).alias("item_name"),
+        F.when(name_newer, nb_).otherwise(F.coalesce(na_, nb_, F.lit(""))).alias("item_name"),
         F.least(*side("first_seen")).alias("first_seen"),
-        F.greatest(*side("last_seen")).alias("last_seen"))
+        F.greatest(*side("last_seen")).alias("last_seen"),
+        F.greatest(ka, kb).alias("last_key"), F.greatest(nka, nkb).alias("name_key"))
     return with_consistency(out)
 
 

@@ -67,8 +67,8 @@ def q_item_statistics_incremental(spark, d):
     """State over the older polls merged with the newer polls' batch = full statistics."""
     p = prices(spark, d, with_levels=False)
     cut = F.lit(SPLIT_TS).cast("timestamp_ntz")
-    state = L.item_statistics(p.filter(F.col("ts") < cut))
-    batch = L.item_statistics(p.filter(F.col("ts") >= cut))
+    state = L.item_statistics(p.filter(F.col("ts") >= cut), keep_key=True)   # order-independent merge
+    batch = L.item_statistics(p.filter(F.col("ts") < cut), keep_key=True)
     return L.merge_item_statistics(state, batch).select(*ITEM_STAT_COLS)
 
 

@@ -19,15 +19,18 @@ class Query:
     fn: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     doubles: tuple = field(default_factory=tuple)
+    digits: int = 6
 
 
 REGISTRY: dict[str, Query] = {}
 DIGITS = 6
 
 
-def register(name: str, sql: str | None = None, doubles=()):
+def register(name: str, sql: str | None = None, doubles=(), digits: int = DIGITS):
+    """``digits``: comparison precision of double columns (coarser where the
+    Spark side sums in a different order, e.g. state merged across micro-batches)."""
     def deco(fn):
-        REGISTRY[name] = Query(fn, sql, tuple(doubles))
+        REGISTRY[name] = Query(fn, sql, tuple(doubles), digits)
         return fn
     return deco
 
@@ -36,7 +39,7 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     q = REGISTRY[name]
     df = q.fn(spark, sf_dir)
     dbl = [c for c, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({c: round_binary(F.col(c), DIGITS) for c in dbl}) if dbl else df
+    return df.withColumns({c: round_binary(F.col(c), q.digits) for c in dbl}) if dbl else df
 
 
 def round_binary(c, digits: int):
@@ -55,5 +58,5 @@ def oracle(name: str) -> str | None:
         return None
     if not q.doubles:
         return q.sql
-    repl = ", ".join(f"ROUND(CAST({c} AS DOUBLE), {DIGITS}) AS {c}" for c in q.doubles)
+    repl = ", ".join(f"ROUND(CAST({c} AS DOUBLE), {q.digits}) AS {c}" for c in q.doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{q.sql}\n) q"
