@@ -138,8 +138,8 @@ def level_requirement(df: DataFrame, rules: DataFrame, name="name", category="ca
     item_hit = (F.col("kind") == "item") & (
         (ln == lp)
         | ((plen >= 5) & ln.contains(lp))
-        | ((plen >= 2) & (plen < 5) & ln.rlike(F.concat(F.lit(f"(?:^|{bclass})\\Q"), lp,
-                                                          F.lit(f"\\E(?:$|{bclass})")))))
+        | ((plen >= 2) & (plen < 5) & F.regexp_like(ln, F.concat(F.lit(f"(?:^|{bclass})\\Q"), lp,
+                                                                  F.lit(f"\\E(?:$|{bclass})")))))
     cat_exact = (F.col("kind") == "category") & (c == pat)
     cat_ci = (F.col("kind") == "category") & (lc == lp)
     skip = (((F.length(lc) > F.length(lp)) & lc.startswith(F.concat(lp, F.lit(" "))))
