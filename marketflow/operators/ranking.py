@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .sequence import sequence_index
 
+RANK_BROADCAST_ROWS = 2_000_000
+
 
 def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
                  buckets: int = 64, pct_out: str | None = None) -> DataFrame:
@@ -54,6 +56,10 @@ def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
         cols.append(((F.col("_total") + 1 - rank) / F.col("_total") * 100).alias(pct_out))
     # offs has one row per bucket (<= buckets rows): a bounded broadcast.
     ranks = vals.join(F.broadcast(offs), "_b").select(*cols)
+    # one row per distinct value: broadcast while that stays under the bound, so the
+    # wide frame is not shuffled just to attach a number; beyond it, a shuffle join
+    if vals.limit(RANK_BROADCAST_ROWS + 1).count() <= RANK_BROADCAST_ROWS:   # ranks has one row per value
+        ranks = F.broadcast(ranks)
     return df.join(ranks, v == F.col("_rv"), "left").drop("_rv")
 
 
