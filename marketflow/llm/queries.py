@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketflow.llm import oracles
-from marketflow.llm.common import read_table
+from marketflow.llm import toxicity
+from marketflow.llm.common import fold_of, read_table
 from marketflow.llm.mixing import pareto_mix
 from marketflow.llm.simhash import near_duplicates
 
@@ -24,6 +26,15 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    lexicon = toxicity.train(toxicity.training_rows(docs, read_table(spark, sf_dir, "labels"), held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.scorer(lexicon)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -59,17 +59,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) per document row; whole texts, null text like empty."""
+    """(doc_id, text_key, fp long) per document row; whole texts, null text like empty."""
     schema = docs.select(F.col(id_col).alias("doc_id")).schema
     id_type = schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {id_type}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       F.xxhash64(text_col).alias("text_key")).mapInArrow(
+        run, f"doc_id {id_type}, text_key long, fp long")
 
 
 def _signatures(fps: DataFrame) -> DataFrame:
@@ -167,6 +168,15 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             .mapInArrow(run, "u long, v long"))
 
 
+def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, text_key (hash of the text), fp, root (fingerprint that names the component)."""
+    prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))
+    roots = connected_components(links(prints.select("fp").distinct(), max_bits))
+    return prints.join(roots, prints["fp"] == roots["node"], "left").select(
+        "doc_id", "text_key", "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
@@ -176,12 +186,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     a null doc_id keeps its row and never names a component unless its whole component has null ids.
     Other columns of ``docs`` are ignored.  An empty table gives an empty result.
     """
-    prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(nodes, max_bits))
-    named = (nodes.join(roots, nodes["fp"] == roots["node"], "left")
-             .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
+    rows = classes(docs, shingle, max_bits, id_col, text_col)
+    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key) of the one document of each component that stays: the smallest id, null ids last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    return (classes(docs, shingle, max_bits, id_col, text_col).groupBy("root").agg(first.alias("first"))
+            .select("first.doc_id", "first.text_key").distinct())

@@ -11,22 +11,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketflow.llm.mixing import pareto_mix
-from marketflow.llm.simhash import near_duplicates
+from marketflow.llm.simhash import representatives
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays (one row, if its row repeats).
+    """Of each group of near-duplicates the document with the smallest doc_id stays.
 
-    Rows with a null doc_id stay only where their whole group has null ids, one of them.
+    Of repeated rows one stays; a row with a null doc_id stays only where its whole group has null ids.
     """
-    keep = (near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("__keep_id"), F.col("fingerprint").alias("__fp")).distinct())
-    one = W.partitionBy("__keep_id").orderBy("__fp")
-    keep = keep.withColumn("__n", F.row_number().over(one)).where("__n = 1")
-    rows = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep_id")))
-    order = [F.col(c) for c, t in docs.dtypes if not t.startswith("map")]
-    return (rows.withColumn("__row", F.row_number().over(W.partitionBy("__keep_id").orderBy(*order)))
-            .where("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    keep = representatives(docs).select(F.col("doc_id").alias("__keep_id"), F.col("text_key").alias("__keep_key"))
+    rows = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep_id")) & (F.xxhash64(docs["text"]) == F.col("__keep_key")))
+    order = [F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]
+    same = W.partitionBy("__keep_id", "__keep_key").orderBy(*order)
+    return (rows.withColumn("__row", F.row_number().over(same)).where("__row = 1")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
