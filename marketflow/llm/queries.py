@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketflow.llm import oracles
-from marketflow.llm import toxicity
+from marketflow.llm import oracles, secrets, toxicity
 from marketflow.llm.common import fold_of, read_table
 from marketflow.llm.mixing import pareto_mix
 from marketflow.llm.simhash import near_duplicates
@@ -44,3 +43,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
