@@ -10,7 +10,10 @@ from marketflow.llm import stages
 from marketflow.session import scratch_path
 
 STAGES = [
+    ("toxicity", stages.reject_toxic),
     ("simhash_near_dedup", stages.simhash_near_dedup),
+    ("benchmark_decontamination", stages.decontaminate),
+    ("secret_scans", stages.redact_secrets),
     ("mixing", stages.mixing),
 ]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketflow.llm import oracles, secrets, toxicity
 from marketflow.llm.common import fold_of, read_table
+from marketflow.llm.decontaminate import contaminated
 from marketflow.llm.mixing import pareto_mix
 from marketflow.llm.simhash import near_duplicates
 
@@ -34,6 +35,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
