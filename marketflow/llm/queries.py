@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketflow.llm import oracles, secrets, toxicity
+from marketflow.llm import language, oracles, secrets, toxicity
 from marketflow.llm.common import fold_of, read_table
 from marketflow.llm.decontaminate import contaminated
 from marketflow.llm.mixing import pareto_mix
@@ -55,3 +55,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(docs))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 4) == 2)
