@@ -11,6 +11,7 @@ from marketflow.llm import language, oracles, secrets, toxicity
 from marketflow.llm.common import fold_of, read_table
 from marketflow.llm.decontaminate import contaminated
 from marketflow.llm.mixing import pareto_mix
+from marketflow.llm.sentences import dedup_spans
 from marketflow.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+@query("op4_sentence_span_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(read_table(spark, sf_dir, "documents"))
+
+
 @query("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
