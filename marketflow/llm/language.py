@@ -66,8 +66,7 @@ class Model:
         total = n.sum()
         for _ in range(ROUNDS):
             given = share[:, None] * p
-            now = given @ (n / given.sum(axis=0))
-            `now` are the responsibilities, summed over trigrams
+            now = given @ (n / given.sum(axis=0))  # responsibilities, summed over trigrams
             now = (now + PRIOR * prior) / (total + PRIOR)
             done = np.abs(now - share).max() < 1e-4
             share = now
