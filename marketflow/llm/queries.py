@@ -11,6 +11,7 @@ from marketflow.llm import language, oracles, secrets, toxicity
 from marketflow.llm.common import fold_of, read_table
 from marketflow.llm.decontaminate import contaminated
 from marketflow.llm.mixing import pareto_mix
+from marketflow.llm.prefix_free import remove_repeats
 from marketflow.llm.sentences import dedup_spans
 from marketflow.llm.simhash import near_duplicates
 
@@ -51,6 +52,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@query("op6_prefix_free_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_mixing", oracles.MIXING)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(read_table(spark, sf_dir, "documents")).select(
