@@ -14,6 +14,7 @@ from marketflow.llm.mixing import pareto_mix
 from marketflow.llm.prefix_free import remove_repeats
 from marketflow.llm.sentences import dedup_spans
 from marketflow.llm.simhash import near_duplicates
+from marketflow.llm.wrapper import extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +58,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
 @query("op8_mixing", oracles.MIXING)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(read_table(spark, sf_dir, "documents")).select(
