@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marketflow.llm import language, oracles, secrets, toxicity
 from marketflow.llm.common import fold_of, read_table
 from marketflow.llm.decontaminate import contaminated
+from marketflow.llm.graph_ann import nearest
 from marketflow.llm.mixing import pareto_mix
 from marketflow.llm.prefix_free import remove_repeats
 from marketflow.llm.sentences import dedup_spans
@@ -29,6 +30,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_graph_ann")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
