@@ -202,10 +202,10 @@ def build_index(vectors: DataFrame, shard_size: int = SHARD) -> DataFrame:
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM, block_size: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest of all shards for each query, without the query itself."""
     blocks = queries.count() // block_size + 1
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    shards = index.select("shard", "dim")
-    asked = asked.join(shards, "dim").select("block", "shard", "dim", "id", "vec")
-    graphs = index.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = queries.select("id", "vec", "dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), each(shards).alias("shard"))
+    graphs = index.select("*", each(blocks).alias("block"))
 
     def walk(graph: pa.Table, asked: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
