@@ -39,3 +39,28 @@ SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN part > 0 AND 2 * ahead + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ordered
 """
+
+#: Every 50-byte string by position, the smallest document that it starts in, and the bytes it covers elsewhere.
+#: Bytes are handled as pairs of hex digits, since strings are sliced by characters.
+PREFIX_FREE = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS p FROM docs) q),
+firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, p FROM starts JOIN firsts USING (s) WHERE first < doc_id),
+marked AS (
+  SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM hits),
+runs AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b
+  FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked) q GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, max(b) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS k
+  FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""

@@ -60,7 +60,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-@query("op6_prefix_free_dedup")
+@query("op6_prefix_free_dedup", oracles.PREFIX_FREE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
 

@@ -13,6 +13,7 @@ of the matches add up to code-point offsets, without a Python function.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marketflow.llm.common import checkpointed
@@ -30,9 +31,10 @@ MIN_TOKEN = 20
 FIT_TOKENS = 50_000
 #: Plain words that count as samples of identifiers.
 IDENTIFIER = r"[A-Za-z_]{6,}"
-#: Nats per character by which random has to be likelier.
-MIN_RATIO = 0.5
+#: Nats by which a token has to be likelier as a random string than as an identifier.
+MIN_RATIO = 8.0
 ALPHABET = 128
+BACKOFF = 20.0
 #: Documents that hold the samples of identifiers, at most.
 FIT_DOCS = 2_000
 
@@ -79,25 +81,28 @@ def _transitions(tokens: DataFrame) -> DataFrame:
 def markov_ratio(tokens: DataFrame) -> DataFrame:
     """One row (ratio array<double>): log P(second|first) of label 1 minus that of label 0, for each cell.
 
-    ``tokens`` (token of ASCII characters, label).  Add-half smoothing over the alphabet; an empty class is uniform.
+    ``tokens`` (token of ASCII characters, label).  A pair's probability is smoothed towards its second character's
+    own, as if BACKOFF pairs had been seen, and that towards uniform; an empty class is uniform.
     """
     n = _transitions(tokens)
     cells = n.sparkSession.range(ALPHABET * ALPHABET).select(F.col("id").cast("int").alias("cell"))
-    # Both sides have a row per cell at most: 16,384.
+    # Every table here has a row per cell at most: 16,384.
     wide = n.groupBy("cell").agg(*(F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)))
-    full = cells.join(wide, "cell", "left").fillna(0, ["n0", "n1"]).withColumn("first", F.floor(F.col("cell") / ALPHABET))
-    rows = full.groupBy("first").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    p = lambda y: F.log((F.col(f"n{y}") + 0.5) / (F.col(f"t{y}") + 0.5 * ALPHABET))
-    both = full.join(rows, "first").select("cell", (p(1) - p(0)).alias("r"))
+    full = (cells.join(wide, "cell", "left").fillna(0, ["n0", "n1"])
+            .withColumn("first", F.floor(F.col("cell") / ALPHABET)).withColumn("second", F.col("cell") % ALPHABET))
+    by = lambda c, name: full.groupBy(c).agg(*(F.sum(f"n{y}").alias(f"{name}{y}") for y in (0, 1)))
+    alone = by("second", "s").withColumns({f"t{y}": F.sum(f"s{y}").over(W.partitionBy()) for y in (0, 1)})
+    alone = alone.select("second", *(((F.col(f"s{y}") + 0.5) / (F.col(f"t{y}") + 0.5 * ALPHABET)).alias(f"p{y}") for y in (0, 1)))
+    p = lambda y: F.log((F.col(f"n{y}") + BACKOFF * F.col(f"p{y}")) / (F.col(f"f{y}") + BACKOFF))
+    both = full.join(by("first", "f"), "first").join(alone, "second").select("cell", (p(1) - p(0)).alias("r"))
     return both.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "r"))), lambda x: x["r"]).alias("ratio"))
 
 
 def token_ratio(token: Column, ratio: Column) -> Column:
-    """Mean log-likelihood ratio per character pair of an ASCII token."""
+    """Log-likelihood ratio, random over identifier, of the character pairs of an ASCII token."""
     code = lambda i: F.ascii(F.substring(token, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
-                        lambda acc, i: acc + F.get(ratio, code(i) * ALPHABET + code(i + 1)))
-    return total / (F.length(token) - 1)
+    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
+                       lambda acc, i: acc + F.get(ratio, code(i) * ALPHABET + code(i + 1)))
 
 
 def train(docs: DataFrame, text_col: str = "text", fit_tokens: int = FIT_TOKENS, fit_docs: int = FIT_DOCS) -> DataFrame:

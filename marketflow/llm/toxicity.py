@@ -113,7 +113,8 @@ class Lexicon:
 
     def score(self, text: str | None) -> float:
         a, b = self.features(fold(text))
-        return 1 / (1 + math.exp(-(self.coef[0] + self.coef[1] * a + self.coef[2] * b)))
+        z = self.coef[0] + self.coef[1] * a + self.coef[2] * b
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def _neighbour(text: str, at: int, step: int) -> str:
@@ -223,7 +224,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + penalty
-        w = w - np.linalg.solve(h, x.T @ (p - y) + penalty @ w)
+        w = w - np.clip(np.linalg.solve(h, x.T @ (p - y) + penalty @ w), -2, 2)
         w[1:] = np.maximum(w[1:], 0)
     return tuple(float(v) for v in w)
 
