@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from marketflow.llm.common import checkpointed
+
 SPAN = 3
 
 #: A sentence ends after . ! or ? (with closing marks) before white space, or at a line end; white space goes with it.
@@ -70,8 +72,10 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     spans = _spans(rows, span)
     place = F.struct(F.col("doc").isNull().alias("no"), "doc", "key", "pos")
-    firsts = (spans.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-              .where("first <> last").select("hash", "first"))
+    # Only repeated hashes are kept; read back as a table, they do not tie the join to the aggregate's partitions,
+    # so that a hash of very many documents can be split.
+    firsts = checkpointed(spans.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                          .where("first <> last").select("hash", "first"))
     repeats = (spans.join(firsts, "hash").where(place != F.col("first"))
                .groupBy("doc", "key").agg(F.collect_set("pos").alias("repeats"))
                .select(F.col("doc").alias("d"), F.col("key").alias("k"), "repeats"))
