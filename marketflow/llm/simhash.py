@@ -169,12 +169,19 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text_key (hash of the text), fp, root (fingerprint that names the component)."""
+            id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text_key, fp) and classes (fp, root, component_id); root is the fingerprint that names a component.
+
+    Classes have a row per distinct fingerprint and are read back as a table, so that the join of a fingerprint
+    that very many documents share can be split.
+    """
     prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    roots = connected_components(links(prints.select("fp").distinct(), max_bits))
-    return prints.join(roots, prints["fp"] == roots["node"], "left").select(
-        "doc_id", "text_key", "fp", F.coalesce("root", "fp").alias("root"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(links(nodes, max_bits))
+    named = (nodes.join(roots, nodes["fp"] == roots["node"], "left")
+             .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = checkpointed(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    return prints, checkpointed(named.select("fp", "root").join(least, "root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
@@ -186,9 +193,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     a null doc_id keeps its row and never names a component unless its whole component has null ids.
     Other columns of ``docs`` are ignored.  An empty table gives an empty result.
     """
-    rows = classes(docs, shingle, max_bits, id_col, text_col)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select(
+    prints, of = classes(docs, shingle, max_bits, id_col, text_col)
+    return prints.join(of, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -196,5 +202,8 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key) of the one document of each component that stays: the smallest id, null ids last."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
-    return (classes(docs, shingle, max_bits, id_col, text_col).groupBy("root").agg(first.alias("first"))
+    prints, of = classes(docs, shingle, max_bits, id_col, text_col)
+    # One row per fingerprint first, so that copies are gone before the join.
+    alone = prints.groupBy("fp").agg(first.alias("first"))
+    return (alone.join(of, "fp").groupBy("root").agg(F.min("first").alias("first"))
             .select("first.doc_id", "first.text_key").distinct())
