@@ -6,7 +6,8 @@ are ranked by their random odds divided by their inclusion odds, and the
 smallest ranks are taken until the source's remaining words are met.
 
 The cut is found without sorting a source: rank values are counted in a fixed
-number of bins, and only the one bin that holds the cut is ordered.
+number of bins, then those of the one bin that holds the cut, and only the bin
+found there is ordered.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from marketflow.llm.common import WORD, checkpointed
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Bins of the rank value; a source's cut is ordered within one of them.
-BINS = 1 << 16
+#: Bins of the rank value, and of that bin in turn which holds the cut; a source's cut is ordered within one of these.
+BINS = 1 << 8
 SEED = "mix-1"
 
 
@@ -82,12 +83,23 @@ def pareto_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     odds = F.col("part") / (1 - F.col("part")) * F.col("tilt")
     rank = F.col("u") / (1 - F.col("u")) / odds
     ranked = (rows.withColumn("v", F.when(F.col("part") > 0, rank / (1 + rank)).otherwise(1.0))
-              .withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1)).cast("int")))
-    bins = ranked.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    rising = W.partitionBy("s").orderBy("bin")
-    cut = (bins.withColumn("upto", F.sum("words").over(rising))
-           .where("upto > rest").groupBy("s").agg(F.min(F.struct("bin", F.expr("upto - words").alias("before"))).alias("c"))
-           .select(F.col("s").alias("cs"), F.col("c.bin").alias("cut"), F.col("c.before").alias("before")))
+              .withColumn("bin", F.least(F.floor(F.col("v") * BINS * BINS), F.lit(BINS * BINS - 1)).cast("int")))
+    high, low = F.floor(F.col("bin") / BINS), F.col("bin") % BINS
+
+    def cut_in(rows: DataFrame, level, room, name: str) -> DataFrame:
+        """(source, bin in which the running sum passes the room, sum before it)."""
+        bins = rows.groupBy("s", level.alias("b")).agg(F.sum("size").alias("words"), F.first(room).alias("room"))
+        rising = W.partitionBy("s").orderBy("b")
+        return (bins.withColumn("upto", F.sum("words").over(rising)).where("upto > room").groupBy("s")
+                .agg(F.min(F.struct("b", F.expr("upto - words").alias("before"))).alias("c"))
+                .select(F.col("s").alias(f"s{name}"), F.col("c.b").alias(f"cut{name}"), F.col("c.before").alias(f"before{name}")))
+
+    coarse = cut_in(ranked, high, F.col("rest"), "1")
+    within = ranked.join(coarse, F.col("s").eqNullSafe(F.col("s1")) & (high == F.col("cut1")))
+    fine = cut_in(within, low, F.col("rest") - F.col("before1"), "2")
+    cut = coarse.join(fine, F.col("s1").eqNullSafe(F.col("s2"))).select(
+        F.col("s1").alias("cs"), (F.col("cut1") * BINS + F.col("cut2")).alias("cut"),
+        (F.col("before1") + F.col("before2")).alias("before"))
     marked = checkpointed(ranked.join(cut, F.col("s").eqNullSafe(F.col("cs")), "left"))
     inside = W.partitionBy("s").orderBy("v", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     edge = (marked.where("bin = cut")
