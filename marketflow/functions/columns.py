@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,5 +98,21 @@ def liquidity_tier(offers) -> Column:
     return F.when(o >= 50, "High").when(o >= 10, "Medium").otherwise("Low")
 
 
-def rounded(c, digits: int = 6) -> Column:
-    return F.round(col(c).cast("double"), digits)
+def ts_literal(now) -> Column:
+    """A ``timestamp_ntz`` literal from a datetime or ISO text; a Column passes through.
+
+    A Python datetime given to ``F.lit`` would go through the driver's time zone; its ISO text does
+    not.  Aware datetimes are taken to UTC, the zone of the stored timestamps.
+    """
+    if isinstance(now, Column):
+        return now
+    if isinstance(now, dt.datetime):
+        if now.tzinfo is not None:
+            now = now.astimezone(dt.timezone.utc).replace(tzinfo=None)
+        now = now.isoformat(sep=" ")
+    return F.lit(now).cast("timestamp_ntz")
+
+
+def utc_now() -> dt.datetime:
+    """The current time in UTC, naive like the stored timestamps."""
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)

@@ -1,24 +1,23 @@
 """#86-93: threshold alerts with cooldown over market batches.
 
-Rules are a small table (one row per rule; its size is checked before it is
-broadcast).  Matching items against rules is a broadcast theta join with one
-predicate per rule type, evaluated where the items are — the item side is
-never shuffled for it.  The "first matching item per rule" of a batch is a
+Rules are matched by shape.  Rules that name an item or a category meet their
+rows in an equi-join, so there may be as many as there are items; only rules
+over all items (global thresholds) need a join without a key.  The join
+strategy is the optimizer's.  The "first matching item per rule" of a batch is a
 ``min_by`` over the batch sequence (partial aggregation, so a rule that matches
 a third of all rows is one partial row per task).  Cooldown over many batches
-is a greedy fold per rule over its candidate *poll times* — bounded by the
-number of polls, not by the number of rows — done with an ordered ``aggregate``.
+is a greedy walk per rule over its candidate *poll times*, seeded with the
+rule's last firing — one row per rule and poll, not per item.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.columns import finite_or
-
-MAX_RULES = 100_000
+from ..functions.columns import finite_or, ts_literal
 
 # Rule types and priorities as the alert engine names them.
 PROFIT_THRESHOLD = "profit_threshold"
@@ -26,7 +25,7 @@ HIGH_ROI = "high_roi"
 ITEM_WATCHLIST = "item_watchlist"
 ARBITRAGE = "arbitrage_opportunity"
 CATEGORY_ALERT = "category_alert"
-DECLARED_ONLY = ("price_drop", "price_spike", "volume_surge")   # declared, never evaluated
+ARBITRAGE_PROFIT = 5000
 
 RULE_SCHEMA = ("id string, alert_type string, item_id string, item_name string, category string, "
                "threshold_value double, threshold_type string, priority string, enabled boolean, "
@@ -78,44 +77,29 @@ def set_enabled(rules: DataFrame, ids, enabled: bool = True) -> DataFrame:
                             .otherwise(F.col("enabled")))
 
 
-def _broadcast_rules(rules: DataFrame) -> DataFrame:
-    n = rules.limit(MAX_RULES + 1).count()
-    if n > MAX_RULES:
-        raise ValueError(f"{n} alert rules exceed the broadcast bound {MAX_RULES}")
-    cols = [F.col(c).alias(f"r_{c}") for c in rules.columns]
-    return F.broadcast(rules.select(*cols))
-
-
 def _item_value(items: DataFrame, name: str, default) -> Column:
     return finite_or(name, default) if name in items.columns else F.lit(default).cast("double")
 
 
-def match_condition(items: DataFrame) -> Column:
-    """#86: does rule ``r_*`` fire for this item row (ignoring cooldown)?"""
-    prof = _item_value(items, "profit", 0.0)
-    roi = _item_value(items, "roi", 0.0)
+def alert_matches(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """#86: every (enabled rule, item row) pair that satisfies the rule, ignoring cooldown; rule columns are ``r_*``."""
+    r = rules.filter(F.col("enabled")).select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
+    prof, roi = _item_value(items, "profit", 0.0), _item_value(items, "roi", 0.0)
     anomaly = (F.coalesce(F.col("is_anomaly").cast("boolean"), F.lit(False))
                if "is_anomaly" in items.columns else F.lit(False))
-    iid = F.trim(F.col("item_id").cast("string"))
     cat = F.col("category") if "category" in items.columns else F.lit(None).cast("string")
     t, thr = F.col("r_alert_type"), F.col("r_threshold_value")
-    rid = F.col("r_item_id")
-    any_item = rid.isNull() | (rid == "")
-    above = (F.col("r_threshold_type") == "above") & (prof >= thr)
-    below = (F.col("r_threshold_type") == "below") & (prof <= thr)
-    return F.coalesce(
-        ((t == PROFIT_THRESHOLD) & (any_item | (rid == iid)) & (above | below))
-        | ((t == HIGH_ROI) & (roi >= thr))
-        | ((t == ITEM_WATCHLIST) & (rid == iid) & (prof >= thr))
-        | ((t == ARBITRAGE) & anomaly & (prof > 5000))
-        | ((t == CATEGORY_ALERT) & (F.col("r_category") == cat) & (prof >= thr)),
-        F.lit(False))
-
-
-def alert_matches(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """#86: every (enabled rule, item row) pair that satisfies the rule."""
-    r = _broadcast_rules(rules.filter(F.col("enabled")))
-    return items.join(r, match_condition(items), "inner")
+    named = F.col("r_item_id").isNotNull() & (F.col("r_item_id") != "")
+    beyond = (((F.col("r_threshold_type") == "above") & (prof >= thr))
+              | ((F.col("r_threshold_type") == "below") & (prof <= thr)))
+    by_item = items.join(r.filter((t == ITEM_WATCHLIST) | ((t == PROFIT_THRESHOLD) & named)),
+                         (F.trim(F.col("item_id").cast("string")) == F.col("r_item_id"))
+                         & F.when(t == ITEM_WATCHLIST, prof >= thr).otherwise(beyond))
+    by_category = items.join(r.filter(t == CATEGORY_ALERT), (cat == F.col("r_category")) & (prof >= thr))
+    of_all = items.join(r.filter(((t == PROFIT_THRESHOLD) & ~F.coalesce(named, F.lit(False))) | t.isin(HIGH_ROI, ARBITRAGE)),
+                        F.when(t == PROFIT_THRESHOLD, beyond).when(t == HIGH_ROI, roi >= thr)
+                        .otherwise(anomaly & (prof > ARBITRAGE_PROFIT)))
+    return by_item.unionByName(by_category).unionByName(of_all)
 
 
 def _notification(now_col: Column) -> list[Column]:
@@ -135,7 +119,7 @@ def alert_fire(items: DataFrame, rules: DataFrame, now, seq=("l_orderkey", "l_li
     With a positive cooldown it fires once, for the first matching item in
     batch order; with cooldown <= 0 it fires for every matching item.
     """
-    now_c = F.lit(now).cast("timestamp_ntz")
+    now_c = ts_literal(now)
     ready = rules.filter(F.col("enabled") & (
         F.col("last_triggered").isNull()
         | (now_c > F.col("last_triggered") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("cooldown_minutes")))))
@@ -159,7 +143,7 @@ def rule_state_after(rules: DataFrame, fired: DataFrame, now) -> DataFrame:
     fired_any = F.coalesce(F.col("_fired"), F.lit(0)) > 0
     return j.withColumns({
         "trigger_count": (F.col("trigger_count") + F.coalesce(F.col("_fired"), F.lit(0))).cast("int"),
-        "last_triggered": F.when(fired_any, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("last_triggered")),
+        "last_triggered": F.when(fired_any, ts_literal(now)).otherwise(F.col("last_triggered")),
     }).drop("_fired")
 
 
@@ -168,45 +152,51 @@ def alert_cooldown_replay(history: DataFrame, rules: DataFrame, ts: str = "ts",
     """#88: replay every poll of a price history through the rules, honouring cooldowns.
 
     Each poll is a batch stamped with its own time.  Per rule, the poll times
-    with at least one match are folded in time order, keeping a time when it is
+    with at least one match are walked in time order, keeping a time when it is
     strictly later than the last kept time plus the cooldown (cooldown <= 0 keeps
-    every matching item of every poll).  The fired item of a kept poll is its
+    every matching item of every poll, from the rule's last firing on).  The walk
+    starts at the rule's ``last_triggered``.  The fired item of a kept poll is its
     first match in batch order.
     """
-    m = alert_matches(history, rules.filter(F.col("last_triggered").isNull()))
+    m = alert_matches(history, rules)
     if "roi" not in m.columns:
         m = m.withColumn("roi", F.lit(None).cast("double"))
     order = F.struct(*[F.col(c) for c in seq if c in history.columns], F.col("item_id"))
     payload = F.struct(*[F.col(c) for c in ("item_id", "name", "profit", "roi")])
     rcols = [c for c in m.columns if c.startswith("r_")]
-    firsts = (m.groupBy(*rcols, F.col(ts).alias("_t"))
+    firsts = (m.filter(F.col("r_cooldown_minutes") > 0).groupBy(*rcols, F.col(ts).alias("_t"))
               .agg(F.min_by(payload, order).alias("_it")))
-    # candidate poll times per rule: one entry per poll, folded greedily
-    times = firsts.groupBy("r_id", "r_cooldown_minutes").agg(F.array_sort(F.collect_list("_t")).alias("_ts"))
-    gap = F.make_dt_interval(F.lit(0), F.lit(0), F.col("r_cooldown_minutes"))
-    init = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"),
-                    F.array().cast("array<timestamp_ntz>").alias("kept"))
-    fold = F.aggregate(
-        "_ts", init,
-        lambda acc, t: F.when(acc["last"].isNull() | (t > acc["last"] + gap),
-                              F.struct(t.alias("last"), F.concat(acc["kept"], F.array(t)).alias("kept")))
-                        .otherwise(acc))
-    kept = times.filter(F.col("r_cooldown_minutes") > 0).select(
-        "r_id", F.explode(fold["kept"]).alias("_t"))
-    once = firsts.join(kept, ["r_id", "_t"], "left_semi").select(*rcols, "_t", "_it.*")
-    every = (m.filter(F.col("r_cooldown_minutes") <= 0)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    polls = firsts.select("r_id", micros(F.col("_t")).alias("t"), micros(F.col("r_last_triggered")).alias("last"),
+                          (F.col("r_cooldown_minutes") * F.lit(60_000_000).cast("long")).alias("gap"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        gap, last = int(pdf["gap"].iloc[0]), pdf["last"].iloc[0]
+        last, kept = None if pd.isna(last) else int(last), []
+        for t in pdf["t"].sort_values():
+            if last is None or t > last + gap:
+                kept.append(t)
+                last = t
+        return pd.DataFrame({"k_id": [pdf["r_id"].iloc[0]] * len(kept), "k_t": pd.Series(kept, dtype="int64")})
+
+    kept = polls.groupBy("r_id").applyInPandas(walk, "k_id string, k_t long")
+    once = (firsts.join(kept, (F.col("r_id") == F.col("k_id")) & (micros(F.col("_t")) == F.col("k_t")), "left_semi")
+            .select(*rcols, "_t", "_it.*"))
+    every = (m.filter((F.col("r_cooldown_minutes") <= 0) & (F.col("r_last_triggered").isNull() | (
+                F.col(ts) > F.col("r_last_triggered") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("r_cooldown_minutes")))))
              .select(*rcols, F.col(ts).alias("_t"), "item_id", "name", "profit", "roi"))
     return once.unionByName(every).select(*_notification(F.col("_t")))
 
 
-def alert_history(notifications: DataFrame, keep: int = S.ALERT_MAX_HISTORY) -> DataFrame:
-    """#89: the newest ``keep`` notifications."""
-    return notifications.orderBy(F.desc("triggered_at"), "alert_id", "item_id").limit(int(keep))
+def alert_history(notifications: DataFrame, keep: int | None = S.ALERT_MAX_HISTORY) -> DataFrame:
+    """#89: the newest ``keep`` notifications; None keeps all."""
+    newest = notifications.orderBy(F.desc("triggered_at"), "alert_id", "item_id")
+    return newest if keep is None else newest.limit(int(keep))
 
 
 def recent_alerts(history: DataFrame, now, hours: int = 24) -> DataFrame:
     """#90: notifications newer than ``now - hours``, newest first."""
-    cut = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(int(hours)))
+    cut = ts_literal(now) - F.make_dt_interval(F.lit(0), F.lit(int(hours)))
     return history.filter(F.col("triggered_at") > cut).orderBy(F.desc("triggered_at"), "alert_id", "item_id")
 
 

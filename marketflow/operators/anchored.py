@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.columns import gdiv
+from ..functions.columns import gdiv, ts_literal
 
 
 def anchor(prices: DataFrame, ts: str = "ts") -> Column:
@@ -157,7 +157,7 @@ def profit_statistics(prices: DataFrame, hours: int = 24, ts: str = "ts",
 def table_health(prices: DataFrame, now, ts: str = "ts",
                  stale_hours: float = S.HEALTH_STALE_HOURS) -> DataFrame:
     """#26: counts, time range, age in hours and a status (healthy/warning)."""
-    now_c = F.lit(now).cast("timestamp_ntz") if not isinstance(now, Column) else now
+    now_c = ts_literal(now)
     agg = prices.agg(F.count(F.lit(1)).alias("total_records"),
                      F.count_distinct("item_id").alias("unique_items"),
                      F.min(ts).alias("oldest_record"), F.max(ts).alias("newest_record"))

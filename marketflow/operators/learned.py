@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.columns import clip, finite_or
+from ..functions.columns import clip, finite_or, ts_literal
 
 SEQ = ("l_orderkey", "l_linenumber", "l_suppkey")
 
@@ -283,5 +283,5 @@ def learned_retention(stats: DataFrame, now, days: int = 30) -> DataFrame:
     """#18: keep learned items seen within ``days`` of ``now`` (days <= 0: keep all)."""
     if days <= 0:
         return stats
-    cutoff = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(int(days)))
+    cutoff = ts_literal(now) - F.make_dt_interval(F.lit(int(days)))
     return stats.filter(~(F.col("last_seen") < cutoff))

@@ -60,7 +60,10 @@ def opportunity_ml(df: DataFrame, rank: bool = True) -> DataFrame:
 
 
 def trend_features(df: DataFrame, trends: DataFrame | None) -> DataFrame:
-    """#75 (+#44): join per-item window aggregates (#24) and derive trend features."""
+    """#75 (+#44): join per-item window aggregates (#24) and derive trend features.
+
+    No history at all (None, or a frame without rows) gives the neutral defaults.
+    """
     if trends is None:
         return df.withColumns({"profit_trend": F.lit(0.0), "historical_volatility": F.lit(0.0),
                                "consistency_score": F.lit(50.0), "trend_confidence": F.lit(0.0),
@@ -78,10 +81,11 @@ def trend_features(df: DataFrame, trends: DataFrame | None) -> DataFrame:
         F.col("data_points").alias("historical_data_points"),
         F.col("min_profit").alias("historical_min_profit"),
         F.col("max_profit").alias("historical_max_profit"))
+    some = F.coalesce(trends.select((F.count(F.lit(1)) > 0).alias("some")).scalar(), F.lit(False))
     j = df.join(t, "item_id", "left")
     hist = F.coalesce(F.col("historical_avg_profit"), F.col("profit").cast("double"))
     j = j.withColumns({
-        "historical_volatility": F.coalesce("historical_volatility", F.lit(0.5)),
+        "historical_volatility": F.coalesce("historical_volatility", F.when(some, F.lit(0.5)).otherwise(F.lit(0.0))),
         "consistency_score": F.coalesce("consistency_score", F.lit(50.0)),
         "trend_confidence": F.coalesce("trend_confidence", F.lit(0.0)),
         "historical_data_points": F.coalesce("historical_data_points", F.lit(0)).cast("bigint"),
@@ -89,9 +93,9 @@ def trend_features(df: DataFrame, trends: DataFrame | None) -> DataFrame:
     })
     pt = finite_or(F.when(F.abs(hist) > 1, (F.col("profit") - hist) / F.abs(hist)).otherwise(F.lit(0.0)))
     th = S.TREND_IMPROVEMENT_THRESHOLD
-    j = j.withColumn("profit_trend", pt)
+    j = j.withColumn("profit_trend", F.when(some, pt).otherwise(F.lit(0.0)))
     return j.withColumns({
-        "trend_direction": trend_direction("profit_trend"),
+        "trend_direction": F.when(some, trend_direction("profit_trend")).otherwise(F.lit("Unknown")),
         "trend_bonus": F.when(F.abs(F.col("profit_trend")) > th, F.col("profit_trend") * 0.20 * 100)
                         .otherwise(F.lit(0.0)),
         "consistency_bonus": (F.col("consistency_score") - 50) / 50 * 0.25 * 100,

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import ts_literal
 from ..session import scratch_path
 from . import summary as SM
 
@@ -104,7 +105,7 @@ def retention_filter(prices: DataFrame, now, days: int = 7, ts: str = "ts"):
     """
     if days <= 0:
         return prices, prices.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("deleted"))
-    cut = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(int(days)))
+    cut = ts_literal(now) - F.make_dt_interval(F.lit(int(days)))
     old = F.col(ts) < cut
     kept = prices.filter(~old | F.col(ts).isNull())
     deleted = prices.agg(F.count_if(old).alias("deleted"))

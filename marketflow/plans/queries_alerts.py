@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import ts_literal
 from ..operators import alerts as AL
 from ..operators import anchored as A
 from ..operators import metrics as M
@@ -171,6 +172,6 @@ def q_alert_fire(spark, d):
     import datetime as _dt
     r = rules(spark, d).withColumn(
         "last_triggered", F.when(F.col("id") == STATE_RULE,
-                                 F.lit(now - _dt.timedelta(minutes=STATE_AGO_MINUTES)).cast("timestamp_ntz"))
+                                 ts_literal(now - _dt.timedelta(minutes=STATE_AGO_MINUTES)))
         .otherwise(F.col("last_triggered")))
     return AL.alert_fire(M.trade_metrics(A.latest_prices(p)), r, now)

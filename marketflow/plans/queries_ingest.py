@@ -37,7 +37,7 @@ def payload_from_prices(p):
     sell = F.array_compact(F.array(
         offer(F.col("flea_price") * 3, F.lit("fleaMarket"), "RUB", no_vendor),
         F.when(F.col("trader_name").isNotNull(), offer(F.col("trader_price"), F.col("trader_name"), "RUB", vendor)),
-        offer(F.col("trader_price") + 1000, F.lit("peacekeeper"), "USD", vendor)))
+        offer(F.col("trader_price") + 1000, F.lit("other dealer"), "USD", vendor)))
     buy = F.array(offer(F.col("flea_price") + 50, F.lit("fleaMarket"), "RUB", no_vendor),
                   offer(F.col("flea_price"), F.lit("fleaMarket"), "RUB", no_vendor),
                   offer(F.col("flea_price") - 1, F.lit("trader"), "RUB", no_vendor))
@@ -84,29 +84,31 @@ def q_scan_prices(spark, d):
     return P.scan_prices(prices(spark, d, with_levels=False))
 
 
-# Timestamp text in the forms the store has seen, chosen by line number.
-TS_TEXT = """CASE l_linenumber % 6
-      WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
-      WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S.%f')
-      WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
-      WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
-      WHEN 4 THEN ''
-      ELSE 'not a time ' || CAST(l_orderkey AS VARCHAR) END"""
+# Timestamp text in the forms the store has seen and in some that are not accepted: (Spark pattern or text,
+# DuckDB pattern or text, accepted), chosen by line number and order.
+TS_FORMS = (
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "%Y-%m-%dT%H:%M:%S.%f", True), ("yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f", True),
+    ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", True), ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", True),
+    ("yyyy-MM-dd HH:mm", "%Y-%m-%d %H:%M", True), ("yyyyMMdd'T'HHmmss", "%Y%m%dT%H%M%S", True),
+    ("yyyy-MM-dd'T'HH:mm:ss'+00:00'", "%Y-%m-%dT%H:%M:%S+00:00", True), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ", True),
+    ("yyyy", "%Y", False), ("yyyy-MM", "%Y-%m", False), ("yyyy-M-d", "%Y-%-m-%-d", False),
+    ("yyyy-MM-dd HH:mm:ss 'UTC'", "%Y-%m-%d %H:%M:%S UTC", False), ("'not a time 'ss", "not a time %S", False),
+    ("yyyy-'13'-dd", "%Y-13-%d", False), ("''", "", False))
+TS_TEXT = "CASE (l_linenumber + l_orderkey) % {} {} END".format(
+    len(TS_FORMS), " ".join(f"WHEN {i} THEN {f'strftime(ts, {duck!r})' if duck else repr('')}" for i, (_, duck, _) in enumerate(TS_FORMS)))
+TS_OK = "(l_linenumber + l_orderkey) % {} IN ({})".format(len(TS_FORMS), ", ".join(str(i) for i, f in enumerate(TS_FORMS) if f[2]))
 
 
 @register("normalize_timestamps", O.with_ctes(O.PRICES, f"""
-txt AS (SELECT item_id, l_orderkey, l_linenumber, l_suppkey, {TS_TEXT} AS ts_text FROM prices)""", body="""
-SELECT item_id, l_orderkey, l_linenumber, l_suppkey, ts_text,
-  CASE WHEN trim(ts_text) = '' THEN NULL ELSE TRY_CAST(trim(ts_text) AS TIMESTAMP) END AS ts FROM txt"""))
+txt AS (SELECT item_id, l_orderkey, l_linenumber, l_suppkey, ts AS t, {TS_TEXT} AS ts_text FROM prices)""", body=f"""
+SELECT item_id, l_orderkey, l_linenumber, l_suppkey, ts_text, CASE WHEN {TS_OK} THEN t END AS ts FROM txt"""))
 def q_normalize_timestamps(spark, d):
     p = prices(spark, d, with_levels=False)
-    m = F.col("l_linenumber") % 6
-    txt = (F.when(m == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-           .when(m == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-           .when(m == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-           .when(m == 3, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
-           .when(m == 4, F.lit(""))
-           .otherwise(F.concat(F.lit("not a time "), F.col("l_orderkey").cast("string"))))
+    m = (F.col("l_linenumber") + F.col("l_orderkey")) % len(TS_FORMS)
+    txt = F.lit("")
+    for i, (form, duck, _) in enumerate(TS_FORMS):
+        if duck:
+            txt = F.when(m == i, F.date_format("ts", form)).otherwise(txt)
     t = p.select("item_id", "l_orderkey", "l_linenumber", "l_suppkey", txt.alias("ts_text"))
     return t.withColumn("ts", P.normalize_timestamps("ts_text"))
 

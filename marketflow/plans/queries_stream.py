@@ -7,14 +7,21 @@ stream, several files per micro-batch, with ``availableNow``.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import alerts as AL
+from ..operators import anchored as A
 from ..operators import learned as L
 from ..session import scratch_path
-from ..sources.testdata import read_table
+from ..sources import payload as P
+from ..sources import store as ST
+from ..sources.testdata import prices, read_table
 from ..streaming import jobs as J
+from . import oracle_sql as O
+from . import queries_ingest as Q
 from .registry import register
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -79,14 +86,91 @@ SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) AS TIMESTAMP) AS window_start, user
   AVG(value) AS avg_value, MIN(value) AS min_value, MAX(value) AS max_value, COUNT(*) AS data_points
 FROM events GROUP BY 1, 2""", doubles=("avg_value", "min_value", "max_value"))
 def q_stream_windowed_trends(spark, d):
-    """Event-time 6 h windows with a 1 h watermark, results upserted per micro-batch (complete mode)."""
+    """Event-time 6 h windows with a watermark over the table's span, upserted per micro-batch (update mode)."""
     root, src = _stage_events(spark, d)
-    out = f"{root}/trends"
+    # Files of a stream are not read in event-time order; the whole table counts, so nothing may come too late.
+    J.windowed_trends_stream(src, f"{root}/trends", f"{root}/ckpt", watermark="365 days").awaitTermination()
+    return J.read_windowed_trends(spark, f"{root}/trends")
 
-    def batch(df, batch_id):
-        df.write.mode("overwrite").parquet(out)
 
-    q = (J.windowed_trends(src).writeStream.outputMode("complete").foreachBatch(batch)
-         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+@register("stream_ingest", Q.INGEST_SQL, doubles=("change_last_48h", "weight", "price_velocity", "liquidity_score"))
+def q_stream_ingest(spark, d):
+    """#5, #10: payload pages as JSON files, several per run, polled into the store; the second start finds nothing new."""
+    root = scratch_path(spark, f"stream/{uuid.uuid4().hex[:12]}")
+    Q.payload_from_prices(prices(spark, d)).repartition(8, "id").write.json(f"{root}/in")
+    stamp = P.normalize_timestamps(F.col("updated"))
+    for _ in range(2):
+        J.stream_ingest(spark, f"{root}/in", f"{root}/store", f"{root}/ckpt", poll_time=stamp, guard=False,
+                        files_per_batch=3).awaitTermination()
+    return ST.read_prices(spark, f"{root}/store").select(*Q.INGEST_COLS)
+
+
+@register("payload_pages", Q.INGEST_SQL, doubles=("change_last_48h", "weight", "price_velocity", "liquidity_score"))
+def q_payload_pages(spark, d):
+    """#5: the pages of a poll, read from two folders of JSON files and put together."""
+    root = scratch_path(spark, f"pages/{uuid.uuid4().hex[:12]}")
+    pay = Q.payload_from_prices(prices(spark, d))
+    odd = F.crc32(F.col("id").cast("binary")) % 2 == 1
+    for k, part in enumerate((pay.filter(odd), pay.filter(~odd))):
+        part.write.json(f"{root}/{k}")
+    pages = P.union_pages(*(P.read_payload(spark, f"{root}/{k}") for k in range(2)))
+    return P.ingest_offers(pages, poll_time=P.normalize_timestamps(F.col("updated"))).select(*Q.INGEST_COLS)
+
+
+STORE_COLS = ("item_id", "ts", "l_orderkey", "l_linenumber", "l_suppkey", "profit")
+
+
+def _stored(spark, d):
+    path = scratch_path(spark, f"store/{uuid.uuid4().hex[:12]}")
+    ST.write_prices(prices(spark, d, with_levels=False), path, "all")
+    return path
+
+
+@register("store_retention", O.with_ctes(O.PRICES, body=f"""
+SELECT {', '.join(STORE_COLS)} FROM prices WHERE ts IS NULL OR NOT (ts < TIMESTAMP '{O.NOW}' - INTERVAL 7 DAY)"""))
+def q_store_retention(spark, d):
+    """#16 on the store: expired days are dropped, the day of the cut is rewritten."""
+    path = _stored(spark, d)
+    ST.expire(spark, path, O.NOW, 7)
+    return ST.read_prices(spark, path).select(*STORE_COLS)
+
+
+@register("store_latest_prices", O.with_ctes(O.PRICES, O.LATEST, body=f"SELECT {', '.join(STORE_COLS)} FROM latest"))
+def q_store_latest_prices(spark, d):
+    """#19 on the store: only the days of the lookback window are read."""
+    rows = ST.recent(spark, _stored(spark, d), F.make_dt_interval(F.lit(0), F.lit(0), F.lit(45)))
+    return A.latest_prices(rows).select(*STORE_COLS)
+
+
+ALERT_NOW = dt.datetime(2024, 2, 1)
+ALERT_FROM = 150.0
+ALERT_DAYS = 5          # days of events in a batch
+ALERT_STREAM_SQL = f"""
+WITH RECURSIVE polls AS (SELECT *, (dense_rank() OVER (ORDER BY CAST(ts AS DATE)) - 1) // {ALERT_DAYS} AS batch FROM events),
+firsts AS (
+  SELECT batch, arg_min(CAST(user_id AS VARCHAR), event_id) AS item_id, arg_min(value, event_id) AS profit
+  FROM polls WHERE value >= {ALERT_FROM} GROUP BY batch),
+fires(b) AS (
+  SELECT MIN(batch) FROM firsts
+  UNION ALL
+  SELECT (SELECT MIN(f.batch) FROM firsts f WHERE f.batch >= fires.b + 2) FROM fires WHERE b IS NOT NULL)
+SELECT 'high' AS alert_id, item_id, profit, TIMESTAMP '2024-02-01' + to_hours(CAST(batch AS BIGINT)) AS triggered_at
+FROM firsts WHERE batch IN (SELECT b FROM fires)"""
+
+
+@register("alert_stream", ALERT_STREAM_SQL, doubles=("profit",))
+def q_alert_stream(spark, d):
+    """#87, #88, #93 as a stream: batches of a few days of events, one hour apart, under a 90-minute cooldown."""
+    root = scratch_path(spark, f"stream/{uuid.uuid4().hex[:12]}")
+    days = read_table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    # One file per batch, in the order of their names and times.
+    every = [r["day"] for r in days.select("day").distinct().orderBy("day").collect()]
+    for k in range(0, len(every), ALERT_DAYS):
+        days.filter(F.col("day").between(every[k], every[min(k + ALERT_DAYS, len(every)) - 1])).coalesce(1).write.parquet(f"{root}/in/{k:05d}")
+    rules = AL.rules_frame(spark, [AL.rule("high", AL.PROFIT_THRESHOLD, threshold_value=ALERT_FROM, cooldown_minutes=90)])
+    ST.Versions(spark, f"{root}/rules").write(rules, "start", 0)
+    src = (spark.readStream.schema(EVENT_SCHEMA + ", day date").option("maxFilesPerTrigger", 1)
+           .parquet(f"{root}/in/*"))
+    J.alert_stream(events_as_prices(src), f"{root}/rules", f"{root}/history", f"{root}/ckpt",
+                   clock=lambda k: ALERT_NOW + dt.timedelta(hours=k), seq=("event_id",)).awaitTermination()
+    return spark.read.parquet(f"{root}/history/*").select("alert_id", "item_id", "profit", "triggered_at")

@@ -166,11 +166,39 @@ def append_versioned(*frames: DataFrame) -> DataFrame:
     return out.select(*V4_COLUMNS)
 
 
+# The accepted forms: extended and basic ISO dates, alone or with a time of day (minutes at least; a fraction only
+# after seconds) and an offset.  ISO texts may use any one character between date and time.
+_DATE = r"(\d{4})-(\d\d)-(\d\d)"
+_TIME = r"(\d\d)(?::(\d\d)(?::(\d\d)(?:[.,](\d+))?)?)?"
+_BASIC_DATE = r"(\d{4})(\d\d)(\d\d)"
+_BASIC_TIME = r"(\d\d)(?:(\d\d)(?:(\d\d)(?:[.,](\d+))?)?)?"
+_OFFSET = r"(Z|[+-]\d\d(?::?\d\d(?::?\d\d)?)?)?"
+
+
 def normalize_timestamps(c) -> Column:
-    """#8: text → timestamp; null/'' → null; ISO (with T or space, with or without
-    fraction) parses; anything else → null."""
-    col = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.trim(col), F.lit("")).try_cast("timestamp_ntz")
+    """#8: text → timestamp.  Null, '' and anything but the accepted forms → null.
+
+    Years or months alone, one-digit parts, zone names and texts with space around them are not accepted.  An offset
+    is taken off: the stored timestamps are UTC.
+    """
+    t = F.col(c) if isinstance(c, str) else c
+    out = None
+    for date, time in ((_DATE, _TIME), (_BASIC_DATE, _BASIC_TIME)):
+        form = rf"^(?s:{date}(?:.{time}{_OFFSET})?)$"
+        part = lambda i, form=form: F.regexp_extract(t, form, i)
+        two = lambda i, part=part: F.when(part(i) == "", F.lit("00")).otherwise(part(i))
+        fraction = F.rpad(F.substring(part(7), 1, 6), 6, "0")
+        # A date or time that does not exist (month 13, hour 25) does not parse.
+        local = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), two(4), F.lit(":"), two(5),
+                         F.lit(":"), two(6), F.lit("."), fraction).try_cast("timestamp_ntz")
+        digits = F.regexp_replace(part(8), "[^0-9]", "")
+        seconds = (F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 3600
+                   + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60
+                   + F.coalesce(F.substring(digits, 5, 2).try_cast("int"), F.lit(0)))
+        shift = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.when(part(8).startswith("-"), -seconds).otherwise(seconds))
+        hit = F.when(t.rlike(form), local - shift)
+        out = hit if out is None else F.coalesce(out, hit)
+    return out
 
 
 def scan_prices(prices: DataFrame) -> DataFrame:

@@ -1,18 +1,17 @@
 """Structured Streaming forms (#10, #88, #93, #94-97, and windowed trends).
 
-* ``stream_ingest`` — payload files land in a folder per poll; each micro-batch
-  is flattened (#1), stamped with one processing time, and appended to the
-  date-partitioned ``prices`` store.  The freshness guard skips a batch when
-  the store already holds data newer than the poll interval (#10).
-* ``learned_state_stream`` — each micro-batch's item statistics are merged
-  into the stored state with the order-independent Chan merge (#94).  State
-  versions are written per batch id under the shared folder, so a replayed
-  batch rewrites the same version: the result is exactly-once.
-* ``alert_stream`` — each micro-batch is one alert batch (#87) against the
-  stored rule state; fired notifications go to the history table and to an
-  optional user callback whose failures are isolated (#93).
-* ``windowed_trends`` — our own addition for a stream: event-time tumbling
-  windows with a watermark (the streaming shape of #23).
+* ``stream_ingest`` — payload files land in a folder per poll; each micro-batch is flattened (#1), stamped with
+  its files' time and written to the date-partitioned ``prices`` store under its own batch id.  The freshness
+  guard is asked once, when the stream starts (#10): a batch that has been read is always written.
+* ``learned_state_stream`` — each micro-batch's item statistics are merged into the stored state with the
+  order-independent Chan merge (#94).
+* ``alert_stream`` — each micro-batch is one alert batch (#87) against the stored rule state; fired notifications
+  go to the history table and to an optional user callback whose failures are isolated (#93).
+* ``windowed_trends`` — our own addition for a stream: event-time tumbling windows with a watermark (the
+  streaming shape of #23), upserted per key.
+
+Every write carries the stream's and the batch's id and replaces itself, so a batch that is played again changes
+nothing; states are versioned folders (``sources.store.Versions``).
 """
 
 from __future__ import annotations
@@ -20,90 +19,102 @@ from __future__ import annotations
 import datetime as dt
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from .. import settings as S
+from ..functions.columns import utc_now
 from ..operators import alerts as AL
 from ..operators import learned as L
 from ..sources import payload as P
+from ..sources import store as ST
 
 log = logging.getLogger(__name__)
 
 
-def _latest_version(spark: SparkSession, root: str):
-    try:
-        v = spark.read.parquet(root).agg(F.max("v")).first()[0]
-    except AnalysisException:
-        return None
-    return v
+def _start(writer, available_now: bool, every: str):
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
+
+
+def is_fresh(spark: SparkSession, store: str, now: dt.datetime, interval_minutes: int = S.COLLECTION_INTERVAL_MINUTES) -> bool:
+    """#10: does the store hold data younger than the poll interval?"""
+    newest = ST.newest(spark, store)
+    return newest is not None and now - newest < dt.timedelta(minutes=interval_minutes)
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, store: str, checkpoint: str,
                   interval_minutes: int = S.COLLECTION_INTERVAL_MINUTES, available_now: bool = True,
-                  on_batch=None):
-    """#10: poll files → flattened rows appended to the store, partitioned by day."""
-    src = spark.readStream.schema(P.ITEM).option("maxFilesPerTrigger", 1).json(source_dir)
+                  on_batch=None, poll_time: Column | None = None, guard: bool = True, files_per_batch: int = 1):
+    """#10: poll files → flattened rows written to the store, partitioned by day.
+
+    With ``guard`` a store that is fresher than the poll interval defers the start: the stream is not started
+    (None is returned) and no file is consumed.  ``poll_time`` defaults to each file's modification time, which a
+    replayed batch reads again.
+    """
+    if guard and is_fresh(spark, store, utc_now(), interval_minutes):
+        log.info("not started: the store is fresher than the poll interval")
+        return None
+    src = (spark.readStream.schema(P.ITEM).option("maxFilesPerTrigger", files_per_batch).json(source_dir)
+           .select("*", F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("_landed")))
+    run = ST.run_id(checkpoint)
 
     def batch(df: DataFrame, batch_id: int):
-        now = dt.datetime.now()
-        try:
-            newest = spark.read.parquet(store).agg(F.max("ts")).first()[0]
-        except AnalysisException:
-            newest = None
-        if newest is not None and now - newest < dt.timedelta(minutes=interval_minutes):
-            log.info("batch %s skipped: store is fresher than the poll interval", batch_id)
-            return
-        rows = P.ingest_offers(df, poll_time=F.lit(now).cast("timestamp_ntz"))
-        rows.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(store)
+        rows = P.ingest_offers(df, poll_time=F.col("_landed") if poll_time is None else poll_time)
+        ST.write_prices(rows, store, f"{run}-{batch_id}")
         if on_batch is not None:
             on_batch(rows, batch_id)
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{interval_minutes} minutes")
-    return w.start()
+    return _start(w, available_now, f"{interval_minutes} minutes")
 
 
 def learned_state_stream(source: DataFrame, state_root: str, checkpoint: str, ts: str = "ts",
                          seq=L.SEQ, available_now: bool = True):
     """#94: merge each micro-batch's item statistics into versioned state."""
-    spark = source.sparkSession
+    state, run = ST.Versions(source.sparkSession, state_root), ST.run_id(checkpoint)
 
     def batch(df: DataFrame, batch_id: int):
-        b = L.item_statistics(df, ts=ts, seq=seq, keep_key=True)
-        prev = _latest_version(spark, state_root)
-        if prev is not None and prev >= batch_id:        # replay of a batch already merged
-            prev = batch_id - 1 if batch_id > 0 else None
-        if prev is None:
-            merged = b
-        else:
-            state = spark.read.parquet(f"{state_root}/v={prev}").drop("v")
-            merged = L.merge_item_statistics(state, b)
-        merged.write.mode("overwrite").parquet(f"{state_root}/v={batch_id}")
+        if state.has(run, batch_id):
+            return
+        now, before = L.item_statistics(df, ts=ts, seq=seq, keep_key=True), state.current()
+        state.write(now if before is None else L.merge_item_statistics(before, now), run, batch_id)
 
     w = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    return _start(w, available_now, "1 minute")
 
 
 def read_state(spark: SparkSession, state_root: str) -> DataFrame:
-    v = _latest_version(spark, state_root)
-    return spark.read.parquet(f"{state_root}/v={v}").drop("v", "last_key", "name_key")
+    return ST.Versions(spark, state_root).current().drop("last_key", "name_key")
+
+
+def read_rules(spark: SparkSession, rules_root: str) -> DataFrame:
+    """The alert rules with their newest state."""
+    return ST.Versions(spark, rules_root).current()
 
 
 def alert_stream(source: DataFrame, rules_root: str, history_path: str, checkpoint: str, callback=None,
-                 available_now: bool = True):
-    """#87-#89, #93: every micro-batch is checked against the current rule state."""
+                 available_now: bool = True, clock=utc_now, seq=L.SEQ):
+    """#87-#89, #93: every micro-batch is checked against the current rule state.
+
+    ``clock(batch_id)`` or ``clock()`` stamps a batch; rules start as ``Versions(...).write(rules, "start", 0)``.
+    Notifications of a batch stand in their own folder of the history, written before the new rule state: a batch
+    that failed in between fires again from the same state and replaces them.
+    """
     spark = source.sparkSession
+    state, run = ST.Versions(spark, rules_root), ST.run_id(checkpoint)
 
     def batch(df: DataFrame, batch_id: int):
-        v = _latest_version(spark, rules_root)
-        rules = spark.read.parquet(f"{rules_root}/v={v}").drop("v")
-        now = dt.datetime.now()
-        fired = AL.alert_fire(df, rules, now).persist()
-        fired.write.mode("append").parquet(history_path)
-        AL.rule_state_after(rules, fired, now).write.mode("overwrite").parquet(f"{rules_root}/v={v + 1}")
+        if state.has(run, batch_id):
+            return
+        rules = state.current()
+        try:
+            now = clock(batch_id)
+        except TypeError:
+            now = clock()
+        path = f"{history_path}/batch={run}-{batch_id}"
+        AL.alert_fire(df, rules, now, seq).write.mode("overwrite").parquet(path)
+        fired = spark.read.parquet(path)
+        state.write(AL.rule_state_after(rules, fired, now), run, batch_id)
         if callback is not None:
             def deliver(rows):                        # runs on the executors, next to the data
                 for row in rows:
@@ -112,11 +123,9 @@ def alert_stream(source: DataFrame, rules_root: str, history_path: str, checkpoi
                     except Exception as e:  # noqa: BLE001  (one failing hook must not stop the batch)
                         logging.getLogger(__name__).error("alert callback failed: %s", e)
             fired.foreachPartition(deliver)
-        fired.unpersist()
 
     w = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")
-    return w.start()
+    return _start(w, available_now, "5 minutes")
 
 
 def windowed_trends(events: DataFrame, window: str = "6 hours", watermark: str = "1 hour",
@@ -128,3 +137,21 @@ def windowed_trends(events: DataFrame, window: str = "6 hours", watermark: str =
                  F.max(value).alias("max_value"), F.count(F.lit(1)).alias("data_points"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), key, "avg_value", "min_value",
                     "max_value", "data_points"))
+
+
+def windowed_trends_stream(events: DataFrame, out: str, checkpoint: str, window: str = "6 hours",
+                           watermark: str = "1 hour", key: str = "user_id", available_now: bool = True):
+    """Windows in update mode: a batch writes the windows that it changed, the watermark drops finished ones from state."""
+    def batch(df: DataFrame, batch_id: int):
+        df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    w = (windowed_trends(events, window, watermark, key).writeStream.outputMode("update").foreachBatch(batch)
+         .option("checkpointLocation", checkpoint))
+    return _start(w, available_now, "1 minute")
+
+
+def read_windowed_trends(spark: SparkSession, out: str, key: str = "user_id") -> DataFrame:
+    """The newest row of every window and key."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    newest = F.max_by(F.struct("avg_value", "min_value", "max_value", "data_points"), "batch")
+    return rows.groupBy("window_start", key).agg(newest.alias("r")).select("window_start", key, "r.*")
