@@ -1,8 +1,9 @@
 """#19-28: queries anchored at the newest timestamp *of the data*.
 
 The anchor is a scalar subquery (``max(ts)``): Spark runs it once and feeds the
-value into the filter, so on a date-partitioned store it also prunes
-partitions.  An empty table falls back to the session's local time.
+value into the filter.  Readers bound their scans from below by the window
+(``sources.store.recent``, ``last_minutes`` of the test-data reader), which does
+not change the anchor.  An empty table falls back to the session's local time.
 """
 
 from __future__ import annotations

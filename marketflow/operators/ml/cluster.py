@@ -1,44 +1,130 @@
-"""#80-82 trading-strategy clusters with MLlib KMeans.
+"""#80-82 trading-strategy clusters: k-means with restarts, all of them in the same passes.
 
 Features are standardised with the population std (a constant column → 0), as
-the reference's scaler does; MLlib's ``StandardScaler`` divides by the sample
-std, so the scaling is a plain column expression over one aggregate row.  With
-n ≥ 20 rows, k is scanned over 2..min(8, n//3)−1 and the k after the largest
-inertia drop is kept (capped at ``max_k``); the final fit keeps the best of
-``n_init`` seeds by training cost (MLlib's k-means|| initialisation already
-does the work sklearn's ten random restarts do; the scan uses ``scan_n_init``).  Confidence is 1/(1 + distance to the own
-centre), computed as an array expression against the broadcast centres.
+the reference's scaler does.  With n ≥ 20 rows, k is scanned over
+2..min(8, n//3)−1 and the k after the largest inertia drop is kept (capped at
+``max_k``); every k is fitted from ``n_init`` k-means++ starts and the start with
+the least inertia counts.  All (k, start) fits advance together: one pass over
+the points gives each fit its next seed or its next sums, so the number of jobs
+is the number of iterations, not of restarts.  A pass returns one row per fit
+and cluster to the driver.  Confidence is 1/(1 + distance to the own centre).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ... import settings as S
 
+_CHUNK = 4096
+
 
 def cluster_features(df: DataFrame):
     return list(S.CLUSTER_FEATURES_CORE) + [f for f in S.CLUSTER_FEATURES_EXTRA if f in df.columns]
 
 
-def _fit(data: DataFrame, k: int, seeds, max_iter: int):
-    best = None
-    for s in seeds:
-        m = KMeans(k=k, seed=s, featuresCol="_v", predictionCol="cluster", maxIter=max_iter).fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+
+
+def _pass(points: DataFrame, fits: dict[int, np.ndarray], draw: int | None) -> pd.DataFrame:
+    """One pass for all fits.
+
+    ``draw`` None: per fit and cluster the sum of its points, their number and inertia.  Otherwise per fit the point
+    with the least exponential draw weighted by its squared distance to the centres so far (k-means++).
+    """
+    def run(batches):
+        sums: dict[tuple[int, int], list] = {}
+        best: dict[int, tuple] = {}
+        for pdf in batches:
+            for at in range(0, len(pdf), _CHUNK):
+                part = pdf.iloc[at:at + _CHUNK]
+                x = np.stack(part["z"].to_numpy())
+                if draw is not None:
+                    keys = part["key"].to_numpy().astype(np.uint64)
+                for fit, centres in fits.items():
+                    d = _distances(x, centres) if len(centres) else np.ones((len(x), 1))
+                    near = d.argmin(axis=1)
+                    least = d[np.arange(len(x)), near]
+                    if draw is not None:
+                        u = _uniform(keys, fit, draw)
+                        with np.errstate(divide="ignore"):
+                            race = np.where(least > 0, -np.log(u) / least, np.inf)
+                        i = int(np.lexsort((keys, race))[0])
+                        if fit not in best or (race[i], keys[i]) < best[fit][:2]:
+                            best[fit] = (race[i], keys[i], x[i])
+                        continue
+                    for c in np.unique(near):
+                        mine = near == c
+                        s = sums.setdefault((fit, int(c)), [np.zeros(x.shape[1]), 0, 0.0])
+                        s[0] += x[mine].sum(axis=0)
+                        s[1] += int(mine.sum())
+                        s[2] += float(least[mine].sum())
+        if draw is None:
+            rows = [(f, c, v[0].tolist(), v[1], v[2]) for (f, c), v in sums.items()]
+        else:
+            rows = [(f, 0, v[2].tolist(), int(v[1] >> np.uint64(1)), float(v[0])) for f, v in best.items()]
+        yield pd.DataFrame(rows, columns=["fit", "cluster", "v", "n", "w"])
+
+    return points.mapInPandas(run, "fit int, cluster int, v array<double>, n long, w double")
+
+
+def _uniform(keys: np.ndarray, fit: int, draw: int) -> np.ndarray:
+    """Uniform in (0, 1), fixed by the row's key, the fit and the draw."""
+    salt = np.frombuffer(hashlib.sha256(f"{fit}/{draw}".encode()).digest()[:8], np.uint64)[0]
+    h = keys ^ salt
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(m)
+    return ((h >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
+
+
+def fit_all(points: DataFrame, ks, n_init: int, seed: int, max_iter: int, tol: float) -> dict[int, tuple[np.ndarray, float]]:
+    """Best (centres, inertia) for every k over ``n_init`` k-means++ starts; ``points`` has z (array) and key (long)."""
+    of = {i: k for i, k in enumerate(k for k in ks for _ in range(n_init))}
+    dim = len(points.first()["z"])
+    centres = {i: np.zeros((0, dim)) for i in of}
+    for step in range(max(ks)):
+        open_ = {i: c for i, c in centres.items() if len(c) < of[i]}
+        found = _pass(points, open_, seed * 1000 + step).groupBy("fit").agg(F.min(F.struct("w", "n", "v")).alias("m")).collect()
+        for r in found:
+            centres[r["fit"]] = np.vstack([centres[r["fit"]], r["m"]["v"]])
+    live, inertia = dict(centres), dict.fromkeys(of, float("inf"))
+    for _ in range(max_iter):
+        got = (_pass(points, live, None).groupBy("fit", "cluster")
+               .agg(F.sum("n").alias("n"), F.sum("w").alias("w"),
+                    F.array(*[F.sum(F.col("v")[j]) for j in range(dim)]).alias("v")).collect())
+        new = {i: c.copy() for i, c in live.items()}
+        cost = dict.fromkeys(live, 0.0)
+        for r in got:
+            new[r["fit"]][r["cluster"]] = np.array(r["v"]) / r["n"]
+            cost[r["fit"]] += r["w"]
+        still = {}
+        for i, c in new.items():
+            moved = ((c - live[i]) ** 2).sum()
+            centres[i], inertia[i] = (live[i], cost[i]) if moved <= tol else (c, cost[i])
+            if moved > tol:
+                still[i] = c
+        live = still
+        if not live:
+            break
+    best: dict[int, tuple[np.ndarray, float]] = {}
+    for i, k in of.items():
+        if k not in best or inertia[i] < best[k][1]:
+            best[k] = centres[i], inertia[i]
     return best
 
 
-def cluster_items(df: DataFrame, max_k: int = 5, n_init: int = 3, scan_n_init: int = 1,
-                  seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """Adds ``cluster``, ``cluster_label`` and ``cluster_confidence``."""
+def cluster_items(df: DataFrame, max_k: int = 5, n_init: int = 10, seed: int = 42, max_iter: int = 300,
+                  tol: float = 1e-8, centres=None) -> DataFrame:
+    """Adds ``cluster``, ``cluster_label`` and ``cluster_confidence``.
+
+    ``centres`` (over the standardised features) skips the fit and only assigns.
+    """
     feats = cluster_features(df)
     x = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in feats]
     aggs = [F.count(F.lit(1)).alias("_n")]
@@ -53,24 +139,26 @@ def cluster_items(df: DataFrame, max_k: int = 5, n_init: int = 3, scan_n_init: i
     for i, c in enumerate(x):
         mu, sd = stats[f"_mu{i}"] or 0.0, stats[f"_sd{i}"] or 0.0
         z.append(((c - F.lit(mu)) / F.lit(sd)) if sd > 0 else F.lit(0.0))
-    data = (df.withColumn("_z", F.array(*z)).withColumn("_v", array_to_vector("_z"))
-            .persist(StorageLevel.MEMORY_AND_DISK))     # iterated over by every fit
-    seeds = [seed + i for i in range(n_init)]
-    k = max_k
-    if n >= 20:
-        ks = list(range(2, min(8, n // 3)))
-        costs = [_fit(data, kk, seeds[:max(1, scan_n_init)], max_iter)[1] for kk in ks]
-        if len(costs) > 1:
-            k = min(ks[int(np.argmin(np.diff(costs))) + 1], max_k)
-    k = min(k, n)
-    model, _ = _fit(data, k, seeds, max_iter)
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    out = model.transform(data)
-    cen = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centres])
-    own = F.element_at(cen, F.col("cluster") + 1)
-    d2 = F.aggregate(F.zip_with(F.col("_z"), own, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    out = out.withColumn("cluster_confidence", 1 / (1 + F.sqrt(d2))).drop("_z", "_v")
-    return cluster_labels(out)
+    if centres is None:
+        narrow = df.select(F.array(*z).alias("z"))
+        points = narrow.withColumn("key", F.xxhash64("z")).checkpoint(eager=True)
+        ks = list(range(2, min(8, n // 3))) if n >= 20 else []
+        best = fit_all(points, sorted({*ks, min(max_k, n)}), n_init, seed, max_iter, tol)
+        k = min(max_k, n)
+        if len(ks) > 1:
+            costs = [best[kk][1] for kk in ks]
+            k = min(ks[int(np.argmin(np.diff(costs))) + 1], max_k, n)
+        centres = best[k][0]
+    return cluster_labels(assign(df.withColumn("_z", F.array(*z)), centres).drop("_z"))
+
+
+def assign(df: DataFrame, centres, z: str = "_z") -> DataFrame:
+    """``cluster`` (nearest centre, the first of equals) and ``cluster_confidence`` of standardised points."""
+    far = [F.sqrt(sum(((F.col(z)[i] - F.lit(float(v))) * (F.col(z)[i] - F.lit(float(v))) for i, v in enumerate(c)), F.lit(0.0)))
+           for c in centres]
+    return (df.withColumn("_d", F.array(*far))
+            .withColumn("cluster", (F.array_position("_d", F.array_min("_d")) - 1).cast("int"))
+            .withColumn("cluster_confidence", 1 / (1 + F.array_min("_d"))).drop("_d"))
 
 
 def cluster_labels(df: DataFrame) -> DataFrame:

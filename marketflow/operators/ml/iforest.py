@@ -10,9 +10,9 @@ MLlib has no isolation forest, so the work is split the Spark way:
 2. **Growing** — ``groupBy(tree).applyInPandas``: one task per tree grows a
    random-split tree over its ψ ≤ 256 rows with numpy.
 3. **Scoring** — the forest (≤ trees × (2ψ−1) nodes: a proven bound) is
-   collected once and shipped with ``mapInPandas``; every partition scores its
-   own rows vectorised.  The anomaly cut is the exact linear-interpolated
-   quantile of the scores (a scalar).
+   collected once and shipped with a pandas UDF that takes the features only; the
+   rest of a row stays in the JVM.  The anomaly cut is the exact linear-interpolated
+   quantile of the scores, found by narrowing (``operators.quantile``).
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ... import settings as S
+from ..quantile import exact_quantile
 
 EULER = 0.5772156649015329
 MASK53 = (1 << 53) - 1
@@ -149,21 +150,20 @@ def isolation_forest(df: DataFrame, features=None, trees: int = S.FOREST_TREES,
                       | {"max_depth": max_depth})
     c_psi = float(avg_path(np.array([psi]))[0])
 
-    out_schema = T.StructType(base.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
-    base_cols = base.columns
-
-    def score(batches):
-        for pdf in batches:
-            x = np.column_stack([pd.to_numeric(pdf[f], errors="coerce").fillna(0.0).to_numpy(dtype=float)
-                                 for f in feats]) if len(pdf) else np.zeros((0, len(feats)))
-            h = np.zeros(len(pdf))
-            for tr in forest:
-                h += _path_lengths(x, tr)
-            out = pdf[base_cols].copy()
-            out["anomaly_score"] = np.power(2.0, -(h / len(forest)) / c_psi) if len(pdf) else []
-            yield out
-
-    # scored once, read twice (quantile cut + output): keep it instead of re-running Python
-    scored = base.mapInPandas(score, out_schema).persist(StorageLevel.MEMORY_AND_DISK)
-    cut = scored.select(F.percentile("anomaly_score", 1 - contamination)).scalar()
-    return scored.withColumn("is_anomaly", (F.col("anomaly_score") > cut).cast("int")).drop("_key")
+    @F.pandas_udf(T.DoubleType())
+    def score(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        h = np.zeros(len(x))
+        for tr in forest:
+            h += _path_lengths(x, tr)
+        return pd.Series(np.power(2.0, -(h / len(forest)) / c_psi))
+
+    # Only the features cross to Python.  Scores are written once, narrow, for the cut; the output scores its rows
+    # again, which costs less than keeping or joining full-width rows.
+    scored = score(*xcols)
+    cut = exact_quantile(xf.select(score(*[f"_f{i}" for i in range(len(feats))]).alias("s")).checkpoint(eager=True),
+                         "s", 1 - contamination)
+    for kept in (xf, sample):
+        kept.unpersist()
+    return (df.withColumn("anomaly_score", scored)
+            .withColumn("is_anomaly", (F.col("anomaly_score") > F.lit(cut)).cast("int")))

@@ -6,21 +6,24 @@ form: two rows of different categories a, b differ by 1/σa² + 1/σb² in squar
 distance (σc² = pc·(1−pc)), rows of one category by 0 — no one-hot columns are
 materialised.
 
-Targets are a bounded set (their row count is checked before broadcast).  The
-per-target top-k is exact and skew-safe: candidates are first cut to k per
-(target, salt bucket), then to k per target, so no group larger than
-``rows / salts`` is ever sorted in one task.
+Targets may be any number of items.  Targets and candidates are cut into blocks of a
+bounded size; a task compares one block of targets with one block of candidates and
+keeps its ``k`` nearest, carrying only row numbers and standardised features.  The
+``k`` nearest over all blocks follow, and only they are joined with their rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ... import settings as S
 
-MAX_TARGETS = 10_000
-ROWS_PER_SALT = 1_000_000
+#: Rows of a block of targets and of candidates, about.
+TARGET_BLOCK = 2_000
+ROW_BLOCK = 20_000
 
 
 def similar_items(df: DataFrame, targets: DataFrame, k: int = 5,
@@ -55,35 +58,56 @@ def similar_items(df: DataFrame, targets: DataFrame, k: int = 5,
         cats = cats.select("_cat", F.when((F.col("_pc") > 0) & (F.col("_pc") < 1),
                                           1 / (F.col("_pc") * (1 - F.col("_pc"))))
                            .otherwise(F.lit(0.0)).alias("_icv"))
-        # one row per distinct category: bounded by the category vocabulary
-        pts = (pts.join(F.broadcast(cats), pts[category] == cats["_cat"], "left")
+        pts = (pts.join(cats, pts[category] == cats["_cat"], "left")
                .withColumn("_icv", F.coalesce(F.col("_icv"), F.lit(0.0)))
                .withColumn("_cat", F.col(category)))
-    n_t = targets.limit(MAX_TARGETS + 1).count()
-    if n_t > MAX_TARGETS:
-        raise ValueError(f"{n_t} targets exceed the broadcast bound {MAX_TARGETS}")
+    else:
+        pts = pts.withColumns({"_cat": F.lit(None).cast("string"), "_icv": F.lit(0.0)})
+    zs = [f"_z{i}" for i in range(len(feats))]
+    pts = _numbered(pts, row_key)
+    narrow = pts.select("_no", F.col("item_id").cast("string").alias("_id"), F.array(*zs).alias("_z"),
+                        F.col("_cat").cast("string").alias("_cat"), "_icv").checkpoint(eager=True)
     tid = targets.select(F.col(targets.columns[0]).cast("string").alias("target_id")).distinct()
     # the target's own point: its first row in the frame's row order
-    tcols = [F.col(f"_z{i}").alias(f"_tz{i}") for i in range(len(feats))]
-    if use_cat:
-        tcols += [F.col("_cat").alias("_tcat"), F.col("_icv").alias("_ticv")]
-    tp = pts.join(F.broadcast(tid), pts["item_id"] == tid["target_id"], "inner")
-    first = Window.partitionBy("target_id").orderBy(*[F.col(c) for c in row_key])
-    tp = (tp.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1)
-          .select("target_id", *tcols))
-    cand = pts.join(F.broadcast(tp), pts["item_id"] != tp["target_id"], "inner")
-    d2 = sum(((F.col(f"_z{i}") - F.col(f"_tz{i}")) ** 2 for i in range(len(feats))), F.lit(0.0))
-    if use_cat:
-        d2 = d2 + F.when(~F.col("_cat").eqNullSafe(F.col("_tcat")),
-                         F.col("_icv") + F.col("_ticv")).otherwise(F.lit(0.0))
-    cand = cand.withColumn("distance", F.sqrt(d2))
-    n_rows = stats.select("_n").first()[0] or 0
-    salts = max(1, -(-n_rows // ROWS_PER_SALT))
-    order = [F.col("distance")] + [F.col(c) for c in row_key]
-    cand = cand.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in row_key]), F.lit(salts)))
-    stage1 = (cand.withColumn("_r1", F.row_number().over(
-        Window.partitionBy("target_id", "_salt").orderBy(*order))).filter(F.col("_r1") <= k))
-    top = (stage1.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy(*order)))
-           .filter(F.col("rank") <= k))
-    drop = [c for c in top.columns if c.startswith("_")]
-    return top.withColumn("similarity_score", 1 / (1 + F.col("distance"))).drop(*drop)
+    tp = (narrow.join(tid, narrow["_id"] == tid["target_id"])
+          .groupBy("target_id").agg(F.min_by(F.struct("_z", "_cat", "_icv"), "_no").alias("p"))
+          .select("target_id", "p.*").checkpoint(eager=True))
+    t_blocks, r_blocks = tp.count() // TARGET_BLOCK + 1, narrow.count() // ROW_BLOCK + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = tp.withColumn("tb", F.pmod(F.xxhash64("target_id"), F.lit(t_blocks)).cast("int")).withColumn("rb", every(r_blocks))
+    right = narrow.withColumn("rb", F.pmod(F.xxhash64("_no"), F.lit(r_blocks)).cast("int")).withColumn("tb", every(t_blocks))
+
+    def block(t: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(t) or not len(r):
+            return pd.DataFrame({"target_id": [], "n_no": [], "distance": []})
+        r = r.sort_values("_no")
+        codes = pd.factorize(pd.concat([t["_cat"], r["_cat"]]), use_na_sentinel=True)[0]
+        tc, rc = codes[:len(t)], codes[len(t):]
+        rz, no, ids, ricv = np.stack(r["_z"].to_numpy()), r["_no"].to_numpy(), r["_id"].to_numpy(), r["_icv"].to_numpy()
+        out = []
+        for i, (target, z0, icv) in enumerate(zip(t["target_id"], t["_z"], t["_icv"])):
+            d2 = np.zeros(len(r))
+            for j, v in enumerate(z0):
+                d2 += (rz[:, j] - v) ** 2
+            d2 += np.where(rc == tc[i], 0.0, ricv + icv)
+            d = np.sqrt(d2)
+            d[ids == target] = np.inf
+            d[pd.isna(ids)] = np.inf
+            top = np.argsort(d, kind="stable")[:k]
+            out.append(pd.DataFrame({"target_id": target, "n_no": no[top], "distance": d[top]}))
+        out = pd.concat(out)
+        return out[np.isfinite(out["distance"])]
+
+    near = (left.groupBy("tb", "rb").cogroup(right.groupBy("tb", "rb"))
+            .applyInPandas(block, "target_id string, n_no long, distance double"))
+    best = Window.partitionBy("target_id").orderBy("distance", "n_no")
+    top = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    rows = pts.join(top, pts["_no"] == top["n_no"])
+    drop = [c for c in rows.columns if c.startswith("_")] + ["n_no"]
+    return rows.withColumn("similarity_score", 1 / (1 + F.col("distance"))).drop(*drop)
+
+
+def _numbered(df: DataFrame, row_key) -> DataFrame:
+    """``_no``: numbers that follow the row order, with gaps; written once, so that every reader sees the same."""
+    return (df.repartitionByRange(*[F.col(c) for c in row_key]).sortWithinPartitions(*row_key)
+            .withColumn("_no", F.monotonically_increasing_id()).checkpoint(eager=True))

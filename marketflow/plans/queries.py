@@ -18,7 +18,7 @@ ROW_ORDER = "item_id, ts, l_orderkey, l_linenumber, l_suppkey"
 
 
 def latest(spark, d):
-    return A.latest_prices(prices(spark, d))
+    return A.latest_prices(prices(spark, d, last_minutes=45))
 
 
 def snapshot(spark, d):
@@ -83,7 +83,7 @@ FROM prices WHERE ts > {a} - INTERVAL {h} HOUR GROUP BY item_id"""
 @register("market_trends", O.with_ctes(_P, body=TRENDS_SQL.format(a=O.ANCHOR, h=6)),
           doubles=("avg_profit",))
 def q_market_trends(spark, d):
-    return A.market_trends(prices(spark, d, with_levels=False), hours=6)
+    return A.market_trends(prices(spark, d, with_levels=False, last_minutes=6 * 60), hours=6)
 
 
 ITEM_TREND_SQL = """
@@ -99,7 +99,7 @@ TREND_DOUBLES = ("avg_profit", "avg_flea_price", "avg_trader_price", "avg_offers
 @register("item_trend_data", O.with_ctes(_P, body=ITEM_TREND_SQL.format(a=O.ANCHOR, h=24)),
           doubles=TREND_DOUBLES)
 def q_item_trend_data(spark, d):
-    return A.item_trend_data(prices(spark, d, with_levels=False), hours=24)
+    return A.item_trend_data(prices(spark, d, with_levels=False, last_minutes=24 * 60), hours=24)
 
 
 @register("profit_statistics", O.with_ctes(_P, body=f"""
@@ -110,7 +110,7 @@ SELECT CAST(COUNT(DISTINCT item_id) AS BIGINT) AS unique_items, CAST(COUNT(*) AS
        24 AS data_hours
 FROM prices WHERE ts > {O.ANCHOR} - INTERVAL 24 HOUR"""), doubles=("avg_profit", "avg_flea_price", "avg_offers"))
 def q_profit_statistics(spark, d):
-    return A.profit_statistics(prices(spark, d, with_levels=False), hours=24)
+    return A.profit_statistics(prices(spark, d, with_levels=False, last_minutes=24 * 60), hours=24)
 
 
 @register("table_health", O.with_ctes(_P, body=f"""
@@ -132,7 +132,7 @@ def q_table_health(spark, d):
 SELECT *, CASE WHEN abs(avg_profit) <> 0 THEN (max_profit - min_profit) / abs(avg_profit) ELSE 0.0 END AS volatility
 FROM ({TRENDS_SQL.format(a=O.ANCHOR, h=6)}) t"""), doubles=("avg_profit", "volatility"))
 def q_trend_volatility(spark, d):
-    return A.trend_volatility(A.market_trends(prices(spark, d, with_levels=False), hours=6))
+    return A.trend_volatility(A.market_trends(prices(spark, d, with_levels=False, last_minutes=6 * 60), hours=6))
 
 
 @register("market_with_trends", O.with_ctes(O.PRICES, O.LATEST, body=f"""
@@ -142,8 +142,7 @@ SELECT l.*, t.avg_profit AS trend_avg, t.min_profit AS trend_min, t.max_profit A
 FROM latest l LEFT JOIN ({TRENDS_SQL.format(a=O.ANCHOR, h=168)}) t ON l.item_id = t.item_id"""),
           doubles=PRICE_DOUBLES + ("trend_avg",))
 def q_market_with_trends(spark, d):
-    p = prices(spark, d)
-    return A.market_with_trends(A.latest_prices(p), A.market_trends(p, hours=168))
+    return A.market_with_trends(latest(spark, d), A.market_trends(prices(spark, d, with_levels=False, last_minutes=168 * 60), hours=168))
 
 
 # --- filters / lookups / top-k (#36-42, #66) -----------------------------------

@@ -216,7 +216,7 @@ SELECT COUNT(*) > 0 AS enabled, COUNT(*) AS items_with_history,
   CAST(LEAST(100, floor(COUNT(*) FILTER (WHERE data_points >= 12) / GREATEST(COUNT(*), 1) * 100)) AS INTEGER) AS learning_quality
 FROM trends"""), doubles=("avg_data_points",))
 def q_trend_learning_status(spark, d):
-    return L.trend_learning_status(A.item_trend_data(prices(spark, d, with_levels=False), hours=24))
+    return L.trend_learning_status(A.item_trend_data(prices(spark, d, with_levels=False, last_minutes=24 * 60), hours=24))
 
 
 @register("item_trend_summary", O.with_ctes(O.PRICES, TREND24, body="""
@@ -225,7 +225,7 @@ WHERE item_id IN (SELECT CAST(p_partkey AS VARCHAR) FROM part)"""),
           doubles=("avg_profit", "avg_flea_price", "avg_trader_price", "avg_offers", "profit_range"))
 def q_item_trend_summary(spark, d):
     ids = read_table(spark, d, "part").select("p_partkey")
-    return L.item_trend_summary(A.item_trend_data(prices(spark, d, with_levels=False), hours=24), ids)
+    return L.item_trend_summary(A.item_trend_data(prices(spark, d, with_levels=False, last_minutes=24 * 60), hours=24), ids)
 
 
 @register("learned_retention", O.with_ctes(O.PRICES, ITEM_STATS_CTE, body=f"""

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import anchored as A
 from ..operators import metrics as M
-from ..operators import query as Q
 from ..operators import scoring as SC
 from ..operators.ml import cluster as CL
 from ..operators.ml import iforest as IF
@@ -19,18 +18,13 @@ ROW_KEY = ("item_id", "ts", "l_orderkey", "l_linenumber", "l_suppkey")
 
 
 def snapshot_features(spark, d):
-    return M.prepare_features(M.trade_metrics(A.latest_prices(prices(spark, d))))
+    return M.prepare_features(M.trade_metrics(A.latest_prices(prices(spark, d, last_minutes=45))))
 
 
 def full_features(spark, d):
     return M.prepare_features(M.trade_metrics(prices(spark, d)))
 
 
-def card_targets(snap):
-    """The dashboard's six top-profit cards (#66): the items a user opens to see look-alikes."""
-    return Q.top_k(snap, [("profit", True)], 6).select("item_id")
-
-
 SIM_COLS = ("target_id", "rank", "item_id", "name", "category", "profit", "distance", "similarity_score")
 
 SIM_SQL = f"""
@@ -62,10 +56,7 @@ pts AS (
     COALESCE(c.icv, 0.0) AS icv
   FROM feat f CROSS JOIN st LEFT JOIN cats c ON f.category = c.cat
 ),
-targets AS (
-  SELECT item_id AS target_id FROM metrics
-  ORDER BY profit DESC NULLS LAST, item_id, ts, l_orderkey, l_linenumber, l_suppkey LIMIT 6
-),
+targets AS (SELECT DISTINCT item_id AS target_id FROM metrics),
 tp AS (
   SELECT * FROM (
     SELECT t.target_id, p.z0 AS t0, p.z1 AS t1, p.z2 AS t2, p.z3 AS t3, p.z4 AS t4, p.category AS tcat, p.icv AS ticv,
@@ -86,7 +77,7 @@ SELECT target_id, rank, item_id, name, category, profit, distance, 1 / (1 + dist
   FROM cand) WHERE rank <= 5"""), doubles=("distance", "similarity_score"))
 def q_similar_items(spark, d):
     snap = snapshot_features(spark, d)
-    out = NB.similar_items(snap, card_targets(snap), k=5, row_key=ROW_KEY)
+    out = NB.similar_items(snap, snap.select("item_id"), k=5, row_key=ROW_KEY)
     return out.select(*SIM_COLS)
 
 
@@ -124,8 +115,8 @@ def q_recommendations(spark, d):
     """Flagship: latest snapshot ⟶ learned ⟶ trend score ⟶ anomalies ⟶ risk ⟶ clusters ⟶ filters."""
     from ..operators import learned as L
     from ..operators import recommend as RC
-    p = prices(spark, d)
-    snap = M.trade_metrics(A.latest_prices(p))
+    p = prices(spark, d, with_levels=False)
+    snap = M.trade_metrics(A.latest_prices(prices(spark, d, last_minutes=45)))
     learned = (L.item_statistics(p), L.category_performance(p), L.trader_reliability(p))
-    recs = RC.recommendations(snap, A.item_trend_data(p, hours=24), learned, row_key=ROW_KEY)
+    recs = RC.recommendations(snap, A.item_trend_data(prices(spark, d, with_levels=False, last_minutes=24 * 60), hours=24), learned, row_key=ROW_KEY)
     return recs.select(*REC_COLS)

@@ -93,8 +93,8 @@ def q_risk_score(spark, d):
 
 
 def snapshot_trends(spark, d):
-    p = prices(spark, d)
-    return M.trade_metrics(A.latest_prices(p)), A.item_trend_data(p, hours=24)
+    snap = A.latest_prices(prices(spark, d, last_minutes=45))
+    return M.trade_metrics(snap), A.item_trend_data(prices(spark, d, with_levels=False, last_minutes=24 * 60), hours=24)
 
 
 TREND_CTE = """

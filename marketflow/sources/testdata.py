@@ -1,13 +1,14 @@
 """The canonical ``prices`` table derived from the shared test tables.
 
 One ship-day becomes one 5-minute polling cycle; an item is a part, its trader a
-supplier bucket.  This is the reader every query starts from; on a cluster the
-same columns would come from the ingested, date-partitioned ``prices`` table
-(``sources.store``).
+supplier bucket.  This is the reader every query starts from; the ingested
+table with the same columns is ``sources.store``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +17,20 @@ from ..operators.levels import level_requirement_expr
 
 EPOCH_DAY = "1995-01-01"
 CYCLE_BASE = "2024-01-01 00:00:00"
+MINUTES_PER_DAY = 5   # a ship day is one poll
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def prices(spark: SparkSession, sf_dir: str, with_levels: bool = True) -> DataFrame:
+def prices(spark: SparkSession, sf_dir: str, with_levels: bool = True, last_minutes: int | None = None) -> DataFrame:
     """``lineitem ⋈ part`` mapped to the snapshot schema (see FIXTURES.md §B).
 
+    ``last_minutes`` bounds the raw ship day from below by the newest one, so that the scan itself skips what lies
+    before the window; the bound is one scalar subquery over that column (every line has its part, so it is also
+    the newest poll).  Operators still apply their own exact window.
+
     The join is a plain equi-join on the part key; Catalyst broadcasts ``part``
     while it is under the broadcast threshold and sort-merges beyond it.
     Only the columns the mapping needs are read (pruned at the scan).
@@ -32,6 +38,10 @@ def prices(spark: SparkSession, sf_dir: str, with_levels: bool = True) -> DataFr
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
+    if last_minutes is not None:
+        days = F.make_dt_interval(F.lit(math.ceil(last_minutes / MINUTES_PER_DAY)))
+        newest = read_table(spark, sf_dir, "lineitem").select(F.max("l_shipdate") - days)
+        li = li.filter(F.col("l_shipdate") >= newest.scalar())
     pt = read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
     if with_levels:
@@ -42,7 +52,7 @@ def prices(spark: SparkSession, sf_dir: str, with_levels: bool = True) -> DataFr
 
     flea = F.floor(F.col("p_retailprice") * 2).cast("bigint")
     trader = F.floor(F.col("l_extendedprice") / F.col("l_quantity")).cast("bigint")
-    minutes = F.datediff(F.to_date("l_shipdate"), F.lit(EPOCH_DAY).cast("date")) * 5
+    minutes = F.datediff(F.to_date("l_shipdate"), F.lit(EPOCH_DAY).cast("date")) * MINUTES_PER_DAY
     ts = F.lit(CYCLE_BASE).cast("timestamp_ntz") + F.make_dt_interval(
         F.lit(0), F.lit(0), minutes, F.lit(0))
 
