@@ -244,20 +244,26 @@ def category_trends(perf: DataFrame, min_items: int = 5) -> DataFrame:
 
 
 def learning_progress(stats: DataFrame, perf: DataFrame, traders: DataFrame,
-                      cycles: DataFrame) -> DataFrame:
-    """#103: data-volume quality scores (items / sessions / samples) and their mean."""
+                      cycles: DataFrame, accuracy: DataFrame | None = None, recent: int = 10) -> DataFrame:
+    """#103: data-volume quality scores (items / sessions / samples) and their mean.
+
+    ``accuracy`` (ts, accuracy) is the accuracy history; ``recent_accuracy`` is the mean of its newest ``recent``
+    entries that have a value, null without any.
+    """
     a = stats.agg(F.count(F.lit(1)).alias("unique_items_learned"))
     b = perf.agg(F.count(F.lit(1)).alias("categories_tracked"))
     c = traders.agg(F.count(F.lit(1)).alias("traders_tracked"))
     d = cycles.agg(F.count(F.lit(1)).alias("total_sessions"),
                    F.coalesce(F.sum("items_processed"), F.lit(0)).alias("total_samples"))
     j = a.crossJoin(b).crossJoin(c).crossJoin(d)   # four one-row aggregates
+    last = (F.lit(None).cast("double") if accuracy is None else
+            accuracy.orderBy(F.desc("ts")).limit(recent).select(F.avg("accuracy")).scalar())
     iq = F.least(F.lit(100.0), F.col("unique_items_learned") / 50 * 100)
     sq = F.least(F.lit(100.0), F.col("total_sessions") / 100 * 100)
     mq = F.least(F.lit(100.0), F.col("total_samples") / 10000 * 100)
     return j.select("*", iq.alias("items_quality"), sq.alias("sessions_quality"),
                     mq.alias("samples_quality"), ((iq + sq + mq) / 3).alias("overall_quality"),
-                    F.lit(None).cast("double").alias("recent_accuracy"))
+                    last.alias("recent_accuracy"))
 
 
 def trend_learning_status(trends: DataFrame, min_points: int = S.TREND_MIN_DATA_POINTS) -> DataFrame:
@@ -285,3 +291,13 @@ def learned_retention(stats: DataFrame, now, days: int = 30) -> DataFrame:
         return stats
     cutoff = ts_literal(now) - F.make_dt_interval(F.lit(int(days)))
     return stats.filter(~(F.col("last_seen") < cutoff))
+
+
+def learned_item_score(stats: DataFrame, item_ids: DataFrame | None = None) -> DataFrame:
+    """#105: learned statistics of the requested items (all without ``item_ids``); untracked items give no row."""
+    if item_ids is not None:
+        ids = item_ids.select(F.trim(F.col(item_ids.columns[0]).cast("string")).alias("item_id")).distinct()
+        stats = stats.join(ids, "item_id", "left_semi")
+    return stats.select("item_id", F.col("profit_mean").alias("learned_profit_mean"),
+                        F.col("consistency_score").alias("learned_consistency"), F.col("count").alias("data_points"),
+                        "first_seen", "last_seen")

@@ -7,10 +7,8 @@ explicit ``priority``.  Two physical forms:
   compiled into one CASE chain that runs inside whole-stage codegen with no
   join at all (used at ingest for the stored ``flea_level_required``).
 * ``level_requirement`` — rules arrive as a DataFrame.  They are matched
-  against the *distinct* (name, category) pairs only (partial aggregation makes
-  that tiny), with the rule side broadcast behind a size check, and the result
-  is joined back on the pair; AQE turns that into a broadcast when the pair set
-  is small.
+  against the *distinct* (name, category, handbook names) only, and the result
+  is joined back on these; how rules and names are joined is the optimizer's.
 """
 
 from __future__ import annotations
@@ -114,27 +112,22 @@ def rules_frame(spark, rules=S.DEFAULT_LEVEL_RULES) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, pattern string, level int, priority int")
 
 
-def level_requirement(df: DataFrame, rules: DataFrame, name="name", category="category",
-                      out="flea_level_required", default: int = S.FLEA_MARKET_UNLOCK_LEVEL,
-                      max_rule_rows: int = 100_000) -> DataFrame:
+def level_requirement(df: DataFrame, rules: DataFrame, name="name", category="category", handbook=None,
+                      out="flea_level_required", default: int = S.FLEA_MARKET_UNLOCK_LEVEL) -> DataFrame:
     """Table-driven form of the rule matcher (same semantics as the CASE chain).
 
-    Matching is a theta join, so it runs against the distinct (name, category)
-    pairs only; the rule side is broadcast after its row count is checked.
+    Item and category rules are matched in a theta join, handbook names (an array column) in an equi-join.
     """
-    n_rules = rules.count()
-    if n_rules > max_rule_rows:
-        raise ValueError(f"rule table has {n_rules} rows; broadcast bound is {max_rule_rows}")
-    r = F.broadcast(rules.select("kind", "pattern", "level", "priority"))
-    keys = (df.select(F.coalesce(F.col(name), F.lit("")).alias("_n"),
-                      F.coalesce(F.col(category), F.lit("")).alias("_c"))
-            .distinct())
+    r = rules.select("kind", "pattern", "level", "priority")
+    hb = F.array().cast("array<string>") if handbook is None else F.coalesce(F.col(handbook), F.array().cast("array<string>"))
+    df = df.withColumns({"_kn": F.coalesce(F.col(name), F.lit("")), "_kc": F.coalesce(F.col(category), F.lit("")), "_kh": hb})
+    keys = df.select(F.col("_kn").alias("_n"), F.col("_kc").alias("_c"), F.col("_kh").alias("_h")).distinct()
     ln, c = F.lower(F.col("_n")), F.col("_c")
     lc = F.lower(c)
     pat, lp = F.col("pattern"), F.lower(F.col("pattern"))
     plen = F.length(pat)
     bclass = S.BOUNDARY_CLASS
-    # Rank = (stage, position): item rules < exact category < ci category < plural.
+    # Rank = (stage, place, inexact, priority): item rules < exact category < other case < handbook < plural.
     item_hit = (F.col("kind") == "item") & (
         (ln == lp)
         | ((plen >= 5) & ln.contains(lp))
@@ -147,15 +140,19 @@ def level_requirement(df: DataFrame, rules: DataFrame, name="name", category="ca
     plural = (F.col("kind") == "category") & ~skip & (
         (F.rtrim(lc, F.lit("s")) == F.rtrim(lp, F.lit("s")))
         | (F.rtrim(lc, F.lit("es")) == F.rtrim(lp, F.lit("es"))))
-    stage = (F.when(item_hit, 0).when(cat_exact, 1).when(cat_ci, 2).when(plural, 3))
-    matched = (keys.join(r, item_hit | cat_exact | cat_ci | plural, "inner")
-               .select("_n", "_c", stage.alias("_stage"), "priority", "level")
-               .groupBy("_n", "_c")
-               .agg(F.min_by("level", F.struct("_stage", "priority")).alias("_lvl")))
-    joined = df.join(matched, (F.coalesce(F.col(name), F.lit("")) == F.col("_n"))
-                     & (F.coalesce(F.col(category), F.lit("")) == F.col("_c")), "left")
+    none = F.lit(0)
+    stage = F.when(item_hit, 0).when(cat_exact, 1).when(cat_ci, 2).when(plural, 4)
+    direct = (keys.join(r, item_hit | cat_exact | cat_ci | plural)
+              .select("_n", "_c", "_h", F.struct(stage.alias("stage"), none.alias("place"), none.alias("inexact"), "priority").alias("_rank"), "level"))
+    named = keys.select("_n", "_c", "_h", F.posexplode("_h").alias("_place", "_name"))
+    by_handbook = (named.join(r.filter(F.col("kind") == "category"), F.lower("_name") == F.lower("pattern"))
+                   .select("_n", "_c", "_h", F.struct(F.lit(3).alias("stage"), F.col("_place").alias("place"),
+                                                      (F.col("_name") != F.col("pattern")).cast("int").alias("inexact"), "priority").alias("_rank"), "level"))
+    matched = (direct.unionByName(by_handbook).groupBy("_n", "_c", "_h")
+               .agg(F.min_by("level", "_rank").alias("_lvl")))
+    joined = df.join(matched, (F.col("_kn") == F.col("_n")) & (F.col("_kc") == F.col("_c")) & (F.col("_kh") == F.col("_h")), "left")
     return (joined.withColumn(out, F.coalesce(F.col("_lvl"), F.lit(default)).cast("int"))
-            .drop("_n", "_c", "_lvl"))
+            .drop("_n", "_c", "_h", "_lvl", "_kn", "_kc", "_kh"))
 
 
 def level_backfill(df: DataFrame, rules=S.DEFAULT_LEVEL_RULES, level="flea_level_required",
@@ -164,14 +161,46 @@ def level_backfill(df: DataFrame, rules=S.DEFAULT_LEVEL_RULES, level="flea_level
 
     Category equality (case-sensitive) sets the level; item rules then only
     raise it: substring (case-insensitive LIKE) for patterns of 5+ chars, exact
-    name equality otherwise.  Applied rule by rule in order, as the updates are.
+    name equality otherwise.  Applied rule by rule in order, as the updates are; a row
+    without a stored level is left alone.
     """
     items, cats = _split(rules)
     lvl = F.col(level)
     for p, v in cats:
-        lvl = F.when(F.col(category) == F.lit(p), F.lit(v)).otherwise(lvl)
+        lvl = F.when((F.col(category) == F.lit(p)) & lvl.isNotNull(), F.lit(v)).otherwise(lvl)
     for p, v in items:
         hit = (F.lower(F.col(name)).contains(p.lower()) if len(p) >= 5
                else F.col(name) == F.lit(p))
         lvl = F.when(hit & (lvl < v), F.lit(v)).otherwise(lvl)
     return df.withColumn(level, lvl.cast("int"))
+
+
+def lock_reference_table(payload: DataFrame, rules=S.DEFAULT_LEVEL_RULES,
+                         unlock_level: int = S.FLEA_MARKET_UNLOCK_LEVEL, market: str = "Flea Market") -> DataFrame:
+    """The reference table of access levels from payload items: level, flags and the best dealer in any currency.
+
+    Ordered by level (highest first), then name.  The best dealer is the first with the highest price above 0.
+    """
+    offers = F.filter(F.coalesce(F.col("sellFor"), F.array().cast(payload.schema["sellFor"].dataType)),
+                      lambda o: F.coalesce(o["vendor"]["name"], F.lit("")) != F.lit(market))
+    init = F.struct(F.lit(0).cast("long").alias("price"), F.lit(None).cast("string").alias("name"))
+    best = F.aggregate(offers, init, lambda acc, o: F.when(
+        F.coalesce(o["price"], F.lit(0)) > acc["price"],
+        F.struct(o["price"].alias("price"), F.coalesce(o["vendor"]["name"], F.lit("")).alias("name"))).otherwise(acc))
+    types = F.coalesce(F.col("types"), F.array().cast("array<string>"))
+    names = F.transform(F.filter(F.coalesce(F.col("handbookCategories"), F.array().cast(payload.schema["handbookCategories"].dataType)),
+                                 lambda h: F.coalesce(h["name"], F.lit("")) != ""), lambda h: h["name"])
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    t = payload.select(
+        text("id").alias("item_id"), text("name").alias("name"), text("shortName").alias("short_name"),
+        F.when(F.col("category").isNull(), F.lit("Unknown")).otherwise(F.coalesce("category.name", F.lit("Unknown"))).alias("category"),
+        names.alias("_names"), F.array_join(types, ", ").alias("types"),
+        F.array_contains(types, "noFlea").alias("no_flea"), F.array_contains(types, "markedOnly").alias("marked_only"),
+        F.coalesce("basePrice", F.lit(0)).cast("long").alias("base_price"), best.alias("_best"))
+    t = t.withColumn("flea_level_required", level_requirement_expr("name", "category", handbook="_names", rules=rules, default=unlock_level))
+    best_name = F.when(F.coalesce("_best.name", F.lit("")) == "", F.lit("None")).otherwise(F.col("_best.name"))
+    return t.select(
+        "item_id", "name", "short_name", "category", F.array_join("_names", ", ").alias("handbook_categories"), "types",
+        "no_flea", "marked_only", "base_price", best_name.alias("best_trader"), F.col("_best.price").alias("trader_price"),
+        "flea_level_required", (F.col("flea_level_required") > unlock_level).alias("flea_locked"),
+    ).orderBy(F.desc("flea_level_required"), "name")

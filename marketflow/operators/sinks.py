@@ -88,8 +88,9 @@ def export_recommendations(df: DataFrame, path: str, fmt: str = "csv") -> str:
 
 
 def market_snapshot(df: DataFrame, spark: SparkSession, name: str = "market") -> dict:
-    """#14: one snapshot → CSV + JSON + summary rows, written side by side."""
+    """#14: one snapshot → CSV + JSON + summary rows, written side by side from one evaluation of the input."""
     base = export_path(spark, name)
+    df = df.checkpoint(eager=True)
     write_csv(df, f"{base}/csv")
     write_json(df, f"{base}/json")
     write_json(SM.market_summary(df), f"{base}/summary")

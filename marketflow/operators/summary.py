@@ -198,6 +198,12 @@ def price_trader_points(df: DataFrame) -> DataFrame:
                      bound.alias("break_even_max"))
 
 
+def risk_opportunity_points(df: DataFrame) -> DataFrame:
+    """#69: points of the risk-against-opportunity chart."""
+    extra = [c for c in ("cluster_label",) if c in df.columns]
+    return df.select("item_id", "name", "profit", "risk_score", "ml_opportunity_score", *extra)
+
+
 def market_summary(df: DataFrame) -> DataFrame:
     """#13: report data as ``(section, ord, label, value)`` rows."""
     p = F.col("profit")

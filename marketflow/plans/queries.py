@@ -405,3 +405,4 @@ from . import queries_ml  # noqa: E402,F401
 from . import queries_alerts  # noqa: E402,F401
 from . import queries_ingest  # noqa: E402,F401
 from . import queries_stream  # noqa: E402,F401
+from . import queries_more  # noqa: E402,F401
