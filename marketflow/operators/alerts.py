@@ -42,14 +42,7 @@ def rule(id, alert_type, item_id=None, item_name=None, category=None, threshold_
 
 def default_rules() -> list[tuple]:
     """#92: the three rules created on first start."""
-    return [
-        rule("high_profit_auto", PROFIT_THRESHOLD, threshold_value=S.ALERT_HIGH_PROFIT_THRESHOLD,
-             priority="high", message="Item has very high profit potential"),
-        rule("high_roi_auto", HIGH_ROI, threshold_value=S.ALERT_HIGH_ROI_THRESHOLD, priority="medium",
-             message="Item has exceptional ROI"),
-        rule("arbitrage_auto", ARBITRAGE, threshold_value=0, priority="critical",
-             message="Unusual arbitrage opportunity detected"),
-    ]
+    return [rule(i, kind, threshold_value=v, priority=p, message=m) for i, kind, v, p, m in S.DEFAULT_ALERTS]
 
 
 def watchlist_rule(item_id: str, item_name: str, profit_threshold: float = 5000) -> tuple:

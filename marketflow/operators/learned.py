@@ -209,23 +209,23 @@ def calibration_ema(cycles: DataFrame, alpha: float = S.CALIBRATION_ALPHA,
         for k, v in zip(names, init)])
 
 
-def training_sessions(cycles: DataFrame, keep: int = S.TRAINING_SESSION_CAP) -> DataFrame:
-    """#99: the last ``keep`` sessions with cumulative totals (one row per cycle)."""
+def training_sessions(cycles: DataFrame, keep: int | None = S.TRAINING_SESSION_CAP) -> DataFrame:
+    """#99: the last ``keep`` sessions (None: all) with cumulative totals (one row per cycle)."""
     run = Window.orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
     c = cycles.select("cycle", "items_processed", "profitable_count", "profitable_rate", "avg_profit",
                       F.sum("items_processed").over(run).alias("total_items_seen"),
                       F.sum("profitable_count").over(run).alias("total_profitable_items"),
                       F.row_number().over(Window.orderBy(F.desc("cycle"))).alias("_back"))
-    return c.filter(F.col("_back") <= keep).drop("_back")
+    return (c if keep is None else c.filter(F.col("_back") <= keep)).drop("_back")
 
 
-def daily_summary(prices: DataFrame, ts: str = "ts", keep: int = S.DAILY_SUMMARY_CAP) -> DataFrame:
-    """#100: one summary per day (replaced by key), the latest ``keep`` days."""
+def daily_summary(prices: DataFrame, ts: str = "ts", keep: int | None = S.DAILY_SUMMARY_CAP) -> DataFrame:
+    """#100: one summary per day (replaced by key), the latest ``keep`` days (None: all)."""
     d = (prices.groupBy(F.to_date(ts).alias("date"))
          .agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("profit") > 0).alias("profitable"),
               F.avg("profit").alias("avg_profit"), F.max("profit").alias("max_profit")))
     back = F.row_number().over(Window.orderBy(F.desc("date")))
-    return d.withColumn("_back", back).filter(F.col("_back") <= keep).drop("_back")
+    return d if keep is None else d.withColumn("_back", back).filter(F.col("_back") <= keep).drop("_back")
 
 
 def top_learned_items(stats: DataFrame, n: int = 20, min_points: int = S.TREND_MIN_DATA_POINTS) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.columns import clip, gdiv, liquidity_tier
-from ..functions.joins import broadcast_if_small
 
 
 def _ensure(df: DataFrame, cols, default=0) -> DataFrame:
@@ -149,15 +148,14 @@ def category_target_encoding(df: DataFrame, category: str = "category",
                              value: str = "profit", out: str = "category_avg_profit") -> DataFrame:
     """#34: mean profit of the row's category; null category -> 0.
 
-    Partial per-category aggregation (skew-safe map-side combine) joined back
-    as a broadcast once its row count is checked, so the wide fact side is
-    never shuffled for it.
+    Partial per-category aggregation (skew-safe map-side combine) joined back;
+    how is left to the optimizer, which sees the size of the aggregate.
     """
     if category not in df.columns:
         return df
     means = (df.filter(F.col(category).isNotNull()).groupBy(category)
              .agg(F.avg(value).alias("_cat_mean")))
-    j = df.join(broadcast_if_small(means), category, "left")
+    j = df.join(means, category, "left")
     return j.withColumn(out, F.coalesce("_cat_mean", F.lit(0.0))).drop("_cat_mean")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ... import settings as S
+from ..sequence import numbered
 
 #: Rows of a block of targets and of candidates, about.
 TARGET_BLOCK = 2_000
@@ -64,7 +65,7 @@ def similar_items(df: DataFrame, targets: DataFrame, k: int = 5,
     else:
         pts = pts.withColumns({"_cat": F.lit(None).cast("string"), "_icv": F.lit(0.0)})
     zs = [f"_z{i}" for i in range(len(feats))]
-    pts = _numbered(pts, row_key)
+    pts = numbered(pts, [F.col(c) for c in row_key], "_no").checkpoint(eager=True)
     narrow = pts.select("_no", F.col("item_id").cast("string").alias("_id"), F.array(*zs).alias("_z"),
                         F.col("_cat").cast("string").alias("_cat"), "_icv").checkpoint(eager=True)
     tid = targets.select(F.col(targets.columns[0]).cast("string").alias("target_id")).distinct()
@@ -105,9 +106,3 @@ def similar_items(df: DataFrame, targets: DataFrame, k: int = 5,
     rows = pts.join(top, pts["_no"] == top["n_no"])
     drop = [c for c in rows.columns if c.startswith("_")] + ["n_no"]
     return rows.withColumn("similarity_score", 1 / (1 + F.col("distance"))).drop(*drop)
-
-
-def _numbered(df: DataFrame, row_key) -> DataFrame:
-    """``_no``: numbers that follow the row order, with gaps; written once, so that every reader sees the same."""
-    return (df.repartitionByRange(*[F.col(c) for c in row_key]).sortWithinPartitions(*row_key)
-            .withColumn("_no", F.monotonically_increasing_id()).checkpoint(eager=True))

@@ -3,63 +3,42 @@
 ``average_rank`` never funnels the frame through one partition: ties are first
 collapsed by a ``groupBy(value).count()`` (map-side combined, so a value held by
 a third of the rows is one partial row per task), the distinct values are
-bucketed by approximate quantile boundaries, prefix counts are taken inside
-each bucket plus a tiny per-bucket offset table, and the ranks are joined back
-on the value.
+range-partitioned, prefix counts are taken inside each partition plus a tiny
+table of partition offsets, and the ranks are joined back on the value.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sequence import sequence_index
 
-RANK_BROADCAST_ROWS = 2_000_000
-
 
 def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
-                 buckets: int = 64, pct_out: str | None = None) -> DataFrame:
+                 pct_out: str | None = None) -> DataFrame:
     """pandas ``rank(method='average')`` as a column (nulls get a null rank).
 
     ``pct_out`` also adds ``rank(pct=True) * 100`` in the opposite direction
     (ascending when ``descending``), i.e. ``(n + 1 - rank) / n * 100``.
     """
     v = F.col(value)
-    vals = (df.filter(v.isNotNull()).groupBy(value)
-            .agg(F.count(F.lit(1)).alias("_cnt"))
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    qs = [i / buckets for i in range(1, buckets)]
-    # A fixed-size sketch result (buckets - 1 numbers): the only thing brought to the driver.
-    cuts = vals.select(F.percentile_approx(value, qs, 10000)).first()[0] or []
-    bounds = (F.array(*[F.lit(b) for b in sorted(set(cuts))]) if cuts
-              else F.array().cast(f"array<{dict(df.dtypes)[value]}>"))
-    if descending:
-        bucket = F.size(F.filter(bounds, lambda x: x > v))
-        order = v.desc()
-    else:
-        bucket = F.size(F.filter(bounds, lambda x: x < v))
-        order = v.asc()
-    vals = vals.withColumn("_b", bucket)
-    totals = vals.groupBy("_b").agg(F.sum("_cnt").alias("_bn"))
+    vals = df.filter(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
+    order = v.desc() if descending else v.asc()
+    # Distinct values in range partitions, written once; a partition's rows before it are its offset.
+    part = vals.repartitionByRange(order).withColumn("_b", F.spark_partition_id()).checkpoint(eager=True)
+    totals = part.groupBy("_b").agg(F.sum("_cnt").alias("_bn"))
     offs = totals.select(
-        "_b",
-        F.coalesce(F.sum("_bn").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_bn").over(Window.partitionBy(F.lit(1))).alias("_total"))
+        "_b", (F.sum("_bn").over(Window.orderBy("_b")) - F.col("_bn")).alias("_off"),
+        F.sum("_bn").over(Window.partitionBy()).alias("_total"))
     within = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    vals = vals.withColumn("_before", F.coalesce(F.sum("_cnt").over(within), F.lit(0)))
+    before = part.withColumn("_before", F.coalesce(F.sum("_cnt").over(within), F.lit(0)))
     rank = (F.col("_off") + F.col("_before") + (F.col("_cnt") + 1) / 2).cast("double")
     cols = [F.col(value).alias("_rv"), rank.alias(out)]
     if pct_out:
         cols.append(((F.col("_total") + 1 - rank) / F.col("_total") * 100).alias(pct_out))
-    # offs has one row per bucket (<= buckets rows): a bounded broadcast.
-    ranks = vals.join(F.broadcast(offs), "_b").select(*cols)
-    # one row per distinct value: broadcast while that stays under the bound, so the
-    # wide frame is not shuffled just to attach a number; beyond it, a shuffle join
-    if vals.limit(RANK_BROADCAST_ROWS + 1).count() <= RANK_BROADCAST_ROWS:   # ranks has one row per value
-        ranks = F.broadcast(ranks)
+    # offs has one row per partition: a bounded broadcast.
+    ranks = before.join(F.broadcast(offs), "_b").select(*cols)
     return df.join(ranks, v == F.col("_rv"), "left").drop("_rv")
 
 

@@ -1,13 +1,10 @@
-"""Per-key position in time order without funnelling a hot key through one task.
-
-A plain ``row_number().over(partitionBy(key).orderBy(ts))`` puts every row of a
-key into one task; if one item holds a third of the table that task holds a
-third of the table.  Here each key's time span is cut into buckets sized from
-the key's own row count (``target_rows`` rows per bucket on average), rows are
-numbered inside ``(key, bucket)``, and a per-key prefix sum over the bucket
-counts (a table with ``rows / target_rows`` entries) turns the local number into
-the position.  The per-key statistics are a partial aggregate and are joined
-back by key (AQE splits a skewed join partition; broadcast when small).
+"""Positions in a global or per-key order without one task that holds a key.
+
+Rows are range-partitioned by the whole order (key, time, tie-breakers), so a key with most of the rows is cut
+between its rows like any other stretch, also where all of them share one time.  A row's place in its partition and
+the sizes of the partitions before give its global position; a key's least position, a partial aggregate, turns
+that into the position within the key.  The numbered frame is written to the shared folder once, since partition
+bounds must not move between the readers.
 """
 
 from __future__ import annotations
@@ -15,33 +12,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_TARGET_ROWS = 1_000_000
+_LOCAL_BITS = 33   # monotonically_increasing_id(): partition number above, place in the partition below
+
+
+def numbered(df: DataFrame, order, out: str = "_g") -> DataFrame:
+    """Add ``out`` = 0-based position in the total order given by columns or sort expressions."""
+    part = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_m", F.monotonically_increasing_id()).checkpoint(eager=True))
+    pid = F.shiftright("_m", _LOCAL_BITS)
+    sizes = part.groupBy(pid.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition.
+    offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))
+    return (part.withColumn("_p", pid).join(F.broadcast(offsets), "_p")
+            .withColumn(out, F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+            .drop("_m", "_p", "_o"))
 
 
 def sequence_index(df: DataFrame, key: str, ts: str, tiebreak=(), out: str = "_x",
-                   target_rows: int = DEFAULT_TARGET_ROWS, with_count: str | None = None) -> DataFrame:
+                   with_count: str | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of the row within its key, ordered by (ts, *tiebreak).
 
     ``with_count`` additionally adds the key's row count under that name.
     """
-    stats = (df.groupBy(key)
-             .agg(F.count(F.lit(1)).alias("_kn"),
-                  F.min(F.unix_micros(F.col(ts).cast("timestamp"))).alias("_t0"),
-                  F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("_t1")))
-    stats = stats.withColumn("_nb", F.greatest(F.ceil(F.col("_kn") / F.lit(target_rows)), F.lit(1)))
-    j = df.join(stats, key)
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    span = (F.col("_t1") - F.col("_t0") + 1).cast("double")
-    bucket = F.least(F.floor((t - F.col("_t0")).cast("double") / span * F.col("_nb")),
-                     F.col("_nb") - 1).cast("long")
-    j = j.withColumn("_bk", F.when(F.col("_nb") > 1, bucket).otherwise(F.lit(0).cast("long")))
-    order = [F.col(ts)] + [F.col(c) for c in tiebreak]
-    j = j.withColumn("_loc", F.row_number().over(Window.partitionBy(key, "_bk").orderBy(*order)) - 1)
-    counts = j.groupBy(key, "_bk").agg(F.count(F.lit(1)).alias("_bc"))
-    offs = counts.select(key, "_bk", F.coalesce(F.sum("_bc").over(
-        Window.partitionBy(key).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    res = j.join(offs, [key, "_bk"]).withColumn(out, (F.col("_off") + F.col("_loc")).cast("long"))
+    g = numbered(df, [F.col(c) for c in (key, ts, *tiebreak)])
+    stats = g.groupBy(key).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_kn"))
+    res = g.join(stats, key).withColumn(out, (F.col("_g") - F.col("_g0")).cast("long"))
     if with_count:
         res = res.withColumn(with_count, F.col("_kn"))
-    return res.drop("_kn", "_t0", "_t1", "_nb", "_bk", "_loc", "_off")
+    return res.drop("_g", "_g0", "_kn")

@@ -6,26 +6,20 @@ together here as plain data, in their natural order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 # --- fixed values -----------------------------------------------------------
 COLLECTION_INTERVAL_MINUTES = 5
-DATA_RETENTION_DAYS = 7
 LOOKBACK_WINDOW_MINUTES = 45
-LIQUIDITY_NORMALIZATION = 50
 MAX_LIQUIDITY_SCORE = 100
 ANOMALY_CONTAMINATION = 0.05
 FOREST_TREES = 100
 MIN_ITEMS_FOR_ANALYSIS = 10
 MIN_ITEMS_FOR_ANOMALY = 20
-TREND_LOOKBACK_HOURS = 24
 TREND_MIN_DATA_POINTS = 6
 TREND_IMPROVEMENT_THRESHOLD = 0.05
 VOLUME_MIN_FOR_RECOMMENDATION = 5
 VOLUME_LOW = 10
 VOLUME_MEDIUM = 50
 VOLUME_HIGH = 100
-VOLUME_VERY_HIGH = 200
 FLEA_MARKET_UNLOCK_LEVEL = 15
 ALERT_DEFAULT_COOLDOWN_MINUTES = 30
 ALERT_HIGH_PROFIT_THRESHOLD = 10000
@@ -56,7 +50,6 @@ OPPORTUNITY_WEIGHTS = (
     ("profit_per_offer", 0.05), ("buy_feasibility", 0.05), ("price_position", 0.04),
     ("momentum", 0.03), ("trader_accessibility", 0.03), ("market_saturation", 0.02),
 )
-OPPORTUNITY_CORE = ("profit", "capital_efficiency", "profit_per_slot", "liquidity_score")
 OPPORTUNITY_INVERTED = ("price_position", "market_saturation")
 RISK_TOLERANCE = {"low": 40, "medium": 70, "high": 100}
 ANOMALY_FEATURES_CORE = ("profit", "capital_efficiency", "profit_per_slot")
@@ -69,6 +62,12 @@ CLUSTER_LABELS = {1: "🥇 Elite Opportunities", 2: "🥈 High Value", 3: "🥉
 CLUSTER_LABEL_NEGATIVE = "⚠️ Avoid (Negative)"
 CLUSTER_LABEL_DEFAULT = "📊 Standard"
 
+# The alert rules of a first start: (id, threshold, priority, message); the types are those of operators.alerts.
+DEFAULT_ALERTS = (
+    ("high_profit_auto", "profit_threshold", ALERT_HIGH_PROFIT_THRESHOLD, "high", "Item has very high profit potential"),
+    ("high_roi_auto", "high_roi", ALERT_HIGH_ROI_THRESHOLD, "medium", "Item has exceptional ROI"),
+    ("arbitrage_auto", "arbitrage_opportunity", 0, "critical", "Unusual arbitrage opportunity detected"),
+)
 # Level rules over the test-data vocabulary (kind, pattern, level), in priority order.
 DEFAULT_LEVEL_RULES = (
     ("item", "hot plate", 35),
@@ -81,20 +80,3 @@ DEFAULT_LEVEL_RULES = (
 # Word-boundary characters around short item patterns.
 BOUNDARY_CLASS = r"[\s\-_.,()\[\]]"
 # ---------------------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class MarketFilters:
-    """Dashboard filter set (defaults as shipped)."""
-    min_profit: float = 0
-    min_roi: float = 0
-    min_offers: int = 5
-    min_profit_per_slot: float = 0
-    search: str | None = None
-    category: str = "All"
-    max_trader_level: int = 4
-    player_level: int | None = None
-    hide_no_flea: bool = True
-    hide_marked_only: bool = False
-    show_negative: bool = False
-    extra: dict = field(default_factory=dict)
