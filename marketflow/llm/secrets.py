@@ -23,6 +23,8 @@ ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
+#: Sorts by start, then kind.
+_SPANS = "array<struct<start:int,kind:int,stop:int,token:string>>"
 
 #: Tokens that the models judge: runs of these characters, this long at least.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
@@ -40,19 +42,19 @@ FIT_DOCS = 2_000
 
 
 def spans(text: Column, pattern: str, kind: str, long_enough=None) -> Column:
-    """array<struct<start, stop, kind, token>> of the leftmost non-overlapping matches, in code points.
+    """array<struct<start, kind, stop, token>> of the leftmost non-overlapping matches, in code points.
 
     ``long_enough`` maps a match to a condition; matches that fail it are dropped after they have taken their place.
     """
     kind_no = F.lit(KINDS.index(kind))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,kind:int,token:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc, pair):
         a = acc["at"] + F.length(pair["gap"])
         b = a + F.length(pair["token"])
-        span = F.struct(a.alias("start"), b.alias("stop"), kind_no.alias("kind"), pair["token"].alias("token"))
+        span = F.struct(a.alias("start"), kind_no.alias("kind"), b.alias("stop"), pair["token"].alias("token"))
         return F.struct(b.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     pairs = F.zip_with(found, gaps, lambda t, g: F.struct(F.coalesce(t, F.lit("")).alias("token"), g.alias("gap")))
@@ -60,7 +62,7 @@ def spans(text: Column, pattern: str, kind: str, long_enough=None) -> Column:
     out = F.aggregate(pairs, start, step)["out"]
     if long_enough is not None:
         out = F.filter(out, lambda s: long_enough(s["token"]))
-    none = F.array().cast("array<struct<start:int,stop:int,kind:int,token:string>>")
+    none = F.array().cast(_SPANS)
     return F.when(text.rlike(pattern), out).otherwise(none)
 
 
@@ -130,7 +132,7 @@ def train(docs: DataFrame, text_col: str = "text", fit_tokens: int = FIT_TOKENS,
 
 def with_spans(docs: DataFrame, model: DataFrame, text_col: str = "text", base_name: str = "base",
                all_name: str = "spans", min_ratio: float = MIN_RATIO) -> DataFrame:
-    """``docs`` with two more columns: base spans and all spans, array<struct<start, stop, kind, token>>, sorted.
+    """``docs`` with two more columns: base spans and all spans, array<struct<start, kind, stop, token>>, sorted.
 
     Null text is like empty: no spans.  A token that lies in or over a base span is not repeated as random.
     """
