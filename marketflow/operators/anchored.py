@@ -129,11 +129,12 @@ def item_trend_data(prices: DataFrame, item_ids=None, hours: int = 24, ts: str =
 
 def profit_statistics(prices: DataFrame, hours: int = 24, ts: str = "ts",
                       approx_distinct: bool = False) -> DataFrame:
-    """#25: one row of window statistics; nulls become 0.
+    """#25: one row of window statistics; nulls become 0 (bad hours -> 24).
 
     ``approx_distinct`` swaps the exact distinct count (a second shuffle by
     item) for HyperLogLog++ when only an estimate is needed at scale.
     """
+    hours = _valid_hours(hours, 24)
     rows = window_rows(prices, hours, ts)
     distinct = (F.approx_count_distinct("item_id") if approx_distinct
                 else F.count_distinct("item_id"))
@@ -182,10 +183,11 @@ def age_label(age_hours: Column) -> Column:
                                        (mins % 60).cast("bigint"))))
 
 
-def trend_volatility(trends: DataFrame) -> DataFrame:
-    """#27: ``(max - min) / |avg|``, 0 when avg is 0, on top of #23."""
-    return trends.withColumn(
+def trend_volatility(trends: DataFrame, limit: int | None = None) -> DataFrame:
+    """#27: ``(max - min) / |avg|``, 0 when avg is 0, on top of #23; ``limit`` keeps that many rows, None all."""
+    out = trends.withColumn(
         "volatility", gdiv(F.col("max_profit") - F.col("min_profit"), F.abs(F.col("avg_profit"))))
+    return out if limit is None else out.orderBy("item_id").limit(int(limit))
 
 
 def market_with_trends(latest: DataFrame, trends: DataFrame) -> DataFrame:

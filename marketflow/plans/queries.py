@@ -130,9 +130,9 @@ def q_table_health(spark, d):
 
 @register("trend_volatility", O.with_ctes(_P, body=f"""
 SELECT *, CASE WHEN abs(avg_profit) <> 0 THEN (max_profit - min_profit) / abs(avg_profit) ELSE 0.0 END AS volatility
-FROM ({TRENDS_SQL.format(a=O.ANCHOR, h=6)}) t"""), doubles=("avg_profit", "volatility"))
+FROM ({TRENDS_SQL.format(a=O.ANCHOR, h=24)}) t"""), doubles=("avg_profit", "volatility"))
 def q_trend_volatility(spark, d):
-    return A.trend_volatility(A.market_trends(prices(spark, d, with_levels=False, last_minutes=6 * 60), hours=6))
+    return A.trend_volatility(A.market_trends(prices(spark, d, with_levels=False, last_minutes=24 * 60), hours=24))
 
 
 @register("market_with_trends", O.with_ctes(O.PRICES, O.LATEST, body=f"""

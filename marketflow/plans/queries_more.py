@@ -8,6 +8,7 @@ from ..operators import anchored as A
 from ..operators import learned as L
 from ..operators import levels as LV
 from ..operators import metrics as M
+from ..operators import query as Q
 from ..operators import recommend as RC
 from ..operators import scoring as SC
 from ..operators import sinks as SK
@@ -168,7 +169,7 @@ def q_cluster_summary_fixed(spark, d):
     return CL.cluster_summary(SC.risk_score(_clustered(spark, d)))
 
 
-@register("recommendations_core", O.with_ctes(*QS._SNAP_FEAT, f"""
+_REC = (*QS._SNAP_FEAT, f"""
 te AS ({QS.TREND_BODY.format(src="sscored")}),
 te2 AS (
   SELECT *, LEAST(GREATEST(ml_opportunity_score * (1 - trend_confidence / 100 * 0.3)
@@ -179,15 +180,58 @@ sc AS (
   SELECT *, LEAST(GREATEST(coalesce(trend_enhanced_score, 50.0) * 0.30 + (100 - risk_score) * 0.20 + 0.5 * 100 * 0.08
     + coalesce(liquidity_score, 50.0) * 0.12 + consistency_score / 100 * 12
     + CASE trend_direction WHEN 'Improving' THEN 5 WHEN 'Declining' THEN -5 ELSE 0 END, 0.0), 100.0) AS rec_score,
-    CASE WHEN flea_price > 0 THEN GREATEST(CAST(floor(1000000 / flea_price) AS BIGINT), 0) END AS max_units FROM rk)""", body=f"""
-SELECT {KEYS}, risk_score, risk_level, rec_score, max_units, max_units * profit AS potential_profit,
+    CASE WHEN flea_price > 0 THEN GREATEST(CAST(floor(1000000 / flea_price) AS BIGINT), 0) END AS max_units FROM rk)""", """
+rec AS (
+SELECT * EXCLUDE (risk_score, risk_level, rec_score, max_units), risk_score, risk_level, rec_score, max_units, max_units * profit AS potential_profit,
   CASE WHEN rec_score > 0 AND rec_score <= 45 THEN 'Consider' WHEN rec_score > 45 AND rec_score <= 65 THEN 'Good'
        WHEN rec_score > 65 AND rec_score <= 80 THEN 'Great' WHEN rec_score > 80 AND rec_score <= 100 THEN 'Excellent' END AS rec_tier,
   CASE trend_direction WHEN 'Improving' THEN '📈' WHEN 'Declining' THEN '📉' WHEN 'Stable' THEN '➡️' ELSE '❓' END AS trend_indicator
-FROM sc WHERE flea_level_required <= 15 AND coalesce(trader_level_required, 1) <= 4 AND risk_score <= 70 AND profit > 0 AND volume_reliable"""),
+FROM sc WHERE flea_level_required <= 15 AND coalesce(trader_level_required, 1) <= 4 AND risk_score <= 70 AND profit > 0 AND volume_reliable)""")
+
+
+@register("recommendations_core", O.with_ctes(*_REC, body=f"""
+SELECT {KEYS}, risk_score, risk_level, rec_score, max_units, potential_profit, rec_tier, trend_indicator FROM rec"""),
           doubles=("risk_score", "rec_score"))
 def q_recommendations_core(spark, d):
     """#85 without the fitted parts: trend-adjusted score, risk, filters, units and tiers; clusters count 0.5."""
+    return _recommended(spark, d).select(*KEY_COLS, "risk_score", "risk_level", "rec_score", "max_units", "potential_profit", "rec_tier", "trend_indicator")
+
+
+def _recommended(spark, d):
     snap, trends = QS.snapshot_trends(spark, d)
-    out = RC.recommendations(snap, trends, row_key=ROW_KEY, anomalies=False, clusters=False)
-    return out.select(*KEY_COLS, "risk_score", "risk_level", "rec_score", "max_units", "potential_profit", "rec_tier", "trend_indicator")
+    return RC.recommendations(snap, trends, row_key=ROW_KEY, anomalies=False, clusters=False)
+
+
+_MONEY = "'₽' || format('{{:,}}', CAST(trunc(LEAST(GREATEST(CAST({c} AS DOUBLE), -999999999999), 999999999999)) AS BIGINT)) AS {c}"
+
+
+@register("export_recommended", O.with_ctes(*_REC, body=f"""
+SELECT name, {_MONEY.format(c='profit')},
+  CASE WHEN roi IS NULL OR isinf(roi) OR isnan(roi) THEN '0.0%' ELSE format('{{:.1f}}', roi) || '%' END AS roi,
+  {_MONEY.format(c='flea_price')}, {_MONEY.format(c='trader_price')}, trader_name, category, flea_level_required, last_offer_count,
+  no_flea, marked_only, rec_score, rec_tier, risk_level FROM rec"""), doubles=("rec_score",))
+def q_export_recommended(spark, d):
+    """#15 on recommendations: all fourteen columns of the export."""
+    return SK.export_frame(_recommended(spark, d))
+
+
+# The explorer's sort orders: (option, column, SQL order).
+_SORTS = (("profit_desc", "profit", "profit DESC"), ("profit_asc", "profit", "profit"), ("roi_desc", "roi", "round(roi, 6) DESC"),
+          ("flea_desc", "flea_price", "flea_price DESC"), ("flea_asc", "flea_price", "flea_price"), ("name_asc", "name", "name"),
+          ("offers_desc", "last_offer_count", "last_offer_count DESC"))
+
+
+@register("explore_sorted", O.with_ctes(O.PRICES, O.LATEST, O.METRICS, body=" UNION ALL ".join(f"""
+SELECT * FROM (SELECT '{n}' AS sort, CAST({'round(roi, 6)' if c == 'roi' else c} AS VARCHAR) AS value, '' AS icon_link
+  FROM metrics WHERE flea_price >= 10 AND flea_price <= 3000 AND profit >= -100 ORDER BY {o} LIMIT 20)""" for n, c, o in _SORTS if c != "roi")))
+def q_explore_sorted(spark, d):
+    """#37: the first rows of every sort order (ROI, a rounded ratio, in the tests), with the icon column and price bounds."""
+    snap = M.trade_metrics(A.latest_prices(prices(spark, d, last_minutes=45))).withColumn("icon_link", F.lit(""))
+    out = None
+    for n, c, _ in _SORTS:
+        if c == "roi":
+            continue
+        top = Q.explore_market(snap, min_flea=10, max_flea=3000, min_profit=-100, show_all_profits=True, sort=n, order=True).limit(20)
+        part = top.select(F.lit(n).alias("sort"), F.col(c).cast("string").alias("value"), "icon_link")
+        out = part if out is None else out.unionByName(part)
+    return out
