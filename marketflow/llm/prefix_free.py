@@ -23,7 +23,7 @@ the number of both follows the corpus.  Windows are told apart by 64-bit hashes
 from __future__ import annotations
 
 import hashlib
-import io
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,23 +36,32 @@ from marketflow.llm.common import Rolling
 LENGTH = 50
 GRAM = 20
 #: Bytes of text in a block, about, and bytes of text whose triggers meet in one bucket.
-BLOCK = 8 << 20
-BUCKET = 16 << 20
+BLOCK = 4 << 20
+BUCKET = 4 << 20
 #: Bytes that are hashed at a time, unless a document is longer.
-_CHUNK = 1 << 18
+_CHUNK = 1 << 17
 _LAST = np.iinfo(np.int64).max  # null ids come last
 _ROW = "bucket long, block long, kind int, payload binary"
 
 
+#: Arrays of a payload, by place; a payload has a few bytes of head for each, since there are very many small ones.
+_NAMES = ("key", "phrase", "ids", "base", "several", "less", "gone0", "gone1", "open0", "open1", "doc")
+_TYPES = ("uint32", "uint64", "int64")
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
+    head = [bytes([len(arrays)])]
+    head += [struct.pack("<BBI", _NAMES.index(k), _TYPES.index(a.dtype.name), a.size) for k, a in arrays.items()]
+    return b"".join(head + [a.tobytes() for a in arrays.values()])
 
 
 def _unpack(payload: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(payload)) as z:
-        return {k: z[k] for k in z.files}
+    out, at = {}, 1 + 6 * payload[0]
+    for i in range(payload[0]):
+        name, kind, n = struct.unpack_from("<BBI", payload, 1 + 6 * i)
+        out[_NAMES[name]] = np.frombuffer(payload, _TYPES[kind], n, at)
+        at += out[_NAMES[name]].nbytes
+    return out
 
 
 def _small(ids: np.ndarray) -> dict[str, np.ndarray]:
@@ -60,11 +69,11 @@ def _small(ids: np.ndarray) -> dict[str, np.ndarray]:
     if not len(ids):
         return {"ids": ids}
     base, top = int(ids.min()), int(ids.max())
-    return {"ids": (ids - base).astype(np.uint32), "base": np.array(base)} if top - base < 2**32 else {"ids": ids}
+    return {"ids": (ids - base).astype(np.uint32), "base": np.array([base])} if top - base < 2**32 else {"ids": ids}
 
 
 def _large(z: dict[str, np.ndarray]) -> np.ndarray:
-    return z["ids"].astype(np.int64) + z["base"] if "base" in z else z["ids"]
+    return z["ids"].astype(np.int64) + z["base"][0] if "base" in z else z["ids"]
 
 
 class Block:
