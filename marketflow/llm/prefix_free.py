@@ -298,13 +298,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         edge[1:] &= ~gone[:-1]
         inner = block.start[:-1][block.size > 0]
         edge[inner] = gone[inner]  # a run ends with its document
-        removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, edge))
-        a, b = block.start[:-1], block.start[1:]
-        n = removed[b] - removed[a]
-        kept = [block.bytes[i:j].tobytes() if not k else block.bytes[i:j][~gone[i:j]].tobytes() for i, j, k in zip(a, b, n)]
-        out = {"doc_id": pa.array(block.ids, mask=block.null), "n_bytes": pa.array(block.size), "n_removed": pa.array(n.astype(np.int64)),
-               "n_spans": pa.array((spans[b] - spans[a]).astype(np.int64)),
-               "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept])}
+        at = list(zip(block.start[:-1].tolist(), block.start[1:].tolist()))
+        n = [int(np.count_nonzero(gone[i:j])) for i, j in at]
+        spans = [int(np.count_nonzero(edge[i:j])) for i, j in at]
+        kept = [block.bytes[i:j].tobytes() if not k else block.bytes[i:j][~gone[i:j]].tobytes() for (i, j), k in zip(at, n)]
+        out = {"doc_id": pa.array(block.ids, mask=block.null), "n_bytes": pa.array(block.size), "n_removed": pa.array(n, pa.int64()),
+               "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept])}
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
     # The three steps read the same exchange of the documents by block.
