@@ -1,6 +1,6 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences is hashed.  Hashes meet in a global
+Every run of ``span`` consecutive sentences, of ``MIN_WORDS`` words at least, is hashed.  Hashes meet in a global
 join; every occurrence but the first of a repeated span loses the sentences
 that it covers.
 """
@@ -20,6 +20,8 @@ from pyspark.sql.functions import pandas_udf
 from marketflow.llm.common import checkpointed
 
 SPAN = 3
+#: Words that a span must hold: three very short sentences meet by chance or as a formula.
+MIN_WORDS = 13
 
 #: A sentence ends after . ! or ? (with closing marks) before white space, or at a line end; white space goes with it.
 _SENTENCE = re.compile(r"""(?:[^.!?\n]|[.!?]+(?![.!?"')\]]*(?:\s|$)))*(?:[.!?]+["')\]]*|\n|$)\s*""")
@@ -33,36 +35,39 @@ def sentences(text: str | None) -> list[str]:
     return [] if len(out) == 1 and not out[0].strip() else out
 
 
-def span_hashes(text: str | None, span: int = SPAN) -> list[int]:
-    """Signed 64-bit hash of each run of ``span`` sentences, compared without case and outer or repeated white space.
+def span_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(position, signed 64-bit hash) of each run of ``span`` sentences that holds ``min_words`` words.
 
-    A text of fewer sentences is one span.
+    Sentences are compared without case and outer or repeated white space.  A text of at most ``span`` sentences is
+    one span, however short.
     """
-    s = [" ".join(x.lower().split()) for x in sentences(text)]
+    s = [x.lower().split() for x in sentences(text)]
     if not s:
         return []
     n = max(1, len(s) - span + 1)
-    return [xxhash.xxh3_64_intdigest("\n".join(s[i:i + span])) - 2**63 for i in range(n)]
+    lines, size = [" ".join(w) for w in s], [len(w) for w in s]
+    return [(i, xxhash.xxh3_64_intdigest("\n".join(lines[i:i + span])) - 2**63) for i in range(n)
+            if n == 1 or sum(size[i:i + span]) >= min_words]
 
 
-def _spans(docs: DataFrame, span: int) -> DataFrame:
+def _spans(docs: DataFrame, span: int, min_words: int) -> DataFrame:
     id_type = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):  # a batch of long texts would make too many rows at once
                 part = b.slice(i, 500)
-                got = [span_hashes(t, span) for t in part.column(2).to_pylist()]
+                got = [span_hashes(t, span, min_words) for t in part.column(2).to_pylist()]
                 at = [k for k, h in enumerate(got) for _ in h]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for h in got for x in h], pa.int64()), part.column(0).take(pa.array(at, pa.int64())),
-                     part.column(1).take(pa.array(at, pa.int64())), pa.array([p for h in got for p in range(len(h))], pa.int32())],
+                    [pa.array([x for h in got for _, x in h], pa.int64()), part.column(0).take(pa.array(at, pa.int64())),
+                     part.column(1).take(pa.array(at, pa.int64())), pa.array([p for h in got for p, _ in h], pa.int32())],
                     ["hash", "doc", "key", "pos"])
 
     return docs.mapInArrow(run, f"hash long, doc {id_type}, key long, pos int")
 
 
-def dedup_spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed, text (what is left, as it stood).
 
     Of a repeated span the first occurrence stays: smallest doc_id (null last), then text hash, then position; spans are
@@ -70,7 +75,7 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_
     sentences (text stays as it is); a text that loses all its sentences becomes empty.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    spans = _spans(rows, span)
+    spans = _spans(rows, span, min_words)
     place = F.struct(F.col("doc").isNull().alias("no"), "doc", "key", "pos")
     # Only repeated hashes are kept; read back as a table, they do not tie the join to the aggregate's partitions,
     # so that a hash of very many documents can be split.

@@ -25,7 +25,7 @@ def _row(doc_id, text, lang="en", source="a"):
     return (doc_id, text, lang, source, None if text is None else len(text), 1, 2, 3, "x", "y", "z", 4, 5, "h", 6, 7, 8, "i")
 
 
-ROWS = [_row(1, "One two three four. Five six seven! Eight nine ten? " * 3), _row(2, None), _row(3, ""), _row(4, " \n\t "),
+ROWS = [_row(1, "One two three four five. Six seven eight nine! Ten eleven twelve thirteen? " * 3), _row(2, None), _row(3, ""), _row(4, " \n\t "),
         _row(None, "No id here at all. It has some words. And a few more."), _row(None, None, None, None),
         _row(5, LONG, "de", None), _row(6, LONG, "de", "b"), _row(7, "same text"), _row(7, "same text"), _row(7, "other text of the id"),
         _row(8, "1234 !!! ???", None, "b"), _row(9, "password = abcdef123456 end"), _row(10, "\U0001F600 été token: ABCDEFGH", "fr")]
