@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from marketflow.llm.common import Rolling
 
 LENGTH = 50
-GRAM = 20
+GRAM = 24
 #: Bytes of text in a block, about, and bytes of text whose triggers meet in one bucket.
 BLOCK = 4 << 20
 BUCKET = 4 << 20
