@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from marketflow.llm.common import checkpointed
 from marketflow.llm.html_text import BLOCKS, CONTAINERS, Node, blocks, drop_roles, parse
 
 #: Pages that have to agree before a slot counts as constant.
@@ -219,7 +220,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                         host_of(F.col(url_col)).alias("host"))
-    wrappers = _induce(rows).withColumnRenamed("host", "h")
+    # Read back as a table, the rules do not tie the join to their grouping, so that a large host can be split.
+    wrappers = checkpointed(_induce(rows).withColumnRenamed("host", "h"))
 
     @pandas_udf("string")
     def text(html: pd.Series, rules: pd.Series) -> pd.Series:
