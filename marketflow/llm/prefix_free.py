@@ -11,11 +11,12 @@ dictionary only where a trigger has several phrases:
 
 1. parse: triggers of each block of documents meet by trigger.  Where a trigger has one phrase in the whole corpus,
    all windows of that phrase repeat together, and the smallest doc_id decides for all of them.
-2. dictionary: of triggers with several phrases (the ends of repeated passages), every suffix of the phrases, cut at
-   ``LENGTH`` bytes and named by its hash, is ordered; equal ones meet and find their smallest doc_id.
+2. dictionary: the phrases of triggers with several (the ends of repeated passages) are sent once a block, by their
+   trigger.  Their suffixes, cut at ``LENGTH`` bytes and named by hashes, are ordered; equal ones find their smallest
+   doc_id.
 3. Documents lose what is covered by windows that also start in a smaller doc_id.
 
-A block sends each distinct trigger or suffix once, so a passage in a third of all documents is one row a block.
+A block sends each distinct trigger or phrase once, so a passage in a third of all documents is one row a block.
 Blocks are dealt by a hash of the doc_id and have a bounded size, and so have the buckets that triggers meet in;
 the number of both follows the corpus.  Windows are told apart by 64-bit hashes of their bytes and of the trigger.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from marketflow.llm.common import Rolling
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 #: Bytes of text in a block, about, and bytes of text whose triggers meet in one bucket.
 BLOCK = 4 << 20
 BUCKET = 4 << 20
@@ -45,8 +46,8 @@ _ROW = "bucket long, block long, kind int, payload binary"
 
 
 #: Arrays of a payload, by place; a payload has a few bytes of head for each, since there are very many small ones.
-_NAMES = ("key", "phrase", "ids", "base", "several", "less", "gone0", "gone1", "open0", "open1", "doc")
-_TYPES = ("uint32", "uint64", "int64")
+_NAMES = ("key", "phrase", "ids", "base", "several", "less", "start", "stop", "place", "number", "doc", "count", "bucket", "text")
+_TYPES = ("uint8", "uint32", "uint64", "int64")
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -197,25 +198,6 @@ def _meet_triggers(table: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def _meet_suffixes(table: pa.Table) -> pa.Table:
-    """For each block of a bucket: smaller ids of its suffixes.  What a block sent to itself passes through."""
-    out = [(b, k, 0, p) for b, k, kind, p in zip(*(table[c].to_pylist() for c in ("bucket", "block", "kind", "payload"))) if kind == 0]
-    sent = [(k, _unpack(p)) for k, kind, p in zip(*(table[c].to_pylist() for c in ("block", "kind", "payload"))) if kind == 2]
-    if sent:
-        ids = [_large(x) for _, x in sent]
-        order, _, group, least = _least_elsewhere([x["key"] for _, x in sent], ids)
-        best = np.empty(len(order), np.int64)
-        best[order] = least[group]
-        bucket, a = table["bucket"][0].as_py(), 0
-        for (block, _), who in zip(sent, ids):
-            b = best[a:a + len(who)]
-            less = np.flatnonzero(b < who)
-            if len(less):
-                out.append((bucket, block, 2, _pack(less=less.astype(np.uint32), **_small(b[less]))))
-            a += len(who)
-    return _rows(out)
-
-
 def _spread(p0: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All windows of runs p0..p1, and the number of the run of each."""
     n = p1 - p0 + 1
@@ -223,17 +205,31 @@ def _spread(p0: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + p0[run], run
 
 
-def _suffixes(block: Block, p0: np.ndarray, p1: np.ndarray, doc: np.ndarray):
-    """Windows of the runs with hash and document number, chunk by chunk of the buffer."""
-    out = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.uint64)]
-    for a, b in block.chunks():
-        i, j = np.searchsorted(doc, [a, b])
-        if i < j:
-            lo, hi = int(block.start[a]), int(block.start[b])
-            place, run = _spread(p0[i:j], p1[i:j])
-            for x, got in zip(out, (place, doc[i:j][run], Rolling(block.bytes[lo:hi]).fixed(LENGTH)[place - lo])):
-                x.append(got)
-    return tuple(np.concatenate(x) for x in out)
+def _meet_suffixes(table: pa.Table) -> pa.Table:
+    """For each block of a bucket: smaller ids of the suffixes of its phrases.  What a block sent to itself passes through."""
+    rows = list(zip(*(table[c].to_pylist() for c in ("bucket", "block", "kind", "payload"))))
+    out = [r for r in rows if r[2] == 0]
+    sent = [(block, _unpack(payload)) for _, block, kind, payload in rows if kind == 2]
+    if not sent:
+        return _rows(out)
+    keys, ids = [], []
+    for _, z in sent:
+        n = z["count"].astype(np.int64)
+        begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+        keys.append(Rolling(z["text"]).fixed(LENGTH)[_spread(begin, begin + n - 1)[0]])
+        ids.append(np.repeat(_large(z), n))
+    # The order of the dictionary's suffixes, as far as their first bytes are equal.
+    order, _, group, least = _least_elsewhere(keys, ids)
+    best = np.empty(len(order), np.int64)
+    best[order] = least[group]
+    bucket, a = rows[0][0], 0
+    for (block, _), who in zip(sent, ids):
+        b = best[a:a + len(who)]
+        less = np.flatnonzero(b < who)
+        if len(less):
+            out.append((bucket, block, 2, _pack(less=less.astype(np.uint32), **_small(b[less]))))
+        a += len(who)
+    return _rows(out)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -258,21 +254,40 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def settle(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows([])
-        block, number = Block(table), table["block"][0].as_py()
-        gram, phrase, doc, p0, p1 = _phrases(block)
-        gram, phrase, least, of = _distinct(gram, phrase, block.ids[doc])
-        several, at = phrase == 0, dict(_buckets(gram, n_buckets))
+        block, number_of = Block(table), table["block"][0].as_py()
+        all_gram, all_phrase, doc, p0, p1 = _phrases(block)
+        gram, phrase, least, of = _distinct(all_gram, all_phrase, block.ids[doc])
+        several, slices = phrase == 0, dict(_buckets(gram, n_buckets))
         least = least.copy()
         for bucket, payload in zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist()):
-            z, first = _unpack(payload), at[bucket].start
+            z, first = _unpack(payload), slices[bucket].start
             several[first + z["several"].astype(np.int64)] = True
             least[first + z["less"].astype(np.int64)] = _large(z)
-        open_, gone = several[of], ~several[of] & (block.ids[doc] > least[of])
-        # The phrases of a document come in order; runs of the same kind that touch become one.
-        out = [(number % n_buckets, number, 0, _pack(gone0=p0[gone], gone1=p1[gone], open0=p0[open_], open1=p1[open_], doc=doc[open_]))]
-        _, who, suffix = _suffixes(block, p0[open_], p1[open_], doc[open_])
-        suffix, _, least, _ = _distinct(suffix, suffix, block.ids[who])
-        out += [(k, number, 2, _pack(key=suffix[s], **_small(least[s]))) for k, s in _buckets(suffix, n_buckets)]
+        open_ = several[of]
+        gone = np.flatnonzero(~open_ & (block.ids[doc] > least[of]))
+        # Phrases that follow each other in a document become one run.
+        g0, g1, gd = p0[gone], p1[gone], doc[gone]
+        new = np.ones(len(gone), bool)
+        new[1:] = (g0[1:] != g1[:-1] + 1) | (gd[1:] != gd[:-1])
+        start, stop = g0[new], g1[np.append(np.flatnonzero(new)[1:], len(gone)) - 1] if len(gone) else g1
+        # The dictionary: each phrase of a trigger with several, from its smallest document.
+        go, ph, place, n, who = all_gram[open_], all_phrase[open_], p0[open_], (p1 - p0 + 1)[open_], doc[open_]
+        order = np.lexsort((who, ph, go))
+        new = np.ones(len(order), bool)
+        new[1:] = (go[order][1:] != go[order][:-1]) | (ph[order][1:] != ph[order][:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        at, count, ids = place[first], n[first], block.ids[who[first]]
+        small = lambda x: x.astype(np.uint32)  # noqa: E731  places in a block
+        out, bucket_of = [], np.zeros(len(first), np.uint32)
+        for k, s in _buckets(go[first], n_buckets):
+            bucket_of[s] = k
+            text = block.bytes[_spread(at[s], at[s] + count[s] + LENGTH - 2)[0]]
+            out.append((k, number_of, 2, _pack(count=small(count[s]), text=text, **_small(ids[s]))))
+        out.append((number_of % n_buckets, number_of, 0, _pack(
+            start=small(start), stop=small(stop), place=small(place), number=small(number), doc=small(who),
+            count=small(count), bucket=bucket_of, **_small(ids))))
         return _rows(out)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -281,16 +296,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kinds = answers["kind"].to_pylist()
         own = next((_unpack(p) for k, p in zip(kinds, answers["payload"].to_pylist()) if k == 0), None)
         if own is not None:
-            np.add.at(mark, own["gone0"], 1)
-            np.add.at(mark, own["gone1"] + LENGTH, -1)
-            place, who, suffix = _suffixes(block, own["open0"], own["open1"], own["doc"])
-            keys, _, least, of = _distinct(suffix, suffix, block.ids[who])
-            least, at = least.copy(), dict(_buckets(keys, n_buckets))
+            np.add.at(mark, own["start"].astype(np.int64), 1)
+            np.add.at(mark, own["stop"].astype(np.int64) + LENGTH, -1)
+            count = own["count"].astype(np.int64)
+            first = np.cumsum(count) - count
+            least = np.repeat(_large(own), count)
             for k, bucket, payload in zip(kinds, answers["bucket"].to_pylist(), answers["payload"].to_pylist()):
                 if k == 2:
                     z = _unpack(payload)
-                    least[at[bucket].start + z["less"].astype(np.int64)] = _large(z)
-            hit = place[block.ids[who] > least[of]]
+                    least[first[np.searchsorted(own["bucket"], bucket)] + z["less"].astype(np.int64)] = _large(z)
+            begin, number = own["place"].astype(np.int64), own["number"].astype(np.int64)
+            place, run = _spread(begin, begin + count[number] - 1)
+            smallest = least[first[number][run] + place - begin[run]]
+            hit = place[block.ids[own["doc"].astype(np.int64)[run]] > smallest]
             np.add.at(mark, hit, 1)
             np.add.at(mark, hit + LENGTH, -1)
         gone = np.cumsum(mark[:-1]) > 0
