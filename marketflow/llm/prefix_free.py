@@ -23,6 +23,7 @@ the number of both follows the corpus.  Windows are told apart by 64-bit hashes
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketflow.llm.common import Rolling
+from marketflow.llm.common import Rolling, mix64
 
 LENGTH = 50
 GRAM = 20
@@ -42,6 +43,7 @@ BUCKET = 4 << 20
 #: Bytes that are hashed at a time, unless a document is longer.
 _CHUNK = 1 << 17
 _LAST = np.iinfo(np.int64).max  # null ids come last
+_LIBC = ctypes.CDLL(None)
 _ROW = "bucket long, block long, kind int, payload binary"
 
 
@@ -65,6 +67,13 @@ def _unpack(payload: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def _release() -> None:
+    """Give back what the last group has freed; a worker handles many groups, and its allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def _small(ids: np.ndarray) -> dict[str, np.ndarray]:
     """Ids as a base and offsets of 32 bits, where they fit."""
     if not len(ids):
@@ -81,6 +90,7 @@ class Block:
     """The documents of a block in the order of their ids, as one buffer of bytes."""
 
     def __init__(self, table: pa.Table):
+        _release()
         ids = table["doc"].combine_chunks()
         keys = ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
         texts = [b or b"" for b in table["bytes"].to_pylist()]
@@ -133,7 +143,8 @@ def _phrases(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         if not len(at):
             continue
         p0, p1 = place[at], place[np.append(at[1:], len(place)) - 1]
-        for x, got in zip(out, (gram[own[at]], roll.of(p0, p1 + LENGTH), doc[at], p0 + lo, p1 + lo)):
+        # Least hashes are small; mixed again they fall into all buckets alike.
+        for x, got in zip(out, (mix64(gram[own[at]]), roll.of(p0, p1 + LENGTH), doc[at], p0 + lo, p1 + lo)):
             x.append(got)
     return tuple(np.concatenate(x) for x in out)
 
@@ -177,6 +188,7 @@ def _least_elsewhere(keys: list[np.ndarray], ids: list[np.ndarray]):
 
 def _meet_triggers(table: pa.Table) -> pa.Table:
     """For each block of a bucket: triggers with several phrases, and smaller ids of those with one."""
+    _release()
     z = [_unpack(p) for p in table["payload"].to_pylist()]
     blocks = table["block"].to_pylist()
     ids = [_large(x) for x in z]
@@ -207,6 +219,7 @@ def _spread(p0: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _meet_suffixes(table: pa.Table) -> pa.Table:
     """For each block of a bucket: smaller ids of the suffixes of its phrases.  What a block sent to itself passes through."""
+    _release()
     rows = list(zip(*(table[c].to_pylist() for c in ("bucket", "block", "kind", "payload"))))
     out = [r for r in rows if r[2] == 0]
     sent = [(block, _unpack(payload)) for _, block, kind, payload in rows if kind == 2]
