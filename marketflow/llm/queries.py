@@ -52,7 +52,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_sentence_span_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_spans(read_table(spark, sf_dir, "documents"))
+    return dedup_spans(read_table(spark, sf_dir, "documents"), min_words=0)
 
 
 @query("op5_simhash_near_dedup")

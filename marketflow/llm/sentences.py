@@ -1,8 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences, of ``MIN_WORDS`` words at least, is hashed.  Hashes meet in a global
-join; every occurrence but the first of a repeated span loses the sentences
-that it covers.
+Every run of ``span`` consecutive sentences that holds ``min_words`` words is hashed; op4 asks for 0 words, so for
+every run.  Hashes meet in a global join; every occurrence but the first of a repeated span loses the sentences
+that it covers.  Repeats inside one sentence, however long, form no run.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from marketflow.llm.common import checkpointed
 
 SPAN = 3
-#: Words that a span must hold: three very short sentences meet by chance or as a formula.
+#: Words that a span must hold unless the caller says otherwise: three very short sentences meet by chance or as a formula.
 MIN_WORDS = 13
 
 #: A sentence ends after . ! or ? (with closing marks) before white space, or at a line end; white space goes with it.
