@@ -1,8 +1,10 @@
 """Benchmark decontamination by spaced seeds.
 
 A mask names the token positions of a window that are hashed; the others are
-ignored, so a substituted token leaves some windows intact.  Hashes of benchmark
-items and of documents meet in an equality join.  A hit fixes how item and
+ignored, so a substituted token leaves some windows intact.  The masks are all
+choices of four tokens within six: ten agreeing tokens or more that are 60 % of
+their stretch always hold four within six, so no overlap that the thresholds
+accept goes unproposed.  Hashes of benchmark items and of documents meet in an equality join.  A hit fixes how item and
 document are aligned; the document's tokens around it, carried along with the
 hit, are compared with the item's token by token.
 
@@ -25,10 +27,11 @@ from pyspark.sql.functions import pandas_udf
 
 from marketflow.llm.common import Rolling, checkpointed, mix64
 
-# 1 = the token counts, 0 = it is ignored.  Weight 8 within 11 to 13 tokens.
-MASKS = ("11101100111", "110100110010111", "1111000011011")
-#: A document is contaminated by an item when, on one alignment, this many tokens agree,
-#: they are this share of the item, and this share of the aligned stretch.
+# 1 = the token counts, 0 = it is ignored.  Every choice of four tokens within six; sparser sets, or
+# thresholds below the following ones, lose overlaps.
+MASKS = ("1111", "11101", "11011", "10111", "111001", "110101", "110011", "101101", "101011", "100111")
+#: A document is contaminated by an item when, in some stretch of one alignment, this many tokens agree,
+#: they are this share of the item, and this share of the stretch.
 MIN_TOKENS = 10
 MIN_COVERAGE = 0.5
 MIN_IDENTITY = 0.6
@@ -91,9 +94,9 @@ def _item_windows(items: DataFrame, short: tuple[int, ...], masks) -> DataFrame:
 
 
 def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
-    """Bit set of all hashes, as bytes; gathered as one word per 64 bits, so at most ``bits / 64`` rows."""
-    slot = F.pmod("hash", F.lit(bits))
-    words = (windows.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w"))
+    """Bit set of all hashes, two bits each; gathered as one word per 64 bits, so at most ``bits / 64`` rows."""
+    both = F.array(F.pmod("hash", F.lit(bits)), F.pmod(F.shiftright("hash", 32), F.lit(bits)))
+    words = (windows.select(F.explode(both).alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w"))
              .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("b")))
     got = words.toArrow()
     out = np.zeros(bits // 64, np.uint64)
@@ -101,6 +104,16 @@ def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _passes(filled: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the hashes that have both their bits set."""
+    def is_set(s: np.ndarray) -> np.ndarray:
+        return (filled[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)
+
+    h = hashes.view(np.int64)
+    at = np.flatnonzero(is_set(h % bits))
+    return at[np.flatnonzero(is_set((h[at] >> 32) % bits))]
+
+
 def _doc_hits(docs: DataFrame, bitmap, reach: int, short: tuple[int, ...], masks, bits: int) -> DataFrame:
     """(hash, doc, pos, from, tokens): windows that pass the bitmap, with the tokens of ``reach`` positions around."""
     id_type = docs.schema["doc"].dataType.simpleString()
@@ -114,8 +127,7 @@ def _doc_hits(docs: DataFrame, bitmap, reach: int, short: tuple[int, ...], masks
                 pos, hashes = [], []
                 for way in ways:
                     h = _window_hashes(t, *way)
-                    s = h.view(np.int64) % bits
-                    at = np.flatnonzero((filled[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1))
+                    at = _passes(filled, h, bits)
                     pos.append(at)
                     hashes.append(h[at].view(np.int64))
                 pos, hashes = np.concatenate(pos), np.concatenate(hashes)
@@ -138,25 +150,44 @@ def _doc_hits(docs: DataFrame, bitmap, reach: int, short: tuple[int, ...], masks
         run, f"doc {id_type}, seeds array<struct<hash:bigint,at:int>>, tokens array<bigint>")
 
 
-def _compare(doc: pd.Series, item: pd.Series, offset: pd.Series) -> pd.DataFrame:
-    """Agreeing tokens on one alignment, the stretch from first to last of them, and the item's size."""
+def _best_stretch(same: np.ndarray, min_identity: float) -> tuple[int, int]:
+    """Most agreeing tokens of a stretch in which they are ``min_identity`` of all tokens, and its length.
+
+    ``same`` has the places of all agreeing tokens in order; a stretch runs from one of them to another.
+    """
+    if not len(same):
+        return 0, 0
+    n = np.arange(len(same))
+    begin = n - min_identity * same  # a stretch from i to j is dense enough when begin[i] <= end[j]
+    end = n + 1 - min_identity * (same + 1)
+    least = np.minimum.accumulate(begin)
+    first = len(n) - np.searchsorted(least[::-1], end + 1e-9, side="right")  # the farthest i for each j
+    j = int(np.argmax(n - first))
+    i = int(first[j])
+    return (j - i + 1, int(same[j] - same[i]) + 1) if i <= j else (0, 0)
+
+
+def _compare(doc: pd.Series, item: pd.Series, offset: pd.Series, min_identity: float) -> pd.DataFrame:
+    """Agreeing tokens of the best stretch on one alignment, its length, and the item's size."""
     out = []
     for d, t, o in zip(doc, item, offset):
         a, b = max(0, o), min(len(d), o + len(t))
         same = np.flatnonzero(np.asarray(d[a:b]) == np.asarray(t[a - o:b - o]))
-        out.append((len(same), int(same[-1] - same[0]) + 1 if len(same) else 0, len(t)))
+        out.append((*_best_stretch(same, min_identity), len(t)))
     return pd.DataFrame(out, columns=["matched", "stretch", "size"], dtype="int32")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, min_coverage: float = MIN_COVERAGE,
                  min_identity: float = MIN_IDENTITY, masks=MASKS, bits: int = BITMAP_BITS, id_col: str = "doc_id",
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, matched, item_tokens, coverage): pairs whose best alignment passes the three thresholds.
+    """(doc_id, item_id, matched, item_tokens, coverage): pairs of which a stretch passes the three thresholds.
 
     An item shorter than ``min_tokens`` has to agree in all its tokens.  Null and empty texts hold no token and match
     nothing; null ids are kept as they are; repeated documents and items count once.  Empty tables give an empty result.
     """
-    compare = pandas_udf(_compare, "matched int, stretch int, size int")
+    @pandas_udf("matched int, stretch int, size int")
+    def compare(doc: pd.Series, item: pd.Series, offset: pd.Series) -> pd.DataFrame:
+        return _compare(doc, item, offset, min_identity)
 
     @pandas_udf("array<bigint>")
     def tokens_of(text: pd.Series) -> pd.Series:
@@ -184,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
              .select("doc", "item_id", "c.*"))
     need = F.least(F.lit(min_tokens), F.col("size"))
     passed = found.where((F.col("matched") >= need) & (F.col("matched") >= F.lit(min_coverage) * F.col("size"))
-                         & (F.col("matched") >= F.lit(min_identity) * F.col("stretch")))
+                         & (F.col("matched") > 0))
     best = passed.groupBy("doc", "item_id").agg(F.max(F.struct("matched", "size")).alias("b"))
     return best.select(F.col("doc").alias("doc_id"), "item_id", F.col("b.matched").alias("matched"),
                        F.col("b.size").alias("item_tokens"), (F.col("b.matched") / F.col("b.size")).alias("coverage"))
