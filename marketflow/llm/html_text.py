@@ -35,10 +35,10 @@ ROLES = {"ad", "ads", "adsense", "advert", "advertisement", "advertising", "adve
 
 
 class Node:
-    __slots__ = ("tag", "name", "skip", "kids", "slot")
+    __slots__ = ("tag", "name", "skip", "links", "kids", "slot")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.name, self.skip, self.kids, self.slot = tag, "", tag in SKIPPED, [], -1
+        self.tag, self.name, self.skip, self.links, self.kids, self.slot = tag, "", tag in SKIPPED, False, [], -1
         if "=" in attrs or "hidden" in attrs:
             words = []
             for key, a, b, c, bare in _ATTR.findall(attrs):
@@ -115,7 +115,7 @@ def parse(page: str | None) -> Node:
 
 
 def drop_roles(root: Node) -> Node:
-    """Mark headers outside an article, and lists and containers made of links, as template."""
+    """Mark headers outside an article as template; lists and containers made of links get ``links`` and stay."""
     def walk(node: Node, inside: bool) -> tuple[int, int]:
         chars = linked = 0
         for kid in node.kids:
@@ -130,7 +130,7 @@ def drop_roles(root: Node) -> Node:
         if node.tag == "a":
             linked = chars
         if node.tag in ("ul", "ol", "menu", "table", "div", "section") and chars and linked > 0.7 * chars:
-            node.skip = True
+            node.links = True
             return 0, 0
         return chars, linked
 
