@@ -2,7 +2,8 @@
 
 Every page becomes a tree of its blocks in which siblings of one kind are one slot.  Trees of the same host are
 aligned by simple tree matching into one template.  Slots with the same text on all pages are template; slots that
-vary are content.  The content root is the deepest container that holds nearly all varying text; a page's main text
+vary are content.  The content root is the article or main that holds nearly all varying text, or else the deepest
+container that holds all of it; text of lists and containers made of links does not count there.  A page's main text
 is what stands below it, without named slots that never vary and without elements whose tag or name says menu,
 header, footer, sidebar, notice, advert, form or comment.
 
@@ -26,48 +27,54 @@ from marketflow.llm.html_text import BLOCKS, CONTAINERS, Node, blocks, drop_role
 
 #: Pages that have to agree before a slot counts as constant.
 MIN_PAGES = 3
-#: Share of the varying text that a container must hold for the content root to be inside it.
+#: Share of the varying text that an article or main must hold to be the content root.
 HOLDS = 0.8
 
-_STATS = "host string, skeleton string, slot int, pages long, low long, high long, chars long"
+_STATS = "host string, skeleton string, slot int, pages long, low long, high long, chars long, plain long, page_low long, page_high long"
+
+_MEASURES = ("pages", "low", "high", "chars", "plain", "page_low", "page_high")
 
 
 def host_of(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
 
 
-def slots(root: Node) -> tuple[list[tuple[int, str, str]], list[list[str]]]:
-    """Slots (parent, tag, name) in order of first sight, and the own texts of each; sets ``slot`` of the block elements."""
+def slots(root: Node) -> tuple[list[tuple[int, str, str]], list[list[str]], list[int]]:
+    """Slots (parent, tag, name) in order of first sight, the own texts of each, and their characters outside of lists
+    and containers made of links; sets ``slot`` of the block elements."""
     found: dict[tuple[int, str, str], int] = {(-1, root.tag, root.name): 0}
     texts: list[list[str]] = [[]]
+    plain = [0]
     root.slot = 0
-    todo: list[tuple[Node, int]] = [(root, 0)]
+    todo: list[tuple[Node, int, bool]] = [(root, 0, root.links)]
     while todo:
-        node, slot = todo.pop()
+        node, slot, links = todo.pop()
         for kid in node.kids:
             if isinstance(kid, str):
                 if s := kid.strip():
                     texts[slot].append(s)
+                    plain[slot] += 0 if links else len(s)
             elif not kid.skip:
                 if kid.tag not in BLOCKS:
-                    todo.append((kid, slot))
+                    todo.append((kid, slot, links or kid.links))
                     continue
                 key = (slot, kid.tag, kid.name)
                 kid.slot = found.setdefault(key, len(found))
                 if kid.slot == len(texts):
                     texts.append([])
-                todo.append((kid, kid.slot))
-    return list(found), texts
+                    plain.append(0)
+                todo.append((kid, kid.slot, links or kid.links))
+    return list(found), texts, plain
 
 
 def _skeleton(keys: list[tuple[int, str, str]]) -> str:
     return json.dumps(keys, separators=(",", ":"))
 
 
-def _page(page: str | None) -> tuple[Node, str, list[list[str]]]:
+def _page(page: str | None) -> tuple[Node, str, list[list[str]], list[int]]:
     root = drop_roles(parse(page))
-    keys, texts = slots(root)
-    return root, _skeleton(keys), texts
+    keys, texts, plain = slots(root)
+    return root, _skeleton(keys), texts, plain
 
 
 def _statistics(pages: DataFrame) -> DataFrame:
@@ -75,28 +82,29 @@ def _statistics(pages: DataFrame) -> DataFrame:
         for b in batches:
             seen: dict[tuple[str, str, int], list[int]] = {}
             for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                _, skeleton, texts = _page(page)
-                for slot, own in enumerate(texts):
+                _, skeleton, texts, plains = _page(page)
+                whole = xxhash.xxh3_64_intdigest(page or "") - 2**63
+                for slot, (own, plain) in enumerate(zip(texts, plains)):
                     h = xxhash.xxh3_64_intdigest("\n".join(own)) - 2**63
                     n = sum(map(len, own))
                     if s := seen.get((host, skeleton, slot)):
-                        seen[host, skeleton, slot] = [s[0] + 1, min(s[1], h), max(s[2], h), s[3] + n]
+                        seen[host, skeleton, slot] = [s[0] + 1, min(s[1], h), max(s[2], h), s[3] + n, s[4] + plain,
+                                                      min(s[5], whole), max(s[6], whole)]
                     else:
-                        seen[host, skeleton, slot] = [1, h, h, n]
-            cols = list(zip(*(k + tuple(v) for k, v in seen.items()))) or [[]] * 7
-            kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                             ["host", "skeleton", "slot", "pages", "low", "high", "chars"])
+                        seen[host, skeleton, slot] = [1, h, h, n, plain, whole, whole]
+            cols = list(zip(*(k + tuple(v) for k, v in seen.items()))) or [[]] * 10
+            kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "skeleton", "slot", *_MEASURES])
 
     return (pages.select("host", "html").mapInArrow(run, _STATS).groupBy("host", "skeleton", "slot")
-            .agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars")))
+            .agg(*(f(c).alias(c) for c, f in zip(_MEASURES, (F.sum, F.min, F.max, F.sum, F.sum, F.min, F.max)))))
 
 
 class Template:
     """A host's template: slots with statistics, grown by aligning one skeleton after another."""
 
     def __init__(self):
-        self.tag, self.name, self.kids, self.stats = ["html"], [""], [[]], [[0, 2**63 - 1, -2**63, 0]]
+        self.tag, self.name, self.kids, self.stats = ["html"], [""], [[]], [[0, 2**63 - 1, -2**63, 0, 0, 2**63 - 1, -2**63]]
 
     def align(self, keys: list[tuple[int, str, str]]) -> list[int]:
         """Template slot of each slot of a skeleton; slots without a partner are added."""
@@ -142,32 +150,37 @@ class Template:
                     self.tag.append(keys[y][1])
                     self.name.append(keys[y][2])
                     self.kids.append([])
-                    self.stats.append([0, 2**63 - 1, -2**63, 0])
+                    self.stats.append([0, 2**63 - 1, -2**63, 0, 0, 2**63 - 1, -2**63])
                     self.kids[t].append(x)
                     memo.clear()
                 place[y] = x
                 todo.append((x, y))
         return place
 
-    def add(self, slot: int, pages: int, low: int, high: int, chars: int) -> None:
+    def add(self, slot: int, pages: int, low: int, high: int, chars: int, plain: int, page_low: int, page_high: int) -> None:
         s = self.stats[slot]
-        self.stats[slot] = [s[0] + pages, min(s[1], low), max(s[2], high), s[3] + chars]
+        self.stats[slot] = [s[0] + pages, min(s[1], low), max(s[2], high), s[3] + chars, s[4] + plain,
+                            min(s[5], page_low), max(s[6], page_high)]
 
     def rules(self) -> tuple[int, set[int]]:
         """Content root, and the named slots below it that never vary."""
         order = [0]
         for t in order:
             order += self.kids[t]
-        constant = {t for t, (n, low, high, c) in enumerate(self.stats) if n >= MIN_PAGES and low == high and c}
+        constant = {t for t, (n, low, high, c, _, a, b) in enumerate(self.stats)
+                    if n >= MIN_PAGES and a < b and low == high and c}
         if all(t in constant for t in order if self.stats[t][3]):
             constant = set()  # copies of one page tell nothing apart
         held = [0] * len(self.tag)
         for t in reversed(order):
-            held[t] = (0 if t in constant else self.stats[t][3]) + sum(held[k] for k in self.kids[t])
+            held[t] = (0 if t in constant else self.stats[t][4]) + sum(held[k] for k in self.kids[t])
         root = 0
-        while self.tag[root] != "article":
-            inner = max((k for k in self.kids[root] if self.tag[k] in CONTAINERS), key=lambda k: held[k], default=None)
-            if inner is None or held[inner] < HOLDS * held[root] or not held[inner]:
+        for t in order:  # article and main say what they are; the deepest that holds nearly all
+            if self.tag[t] in ("article", "main") and held[t] and held[t] >= HOLDS * held[0]:
+                root = t
+        while self.tag[root] not in ("article", "main"):  # other containers have to hold all varying text
+            inner = next((k for k in self.kids[root] if self.tag[k] in CONTAINERS and held[k] == held[root]), None)
+            if inner is None or not held[inner]:
                 break
             root = inner
         return root, {t for t in constant if self.name[t] and self.tag[t] not in ("article", "main", "body")}
@@ -181,7 +194,7 @@ def _induce(pages: DataFrame) -> DataFrame:
         for skeleton in by["skeleton"]:
             places[skeleton] = template.align([tuple(k) for k in json.loads(skeleton)])
         for r in pdf.itertuples(index=False):
-            template.add(places[r.skeleton][r.slot], r.pages, r.low, r.high, r.chars)
+            template.add(places[r.skeleton][r.slot], r.pages, r.low, r.high, r.chars, r.plain, r.page_low, r.page_high)
         root, dropped = template.rules()
         rules = {}
         for skeleton, place in places.items():
@@ -202,7 +215,7 @@ def _key(skeleton: str) -> str:
 
 
 def main_text(page: str | None, rules: dict[str, list]) -> str:
-    root, skeleton, _ = _page(page)
+    root, skeleton, _, _ = _page(page)
     top, dropped = rules.get(_key(skeleton), [0, []])
     parents = [k[0] for k in json.loads(skeleton)]
     inside = []
