@@ -116,25 +116,33 @@ class Template:
 
         def match(t: int, s: int) -> tuple[int, list[tuple[int, int]]]:
             """Simple tree matching: size of the largest order-preserving match of two equal roots, and the pairs of kids."""
-            if (t, s) in memo:
-                return memo[t, s]
-            a, b = self.kids[t], kids[s]
-            best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-            for i, x in enumerate(a):
-                for j, y in enumerate(b):
-                    got = match(x, y)[0] if self.tag[x] == keys[y][1] else 0
-                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + got)
-            pairs, i, j = [], len(a), len(b)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((a[i], b[j]))
-            same = 2 if self.name[t] == keys[s][2] else 1  # equal names are a better match than equal tags
-            memo[t, s] = best[-1][-1] + same, pairs
+            todo = [(t, s)]
+            while todo:
+                u, v = todo[-1]
+                a, b = self.kids[u], kids[v]
+                ahead = [] if (u, v) in memo else [(x, y) for x in a for y in b if self.tag[x] == keys[y][1] and (x, y) not in memo]
+                if ahead:
+                    todo += ahead
+                    continue
+                todo.pop()
+                if (u, v) in memo:
+                    continue
+                best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+                for i, x in enumerate(a):
+                    for j, y in enumerate(b):
+                        got = memo[x, y][0] if self.tag[x] == keys[y][1] else 0
+                        best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + got)
+                pairs, i, j = [], len(a), len(b)
+                while i and j:
+                    if best[i][j] == best[i - 1][j]:
+                        i -= 1
+                    elif best[i][j] == best[i][j - 1]:
+                        j -= 1
+                    else:
+                        i, j = i - 1, j - 1
+                        pairs.append((a[i], b[j]))
+                same = 2 if self.name[u] == keys[v][2] else 1  # equal names are a better match than equal tags
+                memo[u, v] = best[-1][-1] + same, pairs
             return memo[t, s]
 
         place = [-1] * len(keys)
