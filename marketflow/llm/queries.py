@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketflow.llm import language, oracles, secrets, toxicity
+from marketflow.llm.ball_search import ranked
 from marketflow.llm.common import fold_of, read_table
 from marketflow.llm.decontaminate import contaminated
 from marketflow.llm.graph_ann import nearest
@@ -85,3 +86,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 4) == 2)
+
+
+@query("op13_ranked_search", oracles.RANKED)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
