@@ -16,6 +16,7 @@ from marketflow.llm.mixing import pareto_mix
 from marketflow.llm.prefix_free import remove_repeats
 from marketflow.llm.sentences import dedup_spans
 from marketflow.llm.simhash import near_duplicates
+from marketflow.llm.spelling import spelling_groups
 from marketflow.llm.wrapper import extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +89,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 4) == 2)
 
 
+@query("op11_spelling_groups")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
 @query("op13_ranked_search", oracles.RANKED)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
