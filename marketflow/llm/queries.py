@@ -12,6 +12,7 @@ from marketflow.llm.ball_search import ranked
 from marketflow.llm.common import fold_of, read_table
 from marketflow.llm.decontaminate import contaminated
 from marketflow.llm.graph_ann import nearest
+from marketflow.llm.jaccard_join import similar_sets
 from marketflow.llm.mixing import pareto_mix
 from marketflow.llm.prefix_free import remove_repeats
 from marketflow.llm.sentences import dedup_spans
@@ -94,6 +95,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(read_table(spark, sf_dir, "documents"))
 
 
+@query("op12_jaccard_join", oracles.SIMILAR_SETS)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(read_table(spark, sf_dir, "documents"))
+
+
 @query("op13_ranked_search", oracles.RANKED)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
