@@ -104,8 +104,8 @@ shingles AS (SELECT u, n, unnest(s) AS x FROM classes),
 links AS (
   SELECT a.u AS u, b.u AS v FROM shingles a JOIN shingles b ON a.x = b.x AND a.u < b.u
   GROUP BY a.u, b.u, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-both AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
-reach AS (SELECT u, u AS v FROM classes UNION SELECT r.u, b.v FROM reach r JOIN both b ON b.u = r.v),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT u, u AS v FROM classes UNION SELECT r.u, b.v FROM reach r JOIN ways b ON b.u = r.v),
 least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
 SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
 FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN least l ON l.u = c.u
