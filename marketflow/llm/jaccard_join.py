@@ -12,27 +12,31 @@ their prefixes.  The prefixes form index lists, and two relations between sets s
   shingles that the two lack and ``o`` plus those that they add; only where this leaves the answer open and the two
   are not connected yet is the member pair itself counted.
 
-Overlaps are counted on whole sets.  Shingles and sets are named by 64-bit hashes.
+Overlaps are counted on whole sets, once a small histogram of each (shingles by the first bits of their hash, which
+bounds any overlap from above) leaves the pair open.  Shingles and sets are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from marketflow.llm.common import Rolling, checkpointed, mix64
 from marketflow.llm.components import connected_components
 
 SHINGLE = 4
 PERCENT = 85
-#: Counters of shingle frequencies: 2 to this power, whatever the input.
-COUNTERS = 20
-_CHUNK = 14
+#: Counters of shingle frequencies: 2 to this power, whatever the input; they travel in chunks.
+COUNTERS = 22
+_CHUNK = 17
 #: Bits of the filter that picks sets to count: 16 for each set, within these powers of two.
 _LEAST_BITS, _MOST_BITS = 20, 28
 _KEYS = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -54,6 +58,23 @@ def set_id(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63
 
 
+def histogram(h: np.ndarray) -> bytes:
+    """Shingles by the first bits of their hash, about two a bin; empty (no bound) should a bin ever hold over 255."""
+    bits = max(3, len(h).bit_length() - 2)
+    counts = np.bincount(h >> np.uint64(64 - bits), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """An upper bound of the overlap of two sets, from their histograms."""
+    if not a or not b:
+        return 1 << 62
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -64,12 +85,12 @@ def _reaches(overlap: Column, sizes: Column, percent: int) -> Column:
 
 
 def _prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, id, n, keys) per document, and at the end of each task its counters as rows with a chunk number."""
+    """(doc_id, id, n, keys, sketch) per document, and at the end of each task its counters as rows with a chunk number."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, held, n_held = np.zeros(1 << COUNTERS, np.uint32), [], 0
-        names = ["doc_id", "id", "n", "keys", "chunk", "counts"]
+        names = ["doc_id", "id", "n", "keys", "sketch", "chunk", "counts"]
         kind = None
 
         def count():
@@ -77,12 +98,13 @@ def _prints(docs: DataFrame, shingle: int) -> DataFrame:
 
         for b in batches:
             kind = b.column(0).type
-            ids, n, keys = [], [], []
+            ids, n, keys, sketch = [], [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_set(text, shingle)
                 ids.append(set_id(h) if len(h) else None)
                 n.append(len(h))
                 keys.append([int(mix64(h ^ k).min().view(np.int64)) for k in _KEYS] if len(h) else [])
+                sketch.append(histogram(h))
                 if len(h):
                     held.append(h)
                     n_held += len(h)
@@ -91,17 +113,17 @@ def _prints(docs: DataFrame, shingle: int) -> DataFrame:
                     held, n_held = [], 0
             none = pa.nulls(b.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(n, pa.int64()),
-                                              pa.array(keys, pa.list_(pa.int64())), none, pa.nulls(b.num_rows, pa.binary())], names)
+                                              pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), none, pa.nulls(b.num_rows, pa.binary())], names)
         if held:
             count()
         if kind is not None:
             parts = counters.reshape(-1, 1 << _CHUNK)
             k = len(parts)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                                              pa.nulls(k, pa.list_(pa.int64())), pa.array(range(k), pa.int32()),
-                                              pa.array([p.tobytes() for p in parts], pa.binary())], names)
+                                              pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()),
+                                              pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names)
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, id long, n long, keys array<long>, chunk int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {id_type}, id long, n long, keys array<long>, sketch binary, chunk int, counts binary")
 
 
 def _merged(chunks: DataFrame, width: int, kind: str, merge) -> np.ndarray:
@@ -110,13 +132,13 @@ def _merged(chunks: DataFrame, width: int, kind: str, merge) -> np.ndarray:
         sums: dict = {}
         for b in batches:
             for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                a = np.frombuffer(v, kind)
+                a = np.frombuffer(zlib.decompress(v), kind)
                 sums[c] = merge(sums[c], a) if c in sums else a
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([a.tobytes() for a in sums.values()], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(a.tobytes(), 1) for a in sums.values()], pa.binary())],
                                          ["chunk", "counts"])
     out = np.zeros(width, kind)
     for r in chunks.select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, counts binary").toLocalIterator():
-        a = np.frombuffer(r["counts"], kind)
+        a = np.frombuffer(zlib.decompress(r["counts"]), kind)
         out[r["chunk"] * len(a):(r["chunk"] + 1) * len(a)] = a
     return out
 
@@ -133,7 +155,7 @@ def _bitmap(nodes: DataFrame, count: int) -> tuple[np.ndarray, int]:
             np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         parts = bits.reshape(-1, min(size, 1 << 16))
         some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())],
                                          ["chunk", "counts"])
     return _merged(nodes.mapInArrow(run, "chunk int, counts binary"), size, "u1", np.bitwise_or), power
 
@@ -162,6 +184,18 @@ def _of_sets(docs: DataFrame, shingle: int, wanted, out) -> DataFrame:
     return docs.select("text").mapInArrow(run, "id long, set array<long>").groupBy("id").agg(F.first("set").alias("set"))
 
 
+def _with_most(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs`` (u, v) with ``most``, the overlap that the histograms still allow."""
+    @pandas_udf("long")
+    def bound(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([most_shared(x, y) for x, y in zip(a, b)], dtype="int64")
+
+    at = classes.select("id", "sketch")
+    return (pairs.join(at.select(F.col("id").alias("u"), F.col("sketch").alias("a")), "u")
+            .join(at.select(F.col("id").alias("v"), F.col("sketch").alias("b")), "v")
+            .withColumn("most", bound("a", "b")).drop("a", "b"))
+
+
 def _overlaps(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame | None:
     """(u, v, n_u, n_v, o): shingles that the two sets of each pair share; None without pairs."""
     spark = docs.sparkSession
@@ -184,8 +218,9 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
                          .where("x.id <> last").select("which", "key", "x"))
     agree = sum(((F.col("keys")[i] == F.col("x.keys")[i]).cast("int") for i in range(len(_KEYS))), F.lit(0))
     near = 100 * F.least("n", "x.n") >= percent * F.greatest("n", "x.n")
-    return (rows.join(first, ["which", "key"]).where((F.col("id") != F.col("x.id")) & near & (2 * agree > len(_KEYS)))
-            .select(F.col("id").alias("u"), F.col("x.id").alias("v")).distinct())
+    pairs = (rows.join(first, ["which", "key"]).where((F.col("id") != F.col("x.id")) & near & (2 * agree > len(_KEYS)))
+             .select(F.col("id").alias("u"), F.col("x.id").alias("v"), (F.col("n") + F.col("x.n")).alias("sizes")).distinct())
+    return checkpointed(_with_most(pairs, classes).where(_reaches(F.col("most"), F.col("sizes"), percent)).select("u", "v"))
 
 
 def _list_pairs(token, n, pos, group, comp, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,21 +314,29 @@ def _joined(docs: DataFrame, classes: DataFrame, common, shingle: int, percent:
     def prefix(h: np.ndarray) -> np.ndarray:
         return h[np.argsort(common.value[h >> np.uint64(64 - COUNTERS)], kind="stable")[:prefix_length(len(h), percent)]]
 
-    found = _overlaps(docs, _candidates(_of_sets(docs, shingle, None, prefix), members.select("id", "n", "grp", "comp"), percent), shingle)
+    family = checkpointed(members.groupBy(F.col("grp").alias("id")).agg(F.min("n").alias("least_n"), F.max("added").alias("most_added")))
+
+    def with_families(pairs: DataFrame) -> DataFrame:
+        for x in "uv":
+            pairs = pairs.join(family.select(F.col("id").alias(x), F.col("least_n").alias(f"least_{x}"), F.col("most_added").alias(f"most_{x}")), x)
+        return pairs
+
+    def best_case(overlap: str) -> Column:
+        """Could some members of the two families reach the threshold?"""
+        return _reaches(F.col(overlap) + F.col("most_u") + F.col("most_v"), F.col("least_u") + F.col("least_v"), percent)
+
+    met = _candidates(_of_sets(docs, shingle, None, prefix), members.select("id", "n", "grp", "comp"), percent)
+    met = checkpointed(with_families(_with_most(met, classes)).where(best_case("most")).select("u", "v"))
+    found = _overlaps(docs, met, shingle)
     if found is None:
         return members
     members = _rooted(members, found.where(at_least).select("u", "v"))
 
     # What the leaders' overlaps leave open: members that could reach the threshold, in components still apart.
-    family = members.groupBy("grp").agg(F.min("n").alias("least_n"), F.max("added").alias("most_added"))
-    comp = members.select("id", "comp")
-
-    def side(x: str) -> DataFrame:
-        return (family.join(comp.withColumnRenamed("id", "grp"), "grp")
-                .select(F.col("grp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("least_n", "most_added", "comp"))))
-    best_case = _reaches(F.col("o") + F.col("most_added_u") + F.col("most_added_v"), F.col("least_n_u") + F.col("least_n_v"), percent)
-    open_pairs = checkpointed(found.join(side("u"), "u").join(side("v"), "v").where((F.col("comp_u") != F.col("comp_v")) & best_case)
-                              .select("u", "v", "o"))
+    at = members.select("id", "comp")
+    apart_pairs = (found.join(at.select(F.col("id").alias("u"), F.col("comp").alias("cu")), "u")
+                   .join(at.select(F.col("id").alias("v"), F.col("comp").alias("cv")), "v").where("cu <> cv"))
+    open_pairs = checkpointed(with_families(apart_pairs).where(best_case("o")).select("u", "v", "o"))
     if not open_pairs.limit(1).count():
         return members
     groups = open_pairs.select(F.col("u").alias("grp")).union(open_pairs.select("v")).distinct()
@@ -305,9 +348,10 @@ def _joined(docs: DataFrame, classes: DataFrame, common, shingle: int, percent:
         return apart.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "grp", "added", "lacks")))
     known = open_pairs.select(F.col("u").alias("g"), F.col("v").alias("h"), "o")
     sized = F.col("n_u") + F.col("n_v")
-    least, most = F.col("o") - F.col("lacks_u") - F.col("lacks_v"), F.col("o") + F.col("added_u") + F.col("added_v")
+    least = F.col("o") - F.col("lacks_u") - F.col("lacks_v")
+    most = F.least(F.col("o") + F.col("added_u") + F.col("added_v"), F.col("most"))
     derived = checkpointed(
-        pairs.join(of("u"), "u").join(of("v"), "v")
+        _with_most(pairs, classes).join(of("u"), "u").join(of("v"), "v")
         .withColumn("g", F.least("grp_u", "grp_v")).withColumn("h", F.greatest("grp_u", "grp_v")).join(known, ["g", "h"])
         .where(_reaches(most, sized, percent)).select("u", "v", _reaches(least, sized, percent).alias("sure")))
     links = derived.where("sure").select("u", "v")
@@ -332,9 +376,10 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     scanned = checkpointed(_prints(rows, shingle))
     prints = scanned.where("chunk IS NULL")
     counts = _merged(scanned.where("chunk IS NOT NULL"), 1 << COUNTERS, "u4", np.add)
-    usual = max(1.0, float(counts.mean()))
-    common = docs.sparkSession.sparkContext.broadcast(np.log2(np.maximum(counts / usual, 1)).astype(np.uint8))
-    classes = checkpointed(prints.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    # Sixteen steps for each doubling, from a sixteenth of the mean on.
+    steps = 16 * np.log2(np.maximum(counts, 1) / max(1.0, float(counts.mean()))) + 64
+    common = docs.sparkSession.sparkContext.broadcast(np.clip(steps, 0, 255).astype(np.uint8))
+    classes = checkpointed(prints.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "keys", "sketch"))))
     members = _joined(rows, classes, common, shingle, percent)
     least = members.groupBy("comp").agg(F.min("least").alias("component_id"))
     # Read back as a table, so that the join of a set that very many documents share can be split.
