@@ -1,14 +1,18 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences that holds ``min_words`` words is hashed; op4 asks for 0 words, so for
-every run.  Hashes meet in a global join; every occurrence but the first of a repeated span loses the sentences
-that it covers.  Repeats inside one sentence, however long, form no run.
+Every run of ``span`` consecutive sentences is hashed, from each sentence on; a run of fewer than ``min_words`` words
+goes on until it has them, so that formulas of a few words do not count as a passage.  A sentence of more than
+``longest`` words is cut before the words whose pair with the word before has the least hash nearby: the same passage
+is cut at the same places wherever it stands, so long text without stops forms runs too.  Hashes meet in a global join;
+every occurrence but the first of a repeated span loses the sentences that it covers.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -20,44 +24,76 @@ from pyspark.sql.functions import pandas_udf
 from marketflow.llm.common import checkpointed
 
 SPAN = 3
-#: Words that a span must hold unless the caller says otherwise: three very short sentences meet by chance or as a formula.
-MIN_WORDS = 13
+#: Words that a span holds at least, unless its whole text has fewer.
+MIN_WORDS = 40
+#: Words of a sentence that is left whole, and how far around a word its hash must be the least to cut before it.
+LONGEST = 12
+_NEARBY = 3
 
+_WORD = re.compile(r"\S+")
 #: A sentence ends after . ! or ? (with closing marks) before white space, or at a line end; white space goes with it.
 _SENTENCE = re.compile(r"""(?:[^.!?\n]|[.!?]+(?![.!?"')\]]*(?:\s|$)))*(?:[.!?]+["')\]]*|\n|$)\s*""")
 
 
-def sentences(text: str | None) -> list[str]:
-    """Sentences with the white space after them; their concatenation is the text (leading space is in the first)."""
+def _cuts(words: list[str]) -> list[int]:
+    """Places before which a long sentence is cut: least hashes of word pairs among their neighbours."""
+    h = [xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:])]
+    return [i + 1 for i, x in enumerate(h) if x == min(h[max(0, i - _NEARBY):i + _NEARBY + 1])]
+
+
+def sentences(text: str | None, longest: int = LONGEST) -> list[str]:
+    """Sentences, long ones cut, with the white space after them; their concatenation is the text (leading space is in the first)."""
     out = [m for m in _SENTENCE.findall(text or "") if m]
     while len(out) > 1 and not out[0].strip():
         out[:2] = [out[0] + out[1]]
-    return [] if len(out) == 1 and not out[0].strip() else out
+    if len(out) == 1 and not out[0].strip():
+        return []
+    pieces = []
+    for s in out:
+        words = s.lower().split()
+        if len(words) <= longest:
+            pieces.append(s)
+            continue
+        begin = [m.start() for m in _WORD.finditer(s)]
+        at = [0, *(begin[i] for i in _cuts(words)), len(s)]
+        pieces += [s[a:b] for a, b in zip(at, at[1:])]
+    return pieces
+
+
+def span_ends(sizes: list[int], span: int = SPAN, min_words: int = MIN_WORDS) -> list[int]:
+    """For each sentence that begins a span, the sentence after its last; ``sizes`` has the words of each.
+
+    Spans that the text does not fill are left out, but for a text that fills none: it is one span.
+    """
+    before = list(accumulate(sizes, initial=0))
+    ends = []
+    for i in range(len(sizes)):
+        j = max(i + span, bisect_left(before, before[i] + min_words))
+        if j > len(sizes):
+            break
+        ends.append(j)
+    return ends or [len(sizes)] * bool(sizes)
 
 
-def span_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(position, signed 64-bit hash) of each run of ``span`` sentences that holds ``min_words`` words.
+def span_hashes(text: str | None, span: int = SPAN, min_words: int = MIN_WORDS, longest: int = LONGEST) -> list[tuple[int, int]]:
+    """(position, signed 64-bit hash) of each span of the text.
 
-    Sentences are compared without case and outer or repeated white space.  A text of at most ``span`` sentences is
-    one span, however short.
+    Sentences are compared without case and outer or repeated white space.
     """
-    s = [x.lower().split() for x in sentences(text)]
-    if not s:
-        return []
-    n = max(1, len(s) - span + 1)
-    lines, size = [" ".join(w) for w in s], [len(w) for w in s]
-    return [(i, xxhash.xxh3_64_intdigest("\n".join(lines[i:i + span])) - 2**63) for i in range(n)
-            if n == 1 or sum(size[i:i + span]) >= min_words]
+    words = [x.lower().split() for x in sentences(text, longest)]
+    lines = [" ".join(w) for w in words]
+    return [(i, xxhash.xxh3_64_intdigest("\n".join(lines[i:j])) - 2**63)
+            for i, j in enumerate(span_ends([len(w) for w in words], span, min_words))]
 
 
-def _spans(docs: DataFrame, span: int, min_words: int) -> DataFrame:
+def _spans(docs: DataFrame, span: int, min_words: int, longest: int) -> DataFrame:
     id_type = docs.schema["doc"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 500):  # a batch of long texts would make too many rows at once
                 part = b.slice(i, 500)
-                got = [span_hashes(t, span, min_words) for t in part.column(2).to_pylist()]
+                got = [span_hashes(t, span, min_words, longest) for t in part.column(2).to_pylist()]
                 at = [k for k, h in enumerate(got) for _ in h]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x for h in got for _, x in h], pa.int64()), part.column(0).take(pa.array(at, pa.int64())),
@@ -67,15 +103,16 @@ def _spans(docs: DataFrame, span: int, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, f"hash long, doc {id_type}, key long, pos int")
 
 
-def dedup_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_sentences, n_removed, text (what is left, as it stood).
+def dedup_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_sentences, n_removed (pieces of a cut sentence count each), text (what is left, as it stood).
 
     Of a repeated span the first occurrence stays: smallest doc_id (null last), then text hash, then position; spans are
     judged on the input.  Rows that agree in doc_id and text count as one document.  Null and empty texts have no
-    sentences (text stays as it is); a text that loses all its sentences becomes empty.
+    sentences (text stays as it is); a text that loses all its sentences becomes empty.  Long texts are hashed whole, a
+    row a sentence.  Not found: repeats of fewer than ``span`` whole sentences or ``min_words`` words inside longer texts.
     """
     rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    spans = _spans(rows, span, min_words)
+    spans = _spans(rows, span, min_words, longest)
     place = F.struct(F.col("doc").isNull().alias("no"), "doc", "key", "pos")
     # Only repeated hashes are kept; read back as a table, they do not tie the join to the aggregate's partitions,
     # so that a hash of very many documents can be split.
@@ -89,8 +126,9 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, i
     def cut(text: pd.Series, repeats: pd.Series) -> pd.DataFrame:
         out = []
         for t, r in zip(text, repeats):
-            s = sentences(t)
-            gone = set() if r is None else {i for p in r for i in range(p, min(p + span, len(s)))}
+            s = sentences(t, longest)
+            ends = [] if r is None else span_ends([len(x.split()) for x in s], span, min_words)
+            gone = {i for p in ([] if r is None else r) for i in range(p, ends[p])}
             out.append((len(s), len(gone), t if not gone else "".join(x for i, x in enumerate(s) if i not in gone).rstrip()))
         return pd.DataFrame(out, columns=["n_sentences", "n_removed", "text"])
 

@@ -15,7 +15,6 @@ import corpus_pipeline
 from marketflow.llm import prefix_free, secrets, simhash, stages
 from marketflow.llm.decontaminate import contaminated
 from marketflow.llm.queries import ORACLES, QUERIES
-from marketflow.llm.sentences import dedup_spans, sentences
 
 SF = "/root/testdata/sf0.01"
 
@@ -125,27 +124,6 @@ def test_mixing_oracle_and_reruns(spark):
     assert (abs(near.taken - near.target) <= 0.1 * near.target + 1).all()
 
 
-def plain_spans(text, span):
-    s = [" ".join(x.lower().split()) for x in sentences(text)]
-    runs = [(i, "\n".join(s[i:i + span])) for i in range(max(1, len(s) - span + 1))] if s else []
-    return [(i, r) for i, r in runs if len(runs) == 1 or len(r.split()) >= 13]
-
-
-def test_sentence_spans_match_brute_force(spark, small):
-    docs = small.toPandas().sort_values("doc_id")
-    first, want = {}, {}
-    for i, t in zip(docs.doc_id, docs.text):
-        for p, s in plain_spans(t, 3):
-            first.setdefault(s, (i, p))
-    for i, t in zip(docs.doc_id, docs.text):
-        s = sentences(t)
-        assert "".join(s) == t
-        gone = {k for p, x in plain_spans(t, 3) if first[x] != (i, p) for k in range(p, min(p + 3, len(s)))}
-        want[i] = (len(s), len(gone), "".join(x for k, x in enumerate(s) if k not in gone).rstrip() if gone else t)
-    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in dedup_spans(small).collect()}
-    assert got == want and any(n for _, n, _ in got.values())
-
-
 def test_decontamination_finds_substituted_passages(spark):
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(4000)]
