@@ -6,8 +6,9 @@ their prefixes.  The prefixes form index lists, and two relations between sets s
 
 * Skipping in the index: a list is cut into blocks by set size and position.  Blocks whose sizes are too far apart, or
   whose positions leave too few shingles to reach the threshold, are skipped whole.
-* Skipping by answers: sets that agree in minimum hashes get a leader, and the overlap with it is counted.  Those at
-  the threshold stand in the lists as one entry, that of their leader, and lists of a single component are dropped.
+* Skipping by answers: sets of one least or greatest hash pass a task in order of size, which keeps those with
+  the most answers as leaders and counts the overlap with these.  A set at the threshold of a leader stands in the lists as an entry of
+  that leader's group; no pair inside a group is looked at again, and lists of a single group are dropped.
   Once the overlap ``o`` of two leaders is counted, the overlap of a member of each lies between ``o`` less the
   shingles that the two lack and ``o`` plus those that they add; only where this leaves the answer open and the two
   are not connected yet is the member pair itself counted.
@@ -39,7 +40,11 @@ COUNTERS = 22
 _CHUNK = 17
 #: Bits of the filter that picks sets to count: 16 for each set, within these powers of two.
 _LEAST_BITS, _MOST_BITS = 20, 28
-_KEYS = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Leaders that a task keeps of one family, and sets that wait for later ones; what meets none is left to the index lists.
+LEADERS = 64
+MISSED = 2000
+#: Sets of one family that pass the same task; larger families are dealt out to several.
+FAMILY = 50_000
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -51,7 +56,8 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     ends = np.append(np.flatnonzero(buf == 32), len(buf))
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = min(shingle, len(ends)) - 1
-    return np.unique(Rolling(buf).of(starts[:len(ends) - last], ends[last:]))
+    h = np.sort(Rolling(buf).of(starts[:len(ends) - last], ends[last:]))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def set_id(h: np.ndarray) -> int:
@@ -103,7 +109,7 @@ def _prints(docs: DataFrame, shingle: int) -> DataFrame:
                 h = shingle_set(text, shingle)
                 ids.append(set_id(h) if len(h) else None)
                 n.append(len(h))
-                keys.append([int(mix64(h ^ k).min().view(np.int64)) for k in _KEYS] if len(h) else [])
+                keys.append(h[[0, -1]].view(np.int64).tolist() if len(h) else [])
                 sketch.append(histogram(h))
                 if len(h):
                     held.append(h)
@@ -160,28 +166,36 @@ def _bitmap(nodes: DataFrame, count: int) -> tuple[np.ndarray, int]:
     return _merged(nodes.mapInArrow(run, "chunk int, counts binary"), size, "u1", np.bitwise_or), power
 
 
-def _of_sets(docs: DataFrame, shingle: int, wanted, out) -> DataFrame:
-    """(id, set): ``out(hashes)`` once per set that the bitmap ``wanted`` asks for (all, without one)."""
+def _holds(wanted: tuple[np.ndarray, int], value: int) -> bool:
+    bits, power = wanted
+    at = int(mix64(np.array([value]).view(np.uint64))[0]) >> (64 - power)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def _scanned_sets(docs: DataFrame, shingle: int, emit) -> DataFrame:
+    """(key, n, id, set) rows: ``emit(id, hashes)`` gives (key, array) pairs, asked once per set and batch of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 1000):
-                found = {}
+                done, rows = set(), []
                 for text in b.column(0).slice(s, 1000).to_pylist():
                     h = shingle_set(text, shingle)
-                    if not len(h) or (name := set_id(h)) in found:
-                        continue
-                    if wanted is not None:
-                        bits, power = wanted.value
-                        at = int(mix64(np.array([name]).view(np.uint64))[0]) >> (64 - power)
-                        if not bits[at >> 3] >> (at & 7) & 1:
-                            continue
-                    found[name] = out(h).view(np.int64)
-                if found:
-                    ends = np.concatenate([[0], np.cumsum([len(v) for v in found.values()])])
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.ListArray.from_arrays(
-                        pa.array(ends, pa.int32()), pa.array(np.concatenate(list(found.values()))))], ["id", "set"])
-
-    return docs.select("text").mapInArrow(run, "id long, set array<long>").groupBy("id").agg(F.first("set").alias("set"))
+                    if len(h) and (name := set_id(h)) not in done:
+                        done.add(name)
+                        rows += [(key, len(h), name, v) for key, v in emit(name, h)]
+                if rows:
+                    key, n, names, values = zip(*rows)
+                    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key, n, names)), pa.ListArray.from_arrays(
+                        pa.array(ends, pa.int32()), pa.array(np.concatenate(values).view(np.int64)))], ["key", "n", "id", "set"])
+
+    return docs.select("text").mapInArrow(run, "key long, n long, id long, set array<long>")
+
+
+def _of_sets(docs: DataFrame, shingle: int, wanted, out) -> DataFrame:
+    """(id, set): ``out(hashes)`` of every set that the bitmap ``wanted`` asks for (all, without one)."""
+    rows = _scanned_sets(docs, shingle, lambda name, h: [(0, out(h))] if wanted is None or _holds(wanted.value, name) else [])
+    return rows.groupBy("id").agg(F.first("set").alias("set"))
 
 
 def _with_most(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -196,31 +210,83 @@ def _with_most(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             .withColumn("most", bound("a", "b")).drop("a", "b"))
 
 
-def _overlaps(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame | None:
-    """(u, v, n_u, n_v, o): shingles that the two sets of each pair share; None without pairs."""
-    spark = docs.sparkSession
-    nodes = checkpointed(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
-    count = nodes.count()
-    if not count:
-        return None
-    wanted = spark.sparkContext.broadcast(_bitmap(nodes, count))
-    sets = checkpointed(_of_sets(docs, shingle, wanted, lambda h: h))
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, n_u, n_v, o): shingles that the two sets of each pair share."""
     both = (pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u")
             .join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v"))
     return checkpointed(both.select("u", "v", F.size("a").cast("long").alias("n_u"), F.size("b").cast("long").alias("n_v"),
                                     F.size(F.array_intersect("a", "b")).cast("long").alias("o")))
 
 
-def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """(u, v): a set and the least id among those of one minimum hash, if they agree in most minimum hashes and in size."""
-    rows = classes.select("id", "n", "keys", F.posexplode("keys").alias("which", "key"))
-    first = checkpointed(rows.groupBy("which", "key").agg(F.min(F.struct("id", "n", "keys")).alias("x"), F.max("id").alias("last"))
-                         .where("x.id <> last").select("which", "key", "x"))
-    agree = sum(((F.col("keys")[i] == F.col("x.keys")[i]).cast("int") for i in range(len(_KEYS))), F.lit(0))
-    near = 100 * F.least("n", "x.n") >= percent * F.greatest("n", "x.n")
-    pairs = (rows.join(first, ["which", "key"]).where((F.col("id") != F.col("x.id")) & near & (2 * agree > len(_KEYS)))
-             .select(F.col("id").alias("u"), F.col("x.id").alias("v"), (F.col("n") + F.col("x.n")).alias("sizes")).distinct())
-    return checkpointed(_with_most(pairs, classes).where(_reaches(F.col("most"), F.col("sizes"), percent)).select("u", "v"))
+def _led(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """(u, v, n_u, n_v, o): sets ``u`` at the threshold of a leader ``v`` of one of their two families; None without families."""
+    keyed = classes.select("id", F.explode("keys").alias("key"))
+    families = checkpointed(keyed.groupBy("key").agg(F.count_distinct("id").alias("sets")).where("sets > 1"))
+    count = families.count()
+    if not count:
+        return None
+    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(families.select("key"), count))
+    # One entry for each FAMILY sets at most.
+    tasks = {r["key"]: -(-r["sets"] // FAMILY) for r in families.where(F.col("sets") > FAMILY).toLocalIterator()}
+    dealt = docs.sparkSession.sparkContext.broadcast(tasks)
+
+    def emit(name, h):
+        keys = {key for key in h[[0, -1]].view(np.int64).tolist() if _holds(wanted.value, key)}
+        return [((key + name % dealt.value.get(key, 1)) % 2**63, h) for key in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family, last, out = None, None, []
+        pool: list[list] = []    # [hits, id, hashes, histogram], most hits first, then the latest
+        missed: list[tuple] = []  # sets that met none of the pool of their time
+
+        def met(name, h, sketch) -> bool:
+            for k, entry in enumerate(pool):
+                hits, other, g, held = entry
+                need = percent * (len(g) + len(h))
+                if other != name and (100 + percent) * most_shared(sketch, held) >= need:
+                    both = np.sort(np.concatenate([g, h]))
+                    o = int((both[1:] == both[:-1]).sum())
+                    if (100 + percent) * o >= need:
+                        out.append((name, other, len(h), len(g), o))
+                        entry[0] += 1
+                        while k and pool[k - 1][0] < entry[0]:
+                            pool[k - 1:k + 1] = [entry, pool[k - 1]]
+                            k -= 1
+                        return True
+            return False
+
+        def again():
+            for held in missed:
+                met(*held)
+            missed.clear()
+
+        for b in batches:
+            values, offsets = b.column(3).flatten().to_numpy().view(np.uint64), b.column(3).offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            for i, (key, name) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                if key != family:
+                    again()
+                    family, last = key, None
+                    pool.clear()
+                if name == last:  # another batch's row of the same set
+                    continue
+                last, h = name, values[offsets[i]:offsets[i + 1]].copy()
+                sketch = histogram(h)
+                pool[:] = [x for x in pool if 100 * len(x[2]) >= percent * len(h)]  # later sets are larger still
+                if not met(name, h, sketch):
+                    missed.append((name, h, sketch))
+                pool.insert(next((k for k, x in enumerate(pool) if not x[0]), len(pool)), [0, name, h, sketch])
+                del pool[LEADERS:]
+                if len(missed) == MISSED:
+                    again()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["u", "v", "n_u", "n_v", "o"])
+            out.clear()
+        again()
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["u", "v", "n_u", "n_v", "o"])
+
+    rows = _scanned_sets(docs, shingle, emit)
+    return checkpointed(rows.repartition("key").sortWithinPartitions("key", "n", "id")
+                        .mapInArrow(run, "u long, v long, n_u long, n_v long, o long").distinct())
 
 
 def _list_pairs(token, n, pos, group, comp, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,33 +353,20 @@ def _candidates(prefixes: DataFrame, members: DataFrame, percent: int) -> DataFr
     return checkpointed(entries.repartition("token").sortWithinPartitions("token").mapInArrow(run, "u long, v long").distinct())
 
 
-def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with ``comp`` led on over ``links`` between sets."""
-    at = members.select("id", "comp")
-    edges = (links.join(at.select(F.col("id").alias("u"), F.col("comp").alias("cu")), "u")
-             .join(at.select(F.col("id").alias("v"), F.col("comp").alias("cv")), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-    roots = connected_components(edges).select(F.col("node").alias("comp"), "root")
-    return checkpointed(members.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root"))
-
-
 def _joined(docs: DataFrame, classes: DataFrame, common, shingle: int, percent: int) -> DataFrame:
     """(id, least, comp) of every set."""
     at_least = _reaches(F.col("o"), F.col("n_u") + F.col("n_v"), percent)
-    start = classes.select("id", "least", "n", F.col("id").alias("comp"))
-    stars = _overlaps(docs, _star_pairs(classes, percent), shingle)
-    if stars is None:
-        members = start.select("*", F.col("id").alias("grp"), F.lit(0).cast("long").alias("added"), F.lit(0).cast("long").alias("lacks"))
+    alone = F.lit(0).cast("long")
+    led = _led(docs, classes, shingle, percent)
+    if led is None:
+        members = classes.select("id", "least", "n", F.col("id").alias("grp"), alone.alias("added"), alone.alias("lacks"))
+        links = None
     else:
-        stars = stars.where(at_least)
-        best = stars.groupBy(F.col("u").alias("id")).agg(F.max(F.struct("o", "v", "n_u", "n_v")).alias("b"))
-        led = start.join(best, "id", "left").select(
-            "id", "least", "n", "comp", F.coalesce("b.v", "id").alias("grp"),
-            F.coalesce(F.col("b.n_u") - F.col("b.o"), F.lit(0)).alias("added"), F.coalesce(F.col("b.n_v") - F.col("b.o"), F.lit(0)).alias("lacks"))
-        members = _rooted(checkpointed(led), stars.select("u", "v"))
-
-    def prefix(h: np.ndarray) -> np.ndarray:
-        return h[np.argsort(common.value[h >> np.uint64(64 - COUNTERS)], kind="stable")[:prefix_length(len(h), percent)]]
-
+        links = led.select("u", "v")
+        best = led.groupBy(F.col("u").alias("id")).agg(F.max(F.struct("o", "v", "n_u", "n_v")).alias("b"))
+        members = checkpointed(classes.join(best, "id", "left").select(
+            "id", "least", "n", F.coalesce("b.v", "id").alias("grp"), F.coalesce(F.col("b.n_u") - F.col("b.o"), alone).alias("added"),
+            F.coalesce(F.col("b.n_v") - F.col("b.o"), alone).alias("lacks")))
     family = checkpointed(members.groupBy(F.col("grp").alias("id")).agg(F.min("n").alias("least_n"), F.max("added").alias("most_added")))
 
     def with_families(pairs: DataFrame) -> DataFrame:
@@ -325,28 +378,43 @@ def _joined(docs: DataFrame, classes: DataFrame, common, shingle: int, percent:
         """Could some members of the two families reach the threshold?"""
         return _reaches(F.col(overlap) + F.col("most_u") + F.col("most_v"), F.col("least_u") + F.col("least_v"), percent)
 
-    met = _candidates(_of_sets(docs, shingle, None, prefix), members.select("id", "n", "grp", "comp"), percent)
+    def prefix(h: np.ndarray) -> np.ndarray:
+        return h[np.argsort(common.value[h >> np.uint64(64 - COUNTERS)], kind="stable")[:prefix_length(len(h), percent)]]
+
+    prefixes = checkpointed(_of_sets(docs, shingle, None, prefix))
+    met = _candidates(prefixes, members.select("id", "n", "grp", F.col("grp").alias("comp")), percent)
     met = checkpointed(with_families(_with_most(met, classes)).where(best_case("most")).select("u", "v"))
-    found = _overlaps(docs, met, shingle)
+    # The sets of the leaders that met, and of their members, should the leaders' overlap not decide.
+    groups = met.select(F.col("u").alias("grp")).union(met.select("v")).distinct()
+    nodes = checkpointed(groups.select(F.col("grp").alias("id")).union(members.join(groups, "grp", "left_semi").select("id")).distinct())
+    count, found = nodes.count(), None
+    if count:
+        wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes, count))
+        sets = checkpointed(_of_sets(docs, shingle, wanted, lambda h: h))
+        found = _overlaps(met, sets)
+        more = found.where(at_least).select("u", "v")
+        links = more if links is None else links.union(more)
+    if links is None:
+        return members.withColumn("comp", F.col("id"))
+    roots = connected_components(links).select(F.col("node").alias("id"), "root")
+    members = checkpointed(members.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"))
     if found is None:
         return members
-    members = _rooted(members, found.where(at_least).select("u", "v"))
 
     # What the leaders' overlaps leave open: members that could reach the threshold, in components still apart.
     at = members.select("id", "comp")
-    apart_pairs = (found.join(at.select(F.col("id").alias("u"), F.col("comp").alias("cu")), "u")
-                   .join(at.select(F.col("id").alias("v"), F.col("comp").alias("cv")), "v").where("cu <> cv"))
-    open_pairs = checkpointed(with_families(apart_pairs).where(best_case("o")).select("u", "v", "o"))
-    if not open_pairs.limit(1).count():
+    apart = (found.join(at.select(F.col("id").alias("u"), F.col("comp").alias("cu")), "u")
+             .join(at.select(F.col("id").alias("v"), F.col("comp").alias("cv")), "v").where("cu <> cv"))
+    undecided = checkpointed(with_families(apart).where(best_case("o")).select("u", "v", "o"))
+    if not undecided.limit(1).count():
         return members
-    groups = open_pairs.select(F.col("u").alias("grp")).union(open_pairs.select("v")).distinct()
-    apart = checkpointed(members.join(groups, "grp", "left_semi"))
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(apart.select("id"), apart.count()))
-    pairs = _candidates(_of_sets(docs, shingle, wanted, prefix), apart.select("id", "n", F.col("id").alias("grp"), "comp"), percent)
+    groups = undecided.select(F.col("u").alias("grp")).union(undecided.select("v")).distinct()
+    there = checkpointed(members.join(groups, "grp", "left_semi"))
+    pairs = _candidates(prefixes, there.select("id", "n", F.col("id").alias("grp"), "comp"), percent)
 
     def of(x: str) -> DataFrame:
-        return apart.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "grp", "added", "lacks")))
-    known = open_pairs.select(F.col("u").alias("g"), F.col("v").alias("h"), "o")
+        return there.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "grp", "added", "lacks")))
+    known = undecided.select(F.col("u").alias("g"), F.col("v").alias("h"), "o")
     sized = F.col("n_u") + F.col("n_v")
     least = F.col("o") - F.col("lacks_u") - F.col("lacks_v")
     most = F.least(F.col("o") + F.col("added_u") + F.col("added_v"), F.col("most"))
@@ -354,11 +422,12 @@ def _joined(docs: DataFrame, classes: DataFrame, common, shingle: int, percent:
         _with_most(pairs, classes).join(of("u"), "u").join(of("v"), "v")
         .withColumn("g", F.least("grp_u", "grp_v")).withColumn("h", F.greatest("grp_u", "grp_v")).join(known, ["g", "h"])
         .where(_reaches(most, sized, percent)).select("u", "v", _reaches(least, sized, percent).alias("sure")))
-    links = derived.where("sure").select("u", "v")
-    counted = _overlaps(docs, derived.where("NOT sure").select("u", "v"), shingle)
-    if counted is not None:
-        links = links.union(counted.where(at_least).select("u", "v"))
-    return _rooted(members, links)
+    counted = _overlaps(derived.where("NOT sure").select("u", "v"), sets).where(at_least)
+    late = derived.where("sure").select("u", "v").union(counted.select("u", "v"))
+    edges = (late.join(at.select(F.col("id").alias("u"), F.col("comp").alias("cu")), "u")
+             .join(at.select(F.col("id").alias("v"), F.col("comp").alias("cv")), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    roots = connected_components(edges).select(F.col("node").alias("comp"), "root")
+    return members.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
 
 
 def similar_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
