@@ -7,7 +7,9 @@ random.  Both models are fitted on a bounded sample of labelled tokens: values
 that the base patterns found are random strings, plain words are identifiers.
 
 Positions come from splitting a text at a pattern: the lengths of the pieces and
-of the matches add up to code-point offsets, without a Python function.
+of the matches add up to code-point offsets, without a Python function.  Sums and
+overlaps run over arrays in a few element-wise rounds, so a text of very
+many matches, or one token of any length, takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -41,25 +43,41 @@ BACKOFF = 20.0
 FIT_DOCS = 2_000
 
 
+#: A running sum takes in so many earlier sums at each of its steps: enough for the longest array.
+_WIDE, _STEPS = 32, 6
+
+
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, zero, op) -> Column:
+    """Running ``op`` over an array, in a few rounds of sums over ``_WIDE`` places that lie ever farther apart."""
+    def step(apart):
+        def one(v):
+            last = F.least(F.lit(_WIDE - 1), F.floor((F.size(v) - 1) / apart).cast("int"))
+            return F.when(F.size(v) > apart, F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.aggregate(
+                F.sequence(F.lit(0), last), F.lit(zero), lambda acc, j: op(acc, F.coalesce(F.get(v, i - j * apart), F.lit(zero)))))).otherwise(v)
+        return one
+    for k in range(_STEPS):
+        values = _with(values, step(_WIDE ** k))
+    return values
+
+
 def spans(text: Column, pattern: str, kind: str, long_enough=None) -> Column:
     """array<struct<start, kind, stop, token>> of the leftmost non-overlapping matches, in code points.
 
     ``long_enough`` maps a match to a condition; matches that fail it are dropped after they have taken their place.
     """
     kind_no = F.lit(KINDS.index(kind))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def step(acc, pair):
-        a = acc["at"] + F.length(pair["gap"])
-        b = a + F.length(pair["token"])
-        span = F.struct(a.alias("start"), kind_no.alias("kind"), b.alias("stop"), pair["token"].alias("token"))
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    pairs = F.zip_with(found, gaps, lambda t, g: F.struct(F.coalesce(t, F.lit("")).alias("token"), g.alias("gap")))
-    pairs = F.slice(pairs, F.lit(1), F.size(found))
-    out = F.aggregate(pairs, start, step)["out"]
+
+    def placed(found):
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = _running(F.zip_with(gaps, found, lambda g, t: F.length(g) + F.length(t)), 0, lambda a, b: a + b)
+        return F.zip_with(ends, found, lambda e, t: F.struct((e - F.length(t)).alias("start"), kind_no.alias("kind"), e.alias("stop"), t.alias("token")))
+
+    out = _with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed).cast(_SPANS)
     if long_enough is not None:
         out = F.filter(out, lambda s: long_enough(s["token"]))
     none = F.array().cast(_SPANS)
@@ -72,11 +90,17 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(spans(text, ASSIGN, "assign", value), spans(text, ACCESS, "access"), spans(text, HEX, "hex")))
 
 
+def _cells(token: Column) -> Column:
+    """The cell of every character pair of an ASCII token."""
+    def pairs(code):
+        return F.zip_with(F.slice(code, F.lit(1), F.size(code) - 1), F.slice(code, F.lit(2), F.size(code) - 1),
+                          lambda a, b: a * ALPHABET + b)
+    return _with(F.transform(F.split(token, ""), F.ascii), pairs)
+
+
 def _transitions(tokens: DataFrame) -> DataFrame:
     """(label, cell, n): counts of character pairs, cell = first * ALPHABET + second."""
-    pair = F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i")
-    cell = F.ascii(F.substring("token", F.col("i"), F.lit(1))) * ALPHABET + F.ascii(F.substring("token", F.col("i") + 1, F.lit(1)))
-    return (tokens.where(F.length("token") > 1).select("label", "token", pair).select("label", cell.alias("cell"))
+    return (tokens.where(F.length("token") > 1).select("label", F.explode(_cells(F.col("token"))).alias("cell"))
             .groupBy("label", "cell").agg(F.count("*").alias("n")))
 
 
@@ -102,9 +126,7 @@ def markov_ratio(tokens: DataFrame) -> DataFrame:
 
 def token_ratio(token: Column, ratio: Column) -> Column:
     """Log-likelihood ratio, random over identifier, of the character pairs of an ASCII token."""
-    code = lambda i: F.ascii(F.substring(token, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
-                       lambda acc, i: acc + F.get(ratio, code(i) * ALPHABET + code(i + 1)))
+    return F.aggregate(F.transform(_cells(token), lambda c: F.get(ratio, c)), F.lit(0.0), lambda acc, x: acc + x)
 
 
 def train(docs: DataFrame, text_col: str = "text", fit_tokens: int = FIT_TOKENS, fit_docs: int = FIT_DOCS) -> DataFrame:
@@ -130,6 +152,19 @@ def train(docs: DataFrame, text_col: str = "text", fit_tokens: int = FIT_TOKENS,
     return checkpointed(markov_ratio(sample(values, 1).unionByName(sample(words, 0))))
 
 
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that no base span overlaps: none before reaches into them, and the next begins behind them."""
+    kind, last = KINDS.index("random"), 2**31 - 1
+
+    def clear(all_):
+        reach = _running(F.transform(all_, lambda s: F.when(s["kind"] < kind, s["stop"]).otherwise(F.lit(-1))), -1, lambda a, b: F.greatest(a, b))
+        ahead = F.reverse(_running(F.reverse(F.transform(all_, lambda s: F.when(s["kind"] < kind, s["start"]).otherwise(F.lit(last)))), last, lambda a, b: F.least(a, b)))
+        near = F.arrays_zip(all_.alias("s"), reach.alias("reach"), ahead.alias("ahead"))
+        kept = F.filter(near, lambda x: (x["s"]["kind"] == kind) & (x["reach"] <= x["s"]["start"]) & (x["ahead"] >= x["s"]["stop"]))
+        return F.transform(kept, lambda x: x["s"])
+    return F.when((F.size(base) == 0) | (F.size(tokens) == 0), tokens).otherwise(_with(F.array_sort(F.concat(base, tokens)), clear))
+
+
 def with_spans(docs: DataFrame, model: DataFrame, text_col: str = "text", base_name: str = "base",
                all_name: str = "spans", min_ratio: float = MIN_RATIO) -> DataFrame:
     """``docs`` with two more columns: base spans and all spans, array<struct<start, kind, stop, token>>, sorted.
@@ -139,8 +174,7 @@ def with_spans(docs: DataFrame, model: DataFrame, text_col: str = "text", base_n
     t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     one = model.select(F.col("ratio").alias("__ratio"))  # one row of 16,384 numbers
     base = F.col(base_name)
-    far = F.filter(spans(t, TOKEN, "random"), lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    random = F.filter(far, lambda s: token_ratio(s["token"], F.col("__ratio")) >= min_ratio)
+    random = F.filter(_apart(spans(t, TOKEN, "random"), base), lambda s: token_ratio(s["token"], F.col("__ratio")) >= min_ratio)
     return (docs.withColumn(base_name, base_spans(t)).crossJoin(F.broadcast(one))
             .withColumn(all_name, F.array_sort(F.concat(base, random))).drop("__ratio"))
 
@@ -154,16 +188,17 @@ def listed(spans_col: Column) -> Column:
 
 def redacted(text: Column, spans_col: Column, mark: str = "[REDACTED]") -> Column:
     """The text with every span (overlaps merged) replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    def pieces(reach):
+        """Places of the text between merged spans: from the farthest stop so far to a start that is not before it."""
+        before = F.concat(F.array(F.lit(0)), reach)
+        starts = F.concat(F.transform(spans_col, lambda s: s["start"]), F.array(F.length(text)))
+        return F.filter(F.zip_with(before, starts, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"] >= p["a"])
 
-    def step(acc, s):
-        piece = F.when(s["start"] >= acc["at"], F.concat(
-            acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), piece.alias("out"))
+    def joined(chars):
+        places = _with(_running(F.transform(spans_col, lambda s: s["stop"]), 0, lambda a, b: F.greatest(a, b)), pieces)
+        return F.array_join(F.transform(places, lambda p: F.array_join(F.slice(chars, p["a"] + 1, p["b"] - p["a"]), "")), mark)
 
-    done = F.aggregate(spans_col, start, step)
-    return F.when(F.size(spans_col) == 0, text).otherwise(
-        F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans_col) == 0, text).otherwise(_with(F.split(text, ""), joined))
 
 
 def scan(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
