@@ -24,33 +24,48 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd
          "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead"}, {"table"})}
 _SCOPE = {"td", "th", "table", "button", "object", "html", "body", "caption"}
 
-# Elements, and names in class, id or role, that hold no main text.
-SKIPPED = {"aside", "button", "canvas", "dialog", "footer", "form", "head", "iframe", "input", "label", "nav", "noscript", "object",
-           "script", "select", "style", "svg", "template", "textarea", "title", "audio", "video", "option", "math"}
-ROLES = {"ad", "ads", "adsense", "advert", "advertisement", "advertising", "adverts", "alert", "banner", "breadcrumb", "breadcrumbs",
-         "comment", "comments", "commentlist", "complementary", "consent", "contentinfo", "cookie", "cookies", "dialog", "disqus",
-         "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices",
-         "overlay", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "search",
-         "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"}
+# Elements that hold no main text, and whole class names (and ids) that say the same of a container.
+SKIPPED = {"aside", "button", "canvas", "dialog", "footer", "form", "head", "iframe", "input", "nav", "noscript", "object",
+           "script", "select", "style", "svg", "template", "textarea", "title", "audio", "video", "option"}
+ROLES = {"ad", "ads", "ad-slot", "ad-banner", "adsbygoogle", "adsense", "advert", "advertisement", "advertising", "adverts", "alert", "banner",
+         "breadcrumb", "breadcrumbs", "comment", "comments", "comment-list", "commentlist", "comments-area", "post-comments", "complementary",
+         "consent", "contentinfo", "cookie", "cookies", "cookie-banner", "cookie-consent", "cookie-notice", "dialog", "disqus", "disqus_thread",
+         "footer", "site-footer", "page-footer", "gdpr", "login", "masthead", "menu", "main-menu", "modal", "nav", "main-nav", "site-nav", "navbar",
+         "navigation", "newsletter", "notice", "notices", "overlay", "pagination", "popup", "promo", "promoted", "promotion", "related",
+         "related-posts", "replies", "reply", "respond", "search", "search-form", "share", "share-buttons", "sharing", "sidebar", "site-header",
+         "signup", "skip", "skip-link", "social", "social-share", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"}
+#: Of these, ids that count inside an article too; other ids there are anchors of its sections.
+_IDS_INSIDE = {"comments", "respond", "disqus_thread"}
+#: Outside of articles a compound name says what its last word says ("top-banner"), unless it begins with one of these.
+_MODIFIERS = {"has", "is", "no", "not", "with", "without"}
+#: Elements that such a name may take out: never headings, paragraphs, table cells or list items by their class.
+_NAMED = {"center", "details", "div", "dl", "fieldset", "figure", "menu", "ol", "section", "span", "table", "ul"}
 
 
 class Node:
-    __slots__ = ("tag", "name", "skip", "links", "kids", "slot")
+    """``skip``: hidden, or an element without main text.  ``role``: a container whose whole class, id or role says menu,
+    advert, comment or the like.  ``name``: words of its classes."""
+
+    __slots__ = ("tag", "name", "skip", "role", "compound", "at", "links", "kids", "slot")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.name, self.skip, self.links, self.kids, self.slot = tag, "", tag in SKIPPED, False, [], -1
+        self.tag, self.name, self.skip, self.role, self.at, self.links, self.kids, self.slot = tag, "", tag in SKIPPED, False, "", False, [], -1
+        self.compound = False
         if "=" in attrs or "hidden" in attrs:
-            words = []
+            whole, words = set(), []
             for key, a, b, c, bare in _ATTR.findall(attrs):
                 key, value = key.lower(), (a or b or c).lower()
-                if key in ("class", "id", "role"):
+                if key in ("class", "role"):
+                    whole.update(value.split())
                     words += _NAME.findall(value)
+                if key == "id":
+                    self.at = value.strip()
                 if bare or key == "hidden" or key == "aria-hidden" and value == "true" or \
                         key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     self.skip = True
-            if words:
-                self.name = ".".join(words)
-                self.skip = self.skip or tag not in ("html", "body") and not ROLES.isdisjoint(words)
+            self.name = ".".join(words)
+            self.role = tag in _NAMED and not ROLES.isdisjoint(whole)
+            self.compound = tag in _NAMED and any(p[-1] in ROLES and p[0] not in _MODIFIERS for p in (re.split("[-_]+", w) for w in whole))
 
 
 def _open(stack: list[Node], tags: set[str], beyond: set[str]) -> int:
@@ -115,30 +130,41 @@ def parse(page: str | None) -> Node:
 
 
 def drop_roles(root: Node) -> Node:
-    """Mark headers outside an article as template; lists and containers made of links get ``links`` and stay."""
-    def walk(node: Node, inside: bool) -> tuple[int, int]:
-        chars = linked = 0
-        for kid in node.kids:
-            if isinstance(kid, str):
-                chars += len(kid.strip())
-            elif not kid.skip:
-                if kid.tag == "header" and not inside or kid.name and not inside and "header" in kid.name.split("."):
-                    kid.skip = True
-                    continue
-                a, b = walk(kid, inside or kid.tag in ("article", "main"))
-                chars, linked = chars + a, linked + b
+    """Settle ``skip``, ``role`` and ``links``.
+
+    Headers outside an article are skipped; ids and compound names make a role outside an article, and a few ids inside.  What holds the main
+    element, or the first article of a page without one, has no role.  Lists and containers made of links get ``links``.
+    """
+    todo, order = [(root, -1, False)], []
+    while todo:  # order: (node, place of its parent, inside an article)
+        node, parent, inside = todo.pop()
+        if node.tag == "header" and not inside:
+            node.skip = True
+        if node.tag in _NAMED and (node.at in _IDS_INSIDE or not inside and (node.at in ROLES or node.compound or "header" in node.name.split("."))):
+            node.role = True
+        if node.skip:
+            continue
+        order.append((node, parent))
+        here = len(order) - 1
+        inside = inside or node.tag in ("article", "main")
+        todo += [(kid, here, inside) for kid in reversed(node.kids) if not isinstance(kid, str)]
+    for tag in ("main", "article"):
+        if at := next((i for i, (node, _) in enumerate(order) if node.tag == tag), 0):
+            while at >= 0:
+                order[at][0].role = False
+                at = order[at][1]
+            break
+    chars, linked = [0] * len(order), [0] * len(order)
+    for i in range(len(order) - 1, -1, -1):
+        node, parent = order[i]
+        chars[i] += sum(len(kid.strip()) for kid in node.kids if isinstance(kid, str))
         if node.tag == "a":
-            linked = chars
-        if node.tag in ("ul", "ol", "menu", "table", "div", "section") and chars and linked > 0.7 * chars:
+            linked[i] = chars[i]
+        if node.tag in ("ul", "ol", "menu", "table", "div", "section") and chars[i] and linked[i] > 0.7 * chars[i]:
             node.links = True
-            return 0, 0
-        return chars, linked
-
-    # Trees are as deep as pages nest; past the limit a page keeps what its elements' names say.
-    try:
-        walk(root, False)
-    except RecursionError:
-        pass
+        elif parent >= 0:
+            chars[parent] += chars[i]
+            linked[parent] += linked[i]
     return root
 
 
@@ -167,7 +193,7 @@ def blocks(root: Node, wanted) -> list[str]:
                 if kid.tag in ("br", "wbr"):
                     now.append(" " if kid.tag == "br" else "")
                 else:
-                    todo.append((kid, 0, wanted(kid) if kid.tag in BLOCKS else want))
+                    todo.append((kid, 0, wanted(kid) if kid.tag in BLOCKS else want and not kid.role))
         elif node.tag in BLOCKS:
             flush()
     flush()

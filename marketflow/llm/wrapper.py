@@ -3,12 +3,14 @@
 Every page becomes a tree of its blocks in which siblings of one kind are one slot.  Trees of the same host are
 aligned by simple tree matching into one template.  Slots with the same text on all pages are template; slots that
 vary are content.  The content root is the article or main that holds nearly all varying text, or else the deepest
-container that holds all of it; text of lists and containers made of links does not count there.  A page's main text
-is what stands below it, without named slots that never vary and without elements whose tag or name says menu,
-header, footer, sidebar, notice, advert, form or comment.
-
-Only slot statistics meet by host (smallest and largest text hash, sizes), summed before they are shuffled, so a
-host of any size is a few rows.  Pages meet their host's rules in a join.
+container that holds all of it; text of lists and containers made of links, and of slots named as menu, advert, comment
+or the like, does not count there unless nothing else varies.  A page's main text is what stands below the root, without
+named slots that never vary, without containers so named, and without elements that hold no main text.  The root, and
+what holds it, is never left out.
+
+Only slot statistics meet by host (smallest and largest text hash, sizes), summed before they are shuffled.  Slots are
+told apart by tag and class words, not by ids, so pages of one layout are one skeleton.  Pages meet the rules of their
+host and skeleton in a join.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from marketflow.llm.common import checkpointed
 from marketflow.llm.html_text import BLOCKS, CONTAINERS, Node, blocks, drop_roles, parse
 
+#: Begins the name of a slot that is a menu, advert, comment or the like.
+ROLE = "!"
 #: Pages that have to agree before a slot counts as constant.
 MIN_PAGES = 3
 #: Share of the varying text that an article or main must hold to be the content root.
@@ -56,9 +61,10 @@ def slots(root: Node) -> tuple[list[tuple[int, str, str]], list[list[str]], list
                     plain[slot] += 0 if links else len(s)
             elif not kid.skip:
                 if kid.tag not in BLOCKS:
-                    todo.append((kid, slot, links or kid.links))
+                    if not kid.role:
+                        todo.append((kid, slot, links or kid.links))
                     continue
-                key = (slot, kid.tag, kid.name)
+                key = (slot, kid.tag, ROLE + kid.name if kid.role else kid.name)
                 kid.slot = found.setdefault(key, len(found))
                 if kid.slot == len(texts):
                     texts.append([])
@@ -179,9 +185,21 @@ class Template:
                     if n >= MIN_PAGES and a < b and low == high and c}
         if all(t in constant for t in order if self.stats[t][3]):
             constant = set()  # copies of one page tell nothing apart
-        held = [0] * len(self.tag)
-        for t in reversed(order):
-            held[t] = (0 if t in constant else self.stats[t][4]) + sum(held[k] for k in self.kids[t])
+        role = [False] * len(self.tag)
+        for t in order:
+            role[t] = role[t] or self.name[t].startswith(ROLE)
+            for k in self.kids[t]:
+                role[k] = role[k] or role[t]
+
+        def varying(roles: bool) -> list[int]:
+            held = [0] * len(self.tag)
+            for t in reversed(order):
+                held[t] = (0 if t in constant or role[t] and not roles else self.stats[t][4]) + sum(held[k] for k in self.kids[t])
+            return held
+
+        held = varying(False)
+        if not held[0]:
+            held = varying(True)
         root = 0
         for t in order:  # article and main say what they are; the deepest that holds nearly all
             if self.tag[t] in ("article", "main") and held[t] and held[t] >= HOLDS * held[0]:
@@ -191,11 +209,17 @@ class Template:
             if inner is None or not held[inner]:
                 break
             root = inner
-        return root, {t for t in constant if self.name[t] and self.tag[t] not in ("article", "main", "body")}
+        above = {k: t for t in order for k in self.kids[t]}
+        line, t = {root}, root
+        while t in above:
+            t = above[t]
+            line.add(t)
+        named = {t for t in constant if self.name[t] and self.tag[t] not in ("article", "main", "body")}
+        return root, (named | {t for t in order if self.name[t].startswith(ROLE)}) - line
 
 
 def _induce(pages: DataFrame) -> DataFrame:
-    """(host, rules): JSON of skeleton hash -> [slot of the content root, dropped slots]."""
+    """(host, skeleton, top, dropped): slot of the content root and dropped slots, for each skeleton's hash."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         template, places = Template(), {}
         by = pdf.groupby("skeleton")["pages"].max().reset_index().sort_values(["pages", "skeleton"], ascending=[False, True])
@@ -204,30 +228,30 @@ def _induce(pages: DataFrame) -> DataFrame:
         for r in pdf.itertuples(index=False):
             template.add(places[r.skeleton][r.slot], r.pages, r.low, r.high, r.chars, r.plain, r.page_low, r.page_high)
         root, dropped = template.rules()
-        rules = {}
+        above = {k: t for t, kids in enumerate(template.kids) for k in kids}
+        rules = []
         for skeleton, place in places.items():
-            keys = json.loads(skeleton)
-            at = [i for i, t in enumerate(place) if t == root]
-            t = root
-            while not at:  # a page without the content root: the nearest slot above that it has
-                t = next(p for p, kids in enumerate(template.kids) if t in kids)
-                at = [i for i, x in enumerate(place) if x == t]
-            rules[_key(skeleton)] = [at[0], [i for i, t in enumerate(place) if t in dropped and i < len(keys)]]
-        return pd.DataFrame({"host": [key[0]], "rules": [json.dumps(rules)]})
+            t, slot_of = root, {t: i for i, t in enumerate(place)}
+            while t not in slot_of:  # a page without the content root: the nearest slot above that it has
+                t = above[t]
+            rules.append((key[0], _key(skeleton), slot_of[t], json.dumps([i for i, t in enumerate(place) if t in dropped])))
+        return pd.DataFrame(rules, columns=["host", "skeleton", "top", "dropped"])
 
-    return _statistics(pages).groupBy("host").applyInPandas(run, "host string, rules string")
+    return _statistics(pages).groupBy("host").applyInPandas(run, "host string, skeleton string, top int, dropped string")
 
 
 def _key(skeleton: str) -> str:
     return xxhash.xxh3_64_hexdigest(skeleton)
 
 
-def main_text(page: str | None, rules: dict[str, list]) -> str:
+def skeleton_key(page: str | None) -> str:
+    return _key(_page(page)[1])
+
+
+def main_text(page: str | None, top: int, dropped: set[int]) -> str:
     root, skeleton, _, _ = _page(page)
-    top, dropped = rules.get(_key(skeleton), [0, []])
-    parents = [k[0] for k in json.loads(skeleton)]
     inside = []
-    for i, p in enumerate(parents):
+    for i, (p, _, _) in enumerate(json.loads(skeleton)):
         inside.append(i not in dropped and (i == top or p >= 0 and inside[p]))
     return "\n\n".join(blocks(root, lambda n: n.slot >= 0 and inside[n.slot]))
 
@@ -240,12 +264,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                         host_of(F.col(url_col)).alias("host"))
-    wrappers = _induce(rows).withColumnRenamed("host", "h")
+    # Read back as a table, so that the pages of a large host can be split in the join.
+    rules = checkpointed(_induce(rows)).select(F.col("host").alias("h"), F.col("skeleton").alias("k"), "top", "dropped")
+
+    @pandas_udf("string")
+    def key(html: pd.Series) -> pd.Series:
+        return pd.Series([skeleton_key(p) for p in html])
 
     @pandas_udf("string")
-    def text(html: pd.Series, rules: pd.Series) -> pd.Series:
-        known: dict[str, dict] = {}
-        return pd.Series([main_text(p, known.setdefault(r, json.loads(r)) if r not in known else known[r]) for p, r in zip(html, rules)])
+    def text(html: pd.Series, top: pd.Series, dropped: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p, t, set(json.loads(d))) for p, t, d in zip(html, top, dropped)])
 
-    done = rows.join(wrappers, F.col("host") == F.col("h")).select("page_id", "url", text("html", "rules").alias("text"))
+    keyed = rows.withColumn("skeleton", key("html"))
+    done = (keyed.join(rules, (F.col("host") == F.col("h")) & (F.col("skeleton") == F.col("k")))
+            .select("page_id", "url", text("html", "top", "dropped").alias("text")))
     return done.withColumn("n_chars", F.length("text").cast("long"))
