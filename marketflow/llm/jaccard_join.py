@@ -44,7 +44,7 @@ _LEAST_BITS, _MOST_BITS = 20, 28
 LEADERS = 64
 MISSED = 2000
 #: Sets of one family that pass the same task; larger families are dealt out to several.
-FAMILY = 50_000
+FAMILY = 10_000
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -143,7 +143,7 @@ def _merged(chunks: DataFrame, width: int, kind: str, merge) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(a.tobytes(), 1) for a in sums.values()], pa.binary())],
                                          ["chunk", "counts"])
     out = np.zeros(width, kind)
-    for r in chunks.select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, counts binary").toLocalIterator():
+    for r in chunks.select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect():  # a row a chunk
         a = np.frombuffer(zlib.decompress(r["counts"]), kind)
         out[r["chunk"] * len(a):(r["chunk"] + 1) * len(a)] = a
     return out
