@@ -11,20 +11,32 @@ from marketflow.llm.sentences import sentences
 SF = "/root/testdata/sf0.001"
 
 
+def pair(a, b):
+    m = 2**64 - 1
+    h = (xxhash.xxh3_64_intdigest(a) * 0x9E3779B97F4A7C15 + xxhash.xxh3_64_intdigest(b)) & m
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & m
+    h ^= h >> 29
+    h = h * 0xA0761D6478BD642F & m
+    return h ^ h >> 32
+
+
 def pieces(text):
     """The rule over again: stops and line ends, then cuts before words whose pair hashes least among three on either side."""
-    out = []
-    for s in sentences(text, longest=10**9):
+    whole = sentences(text, longest=10**9)
+    low = text.lower().split()
+    h = {i: pair(low[i - 1], low[i]) for i in range(1, len(low))}
+    out, at = [], 0
+    for s in whole:
         words = re.findall(r"\S+\s*", s)
         lead = s[:len(s) - len("".join(words))]
-        low = [w.strip().lower() for w in words]
         cuts = [0]
         if len(words) > 12:
-            h = {i: xxhash.xxh3_64_intdigest(low[i - 1] + " " + low[i]) for i in range(1, len(words))}
-            cuts += [i for i in h if all(h[i] <= h.get(k, h[i]) for k in range(i - 3, i + 4))]
+            cuts += [i - at for i in range(max(at, 1), at + len(words)) if i > at and all(h[i] <= h.get(k, h[i]) for k in range(i - 3, i + 4))]
         own = ["".join(words[a:b]) for a, b in zip(cuts, [*cuts[1:], len(words)])]
         own[0] = lead + own[0]
         out += own
+        at += len(words)
     return out
 
 
@@ -43,7 +55,7 @@ def spans(p):
 def plain(rows):
     first, want = {}, {}
     cut = {i: pieces(t) for i, t in rows}
-    of = {i: [(a, b, "\n".join(" ".join(x.lower().split()) for x in p[a:b])) for a, b in spans(p)] for i, p in cut.items()}
+    of = {i: [(a, b, " ".join(" ".join(p[a:b]).lower().split())) for a, b in spans(p)] for i, p in cut.items()}
     for i, _ in rows:
         for a, _, s in of[i]:
             first.setdefault(s, (i, a))
