@@ -7,16 +7,18 @@ variance), and incremental maintenance is a merge of two partial states by
 Chan's parallel formula — the form a ``foreachBatch`` upsert uses.  Every
 aggregate is partial (map-side combined), so a hot item costs one partial row
 per task.  Per-cycle series (sessions, calibration) are aggregated to one row
-per poll first; only that small table is ordered.
+per poll first; that table is ordered by a prefix scan over range partitions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.columns import clip, finite_or, ts_literal
+from .quantile import grouped_quantiles
+from .scan import AFFINE, prefix_scan
 
 SEQ = ("l_orderkey", "l_linenumber", "l_suppkey")
 
@@ -134,27 +136,54 @@ def merge_item_statistics(state: DataFrame, batch: DataFrame) -> DataFrame:
     return with_consistency(out)
 
 
-def category_performance(prices: DataFrame) -> DataFrame:
-    """#96: per category (blank skipped) count, profitable count, mean profit, weight."""
+def category_totals(prices: DataFrame) -> DataFrame:
+    """#96 as a mergeable state: per category (blank skipped) count, profitable count and sum of profits."""
     c = F.trim(F.col("category"))
-    p = finite_or("profit")
-    st = (prices.filter(c.isNotNull() & (c != "")).groupBy(c.alias("category"))
-          .agg(F.count(F.lit(1)).alias("total_items"),
-               F.count_if(F.col("profit") > 0).alias("profitable_items"),
-               F.avg(p).alias("avg_profit")))
-    return st.withColumn("weight", F.when(F.col("total_items") >= 5,
-                                          0.5 + F.col("profitable_items") / F.col("total_items"))
-                         .otherwise(F.lit(1.0)))
+    return (prices.filter(c.isNotNull() & (c != "")).groupBy(c.alias("category"))
+            .agg(F.count(F.lit(1)).alias("total_items"), F.count_if(F.col("profit") > 0).alias("profitable_items"),
+                 F.sum(finite_or("profit")).alias("profit_sum")))
 
 
-def trader_reliability(prices: DataFrame) -> DataFrame:
-    """#97: per trader mean profit; reliability .5 + mean/20000 (clipped) once 10 samples exist."""
+def weighted_categories(totals: DataFrame) -> DataFrame:
+    """#96: mean profit, and weight .5 + profitable rate once 5 samples exist."""
+    return totals.select("category", "total_items", "profitable_items", (F.col("profit_sum") / F.col("total_items")).alias("avg_profit"),
+                         F.when(F.col("total_items") >= 5, 0.5 + F.col("profitable_items") / F.col("total_items"))
+                         .otherwise(F.lit(1.0)).alias("weight"))
+
+
+def category_performance(prices: DataFrame) -> DataFrame:
+    """#96: per category count, profitable count, mean profit, weight."""
+    return weighted_categories(category_totals(prices))
+
+
+def trader_totals(prices: DataFrame) -> DataFrame:
+    """#97 as a mergeable state: per trader (blank skipped) count and sum of profits."""
     t = F.trim(F.col("trader_name"))
-    st = (prices.filter(t.isNotNull() & (t != "")).groupBy(t.alias("trader"))
-          .agg(F.count(F.lit(1)).alias("count"), F.avg(finite_or("profit")).alias("avg_profit")))
-    return st.withColumn("reliability", F.when(F.col("count") >= 10,
-                                               clip(0.5 + F.col("avg_profit") / 20000, 0, 1))
-                         .otherwise(F.lit(0.5)))
+    return (prices.filter(t.isNotNull() & (t != "")).groupBy(t.alias("trader"))
+            .agg(F.count(F.lit(1)).alias("count"), F.sum(finite_or("profit")).alias("profit_sum")))
+
+
+def reliable_traders(totals: DataFrame) -> DataFrame:
+    """#97: mean profit, and reliability .5 + mean/20000 (clipped) once 10 samples exist."""
+    avg = F.col("profit_sum") / F.col("count")
+    return totals.select("trader", "count", avg.alias("avg_profit"),
+                         F.when(F.col("count") >= 10, clip(0.5 + avg / 20000, 0, 1)).otherwise(F.lit(0.5)).alias("reliability"))
+
+
+def trader_reliability(prices: DataFrame) -> DataFrame:
+    """#97: per trader count, mean profit, reliability."""
+    return reliable_traders(trader_totals(prices))
+
+
+def merge_totals(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Sum two states of counts and sums by their key, the first column."""
+    key, *sums = state.columns
+    return state.unionByName(batch).groupBy(key).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def newest_of(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """Rows of the batch in place of the state's of the same key, the first column."""
+    return state.join(batch.select(state.columns[0]), state.columns[0], "left_anti").unionByName(batch)
 
 
 def cycle_stats(prices: DataFrame, ts: str = "ts") -> DataFrame:
@@ -167,7 +196,7 @@ def cycle_stats(prices: DataFrame, ts: str = "ts") -> DataFrame:
     roi = F.when(F.col("flea_price") > 0, F.col("profit") / F.col("flea_price") * 100).otherwise(F.lit(0.0))
     base = prices.select(F.col(ts).alias("cycle"), F.col("profit").cast("double").alias("_p"),
                          clip(roi, -200, 200).alias("_r"), valid_id.alias("_ok"))
-    q = base.groupBy("cycle").agg(F.percentile("_p", F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
+    q = grouped_quantiles(base, "cycle", "_p", (0.05, 0.95)).select("cycle", F.col("q").alias("_q"))
     j = base.join(q, "cycle")
     wp = F.least(F.greatest(F.col("_p"), F.col("_q")[0]), F.col("_q")[1])
     agg = j.groupBy("cycle").agg(
@@ -190,33 +219,65 @@ def cycle_stats(prices: DataFrame, ts: str = "ts") -> DataFrame:
         finite_or("_rm").alias("roi_mean"), fix_std("_rs").alias("roi_std"))
 
 
-def calibration_ema(cycles: DataFrame, alpha: float = S.CALIBRATION_ALPHA,
-                    init=(0.0, 1.0, 0.0, 1.0)) -> DataFrame:
-    """#98: exponential smoothing over cycles in time order, in closed form.
+MEASURES = ("profit_mean", "profit_std", "roi_mean", "roi_std")
+
+
+def calibration_pairs(cycles: DataFrame, alpha: float = S.CALIBRATION_ALPHA) -> DataFrame:
+    """#98 as a mergeable state: one row per poll, the map ``x -> decay * x + add`` that its smoothing step is.
 
-    value_N = init·(1−α)^N + Σ_i α·(1−α)^(N−i)·x_i; the cycle table is one row
-    per poll, so ranking it is cheap; the sum is a plain aggregate.
+    A row stands for a stretch of ``n`` polls, from ``cycle`` to ``last``; stretches that follow one another compose
+    (``merged_pairs``) in any grouping.
     """
-    c = cycles.withColumns({"_i": F.row_number().over(Window.orderBy("cycle")),
-                            "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))})
-    decay = 1 - alpha
-    names = ("profit_mean", "profit_std", "roi_mean", "roi_std")
-    agg = c.agg(F.count(F.lit(1)).alias("cycles"),
-             *[F.sum(alpha * F.col(k) * F.pow(F.lit(decay), F.col("_n") - F.col("_i"))).alias(f"_s_{k}")
-               for k in names])
-    return agg.select("cycles", *[
-        (F.lit(v) * F.pow(F.lit(decay), F.col("cycles")) + F.coalesce(F.col(f"_s_{k}"), F.lit(0.0))).alias(k)
-        for k, v in zip(names, init)])
+    return cycles.select("cycle", F.col("cycle").alias("last"), F.lit(1).cast("long").alias("n"), F.lit(1 - alpha).alias("decay"),
+                         *[(F.lit(alpha) * F.col(k)).alias(f"add_{k}") for k in MEASURES])
+
+
+def _after(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the decay of all stretches after each, as a logarithm."""
+    known = pairs.withColumn("_log", F.log("decay"))
+    total = known.agg(F.sum("_log").alias("_all"))
+    upto = prefix_scan(known, ["cycle"], ["_log"], ["_upto"])
+    return upto.crossJoin(F.broadcast(total)).withColumn("_rest", F.exp(F.col("_all") - F.col("_upto")))   # one row
+
+
+def merged_pairs(pairs: DataFrame, before=None) -> DataFrame:
+    """All stretches (those that end before ``before``) as one; the others stay."""
+    old = pairs if before is None else pairs.filter(F.col("last") < ts_literal(before))
+    one = _after(old).agg(F.min("cycle").alias("cycle"), F.max("last").alias("last"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+                          F.exp(F.coalesce(F.sum("_log"), F.lit(0.0))).alias("decay"),
+                          *[F.coalesce(F.sum(F.col(f"add_{k}") * F.col("_rest")), F.lit(0.0)).alias(f"add_{k}") for k in MEASURES])
+    if before is None:
+        return one
+    return one.filter(F.col("n") > 0).unionByName(pairs.filter(~(F.col("last") < ts_literal(before))))
+
+
+def smoothed(pairs: DataFrame, init=(0.0, 1.0, 0.0, 1.0)) -> DataFrame:
+    """#98: the smoothed values after all polls, from (0, 1, 0, 1) on."""
+    return merged_pairs(pairs).select(F.col("n").alias("cycles"), *[
+        (F.lit(v) * F.col("decay") + F.col(f"add_{k}")).alias(k) for k, v in zip(MEASURES, init)])
+
+
+def calibration_ema(cycles: DataFrame, alpha: float = S.CALIBRATION_ALPHA, init=(0.0, 1.0, 0.0, 1.0)) -> DataFrame:
+    """#98: exponential smoothing over polls in time order."""
+    return smoothed(calibration_pairs(cycles, alpha), init)
+
+
+def calibration_path(cycles: DataFrame, alpha: float = S.CALIBRATION_ALPHA, init=(0.0, 1.0, 0.0, 1.0)) -> DataFrame:
+    """#98: the smoothed values after each poll: a prefix scan of the polls' maps."""
+    adds, sums = [f"add_{k}" for k in MEASURES], [f"_{k}" for k in MEASURES]
+    run = prefix_scan(calibration_pairs(cycles, alpha), ["cycle"], ["decay", *adds], ["_d", *sums], AFFINE)
+    return run.select("cycle", *[(F.lit(v) * F.col("_d") + F.col(f"_{k}")).alias(k) for k, v in zip(MEASURES, init)])
 
 
 def training_sessions(cycles: DataFrame, keep: int | None = S.TRAINING_SESSION_CAP) -> DataFrame:
     """#99: the last ``keep`` sessions (None: all) with cumulative totals (one row per cycle)."""
-    run = Window.orderBy("cycle").rowsBetween(Window.unboundedPreceding, 0)
-    c = cycles.select("cycle", "items_processed", "profitable_count", "profitable_rate", "avg_profit",
-                      F.sum("items_processed").over(run).alias("total_items_seen"),
-                      F.sum("profitable_count").over(run).alias("total_profitable_items"),
-                      F.row_number().over(Window.orderBy(F.desc("cycle"))).alias("_back"))
-    return (c if keep is None else c.filter(F.col("_back") <= keep)).drop("_back")
+    c = cycles.select("cycle", "items_processed", "profitable_count", "profitable_rate", "avg_profit", F.lit(1).alias("_one"))
+    run = prefix_scan(c, ["cycle"], ["items_processed", "profitable_count", "_one"],
+                      ["total_items_seen", "total_profitable_items", "_at"]).drop("_one")
+    if keep is not None:
+        last = cycles.agg(F.count(F.lit(1)).alias("_polls"))
+        run = run.crossJoin(F.broadcast(last)).filter(F.col("_at") > F.col("_polls") - keep).drop("_polls")   # one row
+    return run.drop("_at")
 
 
 def daily_summary(prices: DataFrame, ts: str = "ts", keep: int | None = S.DAILY_SUMMARY_CAP) -> DataFrame:
@@ -224,8 +285,7 @@ def daily_summary(prices: DataFrame, ts: str = "ts", keep: int | None = S.DAILY_
     d = (prices.groupBy(F.to_date(ts).alias("date"))
          .agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("profit") > 0).alias("profitable"),
               F.avg("profit").alias("avg_profit"), F.max("profit").alias("max_profit")))
-    back = F.row_number().over(Window.orderBy(F.desc("date")))
-    return d if keep is None else d.withColumn("_back", back).filter(F.col("_back") <= keep).drop("_back")
+    return d if keep is None else d.orderBy(F.desc("date")).limit(keep)
 
 
 def top_learned_items(stats: DataFrame, n: int = 20, min_points: int = S.TREND_MIN_DATA_POINTS) -> DataFrame:

@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantile import exact_quantile, grouped_quantiles
 from .query import top_k
+from .sequence import numbered
+
+MAX_TRADERS = 10_000
 
 
 def market_overview(df: DataFrame) -> DataFrame:
@@ -80,16 +84,19 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
-def profit_pivot(df: DataFrame, top: int = 10, traders=None) -> DataFrame:
+def profit_pivot(df: DataFrame, top: int = 10, traders=None, max_traders: int = MAX_TRADERS) -> DataFrame:
     """#55: top categories by count × trader -> mean profit, missing cells 0.
 
     The pivot values are listed up front (one small distinct job when not
-    given) so Spark does not plan an extra discovery pass inside the pivot.
+    given) so Spark does not plan an extra discovery pass inside the pivot.  More than ``max_traders`` columns are
+    refused: list the ones to show.
     """
     cats = value_counts(df, "category", top).select("category")
     sub = df.join(cats, "category", "left_semi").filter(F.col("trader_name").isNotNull())
     if traders is None:
-        traders = [r[0] for r in sub.select("trader_name").distinct().orderBy("trader_name").collect()]
+        traders = [r[0] for r in sub.select("trader_name").distinct().orderBy("trader_name").limit(max_traders + 1).collect()]
+        if len(traders) > max_traders:
+            raise ValueError(f"more than {max_traders} traders; list those that the pivot shows")
     pv = sub.groupBy("category").pivot("trader_name", list(traders)).agg(F.avg("profit"))
     return pv.fillna(0.0, subset=[str(t) for t in traders])
 
@@ -114,8 +121,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50, below_quantile: float
     """
     src = df.filter(F.col(column).isNotNull())
     if below_quantile is not None:
-        q = src.select(F.percentile(column, below_quantile)).scalar()
-        src = src.filter(F.col(column) < q)
+        q = exact_quantile(src, column, below_quantile)
+        src = src.filter(F.lit(False) if q is None else F.col(column) < F.lit(q))
     bounds = src.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi"))
     lo = bounds.select("lo").scalar()
     hi = bounds.select("hi").scalar()
@@ -133,17 +140,17 @@ def box_stats(df: DataFrame, value: str = "flea_price", group: str = "category",
               approx: bool = False) -> DataFrame:
     """#58: quartiles, 1.5·IQR whiskers and outlier counts for the top groups.
 
-    Exact ``percentile`` keeps a value->count map per group; ``approx=True``
-    switches to the bounded-memory ``percentile_approx`` sketch.
+    Quartiles are exact at any group size; ``approx=True`` switches to the ``percentile_approx`` sketch.
     """
     groups = value_counts(df, group, top).select(group)
     sub = df.join(groups, group, "left_semi").filter(F.col(value).isNotNull())
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    pct = F.percentile_approx(value, qs, 10000) if approx else F.percentile(value, qs)
-    quart = sub.groupBy(group).agg(pct.alias("_q"), F.count(F.lit(1)).alias("n"))
-    quart = quart.select(group, "n", F.col("_q")[0].cast("double").alias("q1"),
-                         F.col("_q")[1].cast("double").alias("median"),
-                         F.col("_q")[2].cast("double").alias("q3"))
+    qs = (0.25, 0.5, 0.75)
+    if approx:
+        sketch = F.percentile_approx(value, F.array(*map(F.lit, qs)), 10000)
+        quart = sub.groupBy(group).agg(sketch.alias("q"), F.count(F.lit(1)).alias("n"))
+    else:
+        quart = grouped_quantiles(sub, group, value, qs)
+    quart = quart.select(group, "n", *(F.col("q")[i].cast("double").alias(c) for i, c in enumerate(("q1", "median", "q3"))))
     j = sub.join(quart, group)
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
@@ -224,8 +231,9 @@ def market_summary(df: DataFrame) -> DataFrame:
 
     cats = ranked(value_counts(df, "category", 10), "category", "count", "top_categories",
                   [F.desc("count"), F.asc("category")])
-    traders = ranked(value_counts(df, "trader_name"), "trader_name", "count", "traders",
-                     [F.desc("count"), F.asc("trader_name")])
+    traders = (numbered(value_counts(df, "trader_name"), [F.desc("count"), F.asc("trader_name")], out="_at")   # all of them
+               .select(F.lit("traders").alias("section"), (F.col("_at") + 1).cast("int").alias("ord"),
+                       F.col("trader_name").alias("label"), F.col("count").cast("double").alias("value")))
     items = top_k(df, [("profit", True)], 10)
     items = ranked(items, "name", "profit", "top_items", [F.desc("profit"), F.asc("item_id"), F.asc("ts"),
                                                           F.asc("l_orderkey"), F.asc("l_linenumber"), F.asc("l_suppkey")])

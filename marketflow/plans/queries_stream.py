@@ -81,6 +81,138 @@ def q_stream_item_statistics(spark, d):
     return J.read_state(spark, f"{root}/state").select(*STAT_COLS)
 
 
+#: events with a price and a trader, for the states that need them; a poll is a day.
+def _events_with_traders(ev):
+    return events_as_prices(ev).withColumns({
+        "trader_name": F.when(F.col("item_id").cast("long") % 29 != 0, F.concat(F.lit("T"), (F.col("item_id").cast("long") % 8).cast("string"))),
+        "flea_price": 5 + F.col("item_id").cast("long") % 20,
+        "ts": F.date_trunc("day", "ts").cast("timestamp_ntz")})
+
+
+EV_TRADERS_CTE = """
+ev AS (
+  SELECT CAST(user_id AS VARCHAR) AS item_id, event_type AS category, value AS profit, 5 + user_id % 20 AS flea_price,
+    CASE WHEN user_id % 29 <> 0 THEN 'T' || CAST(user_id % 8 AS VARCHAR) END AS trader_name, CAST(date_trunc('day', ts) AS TIMESTAMP) AS cycle
+  FROM events
+)"""
+
+
+def _learned(spark, d, part):
+    """The state of a part after a stream over polls that come in no order, of which the last batch is played twice."""
+    root = scratch_path(spark, f"stream/{uuid.uuid4().hex[:12]}")
+    ev = read_table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    ev.repartition("day").write.partitionBy("day").parquet(f"{root}/in")     # a poll is one file
+    src = spark.readStream.schema(EVENT_SCHEMA + ", day date").option("maxFilesPerTrigger", 7).parquet(f"{root}/in")
+    play = lambda: J.learned_state_stream(_events_with_traders(src), f"{root}/state", f"{root}/ckpt", parts=[part]).awaitTermination()
+    play()
+    commits = [c for c in ST.files(spark, f"{root}/ckpt/commits") if c.isdigit()]
+    ST.remove(spark, f"{root}/ckpt/commits/{max(commits, key=int)}")   # as if the driver had died after the batch
+    play()
+    return J.read_state(spark, f"{root}/state", part)
+
+
+@register("stream_category_performance", f"""
+WITH {EV_TRADERS_CTE}
+SELECT trim(category) AS category, COUNT(*) AS total_items, COUNT(*) FILTER (WHERE profit > 0) AS profitable_items, AVG(profit) AS avg_profit,
+  CASE WHEN COUNT(*) >= 5 THEN 0.5 + COUNT(*) FILTER (WHERE profit > 0) / COUNT(*) ELSE 1.0 END AS weight
+FROM ev WHERE trim(category) <> '' GROUP BY 1""", doubles=("avg_profit", "weight"), digits=4)
+def q_stream_category_performance(spark, d):
+    """#96 as a stream."""
+    return _learned(spark, d, J.CATEGORIES)
+
+
+@register("stream_trader_reliability", f"""
+WITH {EV_TRADERS_CTE}
+SELECT trader_name AS trader, COUNT(*) AS count, AVG(profit) AS avg_profit,
+  CASE WHEN COUNT(*) >= 10 THEN LEAST(GREATEST(0.5 + AVG(profit) / 20000, 0), 1) ELSE 0.5 END AS reliability
+FROM ev WHERE trader_name IS NOT NULL GROUP BY 1""", doubles=("avg_profit", "reliability"), digits=4)
+def q_stream_trader_reliability(spark, d):
+    """#97 as a stream."""
+    return _learned(spark, d, J.TRADERS)
+
+
+_CAL_SQL = f"""
+WITH {EV_TRADERS_CTE},
+cq AS (SELECT cycle, quantile_cont(profit, 0.05) AS a, quantile_cont(profit, 0.95) AS b FROM ev GROUP BY cycle),
+cagg AS (
+  SELECT e.cycle, COUNT(*) AS n, AVG(LEAST(GREATEST(profit, a), b)) AS pm, STDDEV_SAMP(LEAST(GREATEST(profit, a), b)) AS ps,
+    AVG(LEAST(GREATEST(profit / flea_price * 100, -200), 200)) AS rm, STDDEV_SAMP(LEAST(GREATEST(profit / flea_price * 100, -200), 200)) AS rs
+  FROM ev e JOIN cq ON e.cycle = cq.cycle GROUP BY e.cycle),
+cyc AS (
+  SELECT cycle, pm, CASE WHEN n <= 1 OR ps IS NULL OR ps = 0 THEN 1.0 ELSE ps END AS ps, rm,
+    CASE WHEN n <= 1 OR rs IS NULL OR rs = 0 THEN 1.0 ELSE rs END AS rs,
+    row_number() OVER (ORDER BY cycle) AS i, COUNT(*) OVER () AS c FROM cagg)
+SELECT COUNT(*) AS cycles,
+  SUM(0.1 * pm * pow(0.9, c - i)) AS profit_mean, pow(0.9, COUNT(*)) + SUM(0.1 * ps * pow(0.9, c - i)) AS profit_std,
+  SUM(0.1 * rm * pow(0.9, c - i)) AS roi_mean, pow(0.9, COUNT(*)) + SUM(0.1 * rs * pow(0.9, c - i)) AS roi_std
+FROM cyc"""
+
+
+@register("stream_calibration_ema", _CAL_SQL, doubles=("profit_mean", "profit_std", "roi_mean", "roi_std"), digits=4)
+def q_stream_calibration_ema(spark, d):
+    """#98 as a stream: a row per poll, smoothed in time order whatever the order of arrival."""
+    return _learned(spark, d, J.calibration_part())
+
+
+@register("stream_learned_retention", f"SELECT * FROM ({EV_STATS_SQL}) s WHERE NOT (last_seen < TIMESTAMP '2024-01-31' - INTERVAL 2 DAY)",
+          doubles=("profit_mean", "profit_min", "profit_max", "flea_price_mean", "offers_mean", "roi_mean",
+                   "liquidity_mean", "profit_std", "consistency_score"), digits=4)
+def q_stream_learned_retention(spark, d):
+    """#18 on the streamed state: items not seen for two days go, in the buckets that hold any."""
+    root, src = _stage_events(spark, d)
+    J.learned_state_stream(events_as_prices(src), f"{root}/state", f"{root}/ckpt", seq=("event_id",)).awaitTermination()
+    J.expire_learned(spark, f"{root}/state", "2024-01-31 00:00:00", 2)
+    return J.read_state(spark, f"{root}/state").select(*STAT_COLS)
+
+
+def _deliver(spark, rows, root, column="delivery"):
+    """Write ``rows`` once, a folder for each delivery, and date the files so that a stream reads them in that order."""
+    rows.repartition(column).write.partitionBy(column).parquet(root)
+    start = 1_700_000_000_000
+    for folder in ST.folders(spark, root):
+        for name in ST.files(spark, f"{root}/{folder}"):
+            ST.date_file(spark, f"{root}/{folder}/{name}", start + 60_000 * int(folder.split("=")[1]))
+
+
+LATE = "CASE WHEN event_id % 7 = 0 THEN 36 ELSE 0 END"     # hours that every seventh event comes late
+AGAIN = 18                                                 # hours until every fifth event comes once more
+_EVERY = 3                                                 # days of a delivery
+
+
+def _planted(spark, d):
+    """events as they arrive: some late, some twice, and a row far ahead that closes all windows."""
+    ev = read_table(spark, d, "events")
+    late = F.when(F.col("event_id") % 7 == 0, 36).otherwise(0)
+    hours = lambda h: F.make_dt_interval(F.lit(0), h)
+    once = ev.withColumn("arrived", F.col("ts") + hours(late))
+    twice = ev.where(F.col("event_id") % 5 == 0).withColumn("arrived", F.col("ts") + hours(late + AGAIN))
+    both = once.unionByName(twice)
+    first = both.agg(F.to_date(F.min("arrived")).alias("first"))
+    both = both.crossJoin(F.broadcast(first)).withColumn("delivery", F.floor(F.datediff("arrived", "first") / _EVERY).cast("int"))
+    last = both.agg(F.max("ts").alias("ts"), F.max("delivery").alias("delivery")).select(
+        F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + hours(F.lit(24 * 30))).alias("ts"), F.lit(None).cast("long").alias("user_id"),
+        F.lit("close").alias("event_type"), F.lit(0.0).alias("value"), F.lit(None).cast("string").alias("props"), (F.col("delivery") + 1).alias("delivery"))
+    return both.drop("arrived", "first").unionByName(last)
+
+
+@register("stream_deduplicated_windows", """
+SELECT w AS window_start, user_id, AVG(value) AS avg_value, MIN(value) AS min_value, MAX(value) AS max_value, COUNT(*) AS data_points
+FROM (SELECT user_id, value, unnest([time_bucket(INTERVAL 2 HOUR, ts), time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR,
+                                     time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 4 HOUR]) AS w FROM events) e
+GROUP BY 1, 2""", doubles=("avg_value", "min_value", "max_value"))
+def q_stream_deduplicated_windows(spark, d):
+    """Six-hour windows every two hours over events of which some come late and some twice; the watermark is taken from
+    the deliveries, so nothing is lost and nothing counts twice."""
+    root = scratch_path(spark, f"stream/{uuid.uuid4().hex[:12]}")
+    _deliver(spark, _planted(spark, d), f"{root}/in")
+    came = spark.read.parquet(f"{root}/in")
+    delay = J.lateness(came.where("event_id >= 0"))
+    src = (spark.readStream.schema(EVENT_SCHEMA + ", delivery int").option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+    once = J.deduplicated(src, delay, keys=("event_id", "user_id"))
+    J.windowed_trends_stream(once, f"{root}/trends", f"{root}/ckpt", slide="2 hours", mode="append").awaitTermination()
+    return J.read_windowed_trends(spark, f"{root}/trends").where("user_id IS NOT NULL")
+
+
 @register("stream_windowed_trends", """
 SELECT CAST(time_bucket(INTERVAL 6 HOUR, ts) AS TIMESTAMP) AS window_start, user_id,
   AVG(value) AS avg_value, MIN(value) AS min_value, MAX(value) AS max_value, COUNT(*) AS data_points
@@ -88,8 +220,9 @@ FROM events GROUP BY 1, 2""", doubles=("avg_value", "min_value", "max_value"))
 def q_stream_windowed_trends(spark, d):
     """Event-time 6 h windows with a watermark over the table's span, upserted per micro-batch (update mode)."""
     root, src = _stage_events(spark, d)
-    # Files of a stream are not read in event-time order; the whole table counts, so nothing may come too late.
-    J.windowed_trends_stream(src, f"{root}/trends", f"{root}/ckpt", watermark="365 days").awaitTermination()
+    # Files of the staged table are read in no order of time, so a row may lie behind by the whole span of the table.
+    span = read_table(spark, d, "events").select(F.timestamp_diff("SECOND", F.min("ts"), F.max("ts"))).first()[0]
+    J.windowed_trends_stream(src, f"{root}/trends", f"{root}/ckpt", watermark=f"{(span or 0) + 1} seconds").awaitTermination()
     return J.read_windowed_trends(spark, f"{root}/trends")
 
 

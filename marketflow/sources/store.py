@@ -27,6 +27,19 @@ def folders(spark: SparkSession, root: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()) if fs.exists(p) else []
 
 
+def files(spark: SparkSession, root: str) -> list[str]:
+    """Names of the files in ``root``, but for hidden ones."""
+    fs, p = _fs(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(p) if f.isFile()] if fs.exists(p) else []
+    return sorted(n for n in names if n[:1] not in "._")
+
+
+def date_file(spark: SparkSession, path: str, millis: int) -> None:
+    """Set a file's modification time, by which file streams order what they read."""
+    fs, p = _fs(spark, path)
+    fs.setTimes(p, millis, -1)
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Did a write to this folder commit?"""
     fs, p = _fs(spark, f"{path}/_SUCCESS")
