@@ -95,14 +95,18 @@ def alert_matches(items: DataFrame, rules: DataFrame) -> DataFrame:
     return by_item.unionByName(by_category).unionByName(of_all)
 
 
-def _notification(now_col: Column) -> list[Column]:
-    """#89: the nine fields of a fired alert."""
+def notification_fields() -> list[Column]:
+    """#89: the fields of a fired alert but its time."""
     return [F.col("r_id").alias("alert_id"), F.col("r_alert_type").alias("alert_type"),
             F.col("r_priority").alias("priority"), F.col("item_id"), F.col("name").alias("item_name"),
             F.col("profit"), F.col("roi"),
             F.coalesce(F.col("r_message"), F.concat(F.lit("Alert triggered for "),
-                                                    F.coalesce(F.col("name"), F.lit("None")))).alias("message"),
-            now_col.alias("triggered_at")]
+                                                    F.coalesce(F.col("name"), F.lit("None")))).alias("message")]
+
+
+def _notification(now_col: Column) -> list[Column]:
+    """#89: the nine fields of a fired alert."""
+    return [*notification_fields(), now_col.alias("triggered_at")]
 
 
 def alert_fire(items: DataFrame, rules: DataFrame, now, seq=("l_orderkey", "l_linenumber", "l_suppkey")) -> DataFrame:

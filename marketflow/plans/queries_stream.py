@@ -19,6 +19,7 @@ from ..session import scratch_path
 from ..sources import payload as P
 from ..sources import store as ST
 from ..sources.testdata import prices, read_table
+from ..streaming import cooldown as C
 from ..streaming import jobs as J
 from . import oracle_sql as O
 from . import queries_ingest as Q
@@ -167,7 +168,7 @@ def q_stream_learned_retention(spark, d):
 
 def _deliver(spark, rows, root, column="delivery"):
     """Write ``rows`` once, a folder for each delivery, and date the files so that a stream reads them in that order."""
-    rows.repartition(column).write.partitionBy(column).parquet(root)
+    rows.repartition(column).write.mode("append").partitionBy(column).parquet(root)
     start = 1_700_000_000_000
     for folder in ST.folders(spark, root):
         for name in ST.files(spark, f"{root}/{folder}"):
@@ -295,15 +296,57 @@ FROM firsts WHERE batch IN (SELECT b FROM fires)"""
 def q_alert_stream(spark, d):
     """#87, #88, #93 as a stream: batches of a few days of events, one hour apart, under a 90-minute cooldown."""
     root = scratch_path(spark, f"stream/{uuid.uuid4().hex[:12]}")
-    days = read_table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    # One file per batch, in the order of their names and times.
-    every = [r["day"] for r in days.select("day").distinct().orderBy("day").collect()]
-    for k in range(0, len(every), ALERT_DAYS):
-        days.filter(F.col("day").between(every[k], every[min(k + ALERT_DAYS, len(every)) - 1])).coalesce(1).write.parquet(f"{root}/in/{k:05d}")
+    ev = read_table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    every = [r["day"] for r in ev.select("day").distinct().orderBy("day").collect()]      # a row a day of the table
+    number = F.create_map(*[x for k, day in enumerate(every) for x in (F.lit(day), F.lit(k // ALERT_DAYS))])
+    ev.withColumn("delivery", number[F.col("day")]).write.partitionBy("delivery").parquet(f"{root}/in")    # once, in any number of files
     rules = AL.rules_frame(spark, [AL.rule("high", AL.PROFIT_THRESHOLD, threshold_value=ALERT_FROM, cooldown_minutes=90)])
     ST.Versions(spark, f"{root}/rules").write(rules, "start", 0)
-    src = (spark.readStream.schema(EVENT_SCHEMA + ", day date").option("maxFilesPerTrigger", 1)
-           .parquet(f"{root}/in/*"))
-    J.alert_stream(events_as_prices(src), f"{root}/rules", f"{root}/history", f"{root}/ckpt",
-                   clock=lambda k: ALERT_NOW + dt.timedelta(hours=k), seq=("event_id",)).awaitTermination()
+    for k in range(-(-len(every) // ALERT_DAYS)):          # a delivery is one batch, all its files together
+        src = spark.readStream.schema(EVENT_SCHEMA + ", day date").parquet(f"{root}/in/delivery={k}")
+        J.alert_stream(events_as_prices(src), f"{root}/rules", f"{root}/history", f"{root}/ckpt/{k}",
+                       clock=lambda _, k=k: ALERT_NOW + dt.timedelta(hours=k), seq=("event_id",)).awaitTermination()
     return spark.read.parquet(f"{root}/history/*").select("alert_id", "item_id", "profit", "triggered_at")
+
+
+COOL_RULES = [AL.rule("high", AL.PROFIT_THRESHOLD, threshold_value=60.0, cooldown_minutes=90, message="High"),
+              AL.rule("clicks", AL.CATEGORY_ALERT, category="click", threshold_value=40.0, cooldown_minutes=300),
+              AL.rule("watch", AL.ITEM_WATCHLIST, item_id="7", threshold_value=5.0, cooldown_minutes=1440),
+              AL.rule("tiny", AL.PROFIT_THRESHOLD, threshold_value=0.02, threshold_type="below", cooldown_minutes=0),
+              AL.rule("off", AL.PROFIT_THRESHOLD, threshold_value=1.0, enabled=False)]
+COOL_SQL = """
+WITH RECURSIVE ev AS (
+  SELECT CAST(user_id AS VARCHAR) AS item_id, event_type AS category, value AS profit, date_trunc('hour', ts) AS t, event_id FROM events),
+rules AS (SELECT * FROM (VALUES ('high', 'profit_threshold', 'High', 90), ('clicks', 'category_alert', 'Alert triggered for ', 300),
+  ('watch', 'item_watchlist', 'Alert triggered for ', 1440), ('tiny', 'profit_threshold', 'Alert triggered for ', 0)) v(id, kind, message, cooldown)),
+m AS (SELECT r.*, ev.* FROM ev JOIN rules r ON (id = 'high' AND profit >= 60) OR (id = 'clicks' AND category = 'click' AND profit >= 40)
+  OR (id = 'watch' AND item_id = '7' AND profit >= 5) OR (id = 'tiny' AND profit <= 0.02)),
+firsts AS (SELECT id, kind, message, cooldown, t, arg_min(item_id, event_id) AS item_id, arg_min(profit, event_id) AS profit
+  FROM m WHERE cooldown > 0 GROUP BY ALL),
+fires(id, t) AS (
+  SELECT id, MIN(t) FROM firsts GROUP BY id
+  UNION ALL
+  SELECT f.id, (SELECT MIN(c.t) FROM firsts c WHERE c.id = f.id AND c.t > f.t + to_minutes(CAST(c.cooldown AS BIGINT))) FROM fires f WHERE f.t IS NOT NULL)
+SELECT id AS alert_id, kind AS alert_type, item_id, profit, message, CAST(t AS TIMESTAMP) AS triggered_at FROM (
+  SELECT id, kind, message, t, item_id, profit FROM firsts WHERE (id, t) IN (SELECT (id, t) FROM fires WHERE t IS NOT NULL)
+  UNION ALL SELECT id, kind, message, t, item_id, profit FROM m WHERE cooldown <= 0) x"""
+COOL_COLS = ("alert_id", "alert_type", "item_id", "profit", "message", "triggered_at")
+
+
+def _hourly(ev):
+    return events_as_prices(ev).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+
+
+@register("stream_alert_cooldown", COOL_SQL, doubles=("profit",))
+def q_stream_alert_cooldown(spark, d):
+    """#88 as a stateful operator: hourly polls, days in order, the stream stopped and started again between the deliveries."""
+    root = scratch_path(spark, f"stream/{uuid.uuid4().hex[:12]}")
+    ev = read_table(spark, d, "events")
+    first = ev.agg(F.to_date(F.min("ts")).alias("first"))
+    days = ev.crossJoin(F.broadcast(first)).withColumn("delivery", F.floor(F.datediff("ts", "first") / 4).cast("int")).drop("first")
+    rules, half = AL.rules_frame(spark, COOL_RULES), F.col("delivery") < 4
+    for part in (half, ~half):      # the second start goes on from the state of the first
+        _deliver(spark, days.where(part), f"{root}/in")
+        src = spark.readStream.schema(EVENT_SCHEMA + ", delivery int").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+        C.cooldown_stream(_hourly(src), rules, f"{root}/history", f"{root}/ckpt", watermark="1 hour", seq=("event_id",)).awaitTermination()
+    return spark.read.parquet(f"{root}/history/*").select(*COOL_COLS)
