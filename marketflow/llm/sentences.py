@@ -13,13 +13,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from marketflow.llm.common import POWERS, mix64
 
@@ -136,11 +134,11 @@ def _repeats(docs: DataFrame, span: int, min_words: int, longest: int) -> DataFr
             by = np.lexsort((pos, place[at], h))
             again = np.zeros(len(h), bool)
             again[by[1:]] = h[by[1:]] == h[by[:-1]]
-            for i in range(0, len(h), 200_000):
-                s = slice(i, i + 200_000)
+            for i in range(0, len(h), 50_000):
+                s = slice(i, i + 50_000)
                 rows, sure = pa.array(at[s]), again[s]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(sure, key[at[s]], h[s])), pa.array(h[s], pa.int64(), mask=sure), doc.take(rows),
+                    [pa.array(np.where(sure, key[at[s]] + at[s], h[s])), pa.array(h[s], pa.int64(), mask=sure), doc.take(rows),
                      b.column(1).take(rows), pa.array(pos[s].astype(np.int32))], names)
 
     def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,18 +176,22 @@ def dedup_spans(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, l
     repeats = (_repeats(rows, span, min_words, longest).groupBy("doc", "key").agg(F.collect_set("pos").alias("repeats"))
                .select(F.col("doc").alias("d"), F.col("key").alias("k"), "repeats"))
 
-    @pandas_udf("n_sentences long, n_removed long, text string")
-    def cut(text: pd.Series, repeats: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, r in zip(text, repeats):
-            pieces = Pieces(t, longest)
-            if r is None:
-                out.append((len(pieces), 0, t))
-                continue
-            ends, s = pieces.spans(span, min_words), pieces.strings()
-            gone = {i for p in r for i in range(p, ends[p])}
-            out.append((len(s), len(gone), "".join(x for i, x in enumerate(s) if i not in gone).rstrip()))
-        return pd.DataFrame(out, columns=["n_sentences", "n_removed", "text"])
+    id_type = rows.schema["doc"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part, out = b.slice(i, 500), []
+                for t, r in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    pieces = Pieces(t, longest)
+                    if r is None:
+                        out.append((len(pieces), 0, t))
+                        continue
+                    ends, s = pieces.spans(span, min_words), pieces.strings()
+                    gone = {k for p in r for k in range(p, ends[p])}
+                    out.append((len(s), len(gone), "".join(x for k, x in enumerate(s) if k not in gone).rstrip()))
+                cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n_sentences", "n_removed", "text"])
 
     joined = rows.join(repeats, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
-    return joined.select(F.col("doc").alias("doc_id"), cut("text", "repeats").alias("c")).select("doc_id", "c.*")
+    return joined.select("doc", "text", "repeats").mapInArrow(cut, f"doc_id {id_type}, n_sentences long, n_removed long, text string")
