@@ -168,8 +168,9 @@ def cluster_labels(df: DataFrame) -> DataFrame:
     broadcasting it back is bounded.
     """
     means = df.groupBy("cluster").agg(F.avg("profit").alias("_mp"))
-    r = means.withColumn("_rk", F.rank().over(Window.orderBy(F.desc("_mp"))) +
-                         (F.count(F.lit(1)).over(Window.partitionBy("_mp")) - 1) / 2)
+    # Tied clusters share the average of their ranks, cut to a whole number: two at 1.5 are both of the first tier.
+    r = means.withColumn("_rk", F.floor(F.rank().over(Window.orderBy(F.desc("_mp"))) +
+                                        (F.count(F.lit(1)).over(Window.partitionBy("_mp")) - 1) / 2))
     lab = F.when(F.col("_rk") == 1, S.CLUSTER_LABELS[1]).when(F.col("_rk") == 2, S.CLUSTER_LABELS[2]) \
            .when(F.col("_rk") == 3, S.CLUSTER_LABELS[3]).when(F.col("_mp") < 0, S.CLUSTER_LABEL_NEGATIVE) \
            .otherwise(S.CLUSTER_LABEL_DEFAULT)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ... import settings as S
-from ..ranking import recent_direction
+from ..ranking import direction_of
 from ..sequence import sequence_index
 
 
@@ -24,7 +24,8 @@ def forecast_summary(history: DataFrame, ts: str = "ts", value: str = "profit",
     Items with fewer than ``min_points`` rows get trend 'unknown' and zeros.
     """
     y = F.coalesce(F.col(value), F.lit(0)).cast("decimal(38,0)")
-    idx = sequence_index(history, "item_id", ts, tiebreak, out="_x")
+    narrow = history.select("item_id", ts, value, *(c for c in tiebreak if c not in (ts, value)))
+    idx = sequence_index(narrow, "item_id", ts, tiebreak, out="_x", with_count="_n")     # one sort for the line and the direction
     m = idx.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(y).alias("_sy"),
@@ -52,7 +53,7 @@ def forecast_summary(history: DataFrame, ts: str = "ts", value: str = "profit",
     conf = F.least(F.greatest(F.col("r2") * 100 * (1 - F.least(F.col("volatility"), F.lit(1.0))),
                               F.lit(0.0)), F.lit(100.0))
     m = m.withColumn("confidence", conf)
-    d = recent_direction(history, ts, value, tiebreak=tiebreak)
+    d = direction_of(idx, value)
     j = m.join(d, "item_id")
     ok = F.col("n") >= min_points
     return j.select(

@@ -117,8 +117,11 @@ def explore_market(df: DataFrame, search=None, category=None, trader=None, min_f
 
 def items_page(df: DataFrame, limit: int = 100, offset: int = 0, category=None, trader=None,
                min_profit=None, max_profit=None, min_roi=None, search=None,
-               sort_by="profit", sort_desc=True) -> DataFrame:
-    """#38: API item listing: filters, sort, offset + limit (limit capped at 1000)."""
+               sort_by="profit", sort_desc=True, max_limit: int | None = 1000) -> DataFrame:
+    """#38: API item listing: filters, sort, offset + limit.
+
+    A page holds ``max_limit`` rows at most; None takes any limit, and ``limit=None`` then gives all rows.
+    """
     p = F.lit(True)
     if category:
         p = p & (F.col("category") == category)
@@ -135,7 +138,9 @@ def items_page(df: DataFrame, limit: int = 100, offset: int = 0, category=None,
     out = df.filter(p)
     keys = [(sort_by, sort_desc)] if sort_by in df.columns else []
     out = out.orderBy(*total_order(out, keys))
-    return out.offset(int(offset)).limit(min(int(limit), 1000))
+    out = out.offset(int(offset))
+    most = [int(x) for x in (limit, max_limit) if x is not None]
+    return out.limit(min(most)) if most else out
 
 
 def item_by_id(df: DataFrame, ids) -> DataFrame:

@@ -9,6 +9,12 @@ table of partition offsets, and the ranks are joined back on the value.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,18 +52,67 @@ def rolling_means(history: DataFrame, ts: str = "ts", value: str = "profit",
                   short: int = 3, long: int = 6, tiebreak=()) -> DataFrame:
     """#64: trailing means over the last ``short`` / ``long`` rows per item (min_periods=1).
 
-    Each row is copied forward to the ``long`` positions whose window it falls
-    in and the copies are summed per (item, position): keys are unique, so a hot
-    item is spread over every task instead of one window partition.
+    Rows are cut into range partitions of (item, time), so a hot item is cut like any other stretch.  A first pass
+    takes the last ``long - 1`` rows of each partition; these edge rows, a few a partition, are what a partition needs
+    of those before it.  A second pass computes both means in place: the table is shuffled once, and nothing is copied.
     """
-    idx = sequence_index(history, "item_id", ts, tiebreak, out="_x")
-    k = F.explode(F.sequence(F.lit(0), F.lit(long - 1))).alias("_k")
-    fan = idx.select("item_id", "_x", F.col(value).alias("_v"), k)
-    near = F.col("_k") < short
-    sums = (fan.groupBy("item_id", (F.col("_x") + F.col("_k")).alias("_x"))
-            .agg(F.avg(F.when(near, F.col("_v"))).alias("sma_short"),
-                 F.avg("_v").alias("sma_long")))
-    return idx.join(sums, ["item_id", "_x"]).drop("_x")
+    order = ["item_id", ts, *tiebreak]
+    part = (history.repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_p", F.spark_partition_id()).checkpoint(eager=True))
+    edge = long - 1
+    key_type = dict(history.dtypes)["item_id"]
+
+    def narrow(b: pa.RecordBatch) -> pa.Table:
+        return pa.table([b.column("item_id"), b.column(value).cast(pa.float64())], ["key", "v"])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, p = None, 0
+        for b in batches:
+            if b.num_rows:
+                p = b.column("_p")[0].as_py()
+                held = narrow(b) if held is None else pa.concat_tables([held, narrow(b)])
+                held = held.slice(max(0, held.num_rows - edge)).combine_chunks()
+        if held is not None:
+            n = held.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([p] * n, pa.int32()), pa.array(range(n), pa.int32()), *(
+                held.column(c).combine_chunks() for c in ("key", "v"))], ["p", "i", "key", "v"])
+
+    edges = part.select("_p", "item_id", value).mapInArrow(last, f"p int, i int, key {key_type}, v double")
+    before: list[tuple] = []
+    carry: dict[int, list[tuple]] = {}
+    for p, own in groupby(sorted((tuple(r) for r in edges.collect()), key=lambda r: r[:2]), key=lambda r: r[0]):
+        carry[p] = before
+        before = [*before, *((r[2], r[3]) for r in own)][-edge:] if edge else []
+    sent = history.sparkSession.sparkContext.broadcast(carry)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = narrow(b)
+            if held is None:
+                rows = sent.value[b.column("_p")[0].as_py()]
+                held = pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(now.schema.types)], ["key", "v"])
+            t = pa.concat_tables([held, now]).combine_chunks()
+            key = pc.dictionary_encode(t.column("key").combine_chunks(), null_encoding="encode").indices.to_numpy()
+            there = t.column("v").is_valid().to_numpy()
+            v = np.where(there, t.column("v").fill_null(0.0).to_numpy(), 0.0)
+            skip, out = held.num_rows, []
+            total, count = np.zeros(len(v)), np.zeros(len(v), np.int64)
+            for lag in range(long):
+                same = (key[lag:] == key[:len(key) - lag]) & there[:len(v) - lag]
+                total[lag:] += np.where(same, v[:len(v) - lag], 0.0)
+                count[lag:] += same
+                if lag + 1 in (short, long):
+                    with np.errstate(invalid="ignore"):
+                        out.append(pa.array((total / count)[skip:], mask=(count == 0)[skip:]))
+            held = t.slice(max(0, t.num_rows - edge))
+            rest = [(n, b.column(n)) for n in b.schema.names if n != "_p"]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in rest), *out], [*(n for n, _ in rest), "sma_short", "sma_long"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in history.schema.fields)
+    return part.mapInArrow(means, f"{fields}, sma_short double, sma_long double")
 
 
 def recent_direction(history: DataFrame, ts: str = "ts", value: str = "profit", n: int = 5,
@@ -67,7 +122,11 @@ def recent_direction(history: DataFrame, ts: str = "ts", value: str = "profit",
     The mean of the diffs telescopes to (last - first) / (k - 1).  The last
     ``n`` rows are those whose position is >= count - n (skew-safe index).
     """
-    idx = sequence_index(history, "item_id", ts, tiebreak, out="_x", with_count="_n")
+    return direction_of(sequence_index(history, "item_id", ts, tiebreak, out="_x", with_count="_n"), value, n)
+
+
+def direction_of(idx: DataFrame, value: str = "profit", n: int = 5) -> DataFrame:
+    """#65 on rows that carry their position ``_x`` and their item's count ``_n``."""
     last = idx.filter(F.col("_x") >= F.col("_n") - n)
     agg = last.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("_k"),

@@ -13,6 +13,7 @@ from ..operators import recommend as RC
 from ..operators import scoring as SC
 from ..operators import sinks as SK
 from ..operators import summary as SM
+from ..operators.sequence import numbered
 from ..operators.ml import cluster as CL
 from ..sources.testdata import prices, read_table
 from . import oracle_sql as O
@@ -144,7 +145,7 @@ means AS (SELECT cluster, AVG(profit) AS mp FROM cl GROUP BY cluster),
 named AS (
   SELECT cluster, CASE rk WHEN 1 THEN '🥇 Elite Opportunities' WHEN 2 THEN '🥈 High Value' WHEN 3 THEN '🥉 Solid Picks'
     ELSE CASE WHEN mp < 0 THEN '⚠️ Avoid (Negative)' ELSE '📊 Standard' END END AS cluster_label
-  FROM (SELECT *, rank() OVER (ORDER BY mp DESC) AS rk FROM means) q),
+  FROM (SELECT *, CAST(floor(rank() OVER (ORDER BY mp DESC) + (COUNT(*) OVER (PARTITION BY mp) - 1) / 2) AS INTEGER) AS rk FROM means) q),
 labelled AS (SELECT cl.*, cluster_label FROM cl JOIN named USING (cluster))"""
 _CLUSTERED = (O.PRICES, O.LATEST, O.METRICS, O.features_cte("metrics", "sfeat"), CLUSTER_CTE)
 
@@ -216,22 +217,23 @@ def q_export_recommended(spark, d):
 
 
 # The explorer's sort orders: (option, column, SQL order).
+_TEXT = {"roi": "CAST(CAST(round(roi, 4) AS DECIMAL(18, 4)) AS VARCHAR)"}
 _SORTS = (("profit_desc", "profit", "profit DESC"), ("profit_asc", "profit", "profit"), ("roi_desc", "roi", "round(roi, 6) DESC"),
           ("flea_desc", "flea_price", "flea_price DESC"), ("flea_asc", "flea_price", "flea_price"), ("name_asc", "name", "name"),
           ("offers_desc", "last_offer_count", "last_offer_count DESC"))
 
 
 @register("explore_sorted", O.with_ctes(O.PRICES, O.LATEST, O.METRICS, body=" UNION ALL ".join(f"""
-SELECT * FROM (SELECT '{n}' AS sort, CAST({'round(roi, 6)' if c == 'roi' else c} AS VARCHAR) AS value, '' AS icon_link
-  FROM metrics WHERE flea_price >= 10 AND flea_price <= 3000 AND profit >= -100 ORDER BY {o} LIMIT 20)""" for n, c, o in _SORTS if c != "roi")))
+SELECT '{n}' AS sort, row_number() OVER (ORDER BY {o}) AS place, {_TEXT.get(c, f'CAST({c} AS VARCHAR)')} AS value, '' AS icon_link
+  FROM metrics WHERE flea_price >= 10 AND flea_price <= 3000 AND profit >= -100""" for n, c, o in _SORTS)))
 def q_explore_sorted(spark, d):
-    """#37: the first rows of every sort order (ROI, a rounded ratio, in the tests), with the icon column and price bounds."""
+    """#37: all rows in each of the seven sort orders, with their places, the icon column and price bounds."""
     snap = M.trade_metrics(A.latest_prices(prices(spark, d, last_minutes=45))).withColumn("icon_link", F.lit(""))
     out = None
     for n, c, _ in _SORTS:
-        if c == "roi":
-            continue
-        top = Q.explore_market(snap, min_flea=10, max_flea=3000, min_profit=-100, show_all_profits=True, sort=n, order=True).limit(20)
-        part = top.select(F.lit(n).alias("sort"), F.col(c).cast("string").alias("value"), "icon_link")
+        rows = Q.explore_market(snap, min_flea=10, max_flea=3000, min_profit=-100, show_all_profits=True, sort=n, order=True)
+        rows = numbered(rows, Q.total_order(rows, [Q.EXPLORE_SORTS[n]]), out="place")
+        text = F.round("roi", 4).cast("decimal(18,4)") if c == "roi" else F.col(c)
+        part = rows.select(F.lit(n).alias("sort"), (F.col("place") + 1).alias("place"), text.cast("string").alias("value"), "icon_link")
         out = part if out is None else out.unionByName(part)
     return out

@@ -9,6 +9,10 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+#: Checkpoint folders of local applications without the setting.
+_OWN: dict[str, str] = {}
+
+
 def get_session(master: str | None = None, partitions: int | None = None,
                 app_name: str = "marketflow") -> SparkSession:
     """Local/test session: UTC, ANSI, AQE with skew handling, no UI.
@@ -48,13 +52,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only a local master may go without it: driver and executors are one process there, so a
     temporary folder is shared.  Anywhere else an unset folder is an error, not a local path.
     """
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        current = tempfile.mkdtemp(prefix="marketflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        # The setting is fixed once a session runs, so the folder is kept by application.
+        current = _OWN.get(sc.applicationId) or _OWN.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="marketflow-ckpt-"))
+    sc.setCheckpointDir(current)
     return current
 
 

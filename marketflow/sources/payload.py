@@ -172,6 +172,7 @@ _DATE = r"(\d{4})-(\d\d)-(\d\d)"
 _TIME = r"(\d\d)(?::(\d\d)(?::(\d\d)(?:[.,](\d+))?)?)?"
 _BASIC_DATE = r"(\d{4})(\d\d)(\d\d)"
 _BASIC_TIME = r"(\d\d)(?:(\d\d)(?:(\d\d)(?:[.,](\d+))?)?)?"
+_USUAL = r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,6})?$"
 _OFFSET = r"(Z|[+-]\d\d(?::?\d\d(?::?\d\d)?)?)?"
 
 
@@ -182,6 +183,11 @@ def normalize_timestamps(c) -> Column:
     is taken off: the stored timestamps are UTC.
     """
     t = F.col(c) if isinstance(c, str) else c
+    # The usual form needs no taking apart; the others are looked at only where it fails.
+    return F.when(t.rlike(_USUAL), t.try_cast("timestamp_ntz")).otherwise(_unusual(t))
+
+
+def _unusual(t: Column) -> Column:
     out = None
     for date, time in ((_DATE, _TIME), (_BASIC_DATE, _BASIC_TIME)):
         form = rf"^(?s:{date}(?:.{time}{_OFFSET})?)$"
