@@ -1,13 +1,13 @@
 """#86-93: threshold alerts with cooldown over market batches.
 
 Rules are matched by shape.  Rules that name an item or a category meet their
-rows in an equi-join, so there may be as many as there are items; only rules
-over all items (global thresholds) need a join without a key.  The join
-strategy is the optimizer's.  The "first matching item per rule" of a batch is a
-``min_by`` over the batch sequence (partial aggregation, so a rule that matches
-a third of all rows is one partial row per task).  Cooldown over many batches
-is a greedy walk per rule over its candidate *poll times*, seeded with the
-rule's last firing — one row per rule and poll, not per item.
+rows in an equi-join, so there may be as many as there are items; the "first
+matching item per rule" of a batch is a ``min_by`` over the batch sequence (partial
+aggregation, so a rule that matches a third of all rows is one partial row per
+task).  The first match of rules over all items comes from record highs
+(``first_match``), without a pair of rule and item.  Cooldown over many batches is a
+greedy walk per rule over its candidate *poll times*, seeded with the rule's last
+firing — one row per rule and poll, not per item.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.columns import finite_or, ts_literal
+from .first_match import first_matches, replayed_matches
 
 # Rule types and priorities as the alert engine names them.
 PROFIT_THRESHOLD = "profit_threshold"
@@ -74,25 +75,76 @@ def _item_value(items: DataFrame, name: str, default) -> Column:
     return finite_or(name, default) if name in items.columns else F.lit(default).cast("double")
 
 
+def _prefixed(rules: DataFrame) -> DataFrame:
+    return rules.filter(F.col("enabled")).select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
+
+
+def _of_named() -> Column:
+    return F.coalesce(F.col("r_item_id").isNotNull() & (F.col("r_item_id") != ""), F.lit(False))
+
+
+def _of_all() -> Column:
+    """Rules that look at every item: global thresholds, returns and arbitrage."""
+    t = F.col("r_alert_type")
+    return ((t == PROFIT_THRESHOLD) & ~_of_named()) | t.isin(HIGH_ROI, ARBITRAGE)
+
+
+def _is_anomaly(items: DataFrame) -> Column:
+    return F.coalesce(F.col("is_anomaly").cast("boolean"), F.lit(False)) if "is_anomaly" in items.columns else F.lit(False)
+
+
 def alert_matches(items: DataFrame, rules: DataFrame) -> DataFrame:
     """#86: every (enabled rule, item row) pair that satisfies the rule, ignoring cooldown; rule columns are ``r_*``."""
-    r = rules.filter(F.col("enabled")).select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
-    prof, roi = _item_value(items, "profit", 0.0), _item_value(items, "roi", 0.0)
-    anomaly = (F.coalesce(F.col("is_anomaly").cast("boolean"), F.lit(False))
-               if "is_anomaly" in items.columns else F.lit(False))
+    r = _prefixed(rules)
+    return _keyed_matches(items, r).unionByName(_all_matches(items, r.filter(_of_all())))
+
+
+def _beyond(prof: Column) -> Column:
+    thr = F.col("r_threshold_value")
+    return (((F.col("r_threshold_type") == "above") & (prof >= thr)) | ((F.col("r_threshold_type") == "below") & (prof <= thr)))
+
+
+def _keyed_matches(items: DataFrame, r: DataFrame) -> DataFrame:
+    """Matches of the rules that name an item or a category, by equi-joins."""
+    prof = _item_value(items, "profit", 0.0)
     cat = F.col("category") if "category" in items.columns else F.lit(None).cast("string")
     t, thr = F.col("r_alert_type"), F.col("r_threshold_value")
-    named = F.col("r_item_id").isNotNull() & (F.col("r_item_id") != "")
-    beyond = (((F.col("r_threshold_type") == "above") & (prof >= thr))
-              | ((F.col("r_threshold_type") == "below") & (prof <= thr)))
-    by_item = items.join(r.filter((t == ITEM_WATCHLIST) | ((t == PROFIT_THRESHOLD) & named)),
+    by_item = items.join(r.filter((t == ITEM_WATCHLIST) | ((t == PROFIT_THRESHOLD) & _of_named())),
                          (F.trim(F.col("item_id").cast("string")) == F.col("r_item_id"))
-                         & F.when(t == ITEM_WATCHLIST, prof >= thr).otherwise(beyond))
+                         & F.when(t == ITEM_WATCHLIST, prof >= thr).otherwise(_beyond(prof)))
     by_category = items.join(r.filter(t == CATEGORY_ALERT), (cat == F.col("r_category")) & (prof >= thr))
-    of_all = items.join(r.filter(((t == PROFIT_THRESHOLD) & ~F.coalesce(named, F.lit(False))) | t.isin(HIGH_ROI, ARBITRAGE)),
-                        F.when(t == PROFIT_THRESHOLD, beyond).when(t == HIGH_ROI, roi >= thr)
-                        .otherwise(anomaly & (prof > ARBITRAGE_PROFIT)))
-    return by_item.unionByName(by_category).unionByName(of_all)
+    return by_item.unionByName(by_category)
+
+
+def _all_matches(items: DataFrame, r: DataFrame) -> DataFrame:
+    """All pairs of the rules over every item; only ``alert_matches`` and rules without cooldown need them."""
+    prof, roi, t = _item_value(items, "profit", 0.0), _item_value(items, "roi", 0.0), F.col("r_alert_type")
+    return items.join(r, F.when(t == PROFIT_THRESHOLD, _beyond(prof)).when(t == HIGH_ROI, roi >= F.col("r_threshold_value"))
+                      .otherwise(_is_anomaly(items) & (prof > ARBITRAGE_PROFIT)))
+
+
+def _measures(items: DataFrame) -> list[Column]:
+    """What rules over all items compare: profit, loss, return, and whether a row is an arbitrage."""
+    prof = _item_value(items, "profit", 0.0)
+    arbitrage = F.when(_is_anomaly(items) & (prof > ARBITRAGE_PROFIT), 1.0).otherwise(0.0)
+    return [prof, -prof, _item_value(items, "roi", 0.0), arbitrage]
+
+
+def _thresholds(r: DataFrame) -> DataFrame:
+    """Rules over all items with a cooldown, as (measure, least value); a NaN threshold or another type matches nothing."""
+    t, side, thr = F.col("r_alert_type"), F.col("r_threshold_type"), F.col("r_threshold_value")
+    k = (F.when((t == PROFIT_THRESHOLD) & (side == "above"), 0).when((t == PROFIT_THRESHOLD) & (side == "below"), 1)
+         .when(t == HIGH_ROI, 2).when(t == ARBITRAGE, 3))
+    value = F.when(k == 1, -thr).when(k == 3, F.lit(1.0)).otherwise(thr)
+    return (r.filter(_of_all() & (F.col("r_cooldown_minutes") > 0)).withColumns({"k": k, "v": value})
+            .filter(F.col("k").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v")))
+
+
+_PAYLOAD = ("item_id", "name", "profit", "roi")
+
+
+def _payload_frame(items: DataFrame) -> DataFrame:
+    return items if "roi" in items.columns else items.withColumn("roi", F.lit(None).cast("double"))
 
 
 def notification_fields() -> list[Column]:
@@ -120,16 +172,17 @@ def alert_fire(items: DataFrame, rules: DataFrame, now, seq=("l_orderkey", "l_li
     ready = rules.filter(F.col("enabled") & (
         F.col("last_triggered").isNull()
         | (now_c > F.col("last_triggered") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("cooldown_minutes")))))
-    m = alert_matches(items, ready)
-    if "roi" not in m.columns:
-        m = m.withColumn("roi", F.lit(None).cast("double"))
-    order = F.struct(*[F.col(c) for c in seq if c in items.columns], F.col("item_id"))
-    payload = F.struct(*[F.col(c) for c in ("item_id", "name", "profit", "roi")])
-    once = (m.filter(F.col("r_cooldown_minutes") > 0)
-            .groupBy(*[c for c in m.columns if c.startswith("r_")])
-            .agg(F.min_by(payload, order).alias("_it"))
-            .select("*", "_it.*").drop("_it"))
-    every = m.filter(F.col("r_cooldown_minutes") <= 0).select(*once.columns)
+    r = _prefixed(ready).withColumn("_rule", F.monotonically_increasing_id()).checkpoint(eager=True)
+    rcols = [c for c in r.columns if c.startswith("r_")]
+    items = _payload_frame(items)
+    order = [c for c in seq if c in items.columns] + ["item_id"]
+    named = _keyed_matches(items, r)
+    once = (named.filter(F.col("r_cooldown_minutes") > 0).groupBy(*rcols, "_rule")
+            .agg(F.min_by(F.struct(*_PAYLOAD), F.struct(*order)).alias("_it")).select(*rcols, "_it.*"))
+    first = first_matches(items, _thresholds(r).select("_rule", "k", "v"), _measures(items), order, _PAYLOAD)
+    once = once.unionByName(first.join(r, "_rule").select(*once.columns))
+    free = r.filter(F.col("r_cooldown_minutes") <= 0)
+    every = (_keyed_matches(items, free).unionByName(_all_matches(items, free.filter(_of_all())))).select(*once.columns)
     return once.unionByName(every).select(*_notification(now_c))
 
 
@@ -155,17 +208,18 @@ def alert_cooldown_replay(history: DataFrame, rules: DataFrame, ts: str = "ts",
     starts at the rule's ``last_triggered``.  The fired item of a kept poll is its
     first match in batch order.
     """
-    m = alert_matches(history, rules)
-    if "roi" not in m.columns:
-        m = m.withColumn("roi", F.lit(None).cast("double"))
-    order = F.struct(*[F.col(c) for c in seq if c in history.columns], F.col("item_id"))
-    payload = F.struct(*[F.col(c) for c in ("item_id", "name", "profit", "roi")])
-    rcols = [c for c in m.columns if c.startswith("r_")]
-    firsts = (m.filter(F.col("r_cooldown_minutes") > 0).groupBy(*rcols, F.col(ts).alias("_t"))
-              .agg(F.min_by(payload, order).alias("_it")))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    polls = firsts.select("r_id", micros(F.col("_t")).alias("t"), micros(F.col("r_last_triggered")).alias("last"),
-                          (F.col("r_cooldown_minutes") * F.lit(60_000_000).cast("long")).alias("gap"))
+    r = _prefixed(rules).withColumn("_rule", F.monotonically_increasing_id()).checkpoint(eager=True)
+    rcols = [c for c in r.columns if c.startswith("r_")]
+    history = _payload_frame(history)
+    order = [c for c in seq if c in history.columns] + ["item_id"]
+    gap = (F.col("r_cooldown_minutes") * F.lit(60_000_000).cast("long")).alias("gap")
+    last = micros(F.col("r_last_triggered")).alias("last")
+
+    # Rules that name an item or a category: their polls with a match, walked rule by rule.
+    named = _keyed_matches(history, r.filter(F.col("r_cooldown_minutes") > 0)).filter(F.col(ts).isNotNull())
+    firsts = named.groupBy(*rcols, "_rule", F.col(ts).alias("_t")).agg(F.min_by(F.struct(*_PAYLOAD), F.struct(*order)).alias("_it"))
+    polls = firsts.select("_rule", micros(F.col("_t")).alias("t"), last, gap)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         gap, last = int(pdf["gap"].iloc[0]), pdf["last"].iloc[0]
@@ -174,14 +228,21 @@ def alert_cooldown_replay(history: DataFrame, rules: DataFrame, ts: str = "ts",
             if last is None or t > last + gap:
                 kept.append(t)
                 last = t
-        return pd.DataFrame({"k_id": [pdf["r_id"].iloc[0]] * len(kept), "k_t": pd.Series(kept, dtype="int64")})
+        return pd.DataFrame({"k_rule": [pdf["_rule"].iloc[0]] * len(kept), "k_t": pd.Series(kept, dtype="int64")}).astype({"k_rule": "int64"})
 
-    kept = polls.groupBy("r_id").applyInPandas(walk, "k_id string, k_t long")
-    once = (firsts.join(kept, (F.col("r_id") == F.col("k_id")) & (micros(F.col("_t")) == F.col("k_t")), "left_semi")
+    kept = polls.groupBy("_rule").applyInPandas(walk, "k_rule long, k_t long")
+    once = (firsts.join(kept, (F.col("_rule") == F.col("k_rule")) & (micros(F.col("_t")) == F.col("k_t")), "left_semi")
             .select(*rcols, "_t", "_it.*"))
-    every = (m.filter((F.col("r_cooldown_minutes") <= 0) & (F.col("r_last_triggered").isNull() | (
-                F.col(ts) > F.col("r_last_triggered") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("r_cooldown_minutes")))))
-             .select(*rcols, F.col(ts).alias("_t"), "item_id", "name", "profit", "roi"))
+
+    # Rules over all items: from firing to firing over the maxima of the polls.
+    asked = _thresholds(r).select("_rule", "k", "v", gap, last).checkpoint(eager=True)
+    fired = replayed_matches(history, asked, _measures(history), ts, order, _PAYLOAD)
+    once = once.unionByName(fired.join(r, "_rule").select(*rcols, F.timestamp_micros("_t").cast("timestamp_ntz").alias("_t"), *_PAYLOAD))
+    free = r.filter(F.col("r_cooldown_minutes") <= 0)
+    m = _keyed_matches(history, free).unionByName(_all_matches(history, free.filter(_of_all())))
+    every = (m.filter(F.col("r_last_triggered").isNull() | (
+                F.col(ts) > F.col("r_last_triggered") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("r_cooldown_minutes"))))
+             .select(*rcols, F.col(ts).alias("_t"), *_PAYLOAD))
     return once.unionByName(every).select(*_notification(F.col("_t")))
 
 

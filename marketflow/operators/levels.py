@@ -6,9 +6,9 @@ explicit ``priority``.  Two physical forms:
 * ``level_requirement_expr`` — the rule list is small configuration; it is
   compiled into one CASE chain that runs inside whole-stage codegen with no
   join at all (used at ingest for the stored ``flea_level_required``).
-* ``level_requirement`` — rules arrive as a DataFrame.  They are matched
-  against the *distinct* (name, category, handbook names) only, and the result
-  is joined back on these; how rules and names are joined is the optimizer's.
+* ``level_requirement`` — rules arrive as a DataFrame, any number of them.  They
+  are matched against the *distinct* names, categories and handbook lists only,
+  through indexes of equal texts and n-grams, and the results are joined back.
 """
 
 from __future__ import annotations
@@ -116,43 +116,83 @@ def level_requirement(df: DataFrame, rules: DataFrame, name="name", category="ca
                       out="flea_level_required", default: int = S.FLEA_MARKET_UNLOCK_LEVEL) -> DataFrame:
     """Table-driven form of the rule matcher (same semantics as the CASE chain).
 
-    Item and category rules are matched in a theta join, handbook names (an array column) in an equi-join.
+    Every way of matching is an equi-join followed by its exact test, over distinct names, categories and handbook
+    lists: equal texts; for patterns of five characters or more one of the pattern's five-grams, the one that fewest
+    names hold; for shorter patterns the pattern itself among the names' grams of that length; plurals by their stems.
     """
-    r = rules.select("kind", "pattern", "level", "priority")
+    r = rules.select("kind", "pattern", "level", "priority", F.lower("pattern").alias("lp"))
     hb = F.array().cast("array<string>") if handbook is None else F.coalesce(F.col(handbook), F.array().cast("array<string>"))
     df = df.withColumns({"_kn": F.coalesce(F.col(name), F.lit("")), "_kc": F.coalesce(F.col(category), F.lit("")), "_kh": hb})
-    keys = df.select(F.col("_kn").alias("_n"), F.col("_kc").alias("_c"), F.col("_kh").alias("_h")).distinct()
-    ln, c = F.lower(F.col("_n")), F.col("_c")
-    lc = F.lower(c)
-    pat, lp = F.col("pattern"), F.lower(F.col("pattern"))
-    plen = F.length(pat)
-    bclass = S.BOUNDARY_CLASS
     # Rank = (stage, place, inexact, priority): item rules < exact category < other case < handbook < plural.
-    item_hit = (F.col("kind") == "item") & (
-        (ln == lp)
-        | ((plen >= 5) & ln.contains(lp))
-        | ((plen >= 2) & (plen < 5) & F.regexp_like(ln, F.concat(F.lit(f"(?:^|{bclass})\\Q"), lp,
-                                                                  F.lit(f"\\E(?:$|{bclass})")))))
-    cat_exact = (F.col("kind") == "category") & (c == pat)
-    cat_ci = (F.col("kind") == "category") & (lc == lp)
+    by_name = _best_of(_item_matches(df.select(F.col("_kn").alias("_n")).distinct().withColumn("ln", F.lower("_n")),
+                                     r.filter(F.col("kind") == "item")), "_n", "_in")
+    of_category = r.filter(F.col("kind") == "category")
+    by_category = _best_of(_category_matches(df.select(F.col("_kc").alias("_c")).distinct().withColumn("lc", F.lower("_c")), of_category), "_c", "_ic")
+    named = df.select(F.col("_kh").alias("_h")).distinct().select("_h", F.posexplode("_h").alias("_place", "_name"))
+    by_handbook = _best_of(named.join(of_category, F.lower("_name") == F.col("lp")).select(
+        "_h", _rank(3, F.col("_place"), (F.col("_name") != F.col("pattern")).cast("int")), "level"), "_h", "_ih")
+    joined = (df.join(by_name, F.col("_kn") == F.col("_n"), "left").join(by_category, F.col("_kc") == F.col("_c"), "left")
+              .join(by_handbook, F.col("_kh") == F.col("_h"), "left"))
+    return (joined.withColumn(out, F.coalesce(F.least("_in", "_ic", "_ih")["level"], F.lit(default)).cast("int"))
+            .drop("_n", "_c", "_h", "_in", "_ic", "_ih", "_kn", "_kc", "_kh"))
+
+
+#: Characters of the grams that patterns for substrings are found by.
+GRAM = 5
+
+
+def _rank(stage: int, place: Column | None = None, inexact: Column | None = None) -> Column:
+    none = F.lit(0)
+    return F.struct(F.lit(stage).alias("stage"), (none if place is None else place).alias("place"),
+                    (none if inexact is None else inexact).alias("inexact"), "priority").alias("_rank")
+
+
+def _best_of(matches: DataFrame, key: str, out: str) -> DataFrame:
+    """(key, out): the first rank of each key with its level."""
+    return matches.groupBy(key).agg(F.min(F.struct("_rank", "level")).alias(out))
+
+
+def _grams(text: Column, size) -> Column:
+    size = F.lit(size) if isinstance(size, int) else size
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, size)))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def _item_matches(names: DataFrame, r: DataFrame) -> DataFrame:
+    """(_n, _rank, level) of every name and item rule that match."""
+    ln, lp, size = F.col("ln"), F.col("lp"), F.length("pattern")
+    pick = lambda m: m.select("_n", _rank(0), "level")
+    equal = pick(names.join(r, ln == lp))
+    grams = names.select("_n", "ln", F.explode(_grams(ln, GRAM)).alias("gram"))
+    held = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    long_ = r.filter(size >= GRAM)
+    # The rarest gram of each pattern; one that no name holds matches none.
+    of_rule = long_.select(*r.columns, F.explode(_grams(lp, GRAM)).alias("gram"))
+    whole = of_rule.join(held, "gram", "left")
+    rarest = (whole.groupBy(*r.columns).agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("x"))
+              .filter("x.names > 0").select(*r.columns, F.col("x.gram").alias("gram")))
+    inside = pick(grams.join(rarest, "gram").filter(ln.contains(lp)))
+    short = r.filter((size >= 2) & (size < GRAM))
+    sizes = [x[0] for x in short.select(F.length("lp")).distinct().collect()]      # 2 to 4 characters, a few more for odd letters
+    pieces = F.flatten(F.array(*[_grams(ln, n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    bclass = S.BOUNDARY_CLASS
+    bounded = F.regexp_like(ln, F.concat(F.lit(f"(?:^|{bclass})\\Q"), lp, F.lit(f"\\E(?:$|{bclass})")))
+    apart = pick(names.select("_n", "ln", F.explode(pieces).alias("gram")).join(short, F.col("gram") == lp).filter(bounded))
+    return equal.unionByName(inside).unionByName(apart)
+
+
+def _category_matches(categories: DataFrame, r: DataFrame) -> DataFrame:
+    """(_c, _rank, level) of every category and rule that are equal in any case, or plural and singular."""
+    c, lc, lp = F.col("_c"), F.col("lc"), F.col("lp")
+    same = categories.join(r, lc == lp)
+    exact = same.filter(c == F.col("pattern")).select("_c", _rank(1), "level")
+    other = same.select("_c", _rank(2), "level")
     skip = (((F.length(lc) > F.length(lp)) & lc.startswith(F.concat(lp, F.lit(" "))))
             | ((F.length(lp) > F.length(lc)) & lp.startswith(F.concat(lc, F.lit(" ")))))
-    plural = (F.col("kind") == "category") & ~skip & (
-        (F.rtrim(lc, F.lit("s")) == F.rtrim(lp, F.lit("s")))
-        | (F.rtrim(lc, F.lit("es")) == F.rtrim(lp, F.lit("es"))))
-    none = F.lit(0)
-    stage = F.when(item_hit, 0).when(cat_exact, 1).when(cat_ci, 2).when(plural, 4)
-    direct = (keys.join(r, item_hit | cat_exact | cat_ci | plural)
-              .select("_n", "_c", "_h", F.struct(stage.alias("stage"), none.alias("place"), none.alias("inexact"), "priority").alias("_rank"), "level"))
-    named = keys.select("_n", "_c", "_h", F.posexplode("_h").alias("_place", "_name"))
-    by_handbook = (named.join(r.filter(F.col("kind") == "category"), F.lower("_name") == F.lower("pattern"))
-                   .select("_n", "_c", "_h", F.struct(F.lit(3).alias("stage"), F.col("_place").alias("place"),
-                                                      (F.col("_name") != F.col("pattern")).cast("int").alias("inexact"), "priority").alias("_rank"), "level"))
-    matched = (direct.unionByName(by_handbook).groupBy("_n", "_c", "_h")
-               .agg(F.min_by("level", "_rank").alias("_lvl")))
-    joined = df.join(matched, (F.col("_kn") == F.col("_n")) & (F.col("_kc") == F.col("_c")) & (F.col("_kh") == F.col("_h")), "left")
-    return (joined.withColumn(out, F.coalesce(F.col("_lvl"), F.lit(default)).cast("int"))
-            .drop("_n", "_c", "_h", "_lvl", "_kn", "_kc", "_kh"))
+    plural = [categories.join(r, F.rtrim(lc, F.lit(end)) == F.rtrim(lp, F.lit(end))).filter(~skip).select("_c", _rank(4), "level")
+              for end in ("s", "es")]
+    return exact.unionByName(other).unionByName(plural[0]).unionByName(plural[1])
 
 
 def level_backfill(df: DataFrame, rules=S.DEFAULT_LEVEL_RULES, level="flea_level_required",
