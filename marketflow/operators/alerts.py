@@ -62,13 +62,31 @@ def upsert_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
     return rules.join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
+def _ids(rules: DataFrame, ids) -> DataFrame:
+    """Rule ids as a frame; a list is for a few of them."""
+    if not isinstance(ids, DataFrame):
+        ids = rules.sparkSession.createDataFrame([(i,) for i in ids], "id string")
+    return ids.select(F.col(ids.columns[0]).cast("string").alias("_id")).distinct()
+
+
 def remove_rules(rules: DataFrame, ids) -> DataFrame:
-    return rules.filter(~F.col("id").isin(list(ids)))
+    """#92: the rules but for those of ``ids``, a list or a frame."""
+    return rules.join(_ids(rules, ids), F.col("id") == F.col("_id"), "left_anti")
 
 
 def set_enabled(rules: DataFrame, ids, enabled: bool = True) -> DataFrame:
-    return rules.withColumn("enabled", F.when(F.col("id").isin(list(ids)), F.lit(enabled))
-                            .otherwise(F.col("enabled")))
+    """#92: switch the rules of ``ids``, a list or a frame, on or off."""
+    named = rules.join(_ids(rules, ids), F.col("id") == F.col("_id"), "left")
+    return named.withColumn("enabled", F.when(F.col("_id").isNotNull(), F.lit(enabled)).otherwise(F.col("enabled"))).drop("_id")
+
+
+def watchlist_rules(items: DataFrame, profit_threshold: float = 5000) -> DataFrame:
+    """#92: a watchlist rule for each (item_id, name) row."""
+    sample = items.sparkSession.createDataFrame([watchlist_rule("", "", profit_threshold)], RULE_SCHEMA)
+    text = {"id": F.concat(F.lit("watchlist_"), "_i"), "item_id": F.col("_i"), "item_name": F.col("_n"),
+            "message": F.concat(F.lit("Watchlist item "), F.coalesce("_n", F.lit("None")), F.lit(" reached profit threshold"))}
+    rows = items.select(F.col("item_id").cast("string").alias("_i"), F.col("name").alias("_n"))
+    return rows.crossJoin(F.broadcast(sample.drop(*text))).select(*[text.get(c, F.col(c)).alias(c) for c in sample.columns])   # one row
 
 
 def _item_value(items: DataFrame, name: str, default) -> Column:

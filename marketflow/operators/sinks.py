@@ -42,10 +42,36 @@ def write_json(df: DataFrame, path: str) -> str:
 
 
 def records_json(df: DataFrame, out: str = "record") -> DataFrame:
-    """#12 string forms: each row as a JSON object / CSV line column."""
+    """#12 string form: each row as a JSON object."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(out))
 
 
+def lines_csv(df: DataFrame, out: str = "line") -> DataFrame:
+    """#12 string form: each row as a CSV line; ``csv_header`` is the line that goes before them."""
+    return df.select(F.to_csv(F.struct(*df.columns)).alias(out))
+
+
+def csv_header(df: DataFrame) -> str:
+    return ",".join(f'"{c}"' if set(c) & set(',"\n') else c for c in df.columns)
+
+
+def keyed_json(df: DataFrame, key: str, out: str = "record") -> DataFrame:
+    """#12 keyed by index: each row as ``{key: {column: value, ...}}``, null values included; a null key is "null".
+
+    One object a row, so that a table of any size is written by all tasks; ``{`` and ``}`` aside, the objects joined by
+    commas are the document that a single JSON file would hold.
+    """
+    rest = [c for c in df.columns if c != key]
+    text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    return df.select(F.to_json(F.create_map(text, F.struct(*rest)), {"ignoreNullFields": "false"}).alias(out))
+
+
+def write_keyed_json(df: DataFrame, key: str, path: str) -> str:
+    """#12: the keyed objects, one a line."""
+    keyed_json(df, key).write.mode("overwrite").text(path)
+    return path
+
+
 def currency(c) -> Column:
     """'₽1,234': null/NaN/inf → '₽0'; clamped to ±999,999,999,999; truncated toward zero."""
     v = (F.col(c) if isinstance(c, str) else c).cast("double")

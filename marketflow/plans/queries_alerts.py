@@ -175,3 +175,27 @@ def q_alert_fire(spark, d):
                                  ts_literal(now - _dt.timedelta(minutes=STATE_AGO_MINUTES)))
         .otherwise(F.col("last_triggered")))
     return AL.alert_fire(M.trade_metrics(A.latest_prices(p)), r, now)
+
+
+_PART_RULES = """
+watched AS (
+  SELECT 'watchlist_' || CAST(p_partkey AS VARCHAR) AS id, CAST(p_partkey AS VARCHAR) AS item_id, p_name AS item_name,
+    CASE WHEN p_partkey % 4 = 0 THEN 9000.0 ELSE 5000.0 END AS threshold_value, p_partkey FROM part)"""
+
+
+@register("alert_rules_upserted", f"""
+WITH {_sql_rules()}, {_PART_RULES}
+SELECT r_id AS id, r_alert_type AS alert_type, r_item_id AS item_id, CAST(NULL AS VARCHAR) AS item_name, r_threshold_value AS threshold_value,
+  r_id <> 'loss_watch' AS enabled, r_cooldown_minutes AS cooldown_minutes, r_message AS message FROM rules
+UNION ALL
+SELECT id, 'item_watchlist', item_id, item_name, threshold_value, p_partkey % 3 <> 0, 30,
+  'Watchlist item ' || item_name || ' reached profit threshold' FROM watched WHERE p_partkey % 7 <> 0""", doubles=("threshold_value",))
+def q_alert_rules_upserted(spark, d):
+    """#92: a watchlist rule for every item, some replaced, some switched off, some removed."""
+    parts = read_table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("name"), "p_partkey")
+    watched = AL.upsert_rules(rules(spark, d), AL.watchlist_rules(parts))
+    watched = AL.upsert_rules(watched, AL.watchlist_rules(parts.where("p_partkey % 4 = 0"), 9000))
+    names = lambda c: parts.where(c).select(F.concat(F.lit("watchlist_"), "item_id").alias("id"))
+    watched = AL.set_enabled(AL.set_enabled(watched, names("p_partkey % 3 = 0"), False), ["loss_watch"], False)
+    return AL.remove_rules(watched, names("p_partkey % 7 = 0")).select(
+        "id", "alert_type", "item_id", "item_name", "threshold_value", "enabled", "cooldown_minutes", "message")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from ..operators import anchored as A
 from ..operators import metrics as M
 from ..operators import sinks as SK
+from ..operators import summary as SM
 from ..sources import payload as P
 from ..sources.testdata import prices
 from . import oracle_sql as O
@@ -190,3 +191,28 @@ def q_sink_json_roundtrip(spark, d):
                            T.StructField("roi", T.DoubleType()), T.StructField("profit", T.LongType()),
                            T.StructField("ts", T.TimestampNTZType())])
     return spark.read.schema(schema).json(path)
+
+
+_SUMMARY = "category string, total_profit bigint, avg_profit double, max_profit bigint, avg_roi double, avg_price double, items bigint"
+_SUMMARY_SQL = O.with_ctes(O.PRICES, O.LATEST, O.METRICS, body="""
+SELECT category, CAST(SUM(profit) AS BIGINT) AS total_profit, AVG(profit) AS avg_profit, MAX(profit) AS max_profit, AVG(roi) AS avg_roi,
+  AVG(flea_price) AS avg_price, COUNT(*) AS items FROM metrics WHERE category IS NOT NULL GROUP BY category""")
+
+
+def _category_export(spark, d):
+    return SM.category_summary(M.trade_metrics(A.latest_prices(prices(spark, d))))
+
+
+@register("sink_keyed_json", _SUMMARY_SQL, doubles=("avg_profit", "avg_roi", "avg_price"))
+def q_sink_keyed_json(spark, d):
+    """#12: the category summary as JSON keyed by category, written and read back."""
+    path = SK.write_keyed_json(_category_export(spark, d), "category", SK.export_path(spark, "categories_json"))
+    rest = _SUMMARY.split(", ", 1)[1]
+    return (spark.read.text(path).select(F.explode(F.from_json("value", f"map<string, struct<{rest.replace(' ', ':').replace(',:', ', ')}>>")).alias("category", "r"))
+            .select("category", "r.*"))
+
+
+@register("sink_csv_lines", _SUMMARY_SQL, doubles=("avg_profit", "avg_roi", "avg_price"))
+def q_sink_csv_lines(spark, d):
+    """#12: the category summary as CSV lines, read back from the text."""
+    return SK.lines_csv(_category_export(spark, d)).select(F.from_csv("line", _SUMMARY).alias("r")).select("r.*")

@@ -333,6 +333,10 @@ SELECT id AS alert_id, kind AS alert_type, item_id, profit, message, CAST(t AS T
 COOL_COLS = ("alert_id", "alert_type", "item_id", "profit", "message", "triggered_at")
 
 
+def _fails(row):
+    raise RuntimeError(f"hook of {row['alert_id']}")        # #93: a failing hook stops nothing
+
+
 def _hourly(ev):
     return events_as_prices(ev).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
 
@@ -348,5 +352,5 @@ def q_stream_alert_cooldown(spark, d):
     for part in (half, ~half):      # the second start goes on from the state of the first
         _deliver(spark, days.where(part), f"{root}/in")
         src = spark.readStream.schema(EVENT_SCHEMA + ", delivery int").option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
-        C.cooldown_stream(_hourly(src), rules, f"{root}/history", f"{root}/ckpt", watermark="1 hour", seq=("event_id",)).awaitTermination()
+        C.cooldown_stream(_hourly(src), rules, f"{root}/history", f"{root}/ckpt", watermark="1 hour", seq=("event_id",), callback=_fails).awaitTermination()
     return spark.read.parquet(f"{root}/history/*").select(*COOL_COLS)
