@@ -12,13 +12,15 @@ dictionary only where a trigger has several phrases:
 1. parse: triggers of each block of documents meet by trigger.  Where a trigger has one phrase in the whole corpus,
    all windows of that phrase repeat together, and the smallest doc_id decides for all of them.
 2. dictionary: the phrases of triggers with several (the ends of repeated passages) are sent once a block, by their
-   trigger.  Their suffixes, cut at ``LENGTH`` bytes and named by hashes, are ordered; equal ones find their smallest
-   doc_id.
+   trigger.  A bucket's phrases get a suffix array of their first ``LENGTH`` bytes, by prefix doubling; suffixes of one
+   rank are equal and find their smallest doc_id.  Phrases of different triggers share no window, so the arrays of the
+   buckets, one after another, are in corpus order as far as it is asked for.
 3. Documents lose what is covered by windows that also start in a smaller doc_id.
 
 A block sends each distinct trigger or phrase once, so a passage in a third of all documents is one row a block.
 Blocks are dealt by a hash of the doc_id and have a bounded size, and so have the buckets that triggers meet in;
-the number of both follows the corpus.  Windows are told apart by 64-bit hashes of their bytes and of the trigger.
+the number of both follows the corpus.  Windows of the dictionary are compared by their bytes; triggers, and whole
+phrases of a trigger that has but one, by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -176,6 +178,39 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
                      "kind": pa.array(cols[2], pa.int32()), "payload": pa.array(cols[3], pa.binary())})
 
 
+def _dense(values: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones."""
+    order = np.argsort(values)
+    v = values[order]
+    rank = np.empty(len(v), np.uint64)
+    new = np.zeros(len(v), np.uint64)
+    new[1:] = v[1:] != v[:-1]
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def suffix_ranks(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes of ``text`` at the places ``at`` in the order of their first ``LENGTH`` bytes, by prefix doubling.
+
+    Ranks of 8 bytes give those of 16, these those of 32, and two of 32 that overlap those of 50.  Equal ranks are equal
+    bytes.  A place has ``LENGTH`` bytes from it on.
+    """
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([text, np.zeros(LENGTH, np.uint8)])
+    word = np.zeros(len(text), np.uint64)
+    for j in range(8):
+        word = word << np.uint64(8) | padded[j:j + len(text)]
+    rank, have = _dense(word), 8
+    while have < LENGTH:
+        step = min(have, LENGTH - have)
+        ahead = np.concatenate([rank[step:], np.zeros(step, np.uint64)])[:len(rank)]
+        both = rank << np.uint64(32) | ahead
+        have += step
+        rank = _dense(both[at] if have == LENGTH else both)
+    return rank
+
+
 def _least_elsewhere(keys: list[np.ndarray], ids: list[np.ndarray]):
     """Group equal keys of several blocks: order, group start, group number of the ordered rows, smallest id per group."""
     key, who = np.concatenate(keys), np.concatenate(ids)
@@ -225,14 +260,16 @@ def _meet_suffixes(table: pa.Table) -> pa.Table:
     sent = [(block, _unpack(payload)) for _, block, kind, payload in rows if kind == 2]
     if not sent:
         return _rows(out)
-    keys, ids = [], []
+    places, ids, before = [], [], 0
     for _, z in sent:
         n = z["count"].astype(np.int64)
-        begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-        keys.append(Rolling(z["text"]).fixed(LENGTH)[_spread(begin, begin + n - 1)[0]])
+        begin = before + np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+        places.append(_spread(begin, begin + n - 1)[0])
         ids.append(np.repeat(_large(z), n))
-    # The order of the dictionary's suffixes, as far as their first bytes are equal.
-    order, _, group, least = _least_elsewhere(keys, ids)
+        before += len(z["text"])
+    # The suffix array of the bucket's dictionary; neighbours of one rank are equal windows.
+    ranks = suffix_ranks(np.concatenate([z["text"] for _, z in sent]), np.concatenate(places))
+    order, _, group, least = _least_elsewhere([ranks], ids)
     best = np.empty(len(order), np.int64)
     best[order] = least[group]
     bucket, a = rows[0][0], 0
