@@ -209,9 +209,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
             .withColumn("no", F.monotonically_increasing_id()))
     hits = checkpointed(hits)
     seeds = hits.select("no", F.explode("seeds").alias("s")).select("no", "s.hash", "s.at")
-    ways = (seeds.join(windows, "hash").select("no", "item", (F.col("at") - F.col("item_pos")).alias("offset")).distinct())
-    found = (ways.join(hits.select("no", "doc", "tokens"), "no").join(items, "item")
-             .select("doc", "item_id", compare("tokens", "item_tokens", "offset").alias("c"))
+    ways = (seeds.join(windows, "hash").select("no", "item", (F.col("at") - F.col("item_pos")).alias("offset")).distinct()
+            .join(items.select("item", size.alias("n")), "item"))
+    # A way takes along the tokens that the item can lie on, not the whole stretch: a repetitive text has very many ways.
+    begin, behind = F.greatest(F.col("offset"), F.lit(0)), F.least(F.col("offset"), F.lit(0))
+    near = F.slice("tokens", begin + 1, F.greatest(F.col("n") + behind, F.lit(0)))
+    found = (ways.join(hits.select("no", "doc", "tokens"), "no").select("doc", "item", near.alias("near"), behind.alias("offset")).join(items, "item")
+             .select("doc", "item_id", compare("near", "item_tokens", "offset").alias("c"))
              .select("doc", "item_id", "c.*"))
     need = F.least(F.lit(min_tokens), F.col("size"))
     passed = found.where((F.col("matched") >= need) & (F.col("matched") >= F.lit(min_coverage) * F.col("size"))

@@ -25,9 +25,6 @@ from pyspark.sql.functions import pandas_udf
 
 from marketflow.llm.common import checkpointed
 
-#: Terms kept, by significance; bounds what is sent to every task.
-MAX_TERMS = 4000
-MAX_EXCEPTIONS = 4000
 #: Toxic training documents a term must occur in, and its least log-likelihood ratio.
 MIN_DOCS = 4
 MIN_G2 = 22.0
@@ -57,6 +54,8 @@ _MARK = str.maketrans(SUBSTITUTES)
 #: Substitutes count as letters before a letter, digits also after one at the end of a word.
 _STAND_IN = re.compile(r"[01345789@$!]+(?=[^\W\d_])|(?<=[^\W\d_])[01345789]+(?!\w)")
 _WORD = re.compile(r"[^\W_]+")
+#: Characters between a word and its neighbour, at most.
+_GAP = 60
 
 
 def fold(text: str | None) -> str:
@@ -118,12 +117,17 @@ class Lexicon:
 
 
 def _neighbour(text: str, at: int, step: int) -> str:
-    """The word before (step -1) or from (step 1) position ``at``."""
-    if step < 0:
-        w = _WORD.findall(text[max(0, at - 60):at])
-        return w[-1] if w else ""
-    m = _WORD.search(text, at, at + 60)
-    return m.group() if m else ""
+    """The whole word before (step -1) or from (step 1) position ``at``, if not more than _GAP other characters lie between."""
+    if step > 0:
+        m = _WORD.search(text, at, at + _GAP + 1)
+        return _WORD.match(text, m.start()).group() if m else ""
+    end = at
+    while end > 0 and at - end <= _GAP and not _WORD.match(text, end - 1, end):
+        end -= 1
+    first = end
+    while first > 0 and _WORD.match(text, first - 1, first):
+        first -= 1
+    return text[first:end] if at - end <= _GAP else ""
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
@@ -174,14 +178,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column | None =
     return d.join(F.broadcast(y), F.col("id") == F.col("labelled")).select("text", "label")
 
 
-def train(texts: DataFrame, max_terms: int = MAX_TERMS, max_exceptions: int = MAX_EXCEPTIONS) -> Lexicon:
+def train(texts: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon:
     """Learn the lexicon from (text, label 0/1), as ``training_rows`` gives them; equal texts of one label count once.
 
+    At most ``fit_rows`` texts are learnt from (the smallest hashes), which bounds the lexicon: a term is a word of at least
+    MIN_DOCS of them, an exception a phrase of at least three.
+
     Rows with null text are left out.  Without a class the lexicon is empty and every score the same.
     """
     # A copied document would make each of its words look like a term.
     rows = texts.where("text IS NOT NULL").select("text", "label", F.xxhash64("text").alias("key"))
-    rows = checkpointed(rows.groupBy("key", "label").agg(F.first("text").alias("text")))
+    rows = checkpointed(rows.groupBy("key", "label").agg(F.first("text").alias("text")).orderBy("key", "label").limit(fit_rows))
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
@@ -191,7 +198,7 @@ def train(texts: DataFrame, max_terms: int = MAX_TERMS, max_exceptions: int = MA
     terms = (_word_counts(rows).where((F.col("toxic") >= MIN_DOCS) & (F.length("word") >= 3))
              .select("word", weight.alias("w"), _g2(a, b, pos, neg).alias("g2"))
              .where((F.col("w") > MIN_WEIGHT) & (F.col("g2") >= MIN_G2))
-             .orderBy(F.desc("g2"), "word").limit(max_terms).collect())
+             .collect())
     lex = Lexicon({r["word"]: r["w"] for r in terms})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +211,7 @@ def train(texts: DataFrame, max_terms: int = MAX_TERMS, max_exceptions: int = MA
     phrases = (rows.select("text", "label").mapInArrow(run, "phrase string, label int").groupBy("phrase")
                .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
                .where((F.col("clean") >= 3) & (F.col("clean") * F.lit(pos) >= 4 * (F.col("toxic") + 1) * F.lit(neg)))
-               .orderBy(F.desc("clean"), "phrase").limit(max_exceptions).collect())
+               .collect())
     lex.exceptions = {r["phrase"] for r in phrases}
 
     @pandas_udf("a double, b double")
