@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketflow.llm import stages
 from marketflow.session import scratch_path
+from marketflow.sources import store
 
 STAGES = [
     ("toxicity", stages.reject_toxic),
@@ -24,9 +25,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents table, in order, through Parquet in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = scratch_path(spark, f"corpus-pipeline-{uuid.uuid4().hex}")
+    base, before = scratch_path(spark, f"corpus-pipeline-{uuid.uuid4().hex}"), None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before is not None:
+            store.remove(spark, before)  # what the next stage has written does not need it any more
+        before = out
     return docs
