@@ -1,11 +1,12 @@
 """The ``prices`` store: Parquet partitioned by day and by the batch that wrote it.
 
 A batch overwrites only its own partitions, so writing it again after a failure leaves the same rows.  Readers
-bound the day, so a window reads its days only; retention deletes whole days and rewrites the one it cuts through.
+bound the day, so a window reads its days only; retention moves a cut that readers respect and deletes whole days behind it.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import ts_literal
 
 KEYS = ("date", "batch")
+#: Folder of the retention cuts; readers of the table skip names that begin with an underscore.
+_MARKS = "_retention"
+_EPOCH = dt.datetime(1970, 1, 1)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -62,9 +66,22 @@ def write_prices(rows: DataFrame, path: str, batch: str, ts: str = "ts") -> None
      .option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path))
 
 
+def _cut(spark: SparkSession, path: str):
+    """The time before which rows have expired, as the newest retention run left it; None before the first."""
+    marks = [int(f.split("=")[1]) for f in folders(spark, f"{path}/{_MARKS}") if f.startswith("cut=")]
+    return _EPOCH + dt.timedelta(microseconds=max(marks)) if marks else None
+
+
+def _valid(rows: DataFrame, cut, ts: str) -> DataFrame:
+    if cut is None:
+        return rows
+    c = ts_literal(cut)
+    return rows.filter((F.col("date").isNull() | (F.col("date") >= c.cast("date"))) & (F.col(ts).isNull() | (F.col(ts) >= c)))
+
+
 def read_prices(spark: SparkSession, path: str, since=None, ts: str = "ts") -> DataFrame:
-    """Rows of the store, from ``since`` (inclusive) on; only the days from then are read."""
-    rows = spark.read.option("basePath", path).parquet(path)
+    """Rows of the store that have not expired, from ``since`` (inclusive) on; only the days from then are read."""
+    rows = _valid(spark.read.option("basePath", path).parquet(path), _cut(spark, path), ts)
     if since is not None:
         cut = ts_literal(since)
         rows = rows.filter((F.col("date") >= cut.cast("date")) & (F.col(ts) >= cut))
@@ -73,10 +90,11 @@ def read_prices(spark: SparkSession, path: str, since=None, ts: str = "ts") -> D
 
 def newest(spark: SparkSession, path: str, ts: str = "ts"):
     """The newest timestamp, read from the last day that has one; None for an empty or missing store."""
+    cut = _cut(spark, path)
     for day in reversed([f for f in folders(spark, path) if f.startswith("date=") and "__HIVE" not in f]):
         found = spark.read.parquet(f"{path}/{day}").agg(F.max(ts)).first()[0]
         if found is not None:
-            return found
+            return found if cut is None or found >= cut else None
     return None
 
 
@@ -91,30 +109,27 @@ def recent(spark: SparkSession, path: str, window: Column, ts: str = "ts") -> Da
 
 
 def expire(spark: SparkSession, path: str, now, days: int = 7, ts: str = "ts") -> int:
-    """Delete rows older than ``now - days``; returns how many.  ``days <= 0`` keeps everything.
+    """Drop rows older than ``now - days``; returns how many.  ``days <= 0`` keeps everything.
 
-    Whole days before the cut are removed as folders, counted from Parquet footers; the day of the cut is rewritten,
-    each batch in its own partition.  Rows without a timestamp stay.
+    The cut is written down first, as an empty folder whose name is the time: from then on readers leave older rows out.
+    Days that lie wholly before the cut of the *last* run are then deleted, so a reader that has begun keeps its
+    files until the next run, and a run that fails half-way changes no answer.  Rows without a timestamp stay.
     """
     if days <= 0:
         return 0
     cut = spark.range(1).select((ts_literal(now) - F.make_dt_interval(F.lit(int(days)))).alias("c")).first()[0]
-    days_held = [f for f in folders(spark, path) if f.startswith("date=") and "__HIVE" not in f]
-    edge = f"date={cut.date().isoformat()}"
-    gone = 0
-    for day in (d for d in days_held if d < edge):
-        gone += spark.read.parquet(f"{path}/{day}").count()
-        remove(spark, f"{path}/{day}")
-    if edge in days_held:
-        rows = spark.read.option("basePath", path).parquet(f"{path}/{edge}")
-        old = F.col(ts) < ts_literal(cut)
-        n = rows.filter(old).count()
-        if n:
-            whole = [r["batch"] for r in rows.groupBy("batch").agg(F.max(ts).alias("m")).filter(F.col("m") < ts_literal(cut)).collect()]
-            rows.filter(~old).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path)
-            for batch in whole:  # nothing of these is left to overwrite them with
-                remove(spark, f"{path}/{edge}/batch={batch}")
-            gone += n
+    before = _cut(spark, path)
+    if before is not None and cut <= before or not folders(spark, path):
+        return 0
+    rows = _valid(spark.read.option("basePath", path).parquet(path), before, ts)
+    gone = rows.filter((F.col("date") <= ts_literal(cut).cast("date")) & (F.col(ts) < ts_literal(cut))).count()
+    fs, p = _fs(spark, f"{path}/{_MARKS}/cut={(cut - _EPOCH) // dt.timedelta(microseconds=1)}")
+    fs.mkdirs(p)
+    if before is not None:
+        edge = f"date={before.date().isoformat()}"
+        for day in folders(spark, path):
+            if day.startswith("date=") and "__HIVE" not in day and day < edge:
+                remove(spark, f"{path}/{day}")
     return gone
 
 

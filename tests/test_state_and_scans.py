@@ -80,6 +80,33 @@ def test_retention_empties_buckets_and_readers_go_on(spark, tmp_path):
     assert state.current() is None or state.current().count() == 0
 
 
+def test_price_retention_keeps_readers_and_survives_failures(spark, tmp_path, monkeypatch):
+    path, t0 = str(tmp_path / "p"), dt.datetime(2024, 1, 20, 12)
+    rows = [(k, t0 - dt.timedelta(hours=7 * k)) for k in range(60)] + [(99, None)]
+    ST.write_prices(spark.createDataFrame(rows, "i int, ts timestamp_ntz"), path, "a")
+    left = lambda now, days: sorted(k for k, t in rows if t is None or t >= now - dt.timedelta(days=days))
+    held = lambda: sorted(r.i for r in ST.read_prices(spark, path).collect())
+    reader = ST.read_prices(spark, path)
+    assert ST.expire(spark, path, t0, 10) == 61 - len(left(t0, 10)) and ST.expire(spark, path, t0, 10) == 0
+    assert held() == left(t0, 10) and reader.count() == 61      # its files are still there
+    real, calls = ST.remove, []
+
+    def failing(spark, p):
+        calls.append(p)
+        raise RuntimeError("lost")
+    monkeypatch.setattr(ST, "remove", failing)
+    with pytest.raises(RuntimeError):
+        ST.expire(spark, path, t0, 5)                           # fails between the cut and the deletion
+    assert held() == left(t0, 5) and calls
+    monkeypatch.setattr(ST, "remove", real)
+    days = len(ST.folders(spark, path))
+    reader = ST.read_prices(spark, path)
+    assert ST.expire(spark, path, t0, 2) == len(left(t0, 5)) - len(left(t0, 2)) and held() == left(t0, 2)
+    assert len(ST.folders(spark, path)) < days and reader.count() == len(left(t0, 5))
+    assert ST.newest(spark, path) == t0 and ST.expire(spark, path, t0 + dt.timedelta(days=9), 1) == len(left(t0, 2)) - 1
+    assert ST.newest(spark, path) is None and held() == [99] and ST.expire(spark, path, t0, 0) == 0
+
+
 def plain_ema(values, start, alpha=0.1):
     for v in values:
         start = (1 - alpha) * start + alpha * v
