@@ -182,10 +182,11 @@ def _dense(values: np.ndarray) -> np.ndarray:
     """The rank of each value among the distinct ones."""
     order = np.argsort(values)
     v = values[order]
-    rank = np.empty(len(v), np.uint64)
-    new = np.zeros(len(v), np.uint64)
-    new[1:] = v[1:] != v[:-1]
-    rank[order] = np.cumsum(new)
+    new = np.zeros(len(v), bool)
+    np.not_equal(v[1:], v[:-1], out=new[1:])
+    del v
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.cumsum(new, dtype=np.uint32)
     return rank
 
 
@@ -196,18 +197,18 @@ def suffix_ranks(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     bytes.  A place has ``LENGTH`` bytes from it on.
     """
     if not len(at):
-        return np.zeros(0, np.uint64)
-    padded = np.concatenate([text, np.zeros(LENGTH, np.uint8)])
-    word = np.zeros(len(text), np.uint64)
-    for j in range(8):
-        word = word << np.uint64(8) | padded[j:j + len(text)]
-    rank, have = _dense(word), 8
+        return np.zeros(0, np.uint32)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(text), ">u8", padded, strides=(1,))  # 8 bytes from every place
+    rank, have = _dense(words.astype(np.uint64)), 8
     while have < LENGTH:
         step = min(have, LENGTH - have)
-        ahead = np.concatenate([rank[step:], np.zeros(step, np.uint64)])[:len(rank)]
-        both = rank << np.uint64(32) | ahead
+        both = rank.astype(np.uint64)
+        both <<= np.uint64(32)
+        both[:len(rank) - step] |= rank[step:]
         have += step
         rank = _dense(both[at] if have == LENGTH else both)
+        del both
     return rank
 
 
