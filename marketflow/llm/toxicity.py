@@ -188,8 +188,13 @@ def train(texts: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon:
     """
     # A copied document would make each of its words look like a term.
     rows = texts.where("text IS NOT NULL").select("text", "label", F.xxhash64("text").alias("key"))
-    rows = checkpointed(rows.groupBy("key", "label").agg(F.first("text").alias("text")).orderBy("key", "label").limit(fit_rows))
-    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = checkpointed(rows.groupBy("key", "label").agg(F.first("text").alias("text")))
+    count = lambda: {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n = count()
+    if sum(n.values()) > fit_rows:  # an id may stand for many texts; only keys are sorted, the texts stay where they are
+        first = rows.select("key", "label").orderBy("key", "label").limit(fit_rows)
+        rows = checkpointed(rows.join(F.broadcast(first), ["key", "label"], "left_semi"))
+        n = count()
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return Lexicon({}, coef=(math.log((pos + 0.5) / (neg + 0.5)), 0.0, 0.0))
