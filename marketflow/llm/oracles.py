@@ -110,3 +110,39 @@ least AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
 SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
 FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN least l ON l.u = c.u
 """
+
+#: crc32 by its table of 256 values; near words by the places that a letter is taken from.
+SPELLING = r"""
+WITH RECURSIVE
+steps AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS l FROM steps WHERE k = 8),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+own AS (SELECT run, count(*) AS c, hex(encode(doc_id::VARCHAR || ':' || run)) AS x FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+                                 lambda a, b: xor(a >> 8, l[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM own, crc),
+written AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM written WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+less AS (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS v FROM (SELECT word, unnest(range(length(word))) AS i FROM words) q),
+near AS (
+  SELECT DISTINCT word, other FROM (
+    SELECT l.word, w.word AS other FROM less l JOIN words w ON w.word = l.v
+    UNION ALL SELECT w.word, l.word FROM less l JOIN words w ON w.word = l.v
+    UNION ALL SELECT a.word, b.word FROM less a JOIN less b ON a.i = b.i AND a.v = b.v AND a.word <> b.word) q),
+best AS (
+  SELECT near.word, count(*)::BIGINT AS n_near, first(other ORDER BY n DESC, encode(other)) AS form, max(n) AS form_n
+  FROM near JOIN words ON words.word = other GROUP BY near.word),
+formed AS (
+  SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word),
+chain AS (
+  SELECT word, word AS at FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed g ON g.word = c.at WHERE g.form IS NULL
+"""

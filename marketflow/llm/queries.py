@@ -90,7 +90,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"), fold_of(F.col("doc_id"), 4) == 2)
 
 
-@query("op11_spelling_groups")
+@query("op11_spelling_groups", oracles.SPELLING)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(read_table(spark, sf_dir, "documents"))
 
