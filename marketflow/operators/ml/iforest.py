@@ -106,6 +106,7 @@ def isolation_forest(df: DataFrame, features=None, trees: int = S.FOREST_TREES,
     xf = base.select("_key", *xcols).persist(StorageLevel.MEMORY_AND_DISK)
     n = xf.count()
     if n < min_rows:
+        xf.unpersist()
         return df.withColumns({"is_anomaly": F.lit(0), "anomaly_score": F.lit(0.0)})
     psi = min(max_samples, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
@@ -127,6 +128,7 @@ def isolation_forest(df: DataFrame, features=None, trees: int = S.FOREST_TREES,
         ok = sizes.agg(F.count(F.lit(1)).alias("t"), F.min("count").alias("m")).first()
         if (ok["t"] == trees and (ok["m"] or 0) >= psi) or rate >= 1.0:
             break
+        sample.unpersist()
         rate = min(1.0, rate * 2)
 
     fcols = [f"_f{i}" for i in range(len(feats))]
