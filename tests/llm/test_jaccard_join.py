@@ -7,7 +7,6 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from marketflow.llm import jaccard_join
 from marketflow.llm.jaccard_join import _list_pairs, prefix_length, shingle_set, similar_sets
 
 
