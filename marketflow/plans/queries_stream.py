@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts as AL
 from ..operators import anchored as A
-from ..operators import learned as L
 from ..session import scratch_path
 from ..sources import payload as P
 from ..sources import store as ST

@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 from . import store as ST
 
 KEPT = 2
+_COUNT = "_buckets="
 
 
 class Buckets:
+    """The state under ``root``, one row a ``key``; a state keeps the number of buckets that it began with."""
+
     def __init__(self, spark: SparkSession, root: str, key: str, n: int = 64):
-        self.spark, self.root, self.key, self.n = spark, root, key, n
+        self.spark, self.root, self.key = spark, root, key
+        begun = [int(f.split("=")[1]) for f in ST.folders(spark, root) if f.startswith(_COUNT)]
+        self.n = begun[0] if begun else n
 
     def _versions(self) -> list[tuple[int, str, int, str]]:
         """Committed versions (number, run, batch, folder), newest first."""
@@ -78,6 +83,8 @@ class Buckets:
         return sum(lost.values())
 
     def _write(self, rows: DataFrame, touched: set[int], run: str, batch_id: int) -> None:
+        fs, p = ST._fs(self.spark, f"{self.root}/{_COUNT}{self.n}")
+        fs.mkdirs(p)
         versions = self._versions()
         name = f"v{versions[0][0] + 1 if versions else 0:08d}_{run}_{batch_id}"
         path = f"{self.root}/{name}"

@@ -42,6 +42,9 @@ def test_a_batch_writes_the_buckets_of_its_keys_only(spark, tmp_path):
     for k in range(3, 8):
         state.update(few, L.merge_totals, "r", k)
     held = [len([f for f in ST.folders(spark, f"{tmp_path}/s/{v}") if f.startswith("bucket=")]) for v in ST.folders(spark, f"{tmp_path}/s")]
+    again = Buckets(spark, str(tmp_path / "s"), "category", n=7)      # another number of buckets is not taken up
+    again.update(few, L.merge_totals, "other", 0)
+    assert again.n == 32 and again.current().count() == 3001 and again.current().where("category = 'c2'").first().total_items == 9
     assert sum(held) <= 2 * 32 and state.current().count() == 3001
 
 
