@@ -117,6 +117,16 @@ def alert_matches(items: DataFrame, rules: DataFrame) -> DataFrame:
     return _keyed_matches(items, r).unionByName(_all_matches(items, r.filter(_of_all())))
 
 
+def keyed_matches(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """The matches of enabled rules that name an item or a category; rule columns are ``r_*``."""
+    return _keyed_matches(items, _prefixed(rules))
+
+
+def thresholds(rules: DataFrame) -> DataFrame:
+    """Enabled rules over all items with a cooldown as ``r_*`` columns, the number ``k`` of their measure and its least value ``v``."""
+    return _thresholds(_prefixed(rules))
+
+
 def _beyond(prof: Column) -> Column:
     thr = F.col("r_threshold_value")
     return (((F.col("r_threshold_type") == "above") & (prof >= thr)) | ((F.col("r_threshold_type") == "below") & (prof <= thr)))
@@ -141,7 +151,7 @@ def _all_matches(items: DataFrame, r: DataFrame) -> DataFrame:
                       .otherwise(_is_anomaly(items) & (prof > ARBITRAGE_PROFIT)))
 
 
-def _measures(items: DataFrame) -> list[Column]:
+def measures(items: DataFrame) -> list[Column]:
     """What rules over all items compare: profit, loss, return, and whether a row is an arbitrage."""
     prof = _item_value(items, "profit", 0.0)
     arbitrage = F.when(_is_anomaly(items) & (prof > ARBITRAGE_PROFIT), 1.0).otherwise(0.0)
@@ -197,7 +207,7 @@ def alert_fire(items: DataFrame, rules: DataFrame, now, seq=("l_orderkey", "l_li
     named = _keyed_matches(items, r)
     once = (named.filter(F.col("r_cooldown_minutes") > 0).groupBy(*rcols, "_rule")
             .agg(F.min_by(F.struct(*_PAYLOAD), F.struct(*order)).alias("_it")).select(*rcols, "_it.*"))
-    first = first_matches(items, _thresholds(r).select("_rule", "k", "v"), _measures(items), order, _PAYLOAD)
+    first = first_matches(items, _thresholds(r).select("_rule", "k", "v"), measures(items), order, _PAYLOAD)
     once = once.unionByName(first.join(r, "_rule").select(*once.columns))
     free = r.filter(F.col("r_cooldown_minutes") <= 0)
     every = (_keyed_matches(items, free).unionByName(_all_matches(items, free.filter(_of_all())))).select(*once.columns)
@@ -254,7 +264,7 @@ def alert_cooldown_replay(history: DataFrame, rules: DataFrame, ts: str = "ts",
 
     # Rules over all items: from firing to firing over the maxima of the polls.
     asked = _thresholds(r).select("_rule", "k", "v", gap, last).checkpoint(eager=True)
-    fired = replayed_matches(history, asked, _measures(history), ts, order, _PAYLOAD)
+    fired = replayed_matches(history, asked, measures(history), ts, order, _PAYLOAD)
     once = once.unionByName(fired.join(r, "_rule").select(*rcols, F.timestamp_micros("_t").cast("timestamp_ntz").alias("_t"), *_PAYLOAD))
     free = r.filter(F.col("r_cooldown_minutes") <= 0)
     m = _keyed_matches(history, free).unionByName(_all_matches(history, free.filter(_of_all())))

@@ -1,6 +1,7 @@
 """#88, #93 as a stateful operator: cooldowns of rules over a stream of polls, without rewritten rule tables.
 
-Matches of a micro-batch are cut down to the first of each rule and poll where they stand, and meet by rule in a
+Matches of a micro-batch are cut down to the first of each rule and poll where they stand (those of rules over all items
+by record highs, without a pair of rule and item), and meet by rule in a
 ``transformWithState`` operator.  A rule's state is the time of its last firing; an event-time timer clears it once the
 cooldown has passed under the watermark, so rules that are quiet hold none.  Rules without a cooldown need no state.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ _PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.s
 _FIELDS = ("alert_id", "alert_type", "priority", "item_id", "item_name", "profit", "roi", "message")
 _OUT = "alert_id string, alert_type string, priority string, item_id string, item_name string, profit double, roi double, message string, t long"
 
+_ROW = "_ets timestamp, " + _OUT + ", before long, gap long, place string"
+
 
 class Cooldown(StatefulProcessor):
     """Keeps the polls of a rule that lie later than its last firing plus its cooldown."""
@@ -74,6 +78,46 @@ def _place(df: DataFrame, seq) -> Column:
     return F.concat_ws("\x01", *parts, F.coalesce(F.col("item_id").cast("string"), F.lit("")))
 
 
+def _of_all_items(held: DataFrame, rules: DataFrame, ts: str, seq) -> DataFrame:
+    """First matches, in each part of a poll, of the rules over all items: by record highs, without pairs of rule and item.
+
+    The rules are read when the stream starts; a task holds their thresholds, and sends a row for each rule and poll
+    that match at most.
+    """
+    asked = AL.thresholds(rules).select(
+        "r_id", "r_alert_type", "r_priority", "r_message", "k", "v", F.unix_micros(F.col("r_last_triggered").cast("timestamp")).alias("before"),
+        (F.col("r_cooldown_minutes") * F.lit(60_000_000).cast("long")).alias("gap")).orderBy("k", "r_id").collect()
+    measures = [m.cast("double").alias(f"m{k}") for k, m in enumerate(AL.measures(held))]
+    by = {k: [r for r in asked if r["k"] == k] for k in range(len(measures))}
+    least = {k: np.array([r["v"] for r in rs]) for k, rs in by.items()}
+    rows = held.select("_ets", F.col("item_id").cast("string").alias("item_id"), F.col("name").cast("string").alias("name"),
+                       F.col("profit").cast("double").alias("profit"), F.col("roi").cast("double").alias("roi"),
+                       F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), _place(held, seq).alias("place"), *measures)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t, poll in pdf.sort_values("place", kind="stable").groupby("t"):
+                for k, rs in by.items():
+                    top = np.maximum.accumulate(poll[f"m{k}"].to_numpy(float))
+                    record = np.flatnonzero(np.concatenate([[True], top[1:] > top[:-1]]))
+                    at = np.searchsorted(top[record], least[k], side="left")
+                    hit = np.flatnonzero(at < len(record))
+                    if not len(hit):
+                        continue
+                    rows, mine = poll.iloc[record[at[hit]]], [rs[i] for i in hit]
+                    text = lambda c, rows=rows: [None if pd.isna(v) else v for v in rows[c]]
+                    named = ["None" if n is None else n for n in text("name")]
+                    cols = {"_ets": rows["_ets"].to_numpy(), "alert_id": [r["r_id"] for r in mine], "alert_type": [r["r_alert_type"] for r in mine],
+                            "priority": [r["r_priority"] for r in mine], "item_id": text("item_id"), "item_name": text("name"),
+                            "profit": rows["profit"].to_numpy(), "roi": rows["roi"].to_numpy(),
+                            "message": [r["r_message"] if r["r_message"] is not None else f"Alert triggered for {n}" for r, n in zip(mine, named)],
+                            "t": np.full(len(mine), t), "before": [r["before"] for r in mine], "gap": [r["gap"] for r in mine], "place": rows["place"].tolist()}
+                    kinds = {"before": "Int64", "gap": "int64"}
+                    yield pd.DataFrame({c: pd.Series(v, dtype=kinds.get(c, object if isinstance(v, list) else None)) for c, v in cols.items()})
+
+    return rows.mapInPandas(run, _ROW)
+
+
 def cooldown_firings(polls: DataFrame, rules: DataFrame, watermark: str, ts: str = "ts", seq=L.SEQ) -> DataFrame:
     """Notifications (#89) of a stream of polls; every row carries its poll's time, and a poll may come in any batch
     within the watermark's delay.
@@ -83,26 +127,29 @@ def cooldown_firings(polls: DataFrame, rules: DataFrame, watermark: str, ts: str
     from batch to batch: a poll that comes behind a later firing of the rule does not fire.  Rows without time match nothing.
     """
     held = polls.where(F.col(ts).isNotNull()).withColumn("_ets", F.col(ts).cast("timestamp"))
-    m = AL.alert_matches(held, rules)
-    if "roi" not in m.columns:
-        m = m.withColumn("roi", F.lit(None).cast("double"))
-    if "name" not in m.columns:
-        m = m.withColumn("name", F.lit(None).cast("string"))
+    for c, kind in (("roi", "double"), ("name", "string")):
+        if c not in held.columns:
+            held = held.withColumn(c, F.lit(None).cast(kind))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    rows = m.select("_ets", *AL.notification_fields(), micros(F.col(ts)).alias("t"), micros(F.col("r_last_triggered")).alias("before"),
-                    (F.col("r_cooldown_minutes") * F.lit(60_000_000).cast("long")).alias("gap"), _place(m, seq).alias("place"))
+    gap = (F.col("r_cooldown_minutes") * F.lit(60_000_000).cast("long")).alias("gap")
     fields = [F.col(c).cast("double" if c in ("profit", "roi") else "string").alias(c) for c in _FIELDS]
-    rows = rows.select("_ets", *fields, "t", "before", "gap", "place")
+
+    def shaped(matches: DataFrame) -> DataFrame:
+        rows = matches.select("_ets", *AL.notification_fields(), micros(F.col(ts)).alias("t"), micros(F.col("r_last_triggered")).alias("before"),
+                              gap, _place(matches, seq).alias("place"))
+        return rows.select("_ets", *fields, "t", "before", "gap", "place")
 
     def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.sort_values("place", kind="stable").drop_duplicates(["alert_id", "t"])
 
-    kinds = "_ets timestamp, " + _OUT + ", before long, gap long, place string"
-    once = rows.where("gap > 0").mapInPandas(firsts, kinds)
+    cooled = F.col("cooldown_minutes") > 0
+    named = shaped(AL.keyed_matches(held, rules.where(cooled))).mapInPandas(firsts, _ROW)
+    once = named.unionByName(_of_all_items(held, rules, ts, seq))
     fired = (once.withWatermark("_ets", watermark).groupBy("alert_id")
              .transformWithStateInPandas(Cooldown(), _OUT, "Append", "EventTime"))
-    every = rows.where((F.col("gap") <= 0) & (F.col("before").isNull() | (F.col("t") > F.col("before") + F.col("gap")))).select(*_FIELDS, "t")
+    free = shaped(AL.alert_matches(held, rules.where(~cooled)))
+    every = free.where((F.col("before").isNull() | (F.col("t") > F.col("before") + F.col("gap")))).select(*_FIELDS, "t")
     return fired.unionByName(every).withColumn("triggered_at", F.timestamp_micros("t").cast("timestamp_ntz")).drop("t")
 
 
