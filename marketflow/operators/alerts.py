@@ -209,7 +209,7 @@ def alert_fire(items: DataFrame, rules: DataFrame, now, seq=("l_orderkey", "l_li
             .agg(F.min_by(F.struct(*_PAYLOAD), F.struct(*order)).alias("_it")).select(*rcols, "_it.*"))
     first = first_matches(items, _thresholds(r).select("_rule", "k", "v"), measures(items), order, _PAYLOAD)
     once = once.unionByName(first.join(r, "_rule").select(*once.columns))
-    free = r.filter(F.col("r_cooldown_minutes") <= 0)
+    free = _prefixed(ready).filter(F.col("r_cooldown_minutes") <= 0)     # as it came: its size is known, so it can be broadcast
     every = (_keyed_matches(items, free).unionByName(_all_matches(items, free.filter(_of_all())))).select(*once.columns)
     return once.unionByName(every).select(*_notification(now_c))
 
@@ -266,7 +266,7 @@ def alert_cooldown_replay(history: DataFrame, rules: DataFrame, ts: str = "ts",
     asked = _thresholds(r).select("_rule", "k", "v", gap, last).checkpoint(eager=True)
     fired = replayed_matches(history, asked, measures(history), ts, order, _PAYLOAD)
     once = once.unionByName(fired.join(r, "_rule").select(*rcols, F.timestamp_micros("_t").cast("timestamp_ntz").alias("_t"), *_PAYLOAD))
-    free = r.filter(F.col("r_cooldown_minutes") <= 0)
+    free = _prefixed(rules).filter(F.col("r_cooldown_minutes") <= 0)     # as it came: its size is known, so it can be broadcast
     m = _keyed_matches(history, free).unionByName(_all_matches(history, free.filter(_of_all())))
     every = (m.filter(F.col("r_last_triggered").isNull() | (
                 F.col(ts) > F.col("r_last_triggered") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("r_cooldown_minutes"))))
