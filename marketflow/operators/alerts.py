@@ -12,13 +12,16 @@ firing — one row per rule and poll, not per item.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.columns import finite_or, ts_literal
-from .first_match import first_matches, replayed_matches
+from .first_match import first_matches, placed, replayed_matches
+from .small import small_side
 
 # Rule types and priorities as the alert engine names them.
 PROFIT_THRESHOLD = "profit_threshold"
@@ -114,7 +117,7 @@ def _is_anomaly(items: DataFrame) -> Column:
 def alert_matches(items: DataFrame, rules: DataFrame) -> DataFrame:
     """#86: every (enabled rule, item row) pair that satisfies the rule, ignoring cooldown; rule columns are ``r_*``."""
     r = _prefixed(rules)
-    return _keyed_matches(items, r).unionByName(_all_matches(items, r.filter(_of_all())))
+    return _keyed_matches(items, r, small_side).unionByName(_all_matches(items, r.filter(_of_all())))
 
 
 def keyed_matches(items: DataFrame, rules: DataFrame) -> DataFrame:
@@ -132,15 +135,18 @@ def _beyond(prof: Column) -> Column:
     return (((F.col("r_threshold_type") == "above") & (prof >= thr)) | ((F.col("r_threshold_type") == "below") & (prof <= thr)))
 
 
-def _keyed_matches(items: DataFrame, r: DataFrame) -> DataFrame:
-    """Matches of the rules that name an item or a category, by equi-joins."""
+def _keyed_matches(items: DataFrame, r: DataFrame, side: Callable[[DataFrame], DataFrame] = lambda r: r) -> DataFrame:
+    """Matches of the rules that name an item or a category, by equi-joins; ``side`` prepares the rules of a join.
+
+    With ``small_side`` rules that are few are broadcast, so a category's rows stay where they are.
+    """
     prof = _item_value(items, "profit", 0.0)
     cat = F.col("category") if "category" in items.columns else F.lit(None).cast("string")
     t, thr = F.col("r_alert_type"), F.col("r_threshold_value")
-    by_item = items.join(r.filter((t == ITEM_WATCHLIST) | ((t == PROFIT_THRESHOLD) & _of_named())),
+    by_item = items.join(side(r.filter((t == ITEM_WATCHLIST) | ((t == PROFIT_THRESHOLD) & _of_named()))),
                          (F.trim(F.col("item_id").cast("string")) == F.col("r_item_id"))
                          & F.when(t == ITEM_WATCHLIST, prof >= thr).otherwise(_beyond(prof)))
-    by_category = items.join(r.filter(t == CATEGORY_ALERT), (cat == F.col("r_category")) & (prof >= thr))
+    by_category = items.join(side(r.filter(t == CATEGORY_ALERT)), (cat == F.col("r_category")) & (prof >= thr))
     return by_item.unionByName(by_category)
 
 
@@ -204,13 +210,13 @@ def alert_fire(items: DataFrame, rules: DataFrame, now, seq=("l_orderkey", "l_li
     rcols = [c for c in r.columns if c.startswith("r_")]
     items = _payload_frame(items)
     order = [c for c in seq if c in items.columns] + ["item_id"]
-    named = _keyed_matches(items, r)
+    named = _keyed_matches(items, r, small_side)
     once = (named.filter(F.col("r_cooldown_minutes") > 0).groupBy(*rcols, "_rule")
             .agg(F.min_by(F.struct(*_PAYLOAD), F.struct(*order)).alias("_it")).select(*rcols, "_it.*"))
     first = first_matches(items, _thresholds(r).select("_rule", "k", "v"), measures(items), order, _PAYLOAD)
     once = once.unionByName(first.join(r, "_rule").select(*once.columns))
     free = _prefixed(ready).filter(F.col("r_cooldown_minutes") <= 0)     # as it came: its size is known, so it can be broadcast
-    every = (_keyed_matches(items, free).unionByName(_all_matches(items, free.filter(_of_all())))).select(*once.columns)
+    every = (_keyed_matches(items, free, small_side).unionByName(_all_matches(items, free.filter(_of_all())))).select(*once.columns)
     return once.unionByName(every).select(*_notification(now_c))
 
 
@@ -244,10 +250,15 @@ def alert_cooldown_replay(history: DataFrame, rules: DataFrame, ts: str = "ts",
     gap = (F.col("r_cooldown_minutes") * F.lit(60_000_000).cast("long")).alias("gap")
     last = micros(F.col("r_last_triggered")).alias("last")
 
+    # Every row has its place by time and batch order, so a first match is a least number; its fields are looked up at the end.
+    more = [c for c in ("category",) if c in history.columns]
+    values = measures(history)
+    g = placed(history, values, ts, order, _PAYLOAD, *more)
+
     # Rules that name an item or a category: their polls with a match, walked rule by rule.
-    named = _keyed_matches(history, r.filter(F.col("r_cooldown_minutes") > 0)).filter(F.col(ts).isNotNull())
-    firsts = named.groupBy(*rcols, "_rule", F.col(ts).alias("_t")).agg(F.min_by(F.struct(*_PAYLOAD), F.struct(*order)).alias("_it"))
-    polls = firsts.select("_rule", micros(F.col("_t")).alias("t"), last, gap)
+    named = _keyed_matches(g, r.filter(F.col("r_cooldown_minutes") > 0), small_side).select("_rule", "_t", "_g", last, gap)
+    firsts = named.groupBy("_rule", "_t", "last", "gap").agg(F.min("_g").alias("_g")).checkpoint(eager=True)
+    polls = firsts.select("_rule", F.col("_t").alias("t"), "last", "gap")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         gap, last = int(pdf["gap"].iloc[0]), pdf["last"].iloc[0]
@@ -259,15 +270,16 @@ def alert_cooldown_replay(history: DataFrame, rules: DataFrame, ts: str = "ts",
         return pd.DataFrame({"k_rule": [pdf["_rule"].iloc[0]] * len(kept), "k_t": pd.Series(kept, dtype="int64")}).astype({"k_rule": "int64"})
 
     kept = polls.groupBy("_rule").applyInPandas(walk, "k_rule long, k_t long")
-    once = (firsts.join(kept, (F.col("_rule") == F.col("k_rule")) & (micros(F.col("_t")) == F.col("k_t")), "left_semi")
-            .select(*rcols, "_t", "_it.*"))
+    once = (firsts.join(kept, (F.col("_rule") == F.col("k_rule")) & (F.col("_t") == F.col("k_t")), "left_semi")
+            .select("_rule", "_t", "_g"))
 
     # Rules over all items: from firing to firing over the maxima of the polls.
     asked = _thresholds(r).select("_rule", "k", "v", gap, last).checkpoint(eager=True)
-    fired = replayed_matches(history, asked, measures(history), ts, order, _PAYLOAD)
-    once = once.unionByName(fired.join(r, "_rule").select(*rcols, F.timestamp_micros("_t").cast("timestamp_ntz").alias("_t"), *_PAYLOAD))
+    once = once.unionByName(replayed_matches(g, asked, len(values)))
+    time = F.timestamp_micros("_t").cast("timestamp_ntz").alias("_t")
+    once = once.join(g.select("_g", *_PAYLOAD), "_g").join(r, "_rule").select(*rcols, time, *_PAYLOAD)
     free = _prefixed(rules).filter(F.col("r_cooldown_minutes") <= 0)     # as it came: its size is known, so it can be broadcast
-    m = _keyed_matches(history, free).unionByName(_all_matches(history, free.filter(_of_all())))
+    m = _keyed_matches(history, free, small_side).unionByName(_all_matches(history, free.filter(_of_all())))
     every = (m.filter(F.col("r_last_triggered").isNull() | (
                 F.col(ts) > F.col("r_last_triggered") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("r_cooldown_minutes"))))
              .select(*rcols, F.col(ts).alias("_t"), *_PAYLOAD))

@@ -114,16 +114,20 @@ def firings(polls: DataFrame, rules: DataFrame, n_measures: int, block: int = PO
     return out if out is not None else state.where("false").select("_rule", F.col("last").alias("_t"))
 
 
-def replayed_matches(history: DataFrame, rules: DataFrame, measures: list[Column], ts: str, order: list[str], payload,
-                     block: int = POLLS) -> DataFrame:
-    """(_rule, _t, payload columns): every firing of rules (_rule, k, v, gap, last), with its poll's first match in ``order``."""
+def placed(history: DataFrame, measures: list[Column], ts: str, order: list[str], payload, *more) -> DataFrame:
+    """The rows that have a time, written once: payload, ``order`` and ``more`` columns, measures ``_meas``, time ``_t``
+    (microseconds) and place ``_g`` by time, then ``order``."""
     timed = history.where(F.col(ts).isNotNull()).withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    g = numbered(_narrow(timed, measures, order, payload, "_t"), [F.col("_t"), *[F.col(c) for c in order]])
-    n = len(measures)
+    return numbered(_narrow(timed, measures, order, payload, "_t", *more), [F.col("_t"), *[F.col(c) for c in order]])
+
+
+def replayed_matches(g: DataFrame, rules: DataFrame, n: int, block: int = POLLS) -> DataFrame:
+    """(_rule, _t, _g): every firing of rules (_rule, k, v, gap, last) over ``placed`` rows of ``n`` measures, with the place
+    of its poll's first match."""
     polls = g.groupBy("_t").agg(F.array(*[F.max(F.col("_meas")[k]) for k in range(n)]).alias("_v"))
     fired = firings(polls, rules, n, block)
     asked = fired.join(rules.select("_rule", "k", "v"), "_rule")
     used = fired.select("_t").distinct()
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("_meas")[k].alias("v")) for k in range(n)])).alias("r")
     values = g.join(used, "_t", "left_semi").select("_t", "_g", each).groupBy("r.k", "_t", "r.v").agg(F.min("_g").alias("_g")).select("k", "_t", "v", "_g")
-    return _earliest(values, asked, poll=True).join(g.drop("_t"), "_g").drop("_meas")
+    return _earliest(values, asked, poll=True)

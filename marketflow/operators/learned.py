@@ -19,6 +19,7 @@ from .. import settings as S
 from ..functions.columns import clip, finite_or, ts_literal
 from .quantile import grouped_quantiles
 from .scan import AFFINE, prefix_scan
+from .small import small_side
 
 SEQ = ("l_orderkey", "l_linenumber", "l_suppkey")
 
@@ -197,7 +198,7 @@ def cycle_stats(prices: DataFrame, ts: str = "ts") -> DataFrame:
     base = prices.select(F.col(ts).alias("cycle"), F.col("profit").cast("double").alias("_p"),
                          clip(roi, -200, 200).alias("_r"), valid_id.alias("_ok"))
     q = grouped_quantiles(base, "cycle", "_p", (0.05, 0.95)).select("cycle", F.col("q").alias("_q"))
-    j = base.join(q, "cycle")
+    j = base.join(small_side(q), "cycle")     # a row a poll: never the rows to the polls
     wp = F.least(F.greatest(F.col("_p"), F.col("_q")[0]), F.col("_q")[1])
     agg = j.groupBy("cycle").agg(
         F.count(F.lit(1)).alias("rows"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.columns import clip, gdiv, liquidity_tier
+from .small import small_side
 
 
 def _ensure(df: DataFrame, cols, default=0) -> DataFrame:
@@ -148,14 +149,15 @@ def category_target_encoding(df: DataFrame, category: str = "category",
                              value: str = "profit", out: str = "category_avg_profit") -> DataFrame:
     """#34: mean profit of the row's category; null category -> 0.
 
-    Partial per-category aggregation (skew-safe map-side combine) joined back;
-    how is left to the optimizer, which sees the size of the aggregate.
+    Partial per-category aggregation (skew-safe map-side combine), written once
+    and broadcast to the rows if it is small, so that no row is moved to its
+    category's task.
     """
     if category not in df.columns:
         return df
     means = (df.filter(F.col(category).isNotNull()).groupBy(category)
              .agg(F.avg(value).alias("_cat_mean")))
-    j = df.join(means, category, "left")
+    j = df.join(small_side(means), category, "left")
     return j.withColumn(out, F.coalesce("_cat_mean", F.lit(0.0))).drop("_cat_mean")
 
 

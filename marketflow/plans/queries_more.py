@@ -229,6 +229,7 @@ SELECT '{n}' AS sort, row_number() OVER (ORDER BY {o}) AS place, {_TEXT.get(c, f
 def q_explore_sorted(spark, d):
     """#37: all rows in each of the seven sort orders, with their places, the icon column and price bounds."""
     snap = M.trade_metrics(A.latest_prices(prices(spark, d, last_minutes=45))).withColumn("icon_link", F.lit(""))
+    snap = snap.checkpoint(eager=True)     # made once for all orders
     out = None
     for n, c, _ in _SORTS:
         rows = Q.explore_market(snap, min_flea=10, max_flea=3000, min_profit=-100, show_all_profits=True, sort=n, order=True)

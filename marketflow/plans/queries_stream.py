@@ -228,13 +228,15 @@ def q_stream_windowed_trends(spark, d):
 
 @register("stream_ingest", Q.INGEST_SQL, doubles=("change_last_48h", "weight", "price_velocity", "liquidity_score"))
 def q_stream_ingest(spark, d):
-    """#5, #10: payload pages as JSON files, several per run, polled into the store; the second start finds nothing new."""
+    """#5, #10: payload pages as JSON files, three eighths of them per run, polled into the store; the second start finds
+    nothing new."""
     root = scratch_path(spark, f"stream/{uuid.uuid4().hex[:12]}")
-    Q.payload_from_prices(prices(spark, d)).repartition(8, "id").write.json(f"{root}/in")
+    P.write_pages(Q.payload_from_prices(prices(spark, d)), f"{root}/in", least=8)
+    pages = len(ST.files(spark, f"{root}/in"))
     stamp = P.normalize_timestamps(F.col("updated"))
     for _ in range(2):
         J.stream_ingest(spark, f"{root}/in", f"{root}/store", f"{root}/ckpt", poll_time=stamp, guard=False,
-                        files_per_batch=3).awaitTermination()
+                        files_per_batch=max(1, -(-3 * pages // 8))).awaitTermination()
     return ST.read_prices(spark, f"{root}/store").select(*Q.INGEST_COLS)
 
 
@@ -245,7 +247,7 @@ def q_payload_pages(spark, d):
     pay = Q.payload_from_prices(prices(spark, d))
     odd = F.crc32(F.col("id").cast("binary")) % 2 == 1
     for k, part in enumerate((pay.filter(odd), pay.filter(~odd))):
-        part.write.json(f"{root}/{k}")
+        P.write_pages(part, f"{root}/{k}")
     pages = P.union_pages(*(P.read_payload(spark, f"{root}/{k}") for k in range(2)))
     return P.ingest_offers(pages, poll_time=P.normalize_timestamps(F.col("updated"))).select(*Q.INGEST_COLS)
 

@@ -61,6 +61,17 @@ def read_payload(spark: SparkSession, paths) -> DataFrame:
     return spark.read.schema(ITEM).option("mode", "PERMISSIVE").json(paths)
 
 
+#: Items of a page file at most; a compressed file is read by one task.
+PAGE_ITEMS = 250_000
+
+
+def write_pages(items: DataFrame, path: str, least: int = 1, page_items: int = PAGE_ITEMS) -> None:
+    """#5: items as compressed JSON page files, where they are: ``least`` pages or more, of up to ``page_items`` each."""
+    if least > 1:
+        page_items = max(1, min(page_items, items.count() // least))
+    items.write.option("maxRecordsPerFile", page_items).option("compression", "gzip").json(path)
+
+
 def union_pages(*pages: DataFrame) -> DataFrame:
     """#5: pages fetched separately, appended in page order."""
     out = pages[0]
