@@ -47,9 +47,14 @@ def round_binary(c, digits: int):
 
     ``F.round`` rounds the shortest decimal text of the double, which differs on
     values such as 2.0578125 whose scaled binary value is just below the tie.
+    ``F.round`` of doubles also goes by way of decimal text, which takes longer than the columns it rounds, so the
+    value is rounded half to even and ties are set right: ``F.round(c * scale, 0)`` bit for bit, with no negative zero.
     """
     scale = float(10 ** digits)
-    return F.round(c * scale, 0) / scale
+    x = c * scale
+    even = F.rint(x)
+    away = F.when((x > 0) & (x - even == 0.5), 1.0).when((x < 0) & (x - even == -0.5), -1.0).otherwise(0.0)
+    return (even + away) / scale
 
 
 def oracle(name: str) -> str | None:

@@ -63,6 +63,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+#: HotSpot compiles no method of more bytecode than this.
+COMPILED_BYTES = 8000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every query asks of the session: the checkpoint folder, and no generated code that stays interpreted.
+
+    Spark's limit on a generated method is 64 kB unless set, HotSpot's is 8 kB without a JVM flag.  Stages beyond it run
+    operator by operator, whose code Spark cuts into small methods.  A limit that the cluster has set stays.
+    """
+    ensure_checkpoint_dir(spark)
+    name = "spark.sql.codegen.hugeMethodLimit"
+    options = " ".join(spark.sparkContext.getConf().get(f"spark.{who}.extraJavaOptions", "") for who in ("driver", "executor"))
+    if "-XX:-DontCompileHugeMethods" not in options and int(spark.conf.get(name)) > 65_000:
+        spark.conf.set(name, str(COMPILED_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
