@@ -85,7 +85,7 @@ ANOMALY_COLS = ("item_id", "ts", "l_orderkey", "l_linenumber", "l_suppkey", "pro
                 "is_anomaly", "anomaly_type")
 
 
-@register("isolation_forest")
+@register("isolation_forest", wide=True)
 def q_isolation_forest(spark, d):
     """Every price row scored by a 100-tree forest (rows-only check; properties in tests)."""
     scored = IF.isolation_forest(full_features(spark, d), row_key=ROW_KEY)

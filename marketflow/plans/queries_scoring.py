@@ -36,7 +36,7 @@ def full_features(spark, d):
 _FEAT = (O.PRICES, O.PMETRICS, O.features_cte("pmetrics"))
 
 
-@register("flip_features", O.with_ctes(*_FEAT, body="SELECT * FROM features"), doubles=FEATURE_DOUBLES)
+@register("flip_features", O.with_ctes(*_FEAT, body="SELECT * FROM features"), doubles=FEATURE_DOUBLES, wide=True)
 def q_flip_features(spark, d):
     return full_features(spark, d)
 
@@ -71,7 +71,7 @@ ML_DOUBLES = tuple(sorted(set(FEATURE_DOUBLES) | {"ml_opportunity_score", "oppor
 
 
 @register("opportunity_ml", O.with_ctes(*_FEAT, O.ml_score_cte("features"), body="SELECT * FROM scored"),
-          doubles=ML_DOUBLES)
+          doubles=ML_DOUBLES, wide=True)
 def q_opportunity_ml(spark, d):
     return SC.opportunity_ml(full_features(spark, d))
 
@@ -87,7 +87,7 @@ FROM (SELECT *, (LEAST(GREATEST(COALESCE(price_spread_pct, 0.0) / 50, 0), 1) * 0
 
 
 @register("risk_score", O.with_ctes(*_FEAT, body=RISK_SQL.format(src="features")),
-          doubles=FEATURE_DOUBLES + ("risk_score",))
+          doubles=FEATURE_DOUBLES + ("risk_score",), wide=True)
 def q_risk_score(spark, d):
     return SC.risk_score(full_features(spark, d))
 

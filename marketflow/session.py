@@ -67,17 +67,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 COMPILED_BYTES = 8000
 
 
-def prepare(spark: SparkSession) -> None:
-    """What every query asks of the session: the checkpoint folder, and no generated code that stays interpreted.
+def prepare(spark: SparkSession, wide: bool = False) -> None:
+    """What every query asks of the session: the checkpoint folder and, for ``wide`` projections, code that is compiled.
 
-    Spark's limit on a generated method is 64 kB unless set, HotSpot's is 8 kB without a JVM flag.  Stages beyond it run
-    operator by operator, whose code Spark cuts into small methods.  A limit that the cluster has set stays.
+    Spark's limit on a generated method is 64 kB unless set, HotSpot's is 8 kB without a JVM flag, so wide stages stay
+    interpreted.  Beyond a limit of 8 kB they run operator by operator, whose code Spark cuts into small methods.
+    Other queries get the limit back that the session had; one that the cluster has set stays.
     """
     ensure_checkpoint_dir(spark)
-    name = "spark.sql.codegen.hugeMethodLimit"
+    name, had = "spark.sql.codegen.hugeMethodLimit", "65535"
     options = " ".join(spark.sparkContext.getConf().get(f"spark.{who}.extraJavaOptions", "") for who in ("driver", "executor"))
-    if "-XX:-DontCompileHugeMethods" not in options and int(spark.conf.get(name)) > 65_000:
-        spark.conf.set(name, str(COMPILED_BYTES))
+    if "-XX:-DontCompileHugeMethods" not in options and spark.conf.get(name) in (had, str(COMPILED_BYTES)):
+        spark.conf.set(name, str(COMPILED_BYTES) if wide else had)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -33,7 +33,8 @@ class _Session:
 
 
 def test_generated_code_stays_within_what_is_compiled():
-    for options, limit, want in (("", 65535, COMPILED_BYTES), ("-XX:-DontCompileHugeMethods", 65535, 65535), ("", 20_000, 20_000)):
+    for options, limit, wide, want in (("", 65535, True, COMPILED_BYTES), ("", COMPILED_BYTES, False, 65535), ("", 65535, False, 65535),
+                                       ("-XX:-DontCompileHugeMethods", 65535, True, 65535), ("", 20_000, True, 20_000)):
         s = _Session(options, limit)
-        prepare(s)
+        prepare(s, wide)
         assert int(s.set["spark.sql.codegen.hugeMethodLimit"]) == want
