@@ -3,7 +3,8 @@
 Groups of up to ``SMALL`` rows are left to the built-in ``percentile``.  For the larger ones all wanted ranks of all groups
 are narrowed in shared passes: a pass counts each group's rows between its bounds in ``BINS`` bins (partial counts, so a
 group with most of the rows is a thousand rows a task), keeps the bin that holds the rank, and goes on with that bin's own
-least and largest value.  Once a few rows, or neighbouring doubles, are left, their distinct values decide.
+least and largest value.  The bounds, a few rows for each ``SMALL`` rows of a group, are broadcast: a join that moved rows
+by their group would put a group into one task.  Once a few rows, or neighbouring doubles, are left, their distinct values decide.
 Infinite values and NaN, which Spark sorts last, have ranks of their own and never bound a bin.
 """
 
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .small import small_written
+
 SMALL = 65_536
 BINS = 1024
 FEW = 1024
@@ -43,7 +46,7 @@ def _narrowed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         ready = (F.col("n") <= FEW) | (F.col("lo") + width == F.col("lo"))
         last = open_.where(ready)
         if last.limit(1).count():
-            near = rows.join(last, "g").where(F.col("x").between(F.col("lo"), F.col("hi")))
+            near = rows.join(small_written(last), "g").where(F.col("x").between(F.col("lo"), F.col("hi")))
             counts = near.groupBy("g", "r", "below", "x").agg(F.count(F.lit(1)).alias("n"))
             done = done.unionByName(_holding(counts, "x").select("g", "r", F.col("x").alias("value")))
         open_ = open_.where(~ready)
@@ -53,7 +56,7 @@ def _narrowed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         half = F.col("lo") / 2 + F.col("hi") / 2
         bin_ = F.when(even, (F.col("x") > half).cast("long")).otherwise(
             F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(BINS - 1)))
-        inside = rows.join(open_.drop("n"), "g").where(F.col("x").between(F.col("lo"), F.col("hi")))
+        inside = rows.join(small_written(open_.drop("n")), "g").where(F.col("x").between(F.col("lo"), F.col("hi")))
         counts = (inside.groupBy("g", "r", "below", bin_.alias("b"))
                   .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
         open_ = _holding(counts, "b").select("g", "r", "lo", "hi", "n", "below").checkpoint(eager=True)
@@ -73,7 +76,7 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, qs, small: int = SM
     large = sizes.where(F.col("n") > small).select("g").checkpoint(eager=True)   # one row for each ``small`` rows at most
     if not large.limit(1).count():
         return direct(rows).select(F.col("g").alias(group), "n", "q")
-    big = large.withColumnRenamed("g", "b")
+    big = small_written(large.withColumnRenamed("g", "b"))
     same = F.col("g").eqNullSafe(F.col("b"))
     rows = rows.checkpoint(eager=True)
     mine = rows.join(big, same, "left_semi").withColumn("g", F.struct("g"))      # a struct is never null, so joins are plain

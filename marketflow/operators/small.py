@@ -15,5 +15,9 @@ ROWS = 100_000
 
 def small_side(df: DataFrame, rows: int = ROWS) -> DataFrame:
     """``df``, written once, with the hint to broadcast it if it has no more than ``rows`` rows."""
-    kept = df.checkpoint(eager=True)
+    return small_written(df.checkpoint(eager=True), rows)
+
+
+def small_written(kept: DataFrame, rows: int = ROWS) -> DataFrame:
+    """The same for a frame that is written already."""
     return F.broadcast(kept) if kept.limit(rows + 1).count() <= rows else kept

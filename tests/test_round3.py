@@ -38,3 +38,14 @@ def test_generated_code_stays_within_what_is_compiled():
         s = _Session(options, limit)
         prepare(s, wide)
         assert int(s.set["spark.sql.codegen.hugeMethodLimit"]) == want
+
+
+def test_a_large_group_is_not_moved_into_one_task(spark, monkeypatch):
+    from marketflow.operators import quantile as Q
+    plans = []
+    holding = Q._holding
+    monkeypatch.setattr(Q, "_holding", lambda counts, order: plans.append(counts._jdf.queryExecution().executedPlan().toString()) or holding(counts, order))
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"))
+    got = {r["g"]: r["q"] for r in Q.grouped_quantiles(df, "g", "x", [0.0, 0.5, 1.0], small=100).collect()}
+    assert got == {0: [0.0, 9999.0, 19998.0], 1: [1.0, 10000.0, 19999.0]}
+    assert plans and all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in plans)
