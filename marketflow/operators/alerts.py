@@ -277,7 +277,8 @@ def alert_cooldown_replay(history: DataFrame, rules: DataFrame, ts: str = "ts",
     asked = _thresholds(r).select("_rule", "k", "v", gap, last).checkpoint(eager=True)
     once = once.unionByName(replayed_matches(g, asked, len(values)))
     time = F.timestamp_micros("_t").cast("timestamp_ntz").alias("_t")
-    once = once.join(g.select("_g", *_PAYLOAD), "_g").join(r, "_rule").select(*rcols, time, *_PAYLOAD)
+    # Firings are few beside the rows, which stay where they are.
+    once = g.select("_g", *_PAYLOAD).join(small_side(once), "_g").join(r, "_rule").select(*rcols, time, *_PAYLOAD)
     free = _prefixed(rules).filter(F.col("r_cooldown_minutes") <= 0)     # as it came: its size is known, so it can be broadcast
     m = _keyed_matches(history, free, small_side).unionByName(_all_matches(history, free.filter(_of_all())))
     every = (m.filter(F.col("r_last_triggered").isNull() | (

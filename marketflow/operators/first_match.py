@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .scan import LARGEST, LEAST, prefix_scan
 from .sequence import numbered
+from .small import small_side
 
 #: Polls whose maxima a task holds at once; longer histories are walked block by block.
 POLLS = 500_000
@@ -127,7 +128,11 @@ def replayed_matches(g: DataFrame, rules: DataFrame, n: int, block: int = POLLS)
     polls = g.groupBy("_t").agg(F.array(*[F.max(F.col("_meas")[k]) for k in range(n)]).alias("_v"))
     fired = firings(polls, rules, n, block)
     asked = fired.join(rules.select("_rule", "k", "v"), "_rule")
-    used = fired.select("_t").distinct()
+    used = small_side(fired.select("_t").distinct())
+    # Below the least threshold that fires in a poll no row is a match, so most rows end here.
+    lows = small_side(asked.groupBy("k", "_t").agg(F.min("v").alias("_low")))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("_meas")[k].alias("v")) for k in range(n)])).alias("r")
-    values = g.join(used, "_t", "left_semi").select("_t", "_g", each).groupBy("r.k", "_t", "r.v").agg(F.min("_g").alias("_g")).select("k", "_t", "v", "_g")
+    values = g.join(used, "_t", "left_semi").select("_t", "_g", each).select("r.k", "_t", "r.v", "_g")
+    values = (values.join(lows, ["k", "_t"]).where(F.col("v") >= F.col("_low"))
+              .groupBy("k", "_t", "v").agg(F.min("_g").alias("_g")))
     return _earliest(values, asked, poll=True)

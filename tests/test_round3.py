@@ -49,3 +49,16 @@ def test_a_large_group_is_not_moved_into_one_task(spark, monkeypatch):
     got = {r["g"]: r["q"] for r in Q.grouped_quantiles(df, "g", "x", [0.0, 0.5, 1.0], small=100).collect()}
     assert got == {0: [0.0, 9999.0, 19998.0], 1: [1.0, 10000.0, 19999.0]}
     assert plans and all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in plans)
+
+
+def test_only_rows_that_reach_a_threshold_are_searched(spark, monkeypatch):
+    from marketflow.operators import first_match as M
+    seen = []
+    earliest = M._earliest
+    monkeypatch.setattr(M, "_earliest", lambda rows, rules, poll: seen.append(rows.count()) or earliest(rows, rules, poll))
+    rows = [(t, i, t * 100 + i, [float(i), -float(i)]) for t in range(5) for i in range(100)]
+    g = spark.createDataFrame(rows, "_t long, i long, _g long, _meas array<double>")
+    rules = spark.createDataFrame([(1, 0, 97.0, 1, None), (2, 1, -1.0, 1, 0), (3, 0, 500.0, 0, None)], "_rule long, k int, v double, gap long, last long")
+    got = {tuple(r) for r in M.replayed_matches(g, rules, 2).select("_rule", "_t", "_g").collect()}
+    assert got == {(1, 0, 97), (1, 2, 297), (1, 4, 497), (2, 2, 200), (2, 4, 400)}
+    assert seen == [3 * 3 + 2 * 2]
