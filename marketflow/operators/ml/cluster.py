@@ -13,9 +13,10 @@ and cluster to the driver.  Confidence is 1/(1 + distance to the own centre).
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,49 +30,58 @@ def cluster_features(df: DataFrame):
 
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    """Squared distances of points to centres, summed feature by feature: no array of rows by centres by features."""
+    d = np.zeros((len(x), len(centres)))
+    for j in range(x.shape[1]):
+        d += (x[:, j, None] - centres[None, :, j]) ** 2
+    return d
 
 
-def _pass(points: DataFrame, fits: dict[int, np.ndarray], draw: int | None) -> pd.DataFrame:
-    """One pass for all fits.
+def _pass(points: DataFrame, fits: dict[int, np.ndarray], draw: int | None) -> DataFrame:
+    """One pass for all fits, whose centres stand in one array: a chunk of points meets all of them at once.
 
     ``draw`` None: per fit and cluster the sum of its points, their number and inertia.  Otherwise per fit the point
     with the least exponential draw weighted by its squared distance to the centres so far (k-means++).
     """
-    def run(batches):
-        sums: dict[tuple[int, int], list] = {}
+    every = np.concatenate(list(fits.values()))
+    ends = np.cumsum([len(c) for c in fits.values()])
+    span = {fit: (int(end) - len(c), int(end)) for (fit, c), end in zip(fits.items(), ends)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         best: dict[int, tuple] = {}
-        for pdf in batches:
-            for at in range(0, len(pdf), _CHUNK):
-                part = pdf.iloc[at:at + _CHUNK]
-                x = np.stack(part["z"].to_numpy())
-                if draw is not None:
-                    keys = part["key"].to_numpy().astype(np.uint64)
-                for fit, centres in fits.items():
-                    d = _distances(x, centres) if len(centres) else np.ones((len(x), 1))
-                    near = d.argmin(axis=1)
-                    least = d[np.arange(len(x)), near]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            whole = b.column("z").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            every_key = b.column("key").to_numpy().astype(np.uint64)
+            for at in range(0, len(whole), _CHUNK):
+                x, keys = whole[at:at + _CHUNK], every_key[at:at + _CHUNK]
+                all_far = _distances(x, every)
+                for fit, (start, end) in span.items():
+                    d = all_far[:, start:end] if end > start else np.ones((len(x), 1))
                     if draw is not None:
-                        u = _uniform(keys, fit, draw)
+                        least = d.min(axis=1)
                         with np.errstate(divide="ignore"):
-                            race = np.where(least > 0, -np.log(u) / least, np.inf)
-                        i = int(np.lexsort((keys, race))[0])
+                            race = np.where(least > 0, -np.log(_uniform(keys, fit, draw)) / least, np.inf)
+                        first = np.flatnonzero(race == race.min())
+                        i = int(first[np.argmin(keys[first])])
                         if fit not in best or (race[i], keys[i]) < best[fit][:2]:
                             best[fit] = (race[i], keys[i], x[i])
                         continue
-                    for c in np.unique(near):
-                        mine = near == c
-                        s = sums.setdefault((fit, int(c)), [np.zeros(x.shape[1]), 0, 0.0])
-                        s[0] += x[mine].sum(axis=0)
-                        s[1] += int(mine.sum())
-                        s[2] += float(least[mine].sum())
+                    near = d.argmin(axis=1)
+                    columns = [*x.T, np.ones(len(x)), d[np.arange(len(x)), near]]
+                    mine = np.stack([np.bincount(near, weights=c, minlength=end - start) for c in columns], axis=1)
+                    sums[fit] = sums[fit] + mine if fit in sums else mine
         if draw is None:
-            rows = [(f, c, v[0].tolist(), v[1], v[2]) for (f, c), v in sums.items()]
+            rows = [(f, c, r[:-2].tolist(), int(r[-2]), float(r[-1])) for f, v in sums.items() for c, r in enumerate(v) if r[-2]]
         else:
             rows = [(f, 0, v[2].tolist(), int(v[1] >> np.uint64(1)), float(v[0])) for f, v in best.items()]
-        yield pd.DataFrame(rows, columns=["fit", "cluster", "v", "n", "w"])
+        if rows:
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["fit", "cluster", "v", "n", "w"])
 
-    return points.mapInPandas(run, "fit int, cluster int, v array<double>, n long, w double")
+    return points.mapInArrow(run, "fit int, cluster int, v array<double>, n long, w double")
 
 
 def _uniform(keys: np.ndarray, fit: int, draw: int) -> np.ndarray:

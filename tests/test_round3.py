@@ -62,3 +62,27 @@ def test_only_rows_that_reach_a_threshold_are_searched(spark, monkeypatch):
     got = {tuple(r) for r in M.replayed_matches(g, rules, 2).select("_rule", "_t", "_g").collect()}
     assert got == {(1, 0, 97), (1, 2, 297), (1, 4, 497), (2, 2, 200), (2, 4, 400)}
     assert seen == [3 * 3 + 2 * 2]
+
+
+def test_a_pass_takes_all_fits_together(spark):
+    import numpy as np
+
+    from marketflow.operators.ml import cluster as C
+    rng = np.random.default_rng(7)
+    x, keys = rng.normal(size=(300, 3)), rng.integers(-2**62, 2**62, 300)
+    points = spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(x, keys)], "z array<double>, key long").repartition(3)
+    fits = {0: x[:2].copy(), 3: x[5:10].copy()}
+    got = C._pass(points, fits, None).groupBy("fit", "cluster").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(F.col("v")[1]).alias("v")).collect()
+    for r in got:
+        d = ((x[:, None, :] - fits[r["fit"]][None]) ** 2).sum(axis=2)
+        mine = d.argmin(axis=1) == r["cluster"]
+        assert r["n"] == mine.sum() and np.isclose(r["w"], d.min(axis=1)[mine].sum()) and np.isclose(r["v"], x[mine, 1].sum())
+    assert len(got) == 7
+    drawn = {r["fit"]: r for r in C._pass(points, fits | {5: np.zeros((0, 3))}, 11).groupBy("fit").agg(F.min(F.struct("w", "n", "v")).alias("m")).collect()}
+    for fit, centres in fits.items():
+        least = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+        with np.errstate(divide="ignore"):
+            race = np.where(least > 0, -np.log(C._uniform(keys.astype(np.uint64), fit, 11)) / np.where(least > 0, least, 1), np.inf)
+        assert drawn[fit]["m"]["v"] == x[race.argmin()].tolist()
+    assert set(drawn) == {0, 3, 5}
+    assert not hasattr(C, "pd")              # points come as Arrow arrays, not as pandas rows
