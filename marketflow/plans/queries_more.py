@@ -232,7 +232,7 @@ def q_explore_sorted(spark, d):
     snap = snap.checkpoint(eager=True)     # made once for all orders
     out = None
     for n, c, _ in _SORTS:
-        rows = Q.explore_market(snap, min_flea=10, max_flea=3000, min_profit=-100, show_all_profits=True, sort=n, order=True)
+        rows = Q.explore_market(snap, min_flea=10, max_flea=3000, min_profit=-100, show_all_profits=True, sort=n)
         rows = numbered(rows, Q.total_order(rows, [Q.EXPLORE_SORTS[n]]), out="place")
         text = F.round("roi", 4).cast("decimal(18,4)") if c == "roi" else F.col(c)
         part = rows.select(F.lit(n).alias("sort"), (F.col("place") + 1).alias("place"), text.cast("string").alias("value"), "icon_link")
