@@ -221,11 +221,10 @@ def lock_reference_table(payload: DataFrame, rules=S.DEFAULT_LEVEL_RULES,
 
     Ordered by level (highest first), then name.  The best dealer is the first with the highest price above 0.
     """
-    offers = F.filter(F.coalesce(F.col("sellFor"), F.array().cast(payload.schema["sellFor"].dataType)),
-                      lambda o: F.coalesce(o["vendor"]["name"], F.lit("")) != F.lit(market))
+    offers = F.coalesce(F.col("sellFor"), F.array().cast(payload.schema["sellFor"].dataType))
     init = F.struct(F.lit(0).cast("long").alias("price"), F.lit(None).cast("string").alias("name"))
     best = F.aggregate(offers, init, lambda acc, o: F.when(
-        F.coalesce(o["price"], F.lit(0)) > acc["price"],
+        (F.coalesce(o["price"], F.lit(0)) > acc["price"]) & (F.coalesce(o["vendor"]["name"], F.lit("")) != F.lit(market)),
         F.struct(o["price"].alias("price"), F.coalesce(o["vendor"]["name"], F.lit("")).alias("name"))).otherwise(acc))
     types = F.coalesce(F.col("types"), F.array().cast("array<string>"))
     names = F.transform(F.filter(F.coalesce(F.col("handbookCategories"), F.array().cast(payload.schema["handbookCategories"].dataType)),
@@ -239,8 +238,9 @@ def lock_reference_table(payload: DataFrame, rules=S.DEFAULT_LEVEL_RULES,
         F.coalesce("basePrice", F.lit(0)).cast("long").alias("base_price"), best.alias("_best"))
     t = t.withColumn("flea_level_required", level_requirement_expr("name", "category", handbook="_names", rules=rules, default=unlock_level))
     best_name = F.when(F.coalesce("_best.name", F.lit("")) == "", F.lit("None")).otherwise(F.col("_best.name"))
-    return t.select(
+    t = t.select(
         "item_id", "name", "short_name", "category", F.array_join("_names", ", ").alias("handbook_categories"), "types",
         "no_flea", "marked_only", "base_price", best_name.alias("best_trader"), F.col("_best.price").alias("trader_price"),
-        "flea_level_required", (F.col("flea_level_required") > unlock_level).alias("flea_locked"),
-    ).orderBy(F.desc("flea_level_required"), "name")
+        "flea_level_required", (F.col("flea_level_required") > unlock_level).alias("flea_locked"))
+    # A sort samples its input for the bounds; behind a shuffle the sample reads finished rows, and nothing is made twice.
+    return t.repartition("item_id", "name").orderBy(F.desc("flea_level_required"), "name")

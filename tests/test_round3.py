@@ -4,8 +4,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from marketflow.operators import levels as LV
 from marketflow.plans.registry import round_binary
 from marketflow.session import COMPILED_BYTES, prepare
+from marketflow.sources import payload as P
 
 
 def test_rounding_is_that_of_round_bit_for_bit(spark):
@@ -86,3 +88,24 @@ def test_a_pass_takes_all_fits_together(spark):
         assert drawn[fit]["m"]["v"] == x[race.argmin()].tolist()
     assert set(drawn) == {0, 3, 5}
     assert not hasattr(C, "pd")              # points come as Arrow arrays, not as pandas rows
+
+
+def test_the_reference_table_makes_each_row_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def named(i):
+        made.add(1)
+        return f"Thing {i % 7}"
+
+    offer = lambda price, dealer: F.struct(F.lit(price).cast("long").alias("price"), F.lit("x").alias("source"), F.lit("RUB").alias("currency"),
+                                           F.struct(F.lit(dealer).alias("name"), F.lit(1).cast("long").alias("minTraderLevel"), F.lit(None).cast(P.TASK).alias("taskUnlock")).alias("vendor"))
+    items = spark.range(0, 400, 1, 4).select(
+        F.col("id").cast("string").alias("id"), F.udf(named, "string")("id").alias("name"), F.lit("t").alias("shortName"), F.col("id").alias("basePrice"),
+        F.array(F.lit("noFlea")).alias("types"), F.struct(F.when(F.col("id") % 3 == 0, "PROMO").otherwise("other").alias("name")).alias("category"),
+        F.lit(None).cast("array<struct<name:string>>").alias("handbookCategories"),
+        F.array(offer(900, "Flea Market"), offer(5, "A"), offer(None, "B"), offer(8, "C"), offer(8, "D")).alias("sellFor"))
+    out = LV.lock_reference_table(items).collect()
+    assert made.value == 400
+    assert [(-r["flea_level_required"], r["name"]) for r in out] == sorted((-r["flea_level_required"], r["name"]) for r in out)
+    assert len({r["item_id"] for r in out}) == len(out) == 400
+    assert {(r["best_trader"], r["trader_price"], r["flea_level_required"]) for r in out} == {("C", 8, 25), ("C", 8, 15)}
