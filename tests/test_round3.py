@@ -109,3 +109,16 @@ def test_the_reference_table_makes_each_row_once(spark):
     assert [(-r["flea_level_required"], r["name"]) for r in out] == sorted((-r["flea_level_required"], r["name"]) for r in out)
     assert len({r["item_id"] for r in out}) == len(out) == 400
     assert {(r["best_trader"], r["trader_price"], r["flea_level_required"]) for r in out} == {("C", 8, 25), ("C", 8, 15)}
+
+
+def test_pages_are_small_on_disk(spark, tmp_path):
+    items = spark.range(3000).withColumnRenamed("id", "n").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in P.ITEM if f.name not in ("id", "sellFor")],
+                                     F.sha2(F.col("n").cast("string"), 256).alias("id"),
+                                     F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.struct(
+                                         (F.col("n") * i).alias("price"), F.lit("fleaMarket").alias("source"), F.lit("RUB").alias("currency"), F.lit(None).cast(P.VENDOR).alias("vendor"))).alias("sellFor"))
+    P.write_pages(items, str(tmp_path / "pages"))
+    items.write.json(str(tmp_path / "plain"))
+    size = lambda name: sum(f.stat().st_size for f in (tmp_path / name).glob("part-*"))
+    assert size("pages") < size("plain") / 3
+    assert P.read_payload(spark, str(tmp_path / "pages")).select("id", "sellFor").exceptAll(items.select("id", "sellFor")).count() == 0
+    assert P.read_payload(spark, str(tmp_path / "pages")).count() == 3000
