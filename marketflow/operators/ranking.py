@@ -5,6 +5,7 @@ collapsed by a ``groupBy(value).count()`` (map-side combined, so a value held by
 a third of the rows is one partial row per task), the distinct values are
 range-partitioned, prefix counts are taken inside each partition plus a tiny
 table of partition offsets, and the ranks are joined back on the value.
+Where the rows already lie by a column (``place``), the ranks go back to the rows' places and the rows stay.
 """
 
 from __future__ import annotations
@@ -22,13 +23,19 @@ from .sequence import sequence_index
 
 
 def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
-                 pct_out: str | None = None) -> DataFrame:
+                 pct_out: str | None = None, place: str | None = None) -> DataFrame:
     """pandas ``rank(method='average')`` as a column (nulls get a null rank).
 
     ``pct_out`` also adds ``rank(pct=True) * 100`` in the opposite direction
     (ascending when ``descending``), i.e. ``(n + 1 - rank) / n * 100``.
+    ``place`` names a column without nulls by which wide rows are partitioned: a join on it and the value moves the ranks
+    only, if ``spark.sql.requireAllClusterKeysForCoPartition`` is off.  Without ``place`` the join moves the rows.
     """
     v = F.col(value)
+    if place:
+        ranks, total = _placed_ranks(df, value, out, descending, place)
+        got = df.join(ranks, (F.col(place) == F.col("_rp")) & (v == F.col("_rv")), "left").drop("_rp", "_rv")
+        return got.withColumn(pct_out, (F.lit(total) + 1 - F.col(out)) / F.lit(total) * 100) if pct_out else got
     vals = df.filter(v.isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_cnt"))
     order = v.desc() if descending else v.asc()
     # Distinct values in range partitions, written once; a partition's rows before it are its offset.
@@ -48,6 +55,75 @@ def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
     return df.join(ranks, v == F.col("_rv"), "left").drop("_rv")
 
 
+def _placed_ranks(df: DataFrame, value: str, out: str, descending: bool, place: str) -> tuple[DataFrame, int]:
+    """(_rp, _rv, out) for each place and numeric value of the rows, and the number of ranked rows.
+
+    The pairs of a place are counted where its rows lie and range-partitioned by (value, place), so a value of many places is
+    cut like any other stretch, and written once.  A first pass takes each partition's rows and those of its first and last
+    value; these edges, one row a partition, are all that a partition needs of the others.  A second pass ranks in place.
+    """
+    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(place)]
+    pairs = df.filter(F.col(value).isNotNull()).groupBy(place, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    part = (pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_p", F.spark_partition_id()).checkpoint(eager=True))
+
+    def key_of(v: np.ndarray) -> np.ndarray:      # grouping has made zeros and NaN alike, so equal doubles have equal bits
+        return v.view(np.int64) if v.dtype == np.float64 else v.astype(np.int64)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, n, first, n_first, last, n_last = None, 0, 0, 0, 0, 0
+        for b in batches:
+            if b.num_rows:
+                k, c = key_of(b.column(value).to_numpy()), b.column("_cnt").to_numpy()
+                if p is None:
+                    p, first = b.column("_p")[0].as_py(), int(k[0])
+                n, n_first = n + int(c.sum()), n_first + int(c[k == first].sum())
+                last, n_last = int(k[-1]), (n_last if last == k[-1] else 0) + int(c[k == k[-1]].sum())
+        if p is not None:
+            yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32())} | {x: pa.array([y], pa.int64()) for x, y in (
+                ("n", n), ("first", first), ("n_first", n_first), ("last", last), ("n_last", n_last))})
+
+    found = part.mapInArrow(ends, "p int, n long, first long, n_first long, last long, n_last long").collect()
+    known: dict[int, list[int]] = {}               # of a value at an end: the rows before it, and its own
+    offsets, total = {}, 0
+    for r in sorted(found, key=lambda r: r["p"]):
+        offsets[r["p"]] = total
+        known.setdefault(r["first"], [total, 0])[1] += r["n_first"]
+        if r["last"] != r["first"]:
+            known[r["last"]] = [total + r["n"] - r["n_last"], r["n_last"]]
+        total += r["n"]
+    sent = df.sparkSession.sparkContext.broadcast({r["p"]: (offsets[r["p"]], {k: known[k] for k in (r["first"], r["last"])}) for r in found})
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, edges, held = None, {}, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if before is None:
+                before, edges = sent.value[b.column("_p")[0].as_py()]
+            t = pa.Table.from_batches([b])
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            v, c = t.column(value).to_numpy(), t.column("_cnt").to_numpy()
+            k = key_of(v)
+            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            own = np.add.reduceat(c, starts)
+            above = before + np.cumsum(own) - own
+            if int(k[-1]) in edges:
+                held, n = None, len(k)
+            else:                                   # the next batch may have more of the last value
+                held, n = t.slice(starts[-1]), starts[-1]
+                starts, own, above = starts[:-1], own[:-1], above[:-1]
+            before += int(own.sum())
+            for i in {0, len(starts) - 1} if len(starts) else ():
+                if (edge := edges.get(int(k[starts[i]]))):
+                    above[i], own[i] = edge
+            rank = np.repeat(above + (own + 1) / 2, np.diff(np.append(starts, n)))
+            yield pa.RecordBatch.from_arrays([t.column(place).slice(0, n).combine_chunks(), pa.array(v[:n]), pa.array(rank)], ["_rp", "_rv", out])
+
+    kinds = dict(df.dtypes)
+    return part.mapInArrow(ranked, f"_rp {kinds[place]}, _rv {kinds[value]}, `{out}` double"), total
+
+
 def rolling_means(history: DataFrame, ts: str = "ts", value: str = "profit",
                   short: int = 3, long: int = 6, tiebreak=()) -> DataFrame:
     """#64: trailing means over the last ``short`` / ``long`` rows per item (min_periods=1).

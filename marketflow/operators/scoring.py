@@ -18,9 +18,11 @@ VOLUME_OPTIONAL = ("liquidity_score", "volume_adjusted_profit", "profit_per_offe
 OTHER_OPTIONAL = ("price_position", "momentum", "trader_accessibility", "market_saturation")
 
 
-def opportunity_ml(df: DataFrame, rank: bool = True) -> DataFrame:
+def opportunity_ml(df: DataFrame, rank: bool = True, place: str | None = None) -> DataFrame:
     """#62: stability-weighted min-max score (0-100); null when fewer than 10 rows.
 
+    ``place`` is a helper column for the ranks (see ``average_rank``), which the result does not have.
+
     weight_f ∝ base_f / (std_f + .01) with the sample std (null/0 -> .01);
     scaled_f = (x - min)/(max - min), 0 on a constant column; price position and
     saturation are inverted after scaling.
@@ -42,6 +44,8 @@ def opportunity_ml(df: DataFrame, rank: bool = True) -> DataFrame:
     stats = stats.select("*", *raw)
     total = sum(F.col(f"_w{i}") for i in range(len(feats)))
     stats = stats.select("*", total.alias("_wsum"))
+    if rank:       # ranks are joined on scores, which another order of sums would change in the last bit
+        stats = stats.checkpoint(eager=True)
     j = df.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for i, f in enumerate(feats):
@@ -55,8 +59,8 @@ def opportunity_ml(df: DataFrame, rank: bool = True) -> DataFrame:
     out = out.drop(*[c for c in stats.columns])
     if rank:
         out = average_rank(out, "ml_opportunity_score", "opportunity_rank",
-                           pct_out="opportunity_percentile")
-    return out
+                           pct_out="opportunity_percentile", place=place)
+    return out.drop(place) if place else out
 
 
 def trend_features(df: DataFrame, trends: DataFrame | None) -> DataFrame:

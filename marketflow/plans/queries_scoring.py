@@ -9,6 +9,7 @@ from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import scoring as SC
 from ..operators.ml import forecast as FC
+from ..session import shuffles_freed
 from ..sources.testdata import prices
 from . import oracle_sql as O
 from .queries import METRIC_DOUBLES, PRICE_DOUBLES, snapshot
@@ -24,13 +25,13 @@ FEATURE_DOUBLES = tuple(sorted(set(METRIC_DOUBLES) | {
     "profit_per_offer", "buy_feasibility", "category_avg_profit"}))
 
 
-def full_metrics(spark, d):
+def full_metrics(spark, d, place=None):
     """Trade metrics over every price row (the whole history, not only the snapshot)."""
-    return M.trade_metrics(prices(spark, d))
+    return M.trade_metrics(prices(spark, d, place=place))
 
 
-def full_features(spark, d):
-    return M.prepare_features(full_metrics(spark, d))
+def full_features(spark, d, place=None):
+    return M.prepare_features(full_metrics(spark, d, place))
 
 
 _FEAT = (O.PRICES, O.PMETRICS, O.features_cte("pmetrics"))
@@ -71,9 +72,10 @@ ML_DOUBLES = tuple(sorted(set(FEATURE_DOUBLES) | {"ml_opportunity_score", "oppor
 
 
 @register("opportunity_ml", O.with_ctes(*_FEAT, O.ml_score_cte("features"), body="SELECT * FROM scored"),
-          doubles=ML_DOUBLES, wide=True)
+          doubles=ML_DOUBLES, wide=True, placed=True)
 def q_opportunity_ml(spark, d):
-    return SC.opportunity_ml(full_features(spark, d))
+    with shuffles_freed(spark):
+        return SC.opportunity_ml(full_features(spark, d, place="_place"), place="_place")
 
 
 RISK_SQL = """

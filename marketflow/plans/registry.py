@@ -21,17 +21,18 @@ class Query:
     doubles: tuple = field(default_factory=tuple)
     digits: int = 6
     wide: bool = False
+    placed: bool = False
 
 
 REGISTRY: dict[str, Query] = {}
 DIGITS = 6
 
 
-def register(name: str, sql: str | None = None, doubles=(), digits: int = DIGITS, wide: bool = False):
-    """``wide``: all features of every row, for which the session is prepared.  ``digits``: comparison precision of double columns (coarser where the
+def register(name: str, sql: str | None = None, doubles=(), digits: int = DIGITS, wide: bool = False, placed: bool = False):
+    """``wide``: all features of every row, ``placed``: a join where the rows lie; for both the session is prepared.  ``digits``: comparison precision of double columns (coarser where the
     Spark side sums in a different order, e.g. state merged across micro-batches)."""
     def deco(fn):
-        REGISTRY[name] = Query(fn, sql, tuple(doubles), digits, wide)
+        REGISTRY[name] = Query(fn, sql, tuple(doubles), digits, wide, placed)
         return fn
     return deco
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -67,14 +69,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 COMPILED_BYTES = 8000
 
 
-def prepare(spark: SparkSession, wide: bool = False) -> None:
+#: Off, a join on (a, b) uses rows that are partitioned by a alone.
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+#: On, a finished SQL execution leaves no shuffle files behind (Spark 4.1; unknown to earlier ones, which ignore it).
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run in here, each once and for what it writes or collects, leave no shuffle files to the driver's garbage collection."""
+    had = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if had is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, had)
+
+
+def prepare(spark: SparkSession, wide: bool = False, placed: bool = False) -> None:
     """What every query asks of the session: the checkpoint folder and, for ``wide`` projections, code that is compiled.
 
+    ``placed`` rows are joined on their place and a value without being moved; other queries get the setting back.
+
     Spark's limit on a generated method is 64 kB unless set, HotSpot's is 8 kB without a JVM flag, so wide stages stay
     interpreted.  Beyond a limit of 8 kB they run operator by operator, whose code Spark cuts into small methods.
     Other queries get the limit back that the session had; one that the cluster has set stays.
     """
     ensure_checkpoint_dir(spark)
+    spark.conf.set(ALL_KEYS, "false" if placed else spark.sparkContext.getConf().get(ALL_KEYS, "true"))
     name, had = "spark.sql.codegen.hugeMethodLimit", "65535"
     options = " ".join(spark.sparkContext.getConf().get(f"spark.{who}.extraJavaOptions", "") for who in ("driver", "executor"))
     if "-XX:-DontCompileHugeMethods" not in options and spark.conf.get(name) in (had, str(COMPILED_BYTES)):

@@ -24,24 +24,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def prices(spark: SparkSession, sf_dir: str, with_levels: bool = True, last_minutes: int | None = None) -> DataFrame:
+def prices(spark: SparkSession, sf_dir: str, with_levels: bool = True, last_minutes: int | None = None,
+           place: str | None = None) -> DataFrame:
     """``lineitem ⋈ part`` mapped to the snapshot schema (see FIXTURES.md §B).
 
     ``last_minutes`` bounds the raw ship day from below by the newest one, so that the scan itself skips what lies
     before the window; the bound is one scalar subquery over that column (every line has its part, so it is also
     the newest poll).  Operators still apply their own exact window.
 
+    ``place`` names a helper column: the part key, by which the rows are then partitioned whatever the join.
+
     The join is a plain equi-join on the part key; Catalyst broadcasts ``part``
     while it is under the broadcast threshold and sort-merges beyond it.
     Only the columns the mapping needs are read (pruned at the scan).
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_extendedprice", "l_shipdate",
+        # numbers before the join: half the bytes of the flags' text in a shuffle
+        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).cast("int").alias("no_flea"),
+        F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 7), 1).otherwise(0)
+         .cast("int").alias("marked_only"))
     if last_minutes is not None:
         days = F.make_dt_interval(F.lit(math.ceil(last_minutes / MINUTES_PER_DAY)))
         newest = read_table(spark, sf_dir, "lineitem").select(F.max("l_shipdate") - days)
         li = li.filter(F.col("l_shipdate") >= newest.scalar())
+    if place:
+        li = li.repartition("l_partkey")
     pt = read_table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
     if with_levels:
@@ -81,11 +90,9 @@ def prices(spark: SparkSession, sf_dir: str, with_levels: bool = True, last_minu
         ((F.col("p_size") % 10).cast("double") / 4).alias("weight"),
         ((F.col("l_quantity") - 1) * 5).cast("int").alias("last_offer_count"),
         (F.col("l_linenumber") % 4 + 1).cast("int").alias("trader_level_required"),
-        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).cast("int").alias("no_flea"),
-        F.when((F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 7), 1).otherwise(0)
-         .cast("int").alias("marked_only"),
-        "l_orderkey", "l_linenumber", "l_suppkey",
+        "no_flea", "marked_only", "l_orderkey", "l_linenumber", "l_suppkey",
         *([F.col("_lvl").alias("flea_level_required")] if with_levels else []),
+        *([F.col("l_partkey").alias(place)] if place else []),
     )
     return derive_quote(out)
 
