@@ -58,32 +58,34 @@ def average_rank(df: DataFrame, value: str, out: str, descending: bool = True,
 def _placed_ranks(df: DataFrame, value: str, out: str, descending: bool, place: str) -> tuple[DataFrame, int]:
     """(_rp, _rv, out) for each place and numeric value of the rows, and the number of ranked rows.
 
-    The pairs of a place are counted where its rows lie and range-partitioned by (value, place), so a value of many places is
-    cut like any other stretch, and written once.  A first pass takes each partition's rows and those of its first and last
-    value; these edges, one row a partition, are all that a partition needs of the others.  A second pass ranks in place.
+    Places and values are range-partitioned by (value, place), so a value of many places is cut like any other stretch, and
+    written once.  A first pass takes each partition's rows and those of its first and last value; these edges, one row a
+    partition, are all that a partition needs of the others.  A second pass ranks in place.
     """
     order = [F.col(value).desc() if descending else F.col(value).asc(), F.col(place)]
-    pairs = df.filter(F.col(value).isNotNull()).groupBy(place, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    part = (pairs.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The sample for the ranges reads finished rows behind a shuffle, which Spark would leave out without a filter between.
+    pairs = df.filter(F.col(value).isNotNull()).select(place, (F.col(value) + F.lit(0)).alias(value))     # no negative zero
+    part = (pairs.repartition(place, value).withColumn("_from", F.spark_partition_id()).where("_from >= 0").drop("_from")
+            .repartitionByRange(*order).sortWithinPartitions(*order)
             .withColumn("_p", F.spark_partition_id()).checkpoint(eager=True))
 
-    def key_of(v: np.ndarray) -> np.ndarray:      # grouping has made zeros and NaN alike, so equal doubles have equal bits
-        return v.view(np.int64) if v.dtype == np.float64 else v.astype(np.int64)
+    def key_of(v: np.ndarray) -> np.ndarray:      # equal bits for equal doubles
+        return np.where(np.isnan(v), np.nan, v).view(np.int64) if v.dtype == np.float64 else v.astype(np.int64)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, n, first, n_first, last, n_last = None, 0, 0, 0, 0, 0
         for b in batches:
             if b.num_rows:
-                k, c = key_of(b.column(value).to_numpy()), b.column("_cnt").to_numpy()
+                k = key_of(b.column(value).to_numpy())
                 if p is None:
                     p, first = b.column("_p")[0].as_py(), int(k[0])
-                n, n_first = n + int(c.sum()), n_first + int(c[k == first].sum())
-                last, n_last = int(k[-1]), (n_last if last == k[-1] else 0) + int(c[k == k[-1]].sum())
+                n, n_first = n + len(k), n_first + int((k == first).sum())
+                last, n_last = int(k[-1]), (n_last if last == k[-1] else 0) + int((k == k[-1]).sum())
         if p is not None:
             yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32())} | {x: pa.array([y], pa.int64()) for x, y in (
                 ("n", n), ("first", first), ("n_first", n_first), ("last", last), ("n_last", n_last))})
 
-    found = part.mapInArrow(ends, "p int, n long, first long, n_first long, last long, n_last long").collect()
+    found = part.select(value, "_p").mapInArrow(ends, "p int, n long, first long, n_first long, last long, n_last long").collect()
     known: dict[int, list[int]] = {}               # of a value at an end: the rows before it, and its own
     offsets, total = {}, 0
     for r in sorted(found, key=lambda r: r["p"]):
@@ -95,7 +97,7 @@ def _placed_ranks(df: DataFrame, value: str, out: str, descending: bool, place:
     sent = df.sparkSession.sparkContext.broadcast({r["p"]: (offsets[r["p"]], {k: known[k] for k in (r["first"], r["last"])}) for r in found})
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, edges, held = None, {}, None
+        before, edges, held, done = None, {}, None, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -103,22 +105,30 @@ def _placed_ranks(df: DataFrame, value: str, out: str, descending: bool, place:
                 before, edges = sent.value[b.column("_p")[0].as_py()]
             t = pa.Table.from_batches([b])
             t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
-            v, c = t.column(value).to_numpy(), t.column("_cnt").to_numpy()
+            v, at = t.column(value).to_numpy(), t.column(place).combine_chunks()
             k = key_of(v)
             starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            own = np.add.reduceat(c, starts)
-            above = before + np.cumsum(own) - own
             if int(k[-1]) in edges:
                 held, n = None, len(k)
             else:                                   # the next batch may have more of the last value
                 held, n = t.slice(starts[-1]), starts[-1]
-                starts, own, above = starts[:-1], own[:-1], above[:-1]
-            before += int(own.sum())
-            for i in {0, len(starts) - 1} if len(starts) else ():
+                starts = starts[:-1]
+            if not n:
+                continue
+            lengths = np.diff(np.append(starts, n))
+            own, above = lengths.copy(), before + np.cumsum(lengths) - lengths
+            before += n
+            for i in {0, len(starts) - 1}:
                 if (edge := edges.get(int(k[starts[i]]))):
                     above[i], own[i] = edge
-            rank = np.repeat(above + (own + 1) / 2, np.diff(np.append(starts, n)))
-            yield pa.RecordBatch.from_arrays([t.column(place).slice(0, n).combine_chunks(), pa.array(v[:n]), pa.array(rank)], ["_rp", "_rv", out])
+            rank = np.repeat(above + (own + 1) / 2, lengths)
+            # A place's rows of one value stand together; the first of them goes back.
+            one = np.ones(n, bool)
+            one[1:] = (k[1:n] != k[:n - 1]) | pc.not_equal(at.slice(1, n - 1), at.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            if done == (k[0], at[0].as_py()):
+                one[0] = False
+            done = (k[n - 1], at[n - 1].as_py())
+            yield pa.RecordBatch.from_arrays([at.slice(0, n).filter(pa.array(one)), pa.array(v[:n][one]), pa.array(rank[one])], ["_rp", "_rv", out])
 
     kinds = dict(df.dtypes)
     return part.mapInArrow(ranked, f"_rp {kinds[place]}, _rv {kinds[value]}, `{out}` double"), total

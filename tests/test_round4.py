@@ -56,8 +56,9 @@ def test_ranks_by_place_are_those_of_all_rows(spark, setting, descending):
              .when(F.col("id") % 29 != 0, (F.col("id") * 7919 % 97).cast("double") - 20))
     df = spark.range(4000).select("id", (F.col("id") * 31 % 301).alias("place"), value.alias("v"))
     want = {r["id"]: (r["r"], r["p"]) for r in R.average_rank(df, "v", "r", descending, "p").collect()}
-    got = R.average_rank(df, "v", "r", descending, "p", place="place").collect()
-    assert len(got) == 4000 and {r["id"]: (r["r"], r["p"]) for r in got} == want
+    for place in (F.col("place"), F.col("id") % 9):
+        got = R.average_rank(df.withColumn("place", place), "v", "r", descending, "p", place="place").collect()
+        assert len(got) == 4000 and {r["id"]: (r["r"], r["p"]) for r in got} == want
     none = R.average_rank(df.where("v is null"), "v", "r", pct_out="p", place="place")
     assert {(r["r"], r["p"]) for r in none.collect()} == {(None, None)} and none.columns == ["id", "place", "v", "r", "p"]
 
