@@ -71,6 +71,7 @@ COMPILED_BYTES = 8000
 
 #: Off, a join on (a, b) uses rows that are partitioned by a alone.
 ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+_OFF = "marketflow.placed"     # says in a session that ``prepare`` has turned it off
 #: On, a finished SQL execution leaves no shuffle files behind (Spark 4.1; unknown to earlier ones, which ignore it).
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -92,14 +93,20 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
 def prepare(spark: SparkSession, wide: bool = False, placed: bool = False) -> None:
     """What every query asks of the session: the checkpoint folder and, for ``wide`` projections, code that is compiled.
 
-    ``placed`` rows are joined on their place and a value without being moved; other queries get the setting back.
+    ``placed`` rows are joined on their place and a value without being moved; other queries get the setting back, if it was
+    turned off here.
 
     Spark's limit on a generated method is 64 kB unless set, HotSpot's is 8 kB without a JVM flag, so wide stages stay
     interpreted.  Beyond a limit of 8 kB they run operator by operator, whose code Spark cuts into small methods.
     Other queries get the limit back that the session had; one that the cluster has set stays.
     """
     ensure_checkpoint_dir(spark)
-    spark.conf.set(ALL_KEYS, "false" if placed else spark.sparkContext.getConf().get(ALL_KEYS, "true"))
+    if placed and spark.conf.get(ALL_KEYS, "true") == "true":
+        spark.conf.set(ALL_KEYS, "false")
+        spark.conf.set(_OFF, "true")
+    elif not placed and spark.conf.get(_OFF, "false") == "true":
+        spark.conf.set(ALL_KEYS, "true")
+        spark.conf.set(_OFF, "false")
     name, had = "spark.sql.codegen.hugeMethodLimit", "65535"
     options = " ".join(spark.sparkContext.getConf().get(f"spark.{who}.extraJavaOptions", "") for who in ("driver", "executor"))
     if "-XX:-DontCompileHugeMethods" not in options and spark.conf.get(name) in (had, str(COMPILED_BYTES)):

@@ -75,6 +75,11 @@ def test_opportunity_ml_moves_ranks_and_not_its_wide_rows(spark, setting, tables
     assert sorted(keys) == ["_rp", "l_partkey", "p_partkey"]       # a row was moved by its score, with all of its columns
     prepare(spark)
     assert spark.conf.get(ALL_KEYS) == "true"
+    for own in ("true", "false"):                                  # what the session has set itself stays
+        spark.conf.set(ALL_KEYS, own)
+        prepare(spark)
+        assert spark.conf.get(ALL_KEYS) == own
+    spark.conf.set(ALL_KEYS, "true")
     plain = SC.opportunity_ml(full_features(spark, tables))
     assert out.columns == plain.columns
     id_ = ("item_id", "name", "l_orderkey", "l_linenumber", "l_suppkey", "ts", "flea_price", "trader_price", "no_flea", "marked_only")
